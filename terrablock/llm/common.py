@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def text_blocks(batches, column: str = "text", block: int = BLOCK):
         texts = batch.column(batch.schema.get_field_index(column))
         if len(texts) == 0:
             continue
-        texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+        texts = pyarrow.compute.fill_null(texts.cast(pa.large_binary()), b"")
         buffers, at = texts.buffers(), texts.offset
         offsets = np.frombuffer(buffers[1], np.int64)[at : at + len(texts) + 1]
         raw = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .mixing import OP8_SQL, op8_mix
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import OP1_SQL, op1_shards
 
-QUERIES = {"op1_shards": op1_shards, "op2_secrets": op2_secrets, "op8_mix": op8_mix}
-SQL = {"op1_shards": OP1_SQL, "op2_secrets": OP2_SQL, "op8_mix": OP8_SQL}
+QUERIES = {"op1_shards": op1_shards, "op2_secrets": op2_secrets, "op5_decontaminate": op5_decontaminate, "op8_mix": op8_mix}
+SQL = {"op1_shards": OP1_SQL, "op2_secrets": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_mix": OP8_SQL}

@@ -69,11 +69,11 @@ def _nibbles() -> list[int]:
 #: DuckDB has no crc32: each text's checksum is folded half byte by half byte.
 OP1_SQL = f"""
 WITH raw AS (
-  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, hex(encode(coalesce(text, ''))) AS hx, string_split(hx, '') AS digits FROM documents),
 sums AS (
   SELECT doc_id, key, CAST(len(hx) // 2 + 1 AS BIGINT) AS size,
          xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(hx)), lambda i:
-             CAST(strpos('0123456789ABCDEF', hx[i + 2 - 2 * (i % 2)]) - 1 AS BIGINT))),
+             CAST(strpos('0123456789ABCDEF', list_extract(digits, i + 2 - 2 * (i % 2))) - 1 AS BIGINT))),
              lambda c, x: xor(CAST(list_extract({_nibbles()}, (xor(c, x) & 15) + 1) AS BIGINT), c >> 4)), CAST(4294967295 AS BIGINT)) AS text_crc32
   FROM raw),
 draws AS (
