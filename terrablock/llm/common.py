@@ -141,17 +141,33 @@ class Words:
         return mix(out), self.doc[: n - k + 1] == self.doc[k - 1 :]
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE ** i and its inverse for i to n, kept for the next block."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((BASE, BASE_INV)):
+            _powers[k] = np.full(n + n // 8 + 1, base)
+            _powers[k][0] = 1
+            np.multiply.accumulate(_powers[k], out=_powers[k])
+    return _powers
+
+
+class SpanHash:
+    """64-bit hashes of stretches of raw, from one prefix sum over the block."""
+
+    def __init__(self, raw: np.ndarray):
+        self.power, self.inverse = powers(len(raw))
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[raw] * self.power[: len(raw)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _MUL)
+
+
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of raw[start:end] for each pair, from one prefix sum over the block."""
-    power = np.full(len(raw) + 1, BASE)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[raw] * power[:-1], out=total[1:])
-    inverse = np.full(len(raw) + 1, BASE_INV)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _MUL)
+    return SpanHash(raw)(start, end)
 
 
 def minima(x: np.ndarray, w: int) -> np.ndarray:
@@ -176,3 +192,22 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 def arrow_rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def distinct_per_doc(doc: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
+    """How many distinct values each document has."""
+    _, first = np.unique(mix(value + doc.astype(np.uint64) * _MUL), return_index=True)
+    return np.bincount(doc[first], minlength=n_docs)
+
+
+def summed(partials: DataFrame) -> np.ndarray:
+    """Element-wise sum of the column v (array<double>), a partial sum from each task; its length is fixed."""
+    rows = partials.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r.i] = r.x
+    return out
+
+
+def fold_of(n: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
