@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .mixing import OP8_SQL, op8_mix
+from .quality import op10_quality
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import OP1_SQL, op1_shards
+from .suffix_tree import OP7_SQL, op7_substrings
+from .toxicity import op3_toxicity
 
-QUERIES = {"op1_shards": op1_shards, "op2_secrets": op2_secrets, "op5_decontaminate": op5_decontaminate, "op8_mix": op8_mix}
-SQL = {"op1_shards": OP1_SQL, "op2_secrets": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_mix": OP8_SQL}
+QUERIES = {
+    "op1_shards": op1_shards,
+    "op2_secrets": op2_secrets,
+    "op3_toxicity": op3_toxicity,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_substrings": op7_substrings,
+    "op8_mix": op8_mix,
+    "op10_quality": op10_quality,
+}
+SQL = {"op1_shards": OP1_SQL, "op2_secrets": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_substrings": OP7_SQL, "op8_mix": OP8_SQL}

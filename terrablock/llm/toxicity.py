@@ -22,8 +22,8 @@ FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
 #: The lexicon is fitted on at most this many labelled rows, those with the smallest hash of their id.
 MOST_LABELLED = 40_000
-#: A lexicon entry needs so many distinct toxic texts and this lower bound on its precision.
-LEAST_TOXIC, LEAST_PRECISION = 6, 0.7
+#: A lexicon entry needs so many distinct toxic texts, this lower bound on its precision, and so many toxic texts to a clean one.
+LEAST_TOXIC, LEAST_PRECISION, LEAST_ODDS = 5, 0.64, 20
 #: Score of a text without any lexicon word.
 BASE_SCORE = 0.03
 PREFIXES = (4, 5, 6)
@@ -140,7 +140,7 @@ class Restorer:
             same[:-2] = (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:]) & LETTER[raw[:-2]] & (raw[:-2] < 128)
         stretched = np.append(0, np.cumsum(same))
         n_same = stretched[np.maximum(last - 1, words.start)] - stretched[words.start]
-        odd = (size <= LONGEST) & (((n_signs > 0) & (n_letters >= 2) & (n_signs <= n_letters)) | (n_same > 0))
+        odd = (size <= LONGEST) & (((n_signs > 0) & (n_letters >= 2) & (n_signs <= n_letters + 1)) | (n_same > 0))
         found, owner = [], []
         whole = raw.tobytes()
         for k in np.flatnonzero(odd):
@@ -179,7 +179,7 @@ class Features:
 
 
 def lexicon(labelled: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature hashes and weights (smoothed precision), from labelled rows (text, toxic).
+    """Sorted feature hashes and weights (lower bounds of precision), from labelled rows (text, toxic).
 
     Near copies of one toxic text count once (same smallest hash of a word triple). A beginning needs two words.
     """
@@ -219,8 +219,8 @@ def lexicon(labelled: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndar
     n, z = t + c, 1.645
     p = t / n
     low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    good = low >= LEAST_PRECISION
-    return wanted[good], ((t + 0.5) / (n + 1))[good]
+    good = (low >= LEAST_PRECISION) & (c * LEAST_ODDS <= t)
+    return wanted[good], low[good]
 
 
 def find(known: np.ndarray, values: np.ndarray) -> np.ndarray:
