@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .embeddings import OP4_SQL, op4_near_vectors
 from .mixing import OP8_SQL, op8_mix
+from .ngram_join import OP6_SQL, op6_ngram_join
 from .quality import op10_quality
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import OP1_SQL, op1_shards
+from .suffix_array import op9_bytes
 from .suffix_tree import OP7_SQL, op7_substrings
 from .toxicity import op3_toxicity
 
@@ -14,9 +17,20 @@ QUERIES = {
     "op1_shards": op1_shards,
     "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
+    "op4_near_vectors": op4_near_vectors,
     "op5_decontaminate": op5_decontaminate,
+    "op6_ngram_join": op6_ngram_join,
     "op7_substrings": op7_substrings,
     "op8_mix": op8_mix,
+    "op9_bytes": op9_bytes,
     "op10_quality": op10_quality,
 }
-SQL = {"op1_shards": OP1_SQL, "op2_secrets": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_substrings": OP7_SQL, "op8_mix": OP8_SQL}
+SQL = {
+    "op1_shards": OP1_SQL,
+    "op2_secrets": OP2_SQL,
+    "op4_near_vectors": OP4_SQL,
+    "op5_decontaminate": OP5_SQL,
+    "op6_ngram_join": OP6_SQL,
+    "op7_substrings": OP7_SQL,
+    "op8_mix": OP8_SQL,
+}
