@@ -53,6 +53,18 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, car
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """The rows of docs as often as the mix takes them, the last one of a source whole; rows not taken go.
+
+    Rows that are equal in id, source and text are taken alike, as often as the luckiest of them.
+    """
+    named = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
+    times = F.coalesce(F.ceil(F.try_divide("taken", "size")), F.lit(0))
+    decided = mix_documents(named, weights, most, carry=["_row"]).groupBy("_row").agg(F.max(times).alias("_times")).where("_times > 0")
+    joined = named.join(small_side(decided), "_row")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

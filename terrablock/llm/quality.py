@@ -137,6 +137,26 @@ def fit(rows: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return mean, scale, w
 
 
+class Model:
+    """A fitted scorer of feature rows; one without positives to learn from gives 0.5."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
+        self.mean, self.scale, self.weights = mean, scale, weights
+
+    def score(self, f: np.ndarray) -> np.ndarray:
+        z = (f - self.mean) / self.scale @ self.weights[1:] + self.weights[0]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def fit_model(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model learnt from docs and the labels outside the held-out fold, and the table of features (doc_id, f, positive)."""
+    truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where(fold_of(FOLDS) != HELD_OUT)
+    share = truth.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    positives = truth.where("quality = 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("positive"))
+    rows = materialise(featured(docs).join(small_side(positives), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "f", F.coalesce("positive", F.lit(False)).alias("positive")))
+    return Model(*fit(rows, PRIOR_SLACK * (share or 0.0))), rows
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
@@ -144,21 +164,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     none, and of several labels of one document the largest holds. Without positives every score is 0.5. Extra columns
     are ignored: only the text is scored.
     """
-    truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where(fold_of(FOLDS) != HELD_OUT)
-    share = truth.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = PRIOR_SLACK * (share or 0.0)
-    positives = truth.where("quality = 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("positive"))
-    rows = materialise(featured(docs).join(small_side(positives), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "f", F.coalesce("positive", F.lit(False)).alias("positive")))
-    mean, scale, w = fit(rows, prior)
+    model, rows = fit_model(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = (matrix(batch.column(1), N_FEATURES) - mean) / scale @ w[1:] + w[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1), N_FEATURES)))], ["doc_id", "score"])
 
     scored = rows.select("doc_id", "f").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (fold_of(FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the model accepts, with all their columns. Without positives to learn from, every row stays."""
+    model, _ = fit_model(docs, labels)
+    cut = CUT if model.weights.any() else 0.0
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in text_blocks(batches):
+            yield batch.filter(pa.array(model.score(shape_features(raw, offsets).astype(np.float64)) >= cut))
+
+    return docs.mapInArrow(accepted, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
