@@ -1,8 +1,9 @@
 """Operator 6: n-gram Jaccard join with prefix trees.
 
-A document's set of word triples is ordered globally (very frequent ones last, else by hash), and two sets that reach
-the threshold share one of their first few members. Every such member names the smallest document that has it, its hub;
-documents of one hub meet in a group, so every possible pair does. In a group the sets are stored in a trie; one walk
+A document's set of word triples is ordered globally (very frequent ones last, else by hash). Of its head, the first few
+members, those that no other head has show that it can link with none, or are skipped; of the others the rarest are
+named, so that two sets that reach the threshold name one in common. Every named member leads to the smallest document
+that names it, its hub; documents of one hub meet in a group, so every possible pair does. In a group the sets are stored in a trie; one walk
 carries the partial overlaps of all sets down the shared branches and drops those whose remaining length cannot reach
 the threshold. Large groups are walked in chunks that hold the hub too, and what a chunk does not join to the hub is
 then walked against all chunks.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, arrow_rows, materialise, mix, small_side, table, text_blocks
 from .components import components
-from .repeats import keyed, real_id
+from .repeats import buckets_for, keyed, real_id
 
 SHINGLE = 3
 #: Two sets link when UNITS * shared >= LEAST * united.
@@ -28,6 +29,8 @@ LEAST, UNITS = 90, 100
 #: A member that over 1 in RARE documents has is ordered last; the list of those is bounded by RARE * the mean set size.
 RARE, LEAST_FREQUENT = 1000, 32
 COUNT_OVER = 16 << 20
+#: Members looked at beyond twice what a linked set may lack.
+HEAD_SLACK = 8
 #: Sets and members of a chunk of a group.
 CHUNK_SETS, CHUNK_MEMBERS = 256, 300_000
 
@@ -51,7 +54,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> t
 
 def set_digests(rows: DataFrame) -> DataFrame:
     """id, key, n, s1, s2: size and two sums that name each row's set."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_bytes", pa.int64())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_blocks(batches):
@@ -61,9 +64,9 @@ def set_digests(rows: DataFrame) -> DataFrame:
             for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
                 total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(h ^ salt), dtype=np.uint64))
                 sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-            yield arrow_rows(schema, batch.column(0), batch.column(1), np.diff(first), *sums)
+            yield arrow_rows(schema, batch.column(0), batch.column(1), np.diff(first), *sums, np.diff(offsets))
 
-    return rows.select("id", "key", "text").mapInArrow(digest, "id long, key long, n long, s1 long, s2 long")
+    return rows.select("id", "key", "text").mapInArrow(digest, "id long, key long, n long, s1 long, s2 long, n_bytes long")
 
 
 def frequent_members(texts: DataFrame, n_docs: int) -> np.ndarray:
@@ -105,22 +108,97 @@ class Order:
         return out
 
 
-def prefix_members(texts: DataFrame, order: Order) -> DataFrame:
-    """member, id: the first members of each set, of which two linked sets share one."""
-    schema = pa.schema([("member", pa.int64()), ("id", pa.int64())])
+def missing(n):
+    """How many members of a set of n a linked set may lack (numbers or columns)."""
+    return n - (LEAST * n + UNITS - 1) // UNITS
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, offsets in text_blocks(batches):
+
+def head(n):
+    """How many first members of a set of n are looked at: about twice what a linked set may lack."""
+    return np.minimum(n, 2 * missing(n) + HEAD_SLACK)
+
+
+def named(n):
+    """How many of the head's members, rarest first, must be named so that two linked sets name one in common.
+
+    The set whose head ends first shares all but missing() of its head with the other's head. So of the other's head at
+    most head(n) less that many stand before the first shared one; the smallest partner gives the bound.
+    """
+    least = -(-LEAST * n // UNITS)
+    return np.minimum(head(n), head(n) - np.maximum(head(least) - missing(least), 1) + 1)
+
+
+ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+
+
+def shared_heads(texts: DataFrame, order: Order, n_buckets: int) -> DataFrame:
+    """id, n, and of the head's members that other sets' heads have too: members (hashes) and counts (frequent ones above all).
+
+    Members of the list of frequent ones are known to be shared where they stand. All others, which few documents have,
+    are sent in one binary row per bucket of hashes and block of text, and counted there.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in text_blocks(batches, block=8 << 20):
             doc, h = shingle_sets(raw, offsets)
-            by = np.lexsort((order.rank(h), doc))
-            doc, h = doc[by], h[by]
+            rank = order.rank(h)
+            by = np.lexsort((rank, doc))
+            doc, h, rank = doc[by], h[by], rank[by]
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             n = np.diff(first)
-            length = n - -(-LEAST * n // UNITS) + 1  # a linked set shares at least LEAST / UNITS of this one
-            keep = np.arange(len(doc)) - first[doc] < length[doc]
-            yield arrow_rows(schema, h[keep].view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[doc[keep]])
-
-    return texts.select("id", "text").mapInArrow(prefixes, "member long, id long")
+            keep = np.arange(len(doc)) - first[doc] < head(n)[doc]
+            doc, h, rank = doc[keep], h[keep], rank[keep]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[doc]
+            often = (rank >> np.uint64(63)) == 1
+            count = np.where(often, (1 << 30) + (rank & np.uint64((1 << 30) - 1)).astype(np.int64), 0).astype(np.int32)
+            bucket = (np.where(often, mix(ids.view(np.uint64)), h) % np.uint64(n_buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+            some = np.flatnonzero(np.diff(cut))
+            columns = [x[by] for x in (h, ids, n[doc].astype(np.int32), count)]
+            yield arrow_rows(ROWS, some, np.diff(cut)[some], [b"".join(c[cut[b] : cut[b + 1]].tobytes() for c in columns) for b in some])
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [[np.frombuffer(d, t, n, at * n) for n, d in zip(frame.n, frame.data, strict=True)] for t, at in ((np.uint64, 0), (np.int64, 8), (np.int32, 16), (np.int32, 20))]
+        h, ids, size, count = (np.concatenate(x) for x in parts)
+        by = np.lexsort((ids, h))
+        h, ids, size, count = h[by], ids[by], size[by], count[by]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        seen = np.diff(np.append(start, len(h)))
+        count = np.where(count > 0, count, np.repeat(seen, seen))
+        keep = count > 1
+        h, ids, size, count = h[keep], ids[keep], size[keep], count[keep]
+        by = np.argsort(ids, kind="stable")
+        h, ids, size, count = h[by].view(np.int64), ids[by], size[by], count[by]
+        start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+
+        def lists(x: np.ndarray) -> pd.Series:
+            return pd.Series(np.split(x, start[1:]) if len(start) else [], dtype=object)
+
+        return pd.DataFrame({"id": ids[start], "n": size[start], "members": lists(h), "counts": lists(count.astype(np.int32))})
+
+    sent = texts.select("id", "text").mapInArrow(send, "bucket int, n int, data binary")
+    return sent.groupBy("bucket").applyInPandas(gather, "id long, n int, members array<long>, counts array<int>")
+
+
+def naming_members(heads: DataFrame) -> DataFrame:
+    """member, id: the members each set names. Sets with more heads' members of their own than a linked set may lack name none."""
+
+    def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n = frame.n.to_numpy(np.int64)
+            own = head(n) - frame.members.str.len().to_numpy()  # no other head has them: they come first in the order
+            take = named(n) - own
+            ids, members = [], []
+            for i in np.flatnonzero((own <= missing(n)) & (take > 0)):
+                m, c = np.asarray(frame.members.iloc[i]), np.asarray(frame.counts.iloc[i])
+                members.append(m[np.lexsort((m, c))][: take[i]])
+                ids.append(np.full(len(members[-1]), frame.id.iloc[i]))
+            if ids:
+                yield pd.DataFrame({"member": np.concatenate(members), "id": np.concatenate(ids)})
+
+    whole = heads.groupBy("id").agg(F.max("n").alias("n"), F.flatten(F.collect_list("members")).alias("members"), F.flatten(F.collect_list("counts")).alias("counts"))
+    return whole.mapInPandas(names, "member long, id long")
 
 
 def member_lists(texts: DataFrame) -> DataFrame:
@@ -241,7 +319,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     copies = meta.where("n = 0 OR id > first_id").select(F.col("key").alias("copy")).distinct()
     texts = rows.join(small_side(copies), F.col("key") == F.col("copy"), "left_anti")
     order = Order(frequent_members(texts, meta.count()))
-    members = materialise(prefix_members(texts, order))
+    members = materialise(naming_members(shared_heads(texts, order, buckets_for(meta))))
     hubs = members.groupBy("member").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("member", "hub")
     pairs = materialise(members.join(hubs, "member").select("hub", "id").distinct())
     wanted = small_side(pairs.select(F.col("id").alias("_id")).distinct(), 1_000_000)
