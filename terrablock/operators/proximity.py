@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrablock.functions.sizes import broadcast_if_small, is_small
+from terrablock.functions.storage import saved
 
 #: Sites that every node may be held against directly; more of them are found through bins.
 MOST_SITES = 2_000
@@ -53,10 +54,11 @@ def nearest_site(nodes: DataFrame, sites: DataFrame, most: int = MOST_SITES, sta
     while True:
         best = F.min(F.struct("dist_m", "site_id"))
         hit = sites_in_reach(rest.select("node_id", "x_km", "y_km"), sites, reach).groupBy("node_id").agg(best.alias("_b")).select("node_id", F.col("_b.dist_m"), F.col("_b.site_id"))
+        hit = saved(hit)  # each round stands on the one before
         found = hit if found is None else found.unionByName(hit)
         if reach >= span:
             return nodes.join(found, "node_id", "left")
-        rest, reach = rest.join(hit.select("node_id"), "node_id", "left_anti"), reach * 2
+        rest, reach = saved(rest.select("node_id", "x_km", "y_km").join(hit.select("node_id"), "node_id", "left_anti")), reach * 2
 
 
 def near_blocks(nodes: DataFrame, g: float, b: float, max_gy: int) -> DataFrame:
