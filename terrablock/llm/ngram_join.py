@@ -182,7 +182,10 @@ def shared_heads(texts: DataFrame, order: Order, n_buckets: int) -> DataFrame:
 
 
 def naming_members(heads: DataFrame) -> DataFrame:
-    """member, id: the members each set names. Sets with more heads' members of their own than a linked set may lack name none."""
+    """member, id: the members each set names. Members of its own count as named, so a set with named() of them or more names none.
+
+    More than missing() of them don't rule a link out: the partner may hold them beyond its own head.
+    """
 
     def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -190,7 +193,7 @@ def naming_members(heads: DataFrame) -> DataFrame:
             own = head(n) - frame.members.str.len().to_numpy()  # no other head has them: they come first in the order
             take = named(n) - own
             ids, members = [], []
-            for i in np.flatnonzero((own <= missing(n)) & (take > 0)):
+            for i in np.flatnonzero(take > 0):
                 m, c = np.asarray(frame.members.iloc[i]), np.asarray(frame.counts.iloc[i])
                 members.append(m[np.lexsort((m, c))][: take[i]])
                 ids.append(np.full(len(members[-1]), frame.id.iloc[i]))

@@ -190,6 +190,36 @@ def test_ngram_join(spark, none):
     assert linked_components(none).count() == 0
 
 
+def linked(texts, size=3, least=90):
+    """The component of each text (id, text) by brute force over all pairs."""
+    sets, root = {}, {i: i for i, _ in texts}
+    for i, t in texts:
+        w = words(t.lower())
+        sets[i] = {tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))} if w else set()
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in sets}
+
+
+def test_ngram_join_of_short_texts(spark):
+    texts = []
+    for k in range(40):  # 9 and 10 triples, 9 of them shared: a link, though the longer head has two members of its own
+        own = [f"s{k}x{i}" for i in range(12)]
+        texts += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:11] if k % 2 else own[1:]))]
+    for k, n in enumerate(range(3, 40)):
+        own = [f"r{k}x{i}" for i in range(n)]
+        texts += [(1000 + 2 * k, " ".join(own)), (1001 + 2 * k, " ".join([*own, "added"]))]
+    want = linked(texts)
+    assert all(want[2 * k + 1] == 2 * k for k in range(40))
+    assert {r.doc_id: r.component_id for r in linked_components(rows_of(spark, texts)).collect()} == want
+
+
 def test_dedup_words(odd, none):
     first, want = {}, []
     for i, t in TEXTS:
