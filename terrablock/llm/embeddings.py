@@ -1,8 +1,9 @@
 """Operator 4: embedding near-dedup with randomised-rotation binary codes.
 
-Each vector is rotated at random and stored as the signs of its coordinates with a correction factor; the product of
-one vector with another's signs, divided by that factor, estimates their cosine without bias, within a bound that the
-factor gives. Pairs whose bound stays under the threshold are dropped; all others are computed exactly in doubles.
+Each vector is rotated at random and stored as the signs of its coordinates with a factor, its cosine with them. That
+and the product of another vector with the signs bound the cosine of the two from above (angles obey the triangle
+inequality). Pairs whose bound stays under the threshold are dropped; all others are computed exactly in doubles.
+Large labels are cut into cells by their nearest pivot, and a vector visits each other cell that may hold a link of it.
 """
 
 from __future__ import annotations
@@ -20,13 +21,11 @@ from .components import components
 from .ngram_join import Groups
 
 LEAST_COSINE = 0.93
-#: Width of the confidence bound in units of the estimate's deviation scale.
-EPSILON = 4.0
 SEED = 7
-#: Labels of up to this many distinct vectors are compared whole; larger ones in buckets of equal code bits of about this size.
+#: A label has a pivot, and so a cell, for about this many distinct vectors.
 WHOLE = 8192
-#: Chance that a pair just at the threshold meets in a bucket.
-RECALL = 0.98
+#: Allowance of the bounds for rounding.
+SLACK = 1e-3
 TILE = 1024
 
 
@@ -36,55 +35,52 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def tables_for(bits: int) -> int:
-    """Tables of buckets of so many bits that a pair at the threshold meets with chance RECALL."""
-    meet = (1 - math.acos(LEAST_COSINE) / math.pi) ** bits
-    return 1 if bits == 0 else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+def cells_of(x: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
+    """The cells of each unit vector: first its home, the nearest pivot's, then the later ones that it visits.
 
-
-def bucket_codes(rotated: np.ndarray, bits: int) -> np.ndarray:
-    """A code of bits for each vector and table: signs of further random directions."""
-    t = tables_for(bits)
-    if bits == 0:
-        return np.zeros((len(rotated), 1), np.int64)
-    planes = np.random.default_rng(SEED).standard_normal((rotated.shape[1], t * bits))
-    signs = (rotated @ planes > 0).reshape(len(rotated), t, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+    If x of home p links with y of a later home q, y is no nearer to p than to q, so x's angle to q is at most that
+    to p and twice the threshold's angle more. So each such pair meets in y's home, and only there.
+    """
+    if len(pivots) < 2:
+        return list(np.zeros((len(x), 1), np.int64))
+    out = []
+    for k in range(0, len(x), TILE):
+        angle = np.arccos(np.clip(x[k : k + TILE] @ pivots.T, -1, 1))
+        home = angle.argmin(axis=1)
+        near = angle <= angle.min(axis=1, keepdims=True) + 2 * math.acos(LEAST_COSINE) + SLACK
+        near &= np.arange(len(pivots)) > home[:, None]
+        out += [np.append(h, np.flatnonzero(v)) for h, v in zip(home, near, strict=True)]
+    return out
 
 
-def encoded(vectors: DataFrame) -> DataFrame:
-    """The index: id, label, d, n (copies), vector (float32 bytes), signs (packed), factor, bits, codes."""
+def encoded(vectors: DataFrame, pivots: dict[tuple[int, int], np.ndarray]) -> DataFrame:
+    """The index: id, label, d, n (copies), vector (float32 bytes), signs (packed), factor, cells. pivots: by label and d."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for (d, bits), own in frame.groupby(["d", "bits"]):
+            for (label, d), own in frame.groupby(["label", "d"]):
                 x = np.array(own.embedding.tolist(), np.float64).reshape(len(own), d)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 y = x @ rotation(d).T
-                factor = np.abs(y).sum(axis=1) / math.sqrt(d)
-                codes = bucket_codes(y, int(bits))
-                out = own[["id", "label", "d", "n", "bits"]].copy()
+                out = own[["id", "label", "d", "n"]].copy()
                 out["vector"] = [np.array(v, np.float32).tobytes() for v in own.embedding]
                 out["signs"] = [s.tobytes() for s in np.packbits(y > 0, axis=1)]
-                out["factor"] = factor
-                out["codes"] = pd.Series(list(codes), index=own.index, dtype=object)
+                out["factor"] = np.abs(y).sum(axis=1) / math.sqrt(d)
+                out["cells"] = pd.Series(cells_of(x, pivots.get((int(label), int(d)), x[:0])), index=own.index, dtype=object)
                 yield out
 
-    return vectors.mapInPandas(encode, "id long, label int, d int, n long, bits int, vector binary, signs binary, factor double, codes array<long>")
+    return vectors.mapInPandas(encode, "id long, label int, d int, n long, vector binary, signs binary, factor double, cells array<long>")
 
 
 def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between the two sides of one tile: a, b (joined vectors) and links: copies linked with a across the tile.
-
-    A pair that meets in several tables counts in the first one only.
-    """
+    """Links between the two sides of one tile: a, b (joined vectors) and links: copies linked with a across the tile."""
     left, right = frame[frame.side == 0], frame[frame.side == 1]
     same = bool(frame.same.iloc[0])
     right = left if same else right
     none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
     if not len(left) or not len(right):
         return none
-    d, at = int(frame.d.iloc[0]), int(frame.tab.iloc[0])
+    d = int(frame.d.iloc[0])
 
     def unit(side: pd.DataFrame) -> np.ndarray:
         x = np.frombuffer(b"".join(side.vector), np.float32).reshape(len(side), d).astype(np.float64)
@@ -92,16 +88,14 @@ def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
 
     x, y = unit(left), unit(right)
     signs = np.unpackbits(np.frombuffer(b"".join(left.signs), np.uint8).reshape(len(left), -1), axis=1)[:, :d].astype(np.float32) * 2 - 1
-    factor = left.factor.to_numpy()
-    estimate = (signs @ (y @ rotation(d).T).T.astype(np.float32)) / (math.sqrt(d) * factor[:, None])
-    bound = EPSILON * np.sqrt(np.maximum(1 - factor**2, 0)) / (factor * math.sqrt(max(d - 1, 1)))
-    i, j = np.nonzero(estimate + bound[:, None] >= LEAST_COSINE)
+    factor = np.minimum(left.factor.to_numpy(), 1).astype(np.float32)[:, None]
+    cosine = np.clip((signs @ (y @ rotation(d).T).T.astype(np.float32)) / np.float32(math.sqrt(d)), -1, 1)
+    i, j = np.nonzero(cosine * factor + np.sqrt((1 - cosine**2) * (1 - factor**2)) >= LEAST_COSINE - SLACK)
     if same:
         i, j = i[i < j], j[i < j]
-    if at:
-        a, b = np.array(left.codes.tolist()), np.array(right.codes.tolist())
-        fresh = ~(a[i, :at] == b[j, :at]).any(axis=1)
-        i, j = i[fresh], j[fresh]
+    if len(i) > len(x) * len(y) // 64:  # so many are computed faster by whole rows
+        near = (x @ y.T)[i, j] >= LEAST_COSINE - SLACK
+        i, j = i[near], j[near]
     linked = np.zeros(len(i), bool)
     for k in range(0, len(i), 1 << 16):
         part = slice(k, k + (1 << 16))
@@ -127,28 +121,36 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
 
     Only vectors of one label and one length are compared. Nulls: a null label, a null or zero vector, or one that holds
     null or non-finite numbers links with nothing; a null vec_id orders after every other and is returned as null.
-    Equal vectors of a label (repeated rows too) are combined first and link with each other. A label with over WHOLE
-    distinct vectors is compared within buckets of its codes (recall RECALL at the threshold, more above it); a bucket
-    of any size is cut into tiles, so none is capped.
+    Equal vectors of a label (repeated rows too) are combined first and link with each other. Every pair at the threshold
+    is found: a label has a pivot for each WHOLE distinct vectors, and a pair of two cells meets in the later one. A cell
+    of any size is cut into tiles, so none is capped. Where the pivots part nothing, all tiles meet.
     """
     good = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
     rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("label").cast("int").alias("label"), "embedding").withColumn("good", good)
     rows = rows.withColumn("same", F.when(F.col("good"), F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.array_join(F.transform("embedding", lambda v: v.cast("string")), ",")), 256)))
     named = materialise(rows.select("id", "label", "good", "same", F.when(F.col("good"), F.col("embedding")).alias("embedding")))
     first = materialise(named.where("good").groupBy("same").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value(F.size("embedding")).alias("d")))
-    sizes = first.groupBy("label").agg(F.count("*").alias("m")).select(F.col("label").alias("_label"), F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / WHOLE))).cast("int").alias("bits"))
+    sizes = first.groupBy("label", "d").agg(F.count("*").alias("m")).select(F.col("label").alias("_label"), F.col("d").alias("_d"), "m", F.ceil(F.col("m") / WHOLE).alias("cells"))
     distinct = named.where("good").select("id", "same", "embedding").join(first, "same").where("id = first_id").dropDuplicates(["same"])
-    ready = distinct.join(small_side(sizes), F.col("label") == F.col("_label")).select("id", "label", "d", "n", "bits", "embedding")
-    index = materialise(encoded(ready))
-    placed = index.select("*", F.posexplode("codes").alias("tab", "code"))
-    bucket = ["label", "d", "tab", "code"]
-    cut = materialise(placed.groupBy(*bucket).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("members")).where("members > 1"))
-    dealt = placed.join(small_side(cut), bucket).withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    # vector of tile t stands on the left of tiles (t, u >= t), on the right of tiles (u < t, t)
-    with_left = dealt.select("*", F.explode(F.sequence(F.col("t"), F.col("tiles") - 1)).alias("u")).select(*bucket, "id", "n", "vector", "signs", "factor", "codes", F.col("t").alias("p"), F.col("u").alias("q"), F.lit(0).alias("side"))
-    with_right = dealt.where("t > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("u")).select(*bucket, "id", "n", "vector", "signs", "factor", "codes", F.col("u").alias("p"), F.col("t").alias("q"), F.lit(1).alias("side"))
+    large = [(F.col("label") == F.col("_label")) & (F.col("d") == F.col("_d"))]
+    chosen = distinct.join(small_side(sizes.where("cells > 1")), large).where(F.pmod(F.xxhash64("same"), "m") < F.col("cells")).select("label", "d", "same", "embedding").collect()
+    pivots: dict[tuple[int, int], list] = {}  # one for WHOLE vectors
+    for r in sorted(chosen, key=lambda r: r.same):
+        pivots.setdefault((r.label, r.d), []).append(r.embedding)
+    units = {k: (x := np.array(v, np.float64)) / np.linalg.norm(x, axis=1, keepdims=True) for k, v in pivots.items()}
+    index = materialise(encoded(distinct.select("id", "label", "d", "n", "embedding"), units))
+    placed = index.select("id", "label", "d", "n", "vector", "signs", "factor", F.posexplode("cells").alias("visit", "cell"))
+    cell = ["label", "d", "cell"]
+    own = F.ceil(F.count_if(F.col("visit") == 0) / TILE).cast("int").alias("own")
+    cut = materialise(placed.groupBy(*cell).agg(own, F.ceil(F.count_if(F.col("visit") > 0) / TILE).cast("int").alias("guests"), F.count("*").alias("members")).where("members > 1 AND own > 0"))
+    # a cell's own tiles come before its guests'; a vector of tile t stands on the left of tiles (t, u >= t), unless it is a guest, and on the right of own tiles (u < t, t)
+    tile = F.when(F.col("visit") == 0, F.pmod(F.xxhash64("id"), "own")).otherwise(F.col("own") + F.pmod(F.xxhash64("id"), "guests")).cast("int")
+    dealt = placed.join(small_side(cut), cell).withColumn("t", tile)
+    row = [*cell, "id", "n", "vector", "signs", "factor"]
+    with_left = dealt.where("visit = 0").select("*", F.explode(F.sequence(F.col("t"), F.col("own") + F.col("guests") - 1)).alias("u")).select(*row, F.col("t").alias("p"), F.col("u").alias("q"), F.lit(0).alias("side"))
+    with_right = dealt.where("t > 0").select("*", F.explode(F.sequence(F.lit(0), F.least("t", "own") - 1)).alias("u")).select(*row, F.col("u").alias("p"), F.col("t").alias("q"), F.lit(1).alias("side"))
     tiles = with_left.unionByName(with_right).withColumn("same", F.col("p") == F.col("q"))
-    found = materialise(tiles.groupBy(*bucket, "p", "q").applyInPandas(tile_links, "a long, b long, links long"))
+    found = materialise(tiles.groupBy(*cell, "p", "q").applyInPandas(tile_links, "a long, b long, links long"))
     counts = found.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b"))
     known = first.select(F.col("same").alias("_same"), "first_id", "n").join(counts, F.col("first_id") == F.col("_a"), "left").join(roots, F.col("first_id") == F.col("node"), "left")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrablock.llm import queries
+from terrablock.llm import embeddings, queries
 from terrablock.llm.common import table
 from terrablock.llm.decontaminate import build_index, decontaminate, proximity_matches, term_hashes
 from terrablock.llm.embeddings import near_vectors
@@ -137,6 +137,25 @@ def test_near_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("whole", "tile"), [(8192, 1024), (20, 16), (60, 7)])
+def test_near_vectors_in_cells(spark, monkeypatch, whole, tile):
+    """Pairs about the threshold, in a label far larger than a cell: none is lost or counted twice."""
+    monkeypatch.setattr(embeddings, "WHOLE", whole)
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.27 for _ in range(10)]).astype(np.float32)
+    out = near_vectors(spark.createDataFrame([(k, k % 7 // 6, v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, embedding array<float>")).toPandas().set_index("vec_id")
+    u, label = x.astype(float), np.arange(len(x)) % 7 // 6
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    assert near.sum() > 500 and (out.n_links.sort_index() == near.sum(axis=1)).all()
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.minimum(root, np.where(near, root, len(x)).min(axis=1))
+    assert (out.component_id.sort_index() == root).all()
+
+
 def test_decontaminate(spark, odd, none):
     items = [("b1", PASSAGE), ("b2", "Two Words"), ("b3", ""), ("b4", None), (None, "one"), ("b1", PASSAGE)]
     bench = spark.createDataFrame(items, "item_id string, text string")
