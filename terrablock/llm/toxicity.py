@@ -42,7 +42,8 @@ IS_LEET = np.zeros(256, bool)
 IS_LEET[[ord(x) for x in LEET]] = True
 #: Channel costs (natural logarithms): a sign read as a letter, a wild card, letters dropped from a stretch, a gap closed or kept.
 SIGN, WILD, SHORTEN, CLOSE, KEEP = -0.5, -1.0, -0.3, -0.2, -0.2
-LONGEST = 32  # bytes of a disguised word; longer runs of signs are no words
+KEPT = 128  # bytes of a disguised word or span whose answer is kept
+GAP = re.compile(rb"[^A-Za-z0-9@$!|+(<*\x80-\xff]+")  # what neither is a letter nor stands for one
 SPACED = re.compile(rb"(?<![^\s])(?:[A-Za-z0-9@$!][ ._*-]{1,2}){3,}[A-Za-z0-9@$!](?![^\s.,;:!?])")
 
 
@@ -92,9 +93,9 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(steps: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """The likeliest path through the lattice under the character model; blanks part words."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # score, path as (path before, text)
     for options in steps:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in best.items():
             for text, cost in options:
                 x, y, total = a, b, score + cost
@@ -103,9 +104,14 @@ def viterbi(steps: list[list[tuple[str, float]]], model: np.ndarray) -> str:
                     total += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in new or total > new[x, y][0]:
-                    new[x, y] = (total, path + text)
+                    new[x, y] = (total, (path, text))
         best = new
-    return max(((score + model[a, b, 0], path) for (a, b), (score, path) in best.items()), default=(0.0, ""))[1]
+    path = max(((score + model[a, b, 0], path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])[1]
+    texts = []
+    while path:
+        path, text = path
+        texts.append(text)
+    return "".join(reversed(texts))
 
 
 class Restorer:
@@ -115,19 +121,21 @@ class Restorer:
         self.model, self.keep, self.seen = model, keep, {}
 
     def word(self, token: bytes) -> list[bytes]:
-        if token not in self.seen:
+        if token in self.seen:
+            return self.seen[token]
+        text = viterbi(readings(token.decode("utf-8", "ignore").lower()), self.model)
+        out = [x.encode() for x in text.split() if len(x) > 2]
+        if len(token) <= KEPT:
             if len(self.seen) >= self.keep:
                 self.seen.clear()
-            text = viterbi(readings(token.decode("utf-8", "ignore").lower()), self.model)
-            self.seen[token] = [x.encode() for x in text.split() if len(x) > 2]
-        return self.seen[token]
+            self.seen[token] = out
+        return out
 
     def block(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[int]]:
-        """The restored words and their document numbers."""
+        """The restored words and their document numbers; a text's words don't depend on the block it comes in."""
         words = Words(raw, offsets)
         if not len(words.start):
             return [], []
-        size = words.end - words.start
         letters = np.append(0, np.cumsum(LETTER[raw]))
         signs = np.append(0, np.cumsum(IS_LEET[raw]))
         last = words.end - 1  # trailing signs are punctuation
@@ -140,20 +148,29 @@ class Restorer:
             same[:-2] = (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:]) & LETTER[raw[:-2]] & (raw[:-2] < 128)
         stretched = np.append(0, np.cumsum(same))
         n_same = stretched[np.maximum(last - 1, words.start)] - stretched[words.start]
-        odd = (size <= LONGEST) & (((n_signs > 0) & (n_letters >= 2) & (n_signs <= n_letters + 1)) | (n_same > 0))
+        some = (n_signs > 0) & (n_letters >= 2)
+        odd = (some & (n_signs <= n_letters + 1)) | (n_same > 0)
         found, owner = [], []
         whole = raw.tobytes()
-        for k in np.flatnonzero(odd):
-            for x in self.word(whole[words.start[k] : last[k] + 1]):
+
+        def restore(token: bytes, doc: int) -> None:
+            for x in self.word(token):
                 found.append(x)
-                owner.append(int(words.doc[k]))
-        if np.any((size[:-3] == 1) & (size[1:-2] == 1) & (size[2:-1] == 1)) or re.search(rb"\w[._*-]\w[._*-]\w", whole):
-            for m in SPACED.finditer(whole):
-                doc = int(np.searchsorted(offsets, m.start(), "right") - 1)
-                if m.end() <= offsets[doc + 1] and m.end() - m.start() <= 4 * LONGEST:
-                    for x in self.word(m.group()):
-                        found.append(x)
-                        owner.append(doc)
+                owner.append(doc)
+
+        for k in np.flatnonzero(some | odd):
+            token = whole[words.start[k] : last[k] + 1]
+            if odd[k]:
+                restore(token, int(words.doc[k]))
+                continue
+            for part in GAP.split(token):  # too many signs in all, but not in each part
+                code = np.frombuffer(part, np.uint8)
+                if len(part) < len(token) and 0 < IS_LEET[code].sum() <= LETTER[code].sum() + 1 and LETTER[code].sum() >= 2:
+                    restore(part, int(words.doc[k]))
+        parted = b"\n".join(whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))  # no span reaches into the next text
+        first = offsets[:-1] + np.arange(len(offsets) - 1)
+        for m in SPACED.finditer(parted):
+            restore(m.group(), int(np.searchsorted(first, m.start(), "right") - 1))
         return found, owner
 
 

@@ -23,7 +23,7 @@ from terrablock.llm.secrets import ownership, scan_secrets
 from terrablock.llm.sharding import shard_documents
 from terrablock.llm.suffix_array import dedup_bytes, two_stage
 from terrablock.llm.suffix_tree import dedup_words
-from terrablock.llm.toxicity import log_model, readings, toxicity_scores, viterbi
+from terrablock.llm.toxicity import Restorer, log_model, readings, toxicity_scores, viterbi
 
 SF = os.environ.get("LLM_TEST_SF", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, id string, key string"
@@ -97,6 +97,25 @@ def test_viterbi_restores_disguised_words():
     assert [viterbi(readings(x), model) for x in ("st0p1d".replace("0", "u"), "1d10t", "s.t.u.p.i.d", "stuuuupid")] == ["stupid", "idiot", "stupid", "stupid"]
 
 
+def test_restored_words_do_not_depend_on_neighbours_or_length():
+    counts = np.zeros((28, 28, 28))
+    for w in ["stupid", "idiot", "people", "little"] * 50:
+        s = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            counts[a, b, c] += 1
+    spaced = " ".join("stupid")
+    texts = [spaced, spaced, "so " + spaced, spaced + ".", " ".join("stupid" * 40), "", "-".join("stupid"), "st" + "u" * 60 + "pid", "people/" * 6 + "1d10t", "1d10t/" + "7" * 40]
+    blocks = [[t] for t in texts] + [texts]
+    got = []
+    for block in blocks:
+        raw = [t.encode() for t in block]
+        found, owner = Restorer(log_model(counts)).block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(t) for t in raw]))
+        got.append([[w for w, k in zip(found, owner, strict=True) if k == d] for d in range(len(block))])
+    assert got[-1] == [x[0] for x in got[:-1]]
+    assert all(b"stupid" in x for x in (got[-1][k] for k in (0, 1, 2, 3, 6, 7))) and all(b"idiot" in x for x in got[-1][8:])
+    assert len(b"".join(got[-1][4])) == 6 * 40 and b"stupid" in b"".join(got[-1][4])
+
+
 def auc(score, label):
     order = pd.Series(score).rank()
     pos = label == 1
