@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from terrablock.llm.common import materialise, small_side, table
 from terrablock.llm.decontaminate import decontaminate
 from terrablock.llm.mixing import mixed_rows
-from terrablock.llm.ngram_join import linked_components
+from terrablock.llm.ngram_join import Link, linked_components
 from terrablock.llm.quality import keep_good
 from terrablock.llm.sharding import shard_documents
 
 
+#: Near duplicates of the pipeline: shingles of five words, Jaccard 0.80.
+NEAR = Link(5, 80, 100)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not in ids (doc_id); a null doc_id stays."""
     gone = ids.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
@@ -26,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; rows of one doc_id are one document."""
-    return without(docs, linked_components(docs).where("doc_id <> component_id"))
+    return without(docs, linked_components(docs, NEAR).where("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

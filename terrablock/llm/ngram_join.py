@@ -1,6 +1,6 @@
 """Operator 6: n-gram Jaccard join with prefix trees.
 
-A document's set of word triples is ordered globally (very frequent ones last, else by hash). Of its head, the first few
+A document's set of word shingles (triples in op6_ngram_join) is ordered globally (very frequent ones last, else by hash). Of its head, the first few
 members, those that no other head has show that it can link with none, or are skipped; of the others the rarest are
 named, so that two sets that reach the threshold name one in common. Every named member leads to the smallest document
 that names it, its hub; documents of one hub meet in a group, so every possible pair does. In a group the sets are stored in a trie; one walk
@@ -12,6 +12,7 @@ then walked against all chunks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,6 @@ from .common import Words, arrow_rows, materialise, mix, small_side, table, text
 from .components import components
 from .repeats import buckets_for, keyed, real_id
 
-SHINGLE = 3
-#: Two sets link when UNITS * shared >= LEAST * united.
-LEAST, UNITS = 90, 100
 #: A member that over 1 in RARE documents has is ordered last; the list of those is bounded by RARE * the mean set size.
 RARE, LEAST_FREQUENT = 1000, 32
 COUNT_OVER = 16 << 20
@@ -35,7 +33,41 @@ HEAD_SLACK = 8
 CHUNK_SETS, CHUNK_MEMBERS = 256, 300_000
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Link:
+    """Two sets of shingles of size words link when units * shared >= least * united."""
+
+    size: int = 3
+    least: int = 90
+    units: int = 100
+
+    def holds(self, shared, together):
+        """Whether sets with so many shared members and members together (both sizes added) link."""
+        return (self.units + self.least) * shared >= self.least * together
+
+    def missing(self, n):
+        """How many members of a set of n a linked set may lack (numbers or arrays)."""
+        return n - (self.least * n + self.units - 1) // self.units
+
+    def head(self, n):
+        """How many first members of a set of n are looked at: about twice what a linked set may lack."""
+        return np.minimum(n, 2 * self.missing(n) + HEAD_SLACK)
+
+    def named(self, n):
+        """How many of the head's members, rarest first, must be named so that two linked sets name one in common.
+
+        The set whose head ends first shares all but missing() of its head with the other's head. So of the other's head at
+        most head(n) less that many stand before the first shared one; the smallest partner gives the bound.
+        """
+        least = -(-self.least * n // self.units)
+        return np.minimum(self.head(n), self.head(n) - np.maximum(self.head(least) - self.missing(least), 1) + 1)
+
+
+#: op6_ngram_join's contract.
+TRIPLES = Link()
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(document number, hash) of the distinct shingles of a block's texts, sorted; a text of fewer words has one, of no words none."""
     words = Words(raw, offsets, lower=True)
     grams, inside = words.grams(size)
@@ -52,13 +84,13 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> t
     return doc[fresh], h[fresh]
 
 
-def set_digests(rows: DataFrame) -> DataFrame:
+def set_digests(rows: DataFrame, size: int) -> DataFrame:
     """id, key, n, s1, s2: size and two sums that name each row's set."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_bytes", pa.int64())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_blocks(batches):
-            doc, h = shingle_sets(raw, offsets)
+            doc, h = shingle_sets(raw, offsets, size)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             sums = []
             for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
@@ -69,7 +101,7 @@ def set_digests(rows: DataFrame) -> DataFrame:
     return rows.select("id", "key", "text").mapInArrow(digest, "id long, key long, n long, s1 long, s2 long, n_bytes long")
 
 
-def frequent_members(texts: DataFrame, n_docs: int) -> np.ndarray:
+def frequent_members(texts: DataFrame, n_docs: int, words: int) -> np.ndarray:
     """Hashes of the members of over 1 in RARE sets, rarest first. Counts of a stretch of COUNT_OVER bytes start at 4."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +112,7 @@ def frequent_members(texts: DataFrame, n_docs: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(value[n >= 4].view(np.int64)), pa.array(n[n >= 4])], ["h", "n"])
 
         for _, raw, offsets in text_blocks(batches):
-            held.append(shingle_sets(raw, offsets)[1])
+            held.append(shingle_sets(raw, offsets, words)[1])
             size += len(raw)
             if size >= COUNT_OVER:
                 yield out()
@@ -108,30 +140,10 @@ class Order:
         return out
 
 
-def missing(n):
-    """How many members of a set of n a linked set may lack (numbers or columns)."""
-    return n - (LEAST * n + UNITS - 1) // UNITS
-
-
-def head(n):
-    """How many first members of a set of n are looked at: about twice what a linked set may lack."""
-    return np.minimum(n, 2 * missing(n) + HEAD_SLACK)
-
-
-def named(n):
-    """How many of the head's members, rarest first, must be named so that two linked sets name one in common.
-
-    The set whose head ends first shares all but missing() of its head with the other's head. So of the other's head at
-    most head(n) less that many stand before the first shared one; the smallest partner gives the bound.
-    """
-    least = -(-LEAST * n // UNITS)
-    return np.minimum(head(n), head(n) - np.maximum(head(least) - missing(least), 1) + 1)
-
-
 ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 
 
-def shared_heads(texts: DataFrame, order: Order, n_buckets: int) -> DataFrame:
+def shared_heads(texts: DataFrame, order: Order, n_buckets: int, link: Link) -> DataFrame:
     """id, n, and of the head's members that other sets' heads have too: members (hashes) and counts (frequent ones above all).
 
     Members of the list of frequent ones are known to be shared where they stand. All others, which few documents have,
@@ -140,13 +152,13 @@ def shared_heads(texts: DataFrame, order: Order, n_buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_blocks(batches, block=8 << 20):
-            doc, h = shingle_sets(raw, offsets)
+            doc, h = shingle_sets(raw, offsets, link.size)
             rank = order.rank(h)
             by = np.lexsort((rank, doc))
             doc, h, rank = doc[by], h[by], rank[by]
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             n = np.diff(first)
-            keep = np.arange(len(doc)) - first[doc] < head(n)[doc]
+            keep = np.arange(len(doc)) - first[doc] < link.head(n)[doc]
             doc, h, rank = doc[keep], h[keep], rank[keep]
             ids = batch.column(0).to_numpy(zero_copy_only=False)[doc]
             often = (rank >> np.uint64(63)) == 1
@@ -181,7 +193,7 @@ def shared_heads(texts: DataFrame, order: Order, n_buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(gather, "id long, n int, members array<long>, counts array<int>")
 
 
-def naming_members(heads: DataFrame) -> DataFrame:
+def naming_members(heads: DataFrame, link: Link) -> DataFrame:
     """member, id: the members each set names. Members of its own count as named, so a set with named() of them or more names none.
 
     More than missing() of them don't rule a link out: the partner may hold them beyond its own head.
@@ -190,8 +202,8 @@ def naming_members(heads: DataFrame) -> DataFrame:
     def names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             n = frame.n.to_numpy(np.int64)
-            own = head(n) - frame.members.str.len().to_numpy()  # no other head has them: they come first in the order
-            take = named(n) - own
+            own = link.head(n) - frame.members.str.len().to_numpy()  # no other head has them: they come first in the order
+            take = link.named(n) - own
             ids, members = [], []
             for i in np.flatnonzero(take > 0):
                 m, c = np.asarray(frame.members.iloc[i]), np.asarray(frame.counts.iloc[i])
@@ -204,13 +216,13 @@ def naming_members(heads: DataFrame) -> DataFrame:
     return whole.mapInPandas(names, "member long, id long")
 
 
-def member_lists(texts: DataFrame) -> DataFrame:
+def member_lists(texts: DataFrame, size: int) -> DataFrame:
     """id, n, members (hashes as bytes) of each text's set."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_blocks(batches):
-            doc, h = shingle_sets(raw, offsets)
+            doc, h = shingle_sets(raw, offsets, size)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield arrow_rows(schema, batch.column(0), np.diff(first), [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])
 
@@ -234,7 +246,7 @@ class Groups:
         self.parent[max(a, b)] = min(a, b)
 
 
-def trie_join(sets: list[np.ndarray], asked: np.ndarray) -> Groups:
+def trie_join(sets: list[np.ndarray], asked: np.ndarray, link: Link) -> Groups:
     """Join the sets that link; pairs have one of asked (row numbers) at least.
 
     The trie's paths are the sets without members of one set only, the group's most frequent members first. One walk
@@ -270,14 +282,14 @@ def trie_join(sets: list[np.ndarray], asked: np.ndarray) -> Groups:
             overlap = overlap + has[active][:, a[depth:end]].sum(axis=1, dtype=np.int64)
             passed = np.array([np.searchsorted(paths[x], a[end - 1], "right") for x in active], np.int64)
         rest = np.minimum(max(size[i] for i in below) - end, size[active] - passed)
-        keep = (UNITS + LEAST) * (overlap + rest) >= LEAST * (n[active] + min(n[i] for i in below))
+        keep = link.holds(overlap + rest, n[active] + min(n[i] for i in below))
         active, overlap, passed = active[keep], overlap[keep], passed[keep]
         if not len(active):
             continue
         here = low
         while here < high and len(paths[leaves[here]]) == end:  # sets that end on this branch
             y = leaves[here]
-            for x in active[(UNITS + LEAST) * overlap >= LEAST * (n[active] + n[y])]:
+            for x in active[link.holds(overlap, n[active] + n[y])]:
                 if x != y:
                     groups.join(int(x), y)
             here += 1
@@ -290,7 +302,7 @@ def trie_join(sets: list[np.ndarray], asked: np.ndarray) -> Groups:
     return groups
 
 
-def group_links(rows: DataFrame) -> DataFrame:
+def group_links(rows: DataFrame, link: Link) -> DataFrame:
     """a, b of the joined sets of each (hub, part, turn) group; left: a set that its chunk does not join to the hub.
 
     rows: hub, part, turn (-1: all pairs; else pairs with an asked one), id, members, asked.
@@ -299,7 +311,7 @@ def group_links(rows: DataFrame) -> DataFrame:
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "asked"], ascending=[True, False]).drop_duplicates("id")
         ids = frame.id.to_numpy()
-        groups = trie_join([np.frombuffer(x, np.uint64) for x in frame.members], np.flatnonzero(frame.asked.to_numpy()))
+        groups = trie_join([np.frombuffer(x, np.uint64) for x in frame.members], np.flatnonzero(frame.asked.to_numpy()), link)
         root = np.array([groups.find(i) for i in range(len(ids))])
         hub = int(np.searchsorted(ids, frame.hub.iloc[0]))  # the smallest id of its group
         left = root != root[hub] if hub < len(ids) and ids[hub] == frame.hub.iloc[0] else np.ones(len(ids), bool)
@@ -308,7 +320,7 @@ def group_links(rows: DataFrame) -> DataFrame:
     return rows.groupBy("hub", "part", "turn").applyInPandas(walk, "hub long, a long, b long, left boolean")
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
+def linked_components(docs: DataFrame, link: Link = TRIPLES) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Nulls and empties: a null or empty text, or one of white space, has no set and is linked with nothing; a null doc_id
@@ -316,36 +328,36 @@ def linked_components(docs: DataFrame) -> DataFrame:
     are combined first, so copies and repeated rows cost one set; component_id is the smallest doc_id reachable.
     """
     rows = keyed(docs)
-    meta = materialise(set_digests(rows))
+    meta = materialise(set_digests(rows, link.size))
     first = meta.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first_id"))
     meta = materialise(meta.join(first, ["n", "s1", "s2"], "left"))
     copies = meta.where("n = 0 OR id > first_id").select(F.col("key").alias("copy")).distinct()
     texts = rows.join(small_side(copies), F.col("key") == F.col("copy"), "left_anti")
-    order = Order(frequent_members(texts, meta.count()))
-    members = materialise(naming_members(shared_heads(texts, order, buckets_for(meta))))
+    order = Order(frequent_members(texts, meta.count(), link.size))
+    members = materialise(naming_members(shared_heads(texts, order, buckets_for(meta), link), link))
     hubs = members.groupBy("member").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("member", "hub")
     pairs = materialise(members.join(hubs, "member").select("hub", "id").distinct())
     wanted = small_side(pairs.select(F.col("id").alias("_id")).distinct(), 1_000_000)
-    lists = materialise(member_lists(texts.join(wanted, F.col("id") == F.col("_id"), "left_semi")))
+    lists = materialise(member_lists(texts.join(wanted, F.col("id") == F.col("_id"), "left_semi"), link.size))
     sizes = pairs.join(lists.select("id", "n"), "id").groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     parts = materialise(sizes.where("sets > 1").select("hub", F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("total") / CHUNK_MEMBERS)).cast("int").alias("parts")))
     grouped = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     every = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     one = grouped.select("hub", "id", F.explode(every).alias("part"), F.lit(-1).alias("turn"), F.lit(True).alias("asked"))
-    found = materialise(group_links(one.join(lists.select("id", "members"), "id")))
+    found = materialise(group_links(one.join(lists.select("id", "members"), "id"), link))
     large = small_side(parts.where("parts > 1"))
     left = materialise(found.where("left").join(large, "hub").select("hub", F.col("a").alias("id"), "parts").distinct())
     turns = left.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("turns"))
     asking = left.join(turns, "hub").select("hub", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int").alias("turn"), F.lit(True).alias("asked"))
     against = grouped.join(turns, "hub").select("hub", "id", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asked"))
-    more = group_links(asking.unionByName(against).join(lists.select("id", "members"), "id"))
+    more = group_links(asking.unionByName(against).join(lists.select("id", "members"), "id"), link)
     roots = components(found.select("a", "b").unionByName(more.select("a", "b")))
     joined = meta.join(roots, F.col("first_id") == F.col("node"), "left")
     return joined.select(real_id(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.coalesce("root", "first_id", "id")).alias("component_id"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_components(table(spark, sf_dir, "documents"))
+    return linked_components(table(spark, sf_dir, "documents"), TRIPLES)
 
 
 OP6_SQL = r"""

@@ -258,6 +258,23 @@ def test_ngram_join_of_short_texts(spark):
     assert {r.doc_id: r.component_id for r in linked_components(rows_of(spark, texts)).collect()} == want
 
 
+def test_pipeline_links_five_words_at_four_fifths(spark):
+    rng = np.random.default_rng(6)
+    texts = [(k, " ".join(f"s{k // 2}x{i}" for i in range(n + k % 2))) for k, n in ((k, 3 + k // 2) for k in range(80))]
+    for k in range(30):
+        own = [f"t{x}" for x in rng.integers(0, 400, 90)]
+        texts.append((1000 + 3 * k, " ".join(own)))
+        for j in (1, 2):
+            own[int(rng.integers(90))] = f"changed{k}"
+            texts.append((1000 + 3 * k + j, " ".join(own)))
+    want = linked(texts, 5, 80)
+    assert want != linked(texts)
+    docs = rows_of(spark, texts)
+    assert {r.doc_id: r.component_id for r in linked_components(docs, corpus_pipeline.NEAR).collect()} == want
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
+
+
 def test_dedup_words(odd, none):
     first, want = {}, []
     for i, t in TEXTS:
