@@ -40,9 +40,9 @@ def matches(text: Column, pattern: str, group: int) -> Column:
 def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, counts by kind, base_sha256, spans, and n_live, n_copied.
 
-    Candidate values are hashed and counted by distinct repositories and owners over the whole corpus: n_live counts
-    the row's distinct values that fewer than COPIED_OWNERS owners have, n_copied the others. The ownership count
-    judges the base spans and adds none of its own, so spans lists the base spans.
+    Candidate values are hashed and counted by distinct owners over the whole corpus: n_live counts the row's distinct
+    values that fewer than COPIED_OWNERS owners have, n_copied the others. As in OP2_SQL, repositories aren't counted
+    here (ownership gives n_repos), and the count adds no spans of its own, so spans lists the base spans.
     Nulls: a null text is empty (no spans; base_sha256 of the empty text); a null owner or repository is one of its
     own; repeated rows each get their row.
     """
