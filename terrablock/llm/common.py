@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 #: Words of the near-duplicate contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: At most so many keys count as hot and are joined by broadcast (see join_by_key).
+MOST_HOT = 10_000
+
+_written: list[list[str]] = []  # tables written inside the open scratch blocks, innermost last
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set and Spark runs locally."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -34,9 +43,29 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A saved table of doc, a struct of all columns of docs, and row, a number of each row's own: decisions by row hold
+    for repeated rows and null ids too, and no column of docs can clash with an operator's own."""
+    return materialise(docs.select(F.expr("struct(*)").alias("doc"), F.monotonically_increasing_id().alias("row")))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what materialise wrote inside it; yields the list of these tables' paths, from which one that lives on is taken."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        for path in _written.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast df if it has few rows (counted first, of narrow columns); else leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -46,21 +75,35 @@ def doc_key(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
 
-def running_total(rows: DataFrame, groups: list[str], bucket: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """Add the sum of value over all earlier rows of the group, in (bucket, order) order.
+def join_by_key(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with per, which has one row for each key and in n how many of rows have it; both are saved tables.
 
-    Two levels: bucket sums give each bucket its offset, and a window inside (group, bucket) gives the rest, so a
-    group with a third of all rows is spread over its buckets. Offsets: one row per group and bucket.
+    No task gathers a hot key: those of over 1 in MOST_HOT rows (and over 100), fewer than MOST_HOT in number whatever
+    the rows, are joined by broadcast, and all others by a shuffle.
     """
-    per = rows.groupBy(*groups, bucket).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*groups, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    here = rows.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    renamed = offsets.select(*(F.col(g).alias(f"_k_{g}") for g in [*groups, bucket]), "_offset")
-    same = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in [*groups, bucket]]
-    joined = here.join(small_side(renamed), same)
-    return joined.withColumn(name, F.col("_offset") + F.col("_inner")).drop("_offset", "_inner", *(f"_k_{g}" for g in [*groups, bucket]))
+    most = max(100, (per.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot, cold = per.where(F.col("n") > most), per.where(F.col("n") <= most)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def running_total(rows: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of value over all earlier rows of the group, in the order given. rows: a saved table.
+
+    The rows are range-sorted by group, order and, last, a number of their own, so that a group, one id or equal rows
+    that are a third of all are cut into ranges as even as any others. Sums by group and range give each range its
+    offset; a window inside (group, range) gives the rest. Offsets: one row for each group and range that meet.
+    """
+    numbered = rows.withColumn("_number", F.monotonically_increasing_id())
+    ranged = materialise(numbered.repartitionByRange(*groups, *order, "_number").withColumn("_range", F.spark_partition_id()))
+    per = ranged.groupBy(*groups, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*(F.col(g).alias(f"_k_{g}") for g in [*groups, "_range"]), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(*groups, "_range").orderBy(*order, "_number").rowsBetween(Window.unboundedPreceding, -1)
+    here = ranged.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    same = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in [*groups, "_range"]]
+    joined = here.join(small_side(offsets), same)
+    return joined.withColumn(name, F.col("_offset") + F.col("_inner")).drop("_offset", "_inner", "_number", "_range", *(f"_k_{g}" for g in [*groups, "_range"]))
 
 
 # ---------------------------------------------------------------- blocks of text inside Arrow tasks
@@ -77,7 +120,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Bytes hashed at a time: memory doesn't grow with a block or a long text.
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,6 +151,8 @@ def text_blocks(batches, column: str = "text", block: int = BLOCK):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + block, "right")) - 1)
             yield batch.slice(first, last - first), raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             first = last
+        del texts, buffers, raw, offsets
+        pa.default_memory_pool().release_unused()
 
 
 class Words:
@@ -141,33 +188,44 @@ class Words:
         return mix(out), self.doc[: n - k + 1] == self.doc[k - 1 :]
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+STRIDE = 1 << 15  # powers are kept for so many exponents, and for so many multiples of it as a stretch needs
+
 
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, _U(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-def powers(n: int) -> list[np.ndarray]:
-    """BASE ** i and its inverse for i to n, kept for the next block."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((BASE, BASE_INV)):
-            _powers[k] = np.full(n + n // 8 + 1, base)
-            _powers[k][0] = 1
-            np.multiply.accumulate(_powers[k], out=_powers[k])
-    return _powers
+
+_POWER, _INVERSE = (_power_table(int(x), STRIDE) for x in (BASE, BASE_INV))
+_LEAP, _LEAP_INVERSE = (_power_table(pow(int(x), STRIDE, 1 << 64), 1 << 10) for x in (BASE, BASE_INV))
 
 
 class SpanHash:
-    """64-bit hashes of stretches of raw, from one prefix sum over the block."""
+    """64-bit hashes of stretches of raw, from one prefix sum."""
 
     def __init__(self, raw: np.ndarray):
-        self.power, self.inverse = powers(len(raw))
-        self.total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[raw] * self.power[: len(raw)], out=self.total[1:])
+        n = len(raw)
+        self.leap = (_LEAP, _LEAP_INVERSE) if n < STRIDE * len(_LEAP) else tuple(_power_table(pow(int(x), STRIDE, 1 << 64), n // STRIDE + 2) for x in (BASE, BASE_INV))
+        self.total = np.zeros(n + 1, np.uint64)
+        for k, a in enumerate(range(0, n, STRIDE)):
+            part = raw[a : a + STRIDE]
+            self.total[a + 1 : a + 1 + len(part)] = self.total[a] + np.cumsum(BYTE_VALUE[part] * _POWER[: len(part)]) * self.leap[0][k]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _MUL)
+        inverse = _INVERSE[start & (STRIDE - 1)] * self.leap[1][start >> 15]
+        return mix((self.total[end] - self.total[start]) * inverse + (end - start).astype(np.uint64) * _MUL)
 
 
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return SpanHash(raw)(start, end)
+    """Hashes of the stretches raw[start:end], with starts and ends both in rising order, PIECE bytes at a time."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        a = start[i]
+        j = max(i + 1, int(np.searchsorted(start, a + PIECE)))
+        out[i:j] = SpanHash(raw[a : end[j - 1]])(start[i:j] - a, end[i:j] - a)
+        i = j
+    return out
 
 
 def minima(x: np.ndarray, w: int) -> np.ndarray:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-MOST_ROUNDS = 60
-
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: each node links its larger (large) or its smaller-or-equal neighbours to the smallest of its neighbours and itself."""
@@ -25,15 +23,15 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of edges (a, b), both long and not null; loops and repeats are allowed.
 
-    Each round is written to the shared folder. A node of very many links is never gathered: minima are combined
+    Rounds go on until one changes nothing; their number grows with the logarithm of the nodes. Each is written to the
+    shared folder. A node of very many links is never gathered: minima are combined
     before the shuffle, and the join back is one that Spark can split.
     """
     now = materialise(edges.where("a <> b").select("a", "b").distinct())
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         now = materialise(star(star(now, True), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, running_total, small_side, table
+from .common import WORD, materialise, numbered, running_total, small_side, table
 
-#: The contract's weights by the sources' order, its repeat limit, and hex digits of the bucket inside a source.
+#: The contract's weights by the sources' order, and its repeat limit.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
-BUCKET_DIGITS = 3
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -41,9 +40,9 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, car
     """
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":mix")))
-    rows = materialise(docs.select("doc_id", "source", words.alias("size"), key.alias("_hash"), F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"), *carry))
+    rows = materialise(docs.select("doc_id", "source", words.alias("size"), key.alias("_hash"), *carry))
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    placed = running_total(rows, ["source"], "_bucket", ["_hash", "doc_id", "size"], F.col("size"), "_before")
+    placed = running_total(rows, ["source"], ["_hash", "doc_id", "size"], F.col("size"), "_before")
     goal = small_side(goal.withColumnRenamed("source", "_source"))
     joined = placed.join(goal, F.col("source").eqNullSafe(F.col("_source")))
     budget = F.floor("target")
@@ -54,15 +53,13 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, car
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """The rows of docs as often as the mix takes them, the last one of a source whole; rows not taken go.
-
-    Rows that are equal in id, source and text are taken alike, as often as the luckiest of them.
-    """
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    times = F.coalesce(F.ceil(F.try_divide("taken", "size")), F.lit(0))
-    decided = mix_documents(named, weights, most, carry=["_row"]).groupBy("_row").agg(F.max(times).alias("_times")).where("_times > 0")
-    joined = named.join(small_side(decided), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    """The rows of docs, with all their columns, as often as the mix takes them, the last one of a source whole; rows not
+    taken go. Each row is decided on its own, repeated rows and rows of one id or of none too."""
+    rows = numbered(docs)
+    decided = mix_documents(rows.select("doc.doc_id", "doc.source", "doc.text", "row"), weights, most, carry=["row"])
+    times = decided.select("row", F.coalesce(F.ceil(F.try_divide("taken", "size")), F.lit(0)).alias("times")).where("times > 0")
+    joined = rows.join(small_side(materialise(times)), "row")
+    return joined.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("doc.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

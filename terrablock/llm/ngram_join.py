@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_rows, materialise, mix, small_side, table, text_blocks
+from .common import Words, arrow_rows, join_by_key, materialise, mix, small_side, table, text_blocks
 from .components import components
 from .repeats import buckets_for, keyed, real_id
 
 #: A member that over 1 in RARE documents has is ordered last; the list of those is bounded by RARE * the mean set size.
 RARE, LEAST_FREQUENT = 1000, 32
 COUNT_OVER = 16 << 20
+#: Heads of this much text are sent together.
+SEND = 8 << 20
 #: Members looked at beyond twice what a linked set may lack.
 HEAD_SLACK = 8
 #: Sets and members of a chunk of a group.
@@ -85,8 +87,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 
 
 def set_digests(rows: DataFrame, size: int) -> DataFrame:
-    """id, key, n, s1, s2: size and two sums that name each row's set."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_bytes", pa.int64())])
+    """id, key, size, s1, s2, n_bytes: the size and two sums that name each row's set."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n_bytes", pa.int64())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_blocks(batches):
@@ -98,7 +100,7 @@ def set_digests(rows: DataFrame, size: int) -> DataFrame:
                 sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
             yield arrow_rows(schema, batch.column(0), batch.column(1), np.diff(first), *sums, np.diff(offsets))
 
-    return rows.select("id", "key", "text").mapInArrow(digest, "id long, key long, n long, s1 long, s2 long, n_bytes long")
+    return rows.select("id", "key", "text").mapInArrow(digest, "id long, key long, size long, s1 long, s2 long, n_bytes long")
 
 
 def frequent_members(texts: DataFrame, n_docs: int, words: int) -> np.ndarray:
@@ -151,7 +153,18 @@ def shared_heads(texts: DataFrame, order: Order, n_buckets: int, link: Link) ->
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, offsets in text_blocks(batches, block=8 << 20):
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, ids, n, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (np.where(count > 0, mix(ids.view(np.uint64)), h) % np.uint64(n_buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
+            some = np.flatnonzero(np.diff(cut))
+            columns = [x[by] for x in (h, ids, n, count)]
+            return arrow_rows(ROWS, some, np.diff(cut)[some], [b"".join(c[cut[b] : cut[b + 1]].tobytes() for c in columns) for b in some])
+
+        for batch, raw, offsets in text_blocks(batches):
             doc, h = shingle_sets(raw, offsets, link.size)
             rank = order.rank(h)
             by = np.lexsort((rank, doc))
@@ -160,15 +173,15 @@ def shared_heads(texts: DataFrame, order: Order, n_buckets: int, link: Link) ->
             n = np.diff(first)
             keep = np.arange(len(doc)) - first[doc] < link.head(n)[doc]
             doc, h, rank = doc[keep], h[keep], rank[keep]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[doc]
             often = (rank >> np.uint64(63)) == 1
             count = np.where(often, (1 << 30) + (rank & np.uint64((1 << 30) - 1)).astype(np.int64), 0).astype(np.int32)
-            bucket = (np.where(often, mix(ids.view(np.uint64)), h) % np.uint64(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            columns = [x[by] for x in (h, ids, n[doc].astype(np.int32), count)]
-            yield arrow_rows(ROWS, some, np.diff(cut)[some], [b"".join(c[cut[b] : cut[b + 1]].tobytes() for c in columns) for b in some])
+            held.append((h, batch.column(0).to_numpy(zero_copy_only=False)[doc], n[doc].astype(np.int32), count))
+            size += len(raw)
+            if size >= SEND:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [[np.frombuffer(d, t, n, at * n) for n, d in zip(frame.n, frame.data, strict=True)] for t, at in ((np.uint64, 0), (np.int64, 8), (np.int32, 16), (np.int32, 20))]
@@ -329,8 +342,10 @@ def linked_components(docs: DataFrame, link: Link = TRIPLES) -> DataFrame:
     """
     rows = keyed(docs)
     meta = materialise(set_digests(rows, link.size))
-    first = meta.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("first_id"))
-    meta = materialise(meta.join(first, ["n", "s1", "s2"], "left"))
+    name = ["size", "s1", "s2"]
+    first = materialise(meta.where("size > 0").groupBy(*name).agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
+    whole = join_by_key(meta.where("size > 0"), first, name).drop("n").unionByName(meta.where("size = 0"), allowMissingColumns=True)
+    meta = materialise(whole.withColumnRenamed("size", "n"))
     copies = meta.where("n = 0 OR id > first_id").select(F.col("key").alias("copy")).distinct()
     texts = rows.join(small_side(copies), F.col("key") == F.col("copy"), "left_anti")
     order = Order(frequent_members(texts, meta.count(), link.size))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_rows, doc_key, materialise, small_side, text_blocks
+from .common import NO_ID, arrow_rows, doc_key, join_by_key, materialise, small_side, text_blocks
 
 #: Anchors are combined over this much text before they are sent; a bucket holds the anchors of about this much text.
 COMBINE, BUCKET = 16 << 20, 32 << 20
@@ -35,8 +35,8 @@ def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts: the keyed rows that have the first id of their text. Only hashes are shuffled, unless the copies are many."""
     sums = rows.select("id", "key", "n_bytes", F.unhex(F.sha2("text", 256)).alias("sig"))
     named = materialise(sums)
-    first = named.groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    meta = materialise(named.join(first, "sig").select("id", "key", "n_bytes", "sig", "first_id"))
+    first = materialise(named.groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
+    meta = materialise(join_by_key(named, first, ["sig"]).select("id", "key", "n_bytes", "sig", "first_id"))
     copies = meta.where("id > first_id").select(F.col("key").alias("copy")).distinct()
     return meta, rows.join(small_side(copies), F.col("key") == F.col("copy"), "left_anti")
 

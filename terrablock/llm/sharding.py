@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_total, table
-
-#: Hex digits of the bucket that orders rows inside a shard: 4,096 buckets a shard.
-SLOT_DIGITS = 3
+from .common import materialise, numbered, running_total, table
 
 
 def shard_of(key: Column, weights: list[float]) -> Column:
@@ -26,17 +23,16 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 
 def with_slots(rows: DataFrame, shard: str, key: Column, order: list[str]) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, with no task holding a whole shard."""
+    """Number the rows of each shard from 0 without gaps; no task holds a whole shard, or all rows of one key."""
     name = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":slot")))
-    keyed = rows.withColumn("_hash", name).withColumn("_bucket", F.substring("_hash", 1, SLOT_DIGITS))
-    return running_total(keyed, [shard], "_bucket", ["_hash", *order], F.lit(1), "slot").drop("_hash", "_bucket")
+    return running_total(materialise(rows.withColumn("_hash", name)), [shard], ["_hash", *order], F.lit(1), "slot").drop("_hash")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, weights: list[float] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, weights: list[float] | None = None, carry: list[str] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
 
     Nulls: a null doc_id is a key of its own; a null text has size 1 and the checksum of the empty text. Repeated
-    rows share a shard and get slots of their own. Other columns of docs are ignored.
+    rows share a shard and get slots of their own; an empty table gives none. Of other columns, only carry's are kept.
     """
     weights = weights or [1.0] * n_shards
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -47,9 +43,27 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, weights: list[float] |
         F.lit("key").alias("law"),
         shard_of(F.col("doc_id"), weights[:n_shards]).alias("shard"),
         shard_of(F.col("doc_id"), [*weights[:n_shards], 1.0]).alias("grown_shard"),
+        *carry,
     )
     out = with_slots(rows, "shard", F.col("doc_id"), ["doc_id", "size", "text_crc32"])
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard", *carry)
+
+
+def sharded_rows(docs: DataFrame, n_shards: int = 16, weights: list[float] | None = None) -> DataFrame:
+    """The columns of shard_documents for each row of docs, then the other columns of docs; one whose name is taken gets _in behind it."""
+    rows = numbered(docs)
+    placed = shard_documents(rows.select("doc.doc_id", "doc.text", "row"), n_shards, weights, carry=["row"])
+    names = [c for c in placed.columns if c != "row"]
+    taken = {c.lower() for c in names}
+    rest = []
+    for c in docs.columns:
+        if c.lower() != "doc_id":
+            name = c
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+            rest.append(F.col("doc").getField(c).alias(name))
+    return placed.join(rows, "row").select(*names, *rest)
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
