@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise, small_side, table
+from .common import NO_ID, join_by_key, materialise, small_side, table
 from .components import components
 from .ngram_join import Groups
 
@@ -35,6 +35,12 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in doubles; scaled by their largest number first, so that tiny and huge ones keep their angle."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def cells_of(x: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
     """The cells of each unit vector: first its home, the nearest pivot's, then the later ones that it visits.
 
@@ -54,16 +60,15 @@ def cells_of(x: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
 
 
 def encoded(vectors: DataFrame, pivots: dict[tuple[int, int], np.ndarray]) -> DataFrame:
-    """The index: id, label, d, n (copies), vector (float32 bytes), signs (packed), factor, cells. pivots: by label and d."""
+    """The index: id, label, d, n (copies), vector (of length 1, bytes of doubles), signs (packed), factor, cells. pivots: by label and d."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for (label, d), own in frame.groupby(["label", "d"]):
-                x = np.array(own.embedding.tolist(), np.float64).reshape(len(own), d)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(np.array(own.embedding.tolist(), np.float64).reshape(len(own), d))
                 y = x @ rotation(d).T
                 out = own[["id", "label", "d", "n"]].copy()
-                out["vector"] = [np.array(v, np.float32).tobytes() for v in own.embedding]
+                out["vector"] = [v.tobytes() for v in x]
                 out["signs"] = [s.tobytes() for s in np.packbits(y > 0, axis=1)]
                 out["factor"] = np.abs(y).sum(axis=1) / math.sqrt(d)
                 out["cells"] = pd.Series(cells_of(x, pivots.get((int(label), int(d)), x[:0])), index=own.index, dtype=object)
@@ -82,11 +87,7 @@ def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
         return none
     d = int(frame.d.iloc[0])
 
-    def unit(side: pd.DataFrame) -> np.ndarray:
-        x = np.frombuffer(b"".join(side.vector), np.float32).reshape(len(side), d).astype(np.float64)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    x, y = unit(left), unit(right)
+    x, y = (np.frombuffer(b"".join(side.vector), np.float64).reshape(len(side), d) for side in (left, right))
     signs = np.unpackbits(np.frombuffer(b"".join(left.signs), np.uint8).reshape(len(left), -1), axis=1)[:, :d].astype(np.float32) * 2 - 1
     factor = np.minimum(left.factor.to_numpy(), 1).astype(np.float32)[:, None]
     cosine = np.clip((signs @ (y @ rotation(d).T).T.astype(np.float32)) / np.float32(math.sqrt(d)), -1, 1)
@@ -121,23 +122,26 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
 
     Only vectors of one label and one length are compared. Nulls: a null label, a null or zero vector, or one that holds
     null or non-finite numbers links with nothing; a null vec_id orders after every other and is returned as null.
-    Equal vectors of a label (repeated rows too) are combined first and link with each other. Every pair at the threshold
+    Equal vectors of a label (repeated rows too) are combined first and link with each other; other columns are ignored;
+    an empty table gives no rows. Every pair at the threshold
     is found: a label has a pivot for each WHOLE distinct vectors, and a pair of two cells meets in the later one. A cell
     of any size is cut into tiles, so none is capped. Where the pivots part nothing, all tiles meet.
     """
     good = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
     rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("label").cast("int").alias("label"), "embedding").withColumn("good", good)
     rows = rows.withColumn("same", F.when(F.col("good"), F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.array_join(F.transform("embedding", lambda v: v.cast("string")), ",")), 256)))
-    named = materialise(rows.select("id", "label", "good", "same", F.when(F.col("good"), F.col("embedding")).alias("embedding")))
+    named = materialise(rows.select("id", "label", "good", "same", F.when(F.col("good"), F.col("embedding")).alias("embedding"), F.monotonically_increasing_id().alias("row")))
     first = materialise(named.where("good").groupBy("same").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value(F.size("embedding")).alias("d")))
     sizes = first.groupBy("label", "d").agg(F.count("*").alias("m")).select(F.col("label").alias("_label"), F.col("d").alias("_d"), "m", F.ceil(F.col("m") / WHOLE).alias("cells"))
-    distinct = named.where("good").select("id", "same", "embedding").join(first, "same").where("id = first_id").dropDuplicates(["same"])
+    owned = named.where("good").select("id", "row", "same")
+    one = join_by_key(owned, first, ["same"]).where("id = first_id").groupBy("same").agg(F.min("row").alias("row"), F.any_value("id").alias("id"), F.any_value("label").alias("label"), F.any_value("d").alias("d"), F.any_value("n").alias("n"))
+    distinct = named.select("row", "embedding").join(one, "row").drop("row")
     large = [(F.col("label") == F.col("_label")) & (F.col("d") == F.col("_d"))]
     chosen = distinct.join(small_side(sizes.where("cells > 1")), large).where(F.pmod(F.xxhash64("same"), "m") < F.col("cells")).select("label", "d", "same", "embedding").collect()
     pivots: dict[tuple[int, int], list] = {}  # one for WHOLE vectors
     for r in sorted(chosen, key=lambda r: r.same):
         pivots.setdefault((r.label, r.d), []).append(r.embedding)
-    units = {k: (x := np.array(v, np.float64)) / np.linalg.norm(x, axis=1, keepdims=True) for k, v in pivots.items()}
+    units = {k: unit(np.array(v, np.float64)) for k, v in pivots.items()}
     index = materialise(encoded(distinct.select("id", "label", "d", "n", "embedding"), units))
     placed = index.select("id", "label", "d", "n", "vector", "signs", "factor", F.posexplode("cells").alias("visit", "cell"))
     cell = ["label", "d", "cell"]
@@ -153,8 +157,9 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     found = materialise(tiles.groupBy(*cell, "p", "q").applyInPandas(tile_links, "a long, b long, links long"))
     counts = found.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b"))
-    known = first.select(F.col("same").alias("_same"), "first_id", "n").join(counts, F.col("first_id") == F.col("_a"), "left").join(roots, F.col("first_id") == F.col("node"), "left")
-    out = named.join(known, F.col("same") == F.col("_same"), "left")
+    known = first.select("same", "first_id", "n").join(counts, F.col("first_id") == F.col("_a"), "left").join(roots, F.col("first_id") == F.col("node"), "left")
+    linked = join_by_key(owned, materialise(known.select("same", "first_id", "n", "links", "root")), ["same"])
+    out = linked.select("id", "first_id", "n", "links", "root").unionByName(named.where("NOT good").select("id"), allowMissingColumns=True)
     component = F.coalesce("root", "first_id", "id")
     links = F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("vec_id"), links.cast("long").alias("n_links"), F.nullif(component, F.lit(NO_ID)).alias("component_id"), (F.col("id") == component).alias("kept"))
