@@ -3,13 +3,14 @@
 Windows of 100 bytes are taken by their anchor (see repeats): windows in a row with one anchor make a stretch, and only
 stretches whose anchor repeats take part. Equal stretches are combined first. The distinct stretches of each anchor meet
 in one task, are set one after another and suffix-sorted in two stages: suffixes smaller than their successors directly,
-the rest induced by bucket scans. Neighbours with a common prefix of 100 bytes or more are the repeats.
+the rest induced by bucket scans. Neighbours with a common prefix of 100 bytes or more are the repeats. Stretches of an
+anchor with very many are cut anew by longer anchors, until so few share one that they can be sorted together.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, arrow_rows, materialise, minima, small_side, table, text_blocks
+from .common import PIECE, SpanHash, arrow_rows, join_by_key, materialise, minima, small_side, span_hash, table, text_blocks
 from .repeats import buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, with_positions
 
 WINDOW = 100
-ANCHOR = 24
-#: An anchor with more distinct stretches than this is taken window by window instead of in one suffix array.
+#: Lengths of anchors. The stretches of an anchor with over GROUP distinct ones are cut by the next length; windows that
+#: share an anchor of WINDOW bytes are equal, so the last length leaves one distinct stretch.
+ANCHORS = (24, 60, 88, WINDOW)
 GROUP = 2_000
 #: Bytes set together for one suffix array.
 TEXT = 1 << 20
@@ -30,47 +32,80 @@ EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 class Windows:
-    """The windows of a block: start, anchor position and (by position) anchor hash."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        n = len(raw) - ANCHOR + 1
-        at = np.arange(max(n, 0))
-        self.hash = SpanHash(raw)(at, at + ANCHOR)
-        best = minima(self.hash, WINDOW - ANCHOR + 1)
-        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        self.start = np.flatnonzero(owner[: len(best)] == owner[WINDOW - 1 : WINDOW - 1 + len(best)]) if len(best) else np.zeros(0, np.int64)
+    """The windows of a block: start and anchor (position of the leftmost smallest hash) of each, PIECE bytes at a time."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int):
+        n = max(len(raw) - WINDOW + 1, 0)
+        best = np.zeros(n, np.int64)
+        for a in range(0, n, PIECE):
+            b = min(n, a + PIECE)
+            part = raw[a : b + WINDOW - 1]
+            at = np.arange(len(part) - length + 1)
+            best[a:b] = minima(SpanHash(part)(at, at + length), WINDOW - length + 1) + a
+        long = np.flatnonzero(np.diff(offsets) >= WINDOW)
+        edge = np.zeros(n + 1, np.int8)
+        edge[offsets[long]] += 1
+        edge[offsets[long + 1] - WINDOW + 1] -= 1
+        self.start = np.flatnonzero(np.cumsum(edge[:n], dtype=np.int8))
         self.anchor = best[self.start]
-        self.owner = owner
+        self.raw, self.offsets, self.length = raw, offsets, length
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, "right") - 1
+
+    def hash(self, at: np.ndarray) -> np.ndarray:
+        """Of the anchors at these rising positions."""
+        return span_hash(self.raw, at, at + self.length)
+
+    def runs(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end in bytes, anchor's hash) of the stretches: runs of kept windows with one anchor."""
+        start, anchor = self.start[keep], self.anchor[keep]
+        if not len(start):
+            return start, start, np.zeros(0, np.uint64)
+        first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
+        last = np.append(first[1:], len(start)) - 1
+        return start[first], start[last] + WINDOW, self.hash(anchor[first])
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    w = Windows(raw, offsets)
+    w = Windows(raw, offsets, ANCHORS[0])
     at = np.unique(w.anchor)
-    doc = w.owner[at] if len(at) else np.zeros(0, np.int64)
-    return doc, at - offsets[doc], w.hash[at]
+    doc = w.owner(at)
+    return doc, at - offsets[doc], w.hash(at)
 
 
-STRETCH = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+STRETCH = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of windows whose anchor is among the row's positions."""
     for batch, raw, offsets in text_blocks(batches):
-        w = Windows(raw, offsets)
+        w = Windows(raw, offsets, ANCHORS[0])
         doc, pos = positions_of(batch)
         wanted = np.zeros(len(raw) + 1, bool)
         wanted[np.minimum(offsets[doc] + pos, len(raw))] = True
-        keep = wanted[w.anchor]
-        start, anchor = w.start[keep], w.anchor[keep]
-        if not len(start):
-            continue
-        first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
-        count = np.diff(np.append(first, len(start)))
-        a, b = start[first], start[first] + count - 1 + WINDOW
-        own = w.owner[a]
-        whole = raw.tobytes()
+        a, b, h = w.runs(wanted[w.anchor])
+        own = w.owner(a)
         ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[own] for i in (0, 1))
-        yield arrow_rows(STRETCH, w.hash[anchor[first]].view(np.int64), [whole[i:j] for i, j in zip(a, b, strict=True)], ids, keys, (a - offsets[own]).astype(np.int32), count.astype(np.int32))
+        yield arrow_rows(STRETCH, h.view(np.int64), [raw[i:j].tobytes() for i, j in zip(a, b, strict=True)], ids, keys, (a - offsets[own]).astype(np.int32))
+
+
+CUT = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("id", pa.int64()), ("start", pa.int32()), ("up_h", pa.int64()), ("up_cid", pa.int64()), ("at", pa.int32())])
+
+
+def recut(length: int) -> Callable:
+    """Stretches (h, cid, ctx, id, start) cut by anchors of this length; at: where the part starts in the whole."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in text_blocks(batches, "ctx"):
+            w = Windows(raw, offsets, length)
+            a, b, h = w.runs(np.ones(len(w.start), bool))
+            own = w.owner(a)
+            at = (a - offsets[own]).astype(np.int32)
+            up_h, up_cid, ids, start = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[own] for c in ("h", "cid", "id", "start"))
+            yield arrow_rows(CUT, h.view(np.int64), [raw[i:j].tobytes() for i, j in zip(a, b, strict=True)], ids, start + at, up_h, up_cid, at)
+
+    return cut
 
 
 def two_stage(text: np.ndarray) -> np.ndarray:
@@ -182,38 +217,46 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solve(held)
 
 
-def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the stretches by two hashes of its halves."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("h", pa.int64()), ("cid", pa.int64()), ("off", pa.int32()), ("id", pa.int64()), ("place", pa.int64())])
-    for batch, raw, offsets in text_blocks(batches, "ctx", 1 << 19):
-        n = np.diff(offsets) - WINDOW + 1
-        who = np.repeat(np.arange(len(n)), n)
-        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at, spans = offsets[who] + off, SpanHash(raw)
-        h, cid, ids, start = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[who] for c in ("h", "cid", "id", "start"))
-        yield arrow_rows(schema, spans(at, at + WINDOW // 2).view(np.int64), spans(at + WINDOW // 2, at + WINDOW).view(np.int64), h, cid, off.astype(np.int32), ids, start + off)
+def first_places(found: DataFrame) -> DataFrame:
+    """A saved table of the distinct stretches: h, cid, ctx, n (how many), id and start of the first of them."""
+    first = found.groupBy("h", "cid", "ctx").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("n"))
+    return materialise(first.select("h", "cid", "ctx", "n", F.col("f.id").alias("id"), F.col("f.start").alias("start")))
+
+
+def late_ranges(found: DataFrame, first: DataFrame, late: DataFrame) -> DataFrame:
+    """found with r, ranges (a, b exclusive) of its windows that also start earlier: all of a stretch that has an equal before it."""
+    known = first.select("h", "cid", "n", F.col("id").alias("f_id"), F.col("start").alias("f_start")).join(late, ["h", "cid"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - WINDOW + 1).alias("b")))
+    part = F.transform("off", lambda x: F.struct(x.alias("a"), (x + 1).alias("b")))
+    lead = (F.col("id") == F.col("f_id")) & (F.col("start") == F.col("f_start"))
+    return join_by_key(found, materialise(known), ["h", "cid"]).withColumn("r", F.when(lead, part).otherwise(whole)).where("r IS NOT NULL").drop("off")
+
+
+def late_windows(first: DataFrame, level: int = 0) -> DataFrame:
+    """h, cid, off: the offsets of the windows of each distinct stretch that also start earlier in another of its anchor."""
+    per = materialise(first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+    few = first.join(small_side(per.where(F.col("m") <= GROUP).select("h"), 1_000_000), "h")
+    late = few.select("h", "cid", "ctx", "id", "start").repartition("h").sortWithinPartitions("h").mapInArrow(sorted_groups, "h long, cid long, off array<int>")
+    many = per.where(F.col("m") > GROUP).select("h")
+    if many.isEmpty():
+        return late
+    crowded = first.join(small_side(many), "h", "left_semi").select("h", "cid", "ctx", "id", "start")
+    cut = crowded.mapInArrow(recut(ANCHORS[level + 1]), "h long, ctx binary, id long, start int, up_h long, up_cid long, at int")
+    parts = materialise(cut.withColumn("cid", F.xxhash64("ctx")).withColumn("size", F.octet_length("ctx")))
+    firsts = first_places(parts)
+    placed = late_ranges(parts.drop("ctx"), firsts, late_windows(firsts, level + 1))
+    offsets = F.flatten(F.transform("r", lambda x: F.sequence(x["a"] + F.col("at"), x["b"] - 1 + F.col("at"))))
+    moved = placed.select(F.col("up_h").alias("h"), F.col("up_cid").alias("cid"), offsets.alias("off"))
+    return late.unionByName(moved.groupBy("h", "cid").agg(F.flatten(F.collect_list("off")).alias("off")))
 
 
 def repeated_stretches(held: DataFrame) -> DataFrame:
-    """key, a, b: ranges of window starts (b exclusive) that also start earlier. held: id, key, text, pos."""
-    found = held.mapInArrow(stretches, "h long, ctx binary, id long, key long, start int, n int")
-    every = materialise(found.withColumn("cid", F.xxhash64("ctx")))
-    first = every.groupBy("h", "cid", "ctx").agg(F.min(F.struct("id", "start")).alias("f"))
-    first = materialise(first.select("h", "cid", "ctx", F.col("f.id").alias("id"), F.col("f.start").alias("start")))
-    per = materialise(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    group = first.join(small_side(per.where(F.col("n") <= GROUP).select("h"), 1_000_000), "h")
-    late = group.select("h", "cid", "ctx", "id", "start").repartition("h").sortWithinPartitions("h").mapInArrow(sorted_groups, "h long, cid long, off array<int>")
-    hot = first.join(small_side(per.where(F.col("n") > GROUP).select("h")), "h", "left_semi")
-    single = hot.select("h", "cid", "ctx", "id", "start").mapInArrow(one_by_one, "w1 long, w2 long, h long, cid long, off int, id long, place long")
-    low = single.groupBy("w1", "w2").agg(F.min(F.struct("id", "place")).alias("low"))
-    after = single.join(low, ["w1", "w2"]).where(F.struct("id", "place") > F.col("low"))
-    late = late.unionByName(after.groupBy("h", "cid").agg(F.collect_list("off").alias("off")))
-    known = first.select("h", "cid", F.col("id").alias("f_id"), F.col("start").alias("f_start")).join(late, ["h", "cid"], "left")
-    places = every.select("h", "cid", "id", "key", "start", "n").join(known, ["h", "cid"])
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
-    part = F.transform("off", lambda x: F.struct((F.col("start") + x).alias("a"), (F.col("start") + x + 1).alias("b")))
-    ranges = F.when((F.col("id") == F.col("f_id")) & (F.col("start") == F.col("f_start")), part).otherwise(whole)
-    return places.select("key", ranges.alias("r")).where("r IS NOT NULL")
+    """key, r: ranges of window starts (a, b exclusive) that also start earlier. held: id, key, text, pos."""
+    found = held.mapInArrow(stretches, "h long, ctx binary, id long, key long, start int")
+    every = materialise(found.withColumn("cid", F.xxhash64("ctx")).withColumn("size", F.octet_length("ctx")))
+    first = first_places(every)
+    placed = late_ranges(every.drop("ctx"), first, late_windows(first))
+    return placed.select("key", F.transform("r", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("r"))
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -222,7 +265,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     Each byte covered by a string of WINDOW bytes that also starts earlier (in a smaller doc_id, or before in the same
     document) goes; strings are judged on the input and never cross documents. Nulls: a null text has no bytes; a null
     doc_id orders after every other and is returned as null. Repeated rows do not remove each other's bytes; different
-    texts of one doc_id are compared by position. Texts under WINDOW bytes keep all.
+    texts of one doc_id are compared by position. Texts under WINDOW bytes keep all; an empty table gives no rows; other
+    columns are ignored. A long text is hashed piece by piece; about ten bytes for each of its bytes are held beside it.
     """
     rows = keyed(docs)
     meta, texts = distinct_texts(rows)
@@ -235,10 +279,10 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
         for batch, raw, offsets in text_blocks(batches):
             doc, a = positions_of(batch, "pos")
             _, b = positions_of(batch, "till")
-            edge = np.zeros(len(raw) + WINDOW + 1, np.int64)
+            edge = np.zeros(len(raw) + WINDOW + 1, np.int32)
             np.add.at(edge, offsets[doc] + a, 1)
             np.add.at(edge, offsets[doc] + b - 1 + WINDOW, -1)
-            gone = np.cumsum(edge)[: len(raw)] > 0
+            gone = np.cumsum(edge[: len(raw)], dtype=np.int32) > 0
             removed, spans, sha = [], [], []
             for d in range(batch.num_rows):
                 own, text = gone[offsets[d] : offsets[d + 1]], raw[offsets[d] : offsets[d + 1]]
