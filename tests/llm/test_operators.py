@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrablock.llm import embeddings, queries
+from terrablock.llm import common, embeddings, ngram_join, queries, secrets, suffix_array, suffix_tree
 from terrablock.llm.common import table
 from terrablock.llm.decontaminate import build_index, decontaminate, proximity_matches, term_hashes
 from terrablock.llm.embeddings import near_vectors
@@ -87,6 +87,18 @@ def test_secrets(odd, none):
     assert {r.verdict for r in ownership(copied).collect()} == {"example", "live"}
 
 
+def test_secrets_by_repositories_and_reuse(spark):
+    texts = [(k, "ä token=forked1234 end") for k in range(0, 36, 3)] + [(100, "secret: aloneval99"), (101, "see aloneval99, aloneval991 and forked1234"), (102, "token=aloneval99 aloneval99"), (102, "token=aloneval99 aloneval99")]
+    docs = spark.createDataFrame([(i, t, "one", 1) for i, t in texts], "doc_id long, text string, source string, row long")
+    out = {r.doc_id: r for r in scan_secrets(docs).collect()}
+    assert scan_secrets(docs).count() == len(texts)
+    assert (out[0].n_live, out[0].n_copied, out[0].most_repos, out[0].most_owners, out[0].spans) == (0, 1, 12, 1, "assign:2:18")
+    assert (out[100].n_live, out[100].n_copied, out[100].most_repos) == (1, 0, 2)
+    assert (out[101].spans, out[101].n_reuse, out[101].n_assign, out[101].n_live, out[101].n_copied) == ("reuse:4:14,reuse:32:42", 2, 0, 1, 1)
+    assert out[101].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert out[102].spans == "assign:0:16,reuse:17:27"
+
+
 def test_viterbi_restores_disguised_words():
     counts = np.zeros((28, 28, 28))
     for w in ["stupid", "idiot", "people", "little"] * 50:
@@ -156,6 +168,13 @@ def test_near_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_in_doubles(spark):
+    c = 0.930000002
+    rows = [(0, 1, [1e-60, 2e-60]), (1, 1, [2e-60, 4e-60]), (2, 2, [1.0, 0.0]), (3, 2, [c, (1 - c * c) ** 0.5]), (4, 3, [1.0, 0.0]), (5, 3, [c - 4e-9, (1 - (c - 4e-9) ** 2) ** 0.5]), (6, 4, [1e-200, 3e-200]), (7, 4, [1e200, 3e200]), (8, 4, [5e-324, 0.0])]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, label int, embedding array<double>, same string, n int")
+    assert {r.vec_id: r.n_links for r in near_vectors(docs).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1, 7: 1, 8: 0}
+
+
 @pytest.mark.parametrize(("whole", "tile"), [(8192, 1024), (20, 16), (60, 7)])
 def test_near_vectors_in_cells(spark, monkeypatch, whole, tile):
     """Pairs about the threshold, in a label far larger than a cell: none is lost or counted twice."""
@@ -293,24 +312,44 @@ def test_dedup_words(odd, none):
     assert dedup_words(none).count() == 0
 
 
-def test_dedup_bytes(spark, none):
-    texts = [(i, t) for i, t in TEXTS if i not in (8, 12, 13) and i is not None] + [(20, "q" + PASSAGE[50:400] + "ü"), (21, PASSAGE[:99]), (22, LONG[:5000]), (23, "k" + LONG[200:5200])]
+def removed_bytes(texts):
+    """Rows of dedup_bytes by brute force; different texts of one id count as one document's, compared by position."""
     first, want = {}, []
-    for i, t in sorted(texts):
+    for i, t in sorted(texts, key=lambda x: order(x[0])):
         raw = (t or "").encode()
         for k in range(len(raw) - 99):
-            first.setdefault(raw[k : k + 100], (i, k))
+            first[raw[k : k + 100]] = min(first.get(raw[k : k + 100], (float("inf"), float("inf"))), (order(i), k))
     for i, t in texts:
         raw, gone = (t or "").encode(), np.zeros(len((t or "").encode()), bool)
         for k in range(len(raw) - 99):
-            if first[raw[k : k + 100]] < (i, k):
+            if first[raw[k : k + 100]] < (order(i), k):
                 gone[k : k + 100] = True
         runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         want.append((i, len(raw), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest()))
-    assert got(dedup_bytes(rows_of(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+BYTE_COLUMNS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_dedup_bytes(spark, none):
+    texts = TEXTS + [(20, "q" + PASSAGE[50:400] + "ü"), (21, PASSAGE[:99]), (22, LONG[:5000]), (23, "k" + LONG[200:5200]), (1, None), (7, PASSAGE)]
+    assert got(dedup_bytes(rows_of(spark, texts)), *BYTE_COLUMNS) == removed_bytes(texts)
     assert dedup_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [0, 3])
+def test_dedup_bytes_with_crowded_anchors(spark, monkeypatch, group):
+    """Many stretches of one anchor: passages between texts that differ, cut by longer and longer anchors."""
+    monkeypatch.setattr(suffix_array, "GROUP", group)
+    rng = np.random.default_rng(3)
+    own = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    passage = own(300)
+    texts = [(k, own(30 + k % 7) + passage[: 300 - k % 3] + own(150) + (own(20) + passage[90:200] if k % 4 == 0 else "")) for k in range(40)]
+    texts += [(100 + k, "".join(f"line {j:06d} of one table with the same words in each row;" for j in range(k, k + 12))) for k in range(6)]
+    assert got(dedup_bytes(rows_of(spark, texts)), *BYTE_COLUMNS) == removed_bytes(texts)
+
+
 @pytest.mark.parametrize("text", [b"banana", b"aaaaaaa", b"mississippi", bytes(range(1, 100)) * 3, b"x"])
 def test_two_stage_sorting(text):
     order = two_stage(np.frombuffer(text, np.uint8)).tolist()  # suffixes that tie over a whole window may stand in any order
@@ -347,8 +386,40 @@ def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     whole = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert whole.columns == docs.columns
-    roots = {r.doc_id for r in linked_components(docs).where("doc_id = component_id").collect()}
+    roots = {r.doc_id for r in linked_components(docs, corpus_pipeline.NEAR).where("doc_id = component_id").collect()}  # five words and 0.8, as the job says
     assert {r.doc_id for r in whole.select("doc_id").collect()} == roots
     clean = corpus_pipeline.decontamination(spark, whole, SF)
     assert clean.join(decontaminate(docs, table(spark, SF, "benchmark")).where("contaminated"), "doc_id", "left_semi").count() == 0
     assert corpus_pipeline.run(spark, SF).where("slot IS NULL OR shard IS NULL").count() == 0
+    mixed = corpus_pipeline.mixing(spark, clean, SF)
+    assert mixed.columns == docs.columns
+    out = corpus_pipeline.run(spark, SF)
+    assert set(docs.columns) <= set(out.columns) and out.where("text IS NULL OR lang IS NULL").count() == 0
+
+
+HARD = "doc_id long, text string, source string, _gone int, _row int, _times int, row int, doc int, slot string, shard string, text_in int"
+
+
+def test_pipeline_stages_on_odd_rows(spark, monkeypatch, tmp_path):
+    """Names the stages use inside, nulls, ties, repeated rows and rows without an id: each row is decided on its own."""
+    near = " ".join(f"n{i}" for i in range(60))
+    texts = [(5, near), (None, near), (3, near + " more"), (3, "other text of the id three"), (9, PASSAGE + " tail"), (None, PASSAGE), (None, None), (None, ""), (1, "same words here"), (1, "same words here")]
+    docs = spark.createDataFrame([(i, t, [None, "a"][k % 2], k, k, k, k, k, "s", "x", k) for k, (i, t) in enumerate(texts)], HARD)
+    spark.createDataFrame([("b", PASSAGE)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plain_rows = lambda df: got(df, *docs.columns)
+    assert plain_rows(corpus_pipeline.quality(spark, docs, str(tmp_path))) == plain_rows(docs)  # no positives: all stay
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r._row for r in kept.collect()) in ([2, 3, 4, 6, 7, 8], [2, 3, 4, 6, 7, 9])
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert plain_rows(clean) == [r for r in plain_rows(docs) if not (r[1] or "").startswith("passage")]
+    mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path))
+    taken, size = mix_documents(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect(), lambda t: len(words(t))
+    for r in taken:
+        found = [size(t.text) for t in mixed.where(F.col("source").eqNullSafe(F.lit(r.source))).collect()]
+        assert r.n <= sum(found) < r.n + max([1, *found])  # the last row of a source is whole
+    out = corpus_pipeline.sharding(spark, docs, str(tmp_path))
+    assert got(out, "doc_id", "text", "row", "doc", "slot_in", "shard_in", "text_in") == sorted(((i, t, k, k, "s", "x", k) for k, (i, t) in enumerate(texts)), key=repr)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.toPandas().groupby("shard"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
