@@ -41,9 +41,10 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def falling_ratio(top: int, bottom: int, m: Column) -> Column:
-    """(top)_m / (bottom)_m of falling factorials, m from 0 to 8."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(8)), F.lit(1.0), lambda acc, j: F.when(j < m, acc * (top - j) / (bottom - j)).otherwise(acc))
+def falling_ratio(top: Column, bottom: Column, m: Column) -> Column:
+    """(top)_m / (bottom)_m of falling factorials, m from 0 to 8; 0 where there are fewer than m to choose from."""
+    share = lambda j: F.greatest(F.coalesce(F.try_divide((top - j).cast("double"), (bottom - j).cast("double")), F.lit(0.0)), F.lit(0.0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(8)), F.lit(1.0), lambda acc, j: F.when(j < m, acc * share(j)).otherwise(acc))
 
 
 def retention_law(g: Column, b: Column, q: Column) -> Column:
@@ -52,11 +53,16 @@ def retention_law(g: Column, b: Column, q: Column) -> Column:
     return (inner * inner + 4 * b * inner * q + (4 - math.pi) * corner * q * q + math.pi * corner * q * q * q) / (g * g)
 
 
-def trimmed_area(g: Column, b: Column, sides: list[Column], corners: list[Column]) -> Column:
-    """Area left of a block: strips go where sides (left, right, bottom, top; 0/1) trim, and a quarter disc where a
-    corner (bottom left, bottom right, top left, top right) trims between two sides that don't."""
-    left, right, bottom, top = sides
-    beside = [(left, bottom), (right, bottom), (left, top), (right, top)]
-    discs = sum((c * (1 - s) * (1 - t) for c, (s, t) in zip(corners, beside, strict=True)), F.lit(0.0))
-    width, height = g - b * (left + right), g - b * (bottom + top)
-    return F.greatest(F.lit(0.0), width) * F.greatest(F.lit(0.0), height) - discs * math.pi * b * b / 4
+SIDES = ("left", "right", "bottom", "top")
+CORNERS = [(x, y) for y in ("bottom", "top") for x in ("left", "right")]
+
+
+def trimmed_area(width: Column, height: Column, b: Column, trims: dict[str | tuple[str, str], Column]) -> Column:
+    """Area that a buffer b leaves of a block whose neighbours trim (1) or not (0), by side and by corner (pair of sides).
+
+    A side takes a strip. A corner's quarter disc counts only where neither strip beside it has taken it already.
+    """
+    quarter = math.pi * b * b / 4
+    lost = [trims[x, y] * (1 - trims[x]) * (1 - trims[y]) * quarter for x, y in CORNERS]
+    across, up = (F.greatest(F.lit(0.0), size - b * (trims[x] + trims[y])) for size, x, y in ((width, "left", "right"), (height, "bottom", "top")))
+    return F.least(F.greatest(across * up - sum(lost[1:], lost[0]), F.lit(0.0)), width * height)

@@ -145,6 +145,34 @@ def coverage_class(rssi: Column) -> Column:
     return F.when(rssi >= -70, 1).when(rssi >= -85, 2).when(rssi >= -100, 3).when(rssi >= -110, 4).otherwise(5)
 
 
+#: Output channels with their scale, offset and limits (loss in all, by vegetation, by terrain; level; coverage).
+CHANNELS = {"loss": (100.0, 100.0, 0.0, 200.0), "vegetation": (25.0, 25.0, 0.0, 50.0), "terrain": (15.0, 15.0, 0.0, 30.0), "rssi": (75.0, -75.0, -150.0, 0.0), "coverage": (None, None, 0.0, 1.0)}
+
+
+def decoded(raw: Column, channel: str) -> Column:
+    """An output in its unit: scaled and shifted, or through a sigmoid for coverage."""
+    scale, shift, _, _ = CHANNELS[channel]
+    return raw * scale + shift if scale else 1 / (1 + F.exp(-raw))
+
+
+def clamped(value: Column, channel: str) -> Column:
+    return clip(value, *CHANNELS[channel][2:])
+
+
+#: Operators with an id of their own; any other is the last.
+OPERATORS = {"CLARO": 0, "TIM": 1, "VIVO": 2, "OUTROS": 3}
+
+
+def operator_id(name: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in OPERATORS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.upper(F.trim(name))), F.lit(OPERATORS["OUTROS"]))
+
+
+def canopy_loss(height_m: Column, freq: Column) -> Column:
+    """Vegetation loss of a canopy up to 30 m high: 0.2 f^0.3 h, f in GHz."""
+    return 0.2 * F.pow(freq / 1000.0, F.lit(0.3)) * clip(height_m, 0, 30)
+
+
 def huber(error: Column, delta: float = 5.0) -> Column:
     a = F.abs(error)
     return F.when(a <= delta, 0.5 * error * error).otherwise(delta * (a - 0.5 * delta))

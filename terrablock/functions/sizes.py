@@ -1,18 +1,10 @@
-"""Size checks before a broadcast."""
+"""Size checks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MOST_BROADCAST_ROWS = 500_000
 
-
-def is_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; no more than that plus one are counted."""
     return df.limit(most + 1).count() <= most
-
-
-def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows (of a few narrow columns); else the join shuffles."""
-    return F.broadcast(df) if is_small(df, most) else df

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written once by checkpoint() to spark.checkpoint.dir, so that several uses don't compute it again and a lost
-    executor loses nothing. Where that is unset, as in tests, a temporary folder is used."""
-    sc = df.sparkSession.sparkContext
+    """df written once as Parquet below spark.checkpoint.dir and read back, so that several uses don't compute it again,
+    read only the columns they need and know its size, and a lost executor loses nothing. Where that folder is unset, as
+    in tests, a local Spark uses a temporary one."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

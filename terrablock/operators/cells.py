@@ -18,7 +18,7 @@ def box_overlap(boxes: DataFrame) -> DataFrame:
     side = lambda k: F.greatest(F.lit(0.0), F.least(f"{k}1", f"o_{k}1") - F.greatest(f"{k}0", f"o_{k}0"))
     area = side("x") * side("y")
     own, theirs = ((F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0")) for p in ("", "o_"))
-    pairs = boxes.join(F.broadcast(other), F.col("cell") < F.col("o_cell"))
+    pairs = boxes.join(F.broadcast(other), F.col("cell") < F.col("o_cell"))  # a row for each cell
     return pairs.select(F.col("cell").alias("a"), F.col("o_cell").alias("b"), area.alias("area"), F.try_divide(area, F.least(own, theirs)).alias("over_smaller"), F.try_divide(area, own + theirs - area).alias("over_union"))
 
 
@@ -35,9 +35,9 @@ def cross_violations(nodes: DataFrame, roles: DataFrame, b: float) -> DataFrame:
     """
     limits = boxes(nodes).select(F.col("cell").alias("o_cell"), "x0", "x1", "y0", "y1")
     near = (F.col("x_km") > F.col("x0") - b) & (F.col("x_km") < F.col("x1") + b) & (F.col("y_km") > F.col("y0") - b) & (F.col("y_km") < F.col("y1") + b)
-    edge = nodes.select("cell", "node_id", "block_id", "x_km", "y_km").join(F.broadcast(limits), (F.col("cell") != F.col("o_cell")) & near, "inner")
-    some = edge.join(F.broadcast(roles), ["cell", "block_id"])
+    edge = nodes.select("cell", "node_id", "block_id", "x_km", "y_km").join(F.broadcast(limits), (F.col("cell") != F.col("o_cell")) & near, "inner")  # a row for each cell
+    some = edge.join(roles, ["cell", "block_id"])
     test = some.where("role = 'test'").select("seed", "node_id", F.col("o_cell").alias("target"), F.col("cell").alias("home"), "x_km", "y_km")
     train = some.where("role = 'train'").select("seed", F.col("cell").alias("target"), F.col("o_cell").alias("home"), "x_km", "y_km")
-    hits = closer_than(test, train, ["seed", "target", "home"], b).select("seed", "node_id").distinct().groupBy("seed").agg(F.count("*").alias("n"))
+    hits = closer_than(test, train, ["seed", "target", "home"], b).select("seed", "home", "node_id").distinct().groupBy("seed").agg(F.count("*").alias("n"))
     return roles.select("seed").distinct().join(hits, "seed", "left").select("seed", F.coalesce("n", F.lit(0).cast("long")).alias("n_violations"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrablock.functions.sizes import broadcast_if_small
-
 DRAW = ["cell", "seed", "pred", "pop"]
 
 
@@ -16,12 +14,12 @@ def cluster_variance(sums: DataFrame, n_blocks: DataFrame | None) -> DataFrame:
     n_blocks (cell, n_blocks) gives the finite-population factor 1 - k/N; None leaves it out. v is null below two blocks.
     """
     total = sums.groupBy(*DRAW).agg(F.count("*").alias("k"), F.sum("m").alias("m_all"), (F.sum("s") / F.sum("m")).alias("err"))
-    residual = sums.join(broadcast_if_small(total), DRAW).withColumn("r", F.col("s") - F.col("err") * F.col("m"))
+    residual = sums.join(total, DRAW).withColumn("r", F.col("s") - F.col("err") * F.col("m"))
     squares = residual.groupBy(*DRAW, "k", "m_all", "err").agg(F.sum(F.col("r") * F.col("r")).alias("ss"))
     k = F.col("k").cast("double")
     factor = F.lit(1.0)
     if n_blocks is not None:
-        squares, factor = squares.join(F.broadcast(n_blocks), "cell"), 1 - k / F.col("n_blocks")
+        squares, factor = squares.join(n_blocks, "cell"), 1 - k / F.col("n_blocks")
     v = F.when(k > 1, factor * k / (k - 1) * F.col("ss") / (F.col("m_all").cast("double") * F.col("m_all")))
     return squares.select(*DRAW, "k", F.col("m_all").alias("m"), "err", v.alias("v"))
 
@@ -30,7 +28,7 @@ def variance_summary(draws: DataFrame) -> DataFrame:
     """cell, pred, pop: draws, defined variances, variance between draws, mean v, q = mean v / variance, coverage of err ± 2 sqrt(v)."""
     keys = ["cell", "pred", "pop"]
     centre = draws.groupBy(*keys).agg(F.avg("err").alias("mean_err"), F.var_samp("err").alias("var_err"))
-    joined = draws.join(broadcast_if_small(centre), keys)
+    joined = draws.join(centre, keys)
     covered = F.when(F.col("v").isNotNull(), (F.abs(F.col("err") - F.col("mean_err")) <= 2 * F.sqrt("v")).cast("double"))
     out = joined.groupBy(*keys, "mean_err", "var_err").agg(F.count("*").alias("n_draws"), F.count("v").alias("n_defined"), F.avg("v").alias("mean_v"), F.avg(covered).alias("coverage"))
     return out.withColumn("q", F.when(F.col("var_err") > 0, F.col("mean_v") / F.col("var_err")))
@@ -45,6 +43,12 @@ def jackknife_variance(sums: DataFrame) -> DataFrame:
     return left.groupBy(*DRAW).agg(F.count("*").alias("k"), F.when(k > 1, (k - 1) * F.var_pop("o")).alias("v"))
 
 
+def role_counts(roles: DataFrame) -> DataFrame:
+    """cell, n_blocks, k_train, k_test of any one draw (all draws have the same)."""
+    one = roles.groupBy("cell", "seed").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("role") == "train").alias("k_train"), F.count_if(F.col("role") == "test").alias("k_test"))
+    return one.groupBy("cell").agg(*(F.min(c).alias(c) for c in ("n_blocks", "k_train", "k_test")))
+
+
 def inclusion(nodes: DataFrame, roles: DataFrame, left: DataFrame) -> DataFrame:
     """cell, node_id, block_id, n_block (draws with the block in test), n_kept (draws that keep the node), p, p_given.
 
@@ -53,7 +57,7 @@ def inclusion(nodes: DataFrame, roles: DataFrame, left: DataFrame) -> DataFrame:
     draws = roles.groupBy("cell").agg(F.count_distinct("seed").alias("n_draws"))
     tested = roles.groupBy("cell", "block_id").agg(F.count_if(F.col("role") == "test").alias("n_block"))
     kept = left.where("role = 'test'").groupBy("cell", "node_id").agg(F.count("*").alias("n_kept"))
-    rows = nodes.join(broadcast_if_small(tested.join(draws, "cell")), ["cell", "block_id"]).join(kept, ["cell", "node_id"], "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0).cast("long")))
+    rows = nodes.join(tested.join(draws, "cell"), ["cell", "block_id"]).join(kept, ["cell", "node_id"], "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0).cast("long")))
     return rows.select(*nodes.columns, "n_block", "n_kept", (F.col("n_kept") / F.col("n_draws")).alias("p"), F.try_divide(F.col("n_kept"), F.col("n_block")).alias("p_given"))
 
 
@@ -76,7 +80,7 @@ def estimands(per_draw: DataFrame, included: DataFrame, error: str) -> DataFrame
 
 def design_effect(per_draw: DataFrame, domain: DataFrame) -> DataFrame:
     """cell: draws, mean, sd, cv, simple-random variance (mean over draws), deff and effective size. domain: cell, n_u, s2."""
-    some = per_draw.where("mae IS NOT NULL AND n > 0").join(F.broadcast(domain), "cell")
+    some = per_draw.where("mae IS NOT NULL AND n > 0").join(domain, "cell")
     srs = (1 - F.col("n") / F.col("n_u")) * F.col("s2") / F.col("n")
     out = some.groupBy("cell").agg(F.count("*").alias("n_draws"), F.avg("mae").alias("mean"), F.stddev_samp("mae").alias("sd"), F.avg(srs).alias("srs_variance"), F.avg("n").alias("mean_n"))
     out = out.withColumn("cv", F.try_divide(F.col("sd"), F.col("mean"))).withColumn("deff", F.try_divide(F.col("sd") * F.col("sd"), F.col("srs_variance")))
@@ -104,7 +108,7 @@ def one_way(rows: DataFrame, keys: list[str], factor: str, value: str) -> DataFr
     """keys, n, groups, ms_between, ms_within, n0, s2_within, s2_between, icc of a one-way layout, balanced or not."""
     per = rows.groupBy(*keys, factor).agg(F.count(value).alias("k"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("k > 0")
     grand = per.groupBy(*keys).agg((F.sum(F.col("m") * F.col("k")) / F.sum("k")).alias("g"))
-    per = per.join(F.broadcast(grand), keys) if keys else per.crossJoin(F.broadcast(grand))
+    per = per.join(grand, keys) if keys else per.crossJoin(F.broadcast(grand))
     n, a = F.sum("k"), F.count("*")
     d = F.col("m") - F.col("g")
     sums = per.groupBy(*keys).agg(n.alias("n"), a.alias("groups"), F.sum(F.col("k") * d * d).alias("ssb"), F.sum(F.col("k") * F.col("v")).alias("ssw"), F.sum(F.col("k") * F.col("k")).alias("k2"))
@@ -135,5 +139,39 @@ def pooled(rows: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("n").cast("double")
     mean = rows.groupBy(*keys).agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("_g"))
     d = F.col("mean") - F.col("_g")
-    joined = rows.join(F.broadcast(mean), keys) if keys else rows.crossJoin(F.broadcast(mean))
+    joined = rows.join(mean, keys) if keys else rows.crossJoin(F.broadcast(mean))
     return joined.groupBy(*keys, "_g").agg(F.sum("n").alias("n"), (F.sum((n - 1) * F.col("variance") + n * d * d) / (F.sum(n) - 1)).alias("variance")).withColumnRenamed("_g", "mean")
+
+
+def reading_summary(draws: DataFrame, variant: str) -> DataFrame:
+    """cell, pred, pop, variant, reading, and how v stands to the variance between draws under two readings of which draws
+    count for it: A all with an error, B those with a defined v. draws: of cluster_variance; undefined v: one block."""
+    keys = ["cell", "pred", "pop"]
+    defined = F.col("v").isNotNull()
+    err = lambda reading: F.col("err") if reading == "A" else F.when(defined, F.col("err"))
+    found = None
+    for reading in "AB":
+        centre = draws.groupBy(*keys).agg(F.avg(err(reading)).alias("mean_err"), F.var_samp(err(reading)).alias("var_err"))
+        inside = F.when(defined, (F.abs(F.col("err") - F.col("mean_err")) <= 2 * F.sqrt("v")).cast("long"))
+        sums = draws.join(centre, keys).groupBy(*keys, "mean_err", "var_err").agg(
+            F.count("*").alias("n_err"), F.count("v").alias("n_v"), F.count_if(F.col("k") == 1).alias("n_one_block"), F.min("k").alias("k_min"), F.max("k").alias("k_max"),
+            F.avg("v").alias("mean_v"), F.avg(F.sqrt("v")).alias("mean_root_v"), F.sum(inside).alias("n_covered"), F.avg(inside).alias("coverage"),
+        )
+        one = sums.withColumn("q", F.when(F.col("var_err") > 0, F.col("mean_v") / F.col("var_err"))).select(*keys, F.lit(variant).alias("variant"), F.lit(reading).alias("reading"), *sums.columns[3:], "q")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def product_variance(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, v_z and its parts for z = x y: mean(y)^2 var(x), mean(x)^2 var(y) and the remainder."""
+    z = F.col(x) * F.col(y)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.var_samp(z).alias("v_z"), (F.avg(y) * F.avg(y) * F.var_samp(x)).alias("by_x"), (F.avg(x) * F.avg(x) * F.var_samp(y)).alias("by_y"))
+    return sums.withColumn("rest", F.col("v_z") - F.col("by_x") - F.col("by_y"))
+
+
+def binomial_tail(n: Column, k: Column, p: Column) -> Column:
+    """P(X <= k) of n trials of chance p in (0, 1), by the recurrence of the terms from P(X = 0) on."""
+    step = lambda acc, i: F.struct((acc["term"] * (n - i + 1) / i * p / (1 - p)).alias("term"), (acc["total"] + acc["term"] * (n - i + 1) / i * p / (1 - p)).alias("total"))
+    none = F.pow(1 - p, n)
+    start = F.struct(none.alias("term"), none.alias("total"))
+    return F.when(k < 1, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), start, step)["total"])

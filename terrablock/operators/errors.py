@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrablock.functions.sizes import broadcast_if_small
+from terrablock.functions.storage import saved
 
 POPULATIONS = ("valid", "sentinel", "all")
 
@@ -14,32 +14,69 @@ def in_population(name: str) -> Column:
     return {"valid": F.col("valid"), "sentinel": ~F.col("valid"), "all": F.lit(True)}[name]
 
 
-def draw_median(nodes: DataFrame, roles: DataFrame, value: Column, name: str, role: str = "train", width: float = 0.25) -> DataFrame:
-    """cell, seed, name: the exact median of value over the nodes of a role, in every draw.
+def middle_bins(hist: DataFrame, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """Of each key the bins that hold the wanted ranks: keys, bin, before (values in lower bins), total.
 
-    Values are counted by block once, whatever the draws. Of each draw a histogram of bins finds the bin of the middle
-    ranks, and only the values of that bin are ordered: neither nodes nor all values of a draw meet in one task.
+    hist: keys, bin, n; ranks: expressions of total, from 0. A key has as many rows as bins, however many its values.
     """
-    own = broadcast_if_small(roles.where(F.col("role") == role).select("cell", "seed", "block_id"))
-    freq = nodes.select("cell", "block_id", value.cast("double").alias("v")).where("v IS NOT NULL").groupBy("cell", "block_id", "v").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("v") / width))
-    hist = freq.groupBy("cell", "block_id", "bin").agg(F.sum("n").alias("n")).join(own, ["cell", "block_id"]).groupBy("cell", "seed", "bin").agg(F.sum("n").alias("n"))
-    draw = Window.partitionBy("cell", "seed")
-    before = F.coalesce(F.sum("n").over(draw.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = hist.select("cell", "seed", "bin", "n", before.alias("before"), F.sum("n").over(draw).alias("total"))
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    end = F.col("before") + F.col("n")
-    middle = ranked.where(((low >= F.col("before")) & (low < end)) | ((high >= F.col("before")) & (high < end))).select("cell", "seed", "bin", "before", "total")
-    values = freq.join(own, ["cell", "block_id"]).join(broadcast_if_small(middle), ["cell", "seed", "bin"]).groupBy("cell", "seed", "bin", "before", "total", "v").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("cell", "seed", "bin").orderBy("v")) + F.col("before")
+    own = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = hist.select(*keys, "bin", "n", before.alias("before"), F.sum("n").over(own).alias("total"))
+    inside = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
+    hit = inside(next(iter(ranks.values())))
+    for rank in ranks.values():
+        hit = hit | inside(rank)
+    return placed.where(hit).select(*keys, "bin", "before", "total")
+
+
+def ranked(values: DataFrame, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """keys, total and the values at the wanted ranks. values: keys, bin, before, total, v, n: all values of those bins with their counts."""
+    upto = F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v")) + F.col("before")
     placed = values.withColumn("upto", upto)
-    first = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
-    return placed.groupBy("cell", "seed").agg(((first(low) + first(high)) / 2).alias(name))
+    return placed.groupBy(*keys).agg(F.first("total").alias("total"), *(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(name) for name, rank in ranks.items()))
+
+
+def order_statistics(rows: DataFrame, keys: list[str], value: Column, ranks: dict[str, Column], width: float = 0.25) -> DataFrame:
+    """keys, total and the exact order statistics of value at ranks (expressions of total, from 0; rows without a value don't count).
+
+    A histogram of bins finds where the ranks lie and only values of those bins are ordered, so neither a task nor a
+    buffer holds a key's values. The rows are read twice, two columns of them.
+    """
+    v = rows.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL").withColumn("bin", F.floor(F.col("v") / width))
+    bins = middle_bins(v.groupBy(*keys, "bin").agg(F.count("*").alias("n")), keys, ranks)
+    if not keys:
+        return ranked(v.join(F.broadcast(bins), "bin").groupBy("bin", "before", "total", "v").agg(F.count("*").alias("n")), keys, ranks)  # at most a bin for each rank
+    return ranked(v.join(bins, [*keys, "bin"]).groupBy(*keys, "bin", "before", "total", "v").agg(F.count("*").alias("n")), keys, ranks)
+
+
+def draw_medians(nodes: DataFrame, roles: DataFrame, values: dict[str, Column], role: str = "train", width: float = 0.25) -> DataFrame:
+    """cell, seed and the exact median of each value over the nodes of a role, in every draw; nodes: a saved table.
+
+    Bins are counted by block once, whatever the draws. Of each draw they find the bins of the middle ranks, and only
+    the nodes whose values lie in a wanted bin are read again, by block and value: no node is copied for a draw, and
+    neither nodes nor all values of a draw meet in one task.
+    """
+    ranks = {"low": F.floor((F.col("total") - 1) / 2), "high": F.floor(F.col("total") / 2)}
+    own = roles.where(F.col("role") == role).select("cell", "seed", "block_id")
+    each = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), x.cast("double").alias("v")) for name, x in values.items())))
+    long = nodes.select("cell", "block_id", each).where("v IS NOT NULL").withColumn("bin", F.floor(F.col("v") / width))
+    keys = ["cell", "seed", "name"]
+    hist = long.groupBy("cell", "block_id", "name", "bin").agg(F.count("*").alias("n")).join(own, ["cell", "block_id"]).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    bins = saved(middle_bins(hist, keys, ranks))
+    wanted = bins.select("cell", "name", "bin").distinct()
+    freq = long.join(wanted, ["cell", "name", "bin"]).groupBy("cell", "block_id", "name", "bin", "v").agg(F.count("*").alias("n"))
+    found = freq.join(own, ["cell", "block_id"]).join(bins, [*keys, "bin"]).groupBy(*keys, "bin", "before", "total", "v").agg(F.sum("n").alias("n"))
+    medians = ranked(found, keys, ranks)
+    return medians.groupBy("cell", "seed").agg(*(F.max(F.when(F.col("name") == name, (F.col("low") + F.col("high")) / 2)).alias(name) for name in values))
 
 
 def error_measures(rows: DataFrame, keys: list[str], error: Column) -> DataFrame:
-    """keys, n, mae, rmse, bias, p90 of the absolute error, over rows with an error."""
+    """keys, n, mae, rmse, bias, p90 of the absolute error (between order statistics), over rows with an error."""
     e = rows.select(*keys, error.alias("e")).where("e IS NOT NULL")
-    return e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"), F.percentile(F.abs("e"), 0.9).alias("p90"))
+    at = 0.9 * (F.col("total") - 1)
+    edges = order_statistics(e, keys, F.abs("e"), {"low": F.floor(at), "high": F.ceil(at)})
+    p90 = edges.select(*keys, (F.col("low") + (at - F.floor(at)) * (F.col("high") - F.col("low"))).alias("p90"))
+    return e.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias")).join(p90, keys)
 
 
 def population_mae(rows: DataFrame, keys: list[str], errors: dict[str, Column]) -> DataFrame:
@@ -88,11 +125,8 @@ def inversions(per_draw: DataFrame, a: str, b: str) -> DataFrame:
 
 def rank_edges(rows: DataFrame, keys: list[str], value: Column, q: float) -> DataFrame:
     """keys, low, high: the order statistics at floor and ceil of (n-1) q."""
-    ranked = rows.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*keys)
-    placed = ranked.select(*keys, "v", F.sum("k").over(w.orderBy("v")).alias("upto"), F.sum("k").over(w).alias("n"))
-    at = (F.col("n") - 1) * q
-    return placed.groupBy(*keys).agg(F.min(F.when(F.col("upto") > F.floor(at), F.col("v"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil(at), F.col("v"))).alias("high"))
+    at = (F.col("total") - 1) * q
+    return order_statistics(rows, keys, value, {"low": F.floor(at), "high": F.ceil(at)}).drop("total")
 
 
 def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -124,3 +158,28 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str, tie: str) -> Data
     draws are meant, not keys with all nodes."""
     rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, tie))
     return rows.select(*keys, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(*keys).agg(F.corr("rx", "ry").alias("rho"))
+
+
+def central_window(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of each cell inside the largest square about its median place with at most so many nodes.
+
+    The square is bounded by the (most + 1)-th distance from the middle (the larger of dx and dy), which a histogram finds;
+    a cell of no more rows keeps all.
+    """
+    middle = None
+    for c in ("x_km", "y_km"):
+        half = order_statistics(rows, ["cell"], F.col(c), {"a": F.floor((F.col("total") - 1) / 2), "b": F.floor(F.col("total") / 2)})
+        half = half.select("cell", ((F.col("a") + F.col("b")) / 2).alias(f"m_{c}"))
+        middle = half if middle is None else middle.join(half, "cell")
+    placed = saved(rows.join(saved(middle), "cell").withColumn("_d", F.greatest(F.abs(F.col("x_km") - F.col("m_x_km")), F.abs(F.col("y_km") - F.col("m_y_km")))))
+    edge = order_statistics(placed, ["cell"], F.col("_d"), {"edge": F.lit(most)}).select("cell", "edge")
+    return placed.join(edge, "cell").where("edge IS NULL OR _d < edge").select(*rows.columns)
+
+
+def bias_summary(draws: DataFrame, domain: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_draws, theta, bias, mc_se, rmse, low, high (bias -+ 2 mc_se), distinct (from 0). draws: keys, mae; domain: keys, theta."""
+    some = draws.where("mae IS NOT NULL").join(domain, keys)
+    d = F.col("mae") - F.col("theta")
+    out = some.groupBy(*keys, "theta").agg(F.count("*").alias("n_draws"), F.avg(d).alias("bias"), (F.stddev_samp("mae") / F.sqrt(F.count("*"))).alias("mc_se"), F.sqrt(F.avg(d * d)).alias("rmse"))
+    low, high = F.col("bias") - 2 * F.col("mc_se"), F.col("bias") + 2 * F.col("mc_se")
+    return out.select("*", low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).alias("distinct"))

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrablock.functions.sizes import broadcast_if_small
 from terrablock.operators.proximity import closer_than
 
 TRAIN, VAL = 0.70, 0.15
@@ -70,14 +69,14 @@ def fold_roles(blocks: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
 
 def fold_trimmed(near: DataFrame, folds: DataFrame) -> DataFrame:
     """cell, seed, node_id of the nodes that lie closer than the buffer to a block of another fold. near: of near_blocks."""
-    own = broadcast_if_small(folds)
-    other = broadcast_if_small(folds.select("cell", "seed", F.col("block_id").alias("near_block"), F.col("fold").alias("other")))
+    own = folds
+    other = folds.select("cell", "seed", F.col("block_id").alias("near_block"), F.col("fold").alias("other"))
     return near.join(own, ["cell", "block_id"]).join(other, ["cell", "seed", "near_block"]).where("fold <> other").select("cell", "seed", "node_id").distinct()
 
 
 def held_out(nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """The val and test nodes of each draw: nodes with seed and role. Training nodes are never copied for a draw."""
-    return nodes.join(broadcast_if_small(roles.where("role <> 'train'")), ["cell", "block_id"])
+    return nodes.join(roles.where("role <> 'train'"), ["cell", "block_id"])
 
 
 def retained(nodes: DataFrame, roles: DataFrame, near: DataFrame, b: float) -> DataFrame:
@@ -88,8 +87,8 @@ def retained(nodes: DataFrame, roles: DataFrame, near: DataFrame, b: float) -> D
     block, and val nodes that are left near a test block, meet one by one.
     """
     held = held_out(nodes, roles)
-    own = broadcast_if_small(roles.where("role <> 'train'"))
-    beside = broadcast_if_small(roles.select("cell", "seed", F.col("block_id").alias("near_block"), F.col("role").alias("near_role")))
+    own = roles.where("role <> 'train'")
+    beside = roles.select("cell", "seed", F.col("block_id").alias("near_block"), F.col("role").alias("near_role"))
     pairs = near.join(own, ["cell", "block_id"]).join(beside, ["cell", "seed", "near_block"]).groupBy("cell", "seed", "node_id", "role")
     marks = pairs.agg(F.max(F.col("near_role") == "train").alias("by_train"), F.max((F.col("role") != F.col("near_role")) & (F.col("near_role") != "train")).alias("open"))
     marked = held.join(marks.drop("role"), ["cell", "seed", "node_id"], "left").where("NOT coalesce(by_train, false)")
@@ -100,7 +99,7 @@ def retained(nodes: DataFrame, roles: DataFrame, near: DataFrame, b: float) -> D
 
 def retention(nodes: DataFrame, roles: DataFrame, left: DataFrame) -> DataFrame:
     """cell, seed, role, n_before, n_after, share of the held-out roles."""
-    before = blocks(nodes).join(broadcast_if_small(roles.where("role <> 'train'")), ["cell", "block_id"]).groupBy("cell", "seed", "role").agg(F.sum("n_nodes").alias("n_before"))
+    before = blocks(nodes).join(roles.where("role <> 'train'"), ["cell", "block_id"]).groupBy("cell", "seed", "role").agg(F.sum("n_nodes").alias("n_before"))
     after = left.groupBy("cell", "seed", "role").agg(F.count("*").alias("n_after"))
     n_after = F.coalesce("n_after", F.lit(0).cast("long"))
     return before.join(after, ["cell", "seed", "role"], "left").select("cell", "seed", "role", "n_before", n_after.alias("n_after"), F.try_divide(n_after, F.col("n_before")).alias("share"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrablock.functions.sizes import broadcast_if_small, is_small
+from terrablock.functions.geometry import border_distance
+from terrablock.functions.sizes import is_small
 from terrablock.functions.storage import saved
 
 #: Sites that every node may be held against directly; more of them are found through bins.
@@ -30,7 +33,7 @@ def square(dx: Column, dy: Column) -> Column:
 
 def sites_in_reach(nodes: DataFrame, sites: DataFrame, reach_km: float) -> DataFrame:
     """nodes joined with every site (site_id, sx, sy, ...) at most reach_km away, with dist_m. Only the sites are copied to bins."""
-    around = broadcast_if_small(bins_around(sites, "sx", "sy", reach_km))
+    around = bins_around(sites, "sx", "sy", reach_km)
     pairs = binned(nodes, "x_km", "y_km", reach_km).join(around, ["kx", "ky"]).drop("kx", "ky")
     dist = F.sqrt(square(F.col("x_km") - F.col("sx"), F.col("y_km") - F.col("sy")))
     return pairs.withColumn("dist_m", 1000 * dist).where(F.col("dist_m") <= 1000 * reach_km)
@@ -53,12 +56,12 @@ def nearest_site(nodes: DataFrame, sites: DataFrame, most: int = MOST_SITES, sta
     rest, found, reach = nodes, None, start_km
     while True:
         best = F.min(F.struct("dist_m", "site_id"))
-        hit = sites_in_reach(rest.select("node_id", "x_km", "y_km"), sites, reach).groupBy("node_id").agg(best.alias("_b")).select("node_id", F.col("_b.dist_m"), F.col("_b.site_id"))
+        hit = sites_in_reach(rest.select("cell", "node_id", "x_km", "y_km"), sites, reach).groupBy("cell", "node_id").agg(best.alias("_b")).select("cell", "node_id", F.col("_b.dist_m"), F.col("_b.site_id"))
         hit = saved(hit)  # each round stands on the one before
         found = hit if found is None else found.unionByName(hit)
         if reach >= span:
-            return nodes.join(found, "node_id", "left")
-        rest, reach = saved(rest.select("node_id", "x_km", "y_km").join(hit.select("node_id"), "node_id", "left_anti")), reach * 2
+            return nodes.join(found, ["cell", "node_id"], "left")
+        rest, reach = saved(rest.select("cell", "node_id", "x_km", "y_km").join(hit, ["cell", "node_id"], "left_anti")), reach * 2
 
 
 def near_blocks(nodes: DataFrame, g: float, b: float, max_gy: int) -> DataFrame:
@@ -97,3 +100,39 @@ def closer_than(rows: DataFrame, others: DataFrame, keys: list[str], b: float) -
     far = bins_around(others.select(*keys, F.col("x_km").alias("ox"), F.col("y_km").alias("oy")), "ox", "oy", b)
     pairs = binned(rows, "x_km", "y_km", b).join(far, [*keys, "kx", "ky"])
     return pairs.where(square(F.col("x_km") - F.col("ox"), F.col("y_km") - F.col("oy")) < b * b).select(*keys, "node_id").distinct()
+
+
+def nearest_distance(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node_id, d_km: the distance of each of rows to the nearest of others with the same keys, null where there is none.
+
+    Bins start at about the mean spacing of others and double; a node whose nearest lies within the bin's size is done,
+    so the wide bins see only what is far from everything.
+    """
+    rest = saved(rows.select(*keys, "node_id", "x_km", "y_km"))
+    far = saved(others.select(*keys, F.col("x_km").alias("ox"), F.col("y_km").alias("oy")))
+    box = rest.select("x_km", "y_km").unionByName(far.select(F.col("ox").alias("x_km"), F.col("oy").alias("y_km"))).agg(F.min("x_km"), F.max("x_km"), F.min("y_km"), F.max("y_km"), F.count("*")).first()
+    wide, high = (max(box[i + 1] - box[i], 1e-6) if box[4] else 1.0 for i in (0, 2))
+    reach, span = 2 * math.sqrt(wide * high / max(box[4], 1)), 2 * math.hypot(wide, high)
+    found = None
+    while True:
+        near = binned(rest, "x_km", "y_km", reach).join(bins_around(far, "ox", "oy", reach), [*keys, "kx", "ky"])
+        hit = near.groupBy(*keys, "node_id").agg(F.min(F.sqrt(square(F.col("x_km") - F.col("ox"), F.col("y_km") - F.col("oy")))).alias("d_km")).where(F.col("d_km") <= reach)
+        hit = saved(hit)
+        found = hit if found is None else found.unionByName(hit)
+        rest = saved(rest.join(hit, [*keys, "node_id"], "left_anti"))
+        if reach >= span or rest.isEmpty():
+            return rows.select(*keys, "node_id").join(found, [*keys, "node_id"], "left")
+        reach *= 2
+
+
+def nearest_in_blocks(nodes: DataFrame, g: float, b: float) -> DataFrame:
+    """cell, node_id, block_id, near_block, o_node: of each other block that comes closer than b its nearest node (smallest id of ties).
+
+    Only nodes closer than b to their own block's border can take part; the others are left out before the join.
+    """
+    edge = nodes.where(border_distance(F.col("x_km"), F.col("y_km"), g) < b).select("cell", "node_id", "block_id", "x_km", "y_km")
+    other = edge.select("cell", F.col("node_id").alias("o_node"), F.col("block_id").alias("near_block"), F.col("x_km").alias("ox"), F.col("y_km").alias("oy"))
+    pairs = binned(edge, "x_km", "y_km", b).join(bins_around(other, "ox", "oy", b), ["cell", "kx", "ky"]).where("block_id <> near_block")
+    d2 = square(F.col("x_km") - F.col("ox"), F.col("y_km") - F.col("oy"))
+    near = pairs.where(d2 < b * b).groupBy("cell", "node_id", "block_id", "near_block").agg(F.min(F.struct(d2.alias("d"), "o_node")).alias("m"))
+    return near.select("cell", "node_id", "block_id", "near_block", F.col("m.o_node").alias("o_node"))

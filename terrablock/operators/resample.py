@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import zlib
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 REPEATS = 999
 
@@ -46,3 +48,69 @@ def ratio_bootstrap(draws: DataFrame, keys: list[str], top: str, base: str, seed
         return pd.DataFrame([[*frame[keys].iloc[0], x.std(ddof=1) / y.std(ddof=1), low, high]], columns=[*keys, "ratio", "low", "high"])
 
     return draws.groupBy(*keys).applyInPandas(boot, ", ".join(f"{k} string" for k in keys) + ", ratio double, low double, high double")
+
+
+def _resampled(n: int, generator: np.random.Generator, repeats: int) -> np.ndarray:
+    """Multinomial weights of n draws, a row for each repeat."""
+    return generator.multinomial(n, np.full(n, 1 / n), size=repeats).astype(float)
+
+
+def ratio_of_sums(rows: DataFrame, keys: list[str], top: str, base: str, seed: int = 20260931, repeats: int = REPEATS) -> DataFrame:
+    """keys, n, ratio, se of sum(top) / sum(base) over draws, by multinomial weights. A group has as many rows as draws."""
+
+    def boot(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([top, base])
+        x, y = frame[top].to_numpy(float), frame[base].to_numpy(float)
+        w = _resampled(len(x), _generator(frame, keys, seed), repeats)
+        below = w @ y
+        r = np.divide(w @ x, below, out=np.zeros(repeats), where=below > 0)  # a resample without base counts 0
+        return pd.DataFrame([[*frame[keys].iloc[0], len(x), x.sum() / y.sum() if y.sum() else np.nan, r.std(ddof=1)]], columns=[*keys, "n", "ratio", "se"])
+
+    return rows.groupBy(*keys).applyInPandas(boot, ", ".join(f"{k} string" for k in keys) + ", n long, ratio double, se double")
+
+
+def bca(x: np.ndarray, means: np.ndarray, level: float = 0.95) -> tuple[float, float]:
+    """The bias-corrected accelerated interval of a mean from its resampled means."""
+    normal = NormalDist()
+    z0 = normal.inv_cdf(min(max((means < x.mean()).mean(), 1e-6), 1 - 1e-6))
+    left = (x.sum() - x) / (len(x) - 1)
+    d = left.mean() - left
+    spread = (d**2).sum() ** 1.5
+    a = (d**3).sum() / (6 * spread) if spread > 0 else 0.0
+    ends = []
+    for q in ((1 - level) / 2, (1 + level) / 2):
+        z = z0 + normal.inv_cdf(q)
+        ends.append(float(np.quantile(means, normal.cdf(z0 + z / (1 - a * z)))))
+    return ends[0], ends[1]
+
+
+def mean_intervals(rows: DataFrame, keys: list[str], value: str, seed: int = 20260932, repeats: int = REPEATS) -> DataFrame:
+    """keys, n, mean, low, high (percentile) and bca_low, bca_high of the mean over draws."""
+
+    def boot(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(frame[value].to_numpy(float))
+        means = _resampled(len(x), _generator(frame, keys, seed), repeats) @ x / len(x)
+        ends = bca(x, means) if len(x) > 1 else (x[0], x[0])
+        return pd.DataFrame([[*frame[keys].iloc[0], len(x), x.mean(), *np.percentile(means, [2.5, 97.5]), *ends]], columns=[*keys, "n", "mean", "low", "high", "bca_low", "bca_high"])
+
+    return rows.groupBy(*keys).applyInPandas(boot, ", ".join(f"{k} string" for k in keys) + ", n long, mean double, low double, high double, bca_low double, bca_high double")
+
+
+def coincidence(rows: DataFrame, value: str, seeds, widths, tolerance: float = 0.001) -> DataFrame:
+    """seed, width, n, rate: how often value and a level drawn evenly within width of it agree to the tolerance.
+
+    Each (seed, width) has a generator of its own; the values (one for each cell and draw) go to each as one array.
+    """
+    spark = rows.sparkSession
+    values = rows.agg(F.array_sort(F.collect_list(value)).alias("values"))  # a number for each cell and draw
+    cases = spark.createDataFrame([(int(s), float(w)) for s in seeds for w in widths], "seed long, width double").crossJoin(F.broadcast(values))
+
+    def draw(frames):
+        for frame in frames:
+            out = []
+            for s, w, x in zip(frame.seed, frame.width, frame["values"], strict=True):
+                near = np.random.default_rng([s, int(w * 1000)]).uniform(-w, w, (1000, len(x)))
+                out.append((s, w, near.size, float((np.abs(near) <= tolerance).mean()) if near.size else 0.0))
+            yield pd.DataFrame(out, columns=["seed", "width", "n", "rate"])
+
+    return cases.mapInPandas(draw, "seed long, width double, n long, rate double")

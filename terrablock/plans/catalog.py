@@ -16,7 +16,7 @@ from terrablock.operators import cells, design, errors, gates, graph, partition,
 from terrablock.sources import nodes as src
 
 G, B, MAX_GY = src.BLOCK_KM, 2.0, int(src.HEIGHT_KM // src.BLOCK_KM)
-DRAWS, FOLDS = 4, 5
+DRAWS, FOLDS = 60, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEVELS = (-130.0, -120.0, -110.0, -100.0)
 
@@ -37,11 +37,11 @@ def seeds(spark: SparkSession) -> DataFrame:
 class Study:
     """The parts that many queries share; each is saved where it is used more than once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, b: float = B):
+    def __init__(self, spark: SparkSession, sf_dir: str, b: float = B, draws: list[int] | None = None):
         self.spark, self.b = spark, b
         self.nodes = saved(src.nodes(spark, sf_dir))
-        self.blocks = partition.blocks(self.nodes)
-        self.roles = saved(partition.block_roles(self.blocks, seeds(spark)))
+        self.blocks = saved(partition.blocks(self.nodes))
+        self.roles = saved(partition.block_roles(self.blocks, seeds(spark) if draws is None else seeds(spark).where(F.col("seed").isin(draws))))
 
     def near(self) -> DataFrame:
         return proximity.near_blocks(self.nodes, G, self.b, MAX_GY)
@@ -52,15 +52,11 @@ class Study:
     def fitted(self) -> DataFrame:
         """cell, seed, constant (median level of the training nodes), off_a and off_b (median of level + FSPL, all and valid)."""
         level = F.col("rssi") + free_space()
-        keys = ["cell", "seed"]
-        constant = errors.draw_median(self.nodes, self.roles, F.col("rssi"), "constant")
-        a = errors.draw_median(self.nodes, self.roles, level, "off_a")
-        b = errors.draw_median(self.nodes, self.roles, F.when(F.col("valid"), level), "off_b")
-        return constant.join(a, keys, "left").join(b, keys, "left")
+        return errors.draw_medians(self.nodes, self.roles, {"constant": F.col("rssi"), "off_a": level, "off_b": F.when(F.col("valid"), level)})
 
     def scored(self) -> DataFrame:
         """The retained test nodes with e_constant, e_fspl_a, e_fspl_b."""
-        fit = F.broadcast(saved(self.fitted()))  # a row for each cell and draw
+        fit = saved(self.fitted())  # a row for each cell and draw
         test = self.left().where("role = 'test'").join(fit, ["cell", "seed"], "left")
         return test.withColumns({"e_constant": F.col("rssi") - F.col("constant"), "e_fspl_a": F.col("rssi") - (F.col("off_a") - free_space()), "e_fspl_b": F.col("rssi") - (F.col("off_b") - free_space())})
 
@@ -159,7 +155,7 @@ def retention_laws(spark, sf_dir):
     bit = [(F.col("s").bitwiseAND(1 << i) / (1 << i)).cast("int") for i in range(8)]
     states = cases.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(255))))
     chance = math.prod(F.when(x == 1, 1 - F.col("q")).otherwise(F.col("q")) for x in bit)
-    area = geo.trimmed_area(F.col("g"), F.col("b"), bit[:4], bit[4:])
+    area = geo.trimmed_area(F.col("g"), F.col("g"), F.col("b"), dict(zip([*geo.SIDES, *geo.CORNERS], bit, strict=True)))
     summed = states.groupBy("g", "b", "q").agg(F.sum(chance * area / (F.col("g") * F.col("g"))).alias("enumerated"))
     return rounded(summed.select("g", "b", "q", geo.retention_law(F.col("g"), F.col("b"), F.col("q")).alias("law"), "enumerated"))
 
@@ -167,10 +163,11 @@ def retention_laws(spark, sf_dir):
 @query
 def inclusion_law(spark, sf_dir):
     """Chance that a test node with m neighbouring blocks is kept: all m among the other test blocks, or none among training blocks."""
-    n = partition.blocks(src.nodes(spark, sf_dir)).groupBy("cell").agg(F.count("*").alias("n_blocks")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    low = geo.falling_ratio(19, 131, F.col("m"))
-    high = geo.falling_ratio(39, 131, F.col("m"))
-    return rounded(n.select("cell", "n_blocks", "m", low.alias("low"), high.alias("high")), 9)
+    counts = design.role_counts(partition.block_roles(partition.blocks(src.nodes(spark, sf_dir)), seeds(spark).where("seed = 1")))
+    rows = counts.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    low = geo.falling_ratio(F.col("k_test") - 1, F.col("n_blocks") - 1, F.col("m"))
+    high = geo.falling_ratio(F.col("n_blocks") - 1 - F.col("k_train"), F.col("n_blocks") - 1, F.col("m"))
+    return rounded(rows.select("cell", "n_blocks", "m", low.alias("low"), high.alias("high")), 9)
 
 
 # ---------------------------------------------------------------- splits and joins
@@ -197,12 +194,12 @@ def _level() -> Column:
 
 @query
 def antenna_topk(spark, sf_dir):
-    return rounded(graph.antenna_links(src.lattice(spark, sf_dir).select("node_id", "x_km", "y_km"), src.antennas(spark, sf_dir), 30.0, _level()))
+    return rounded(graph.antenna_links(src.lattice(spark, sf_dir).select("cell", "node_id", "x_km", "y_km"), src.antennas(spark, sf_dir), 30.0, _level()).drop("cell"))
 
 
 @query
 def best_antenna(spark, sf_dir):
-    return rounded(graph.best_antenna(src.lattice(spark, sf_dir).select("node_id", "x_km", "y_km"), src.antennas(spark, sf_dir), 30.0, _level()))
+    return rounded(graph.best_antenna(src.lattice(spark, sf_dir).select("cell", "node_id", "x_km", "y_km"), src.antennas(spark, sf_dir), 30.0, _level()).drop("cell"))
 
 
 @query
@@ -313,7 +310,7 @@ def level_sensitivity(spark, sf_dir):
     s = Study(spark, sf_dir)
     each = s.nodes.where("valid").select("cell", "block_id", "rssi", F.explode(F.array(*map(F.lit, LEVELS))).alias("level"))
     sums = each.groupBy("cell", "block_id", "level").agg(F.sum(F.abs(F.col("rssi") - F.col("level"))).alias("s"), F.count("*").alias("m"))
-    draws = sums.join(F.broadcast(s.roles.where("role = 'test'")), ["cell", "block_id"]).groupBy("cell", "seed", "level").agg((F.sum("s") / F.sum("m")).alias("mae"))
+    draws = sums.join(s.roles.where("role = 'test'"), ["cell", "block_id"]).groupBy("cell", "seed", "level").agg((F.sum("s") / F.sum("m")).alias("mae"))
     return rounded(draws.groupBy("cell", "level").agg(F.count("*").alias("n_draws"), F.avg("mae").alias("mean"), F.stddev_samp("mae").alias("sd")))
 
 
@@ -376,7 +373,7 @@ def contingency(spark, sf_dir):
 def valid_fraction(spark, sf_dir):
     """Valid share by draw and role, and its difference from training: from block counts, without a node and draw pair."""
     s = Study(spark, sf_dir)
-    per = s.blocks.join(F.broadcast(s.roles), ["cell", "block_id"]).groupBy("cell", "seed", "role").agg(F.sum("n_nodes").alias("n"), (F.sum("n_valid") / F.sum("n_nodes")).alias("share"))
+    per = s.blocks.join(s.roles, ["cell", "block_id"]).groupBy("cell", "seed", "role").agg(F.sum("n_nodes").alias("n"), (F.sum("n_valid") / F.sum("n_nodes")).alias("share"))
     train = F.max(F.when(F.col("role") == "train", F.col("share"))).over(Window.partitionBy("cell", "seed"))
     return rounded(per.select("cell", "seed", "role", "n", "share", (F.col("share") - train).alias("over_train")))
 
@@ -408,7 +405,7 @@ def t_intervals(spark, sf_dir):
     """err ± t sqrt(v) of each draw, t by k - 1 degrees of freedom; the table of quantiles has a row for each k up to the number of blocks."""
     s = Study(spark, sf_dir)
     most = s.blocks.groupBy("cell").count().agg(F.max("count")).first()[0] or 2
-    t = F.broadcast(spark.createDataFrame([(k, t_quantile(0.975, k - 1)) for k in range(2, most + 2)], "k long, t double"))
+    t = spark.createDataFrame([(k, t_quantile(0.975, k - 1)) for k in range(2, most + 2)], "k long, t double")
     v = _variances(s).where("v IS NOT NULL").join(t, "k")
     return rounded(v.select("cell", "seed", "pred", "pop", "k", "t", (F.col("err") - F.col("t") * F.sqrt("v")).alias("low"), (F.col("err") + F.col("t") * F.sqrt("v")).alias("high")), 5)
 
@@ -540,7 +537,7 @@ def verdict_counts(spark, sf_dir):
 def seed_order(spark, sf_dir):
     """Of each draw the cells in the order of their valid test share, and whether it is the first draw's order."""
     s = Study(spark, sf_dir)
-    share = s.blocks.join(F.broadcast(s.roles.where("role = 'test'")), ["cell", "block_id"]).groupBy("seed", "cell").agg((F.sum("n_valid") / F.sum("n_nodes")).alias("v"))
+    share = s.blocks.join(s.roles.where("role = 'test'"), ["cell", "block_id"]).groupBy("seed", "cell").agg((F.sum("n_valid") / F.sum("n_nodes")).alias("v"))
     lists = share.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "cell"))), lambda x: x["cell"]), ",").alias("cells"))
-    first = F.broadcast(lists.where("seed = 1").select(F.col("cells").alias("first")))
+    first = lists.where("seed = 1").select(F.col("cells").alias("first"))
     return lists.join(first, F.lit(True), "left").select("seed", "cells", (F.col("cells") == F.col("first")).alias("as_first"))

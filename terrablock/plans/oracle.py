@@ -20,7 +20,7 @@ PARTS = {
     SELECT lattice.*, nearest.dist_m, nearest.site_id, nearest.freq, dist_m <= 6000 AS valid, 20 * log10(greatest(dist_m / 1000, CAST(0.001 AS DOUBLE))) + 20 * log10(CAST(900 AS DOUBLE)) + CAST(32.44 AS DOUBLE) AS fs
     FROM lattice JOIN nearest USING (node_id))))""",
     "blocks": "SELECT cell, block_id, count(*) AS n_nodes, count(*) FILTER (WHERE valid) AS n_valid FROM nodes GROUP BY ALL",
-    "placed": "SELECT cell, seed, block_id, row_number() OVER (PARTITION BY cell, seed ORDER BY md5(seed || '|' || block_id), block_id) - 1 AS place, count(*) OVER (PARTITION BY cell, seed) AS n FROM blocks, (SELECT unnest(range(1, 5)) AS seed)",
+    "placed": "SELECT cell, seed, block_id, row_number() OVER (PARTITION BY cell, seed ORDER BY md5(seed || '|' || block_id), block_id) - 1 AS place, count(*) OVER (PARTITION BY cell, seed) AS n FROM blocks, (SELECT unnest(range(1, 61)) AS seed)",
     "roles": """SELECT cell, seed, block_id, CASE WHEN place < tr THEN 'train' WHEN place < tr + va THEN 'val' ELSE 'test' END AS role FROM (
   SELECT cell, seed, block_id, place, CASE WHEN t + v >= n THEN greatest(1, n - 2) ELSE t END AS tr, CASE WHEN t + v >= n THEN 1 ELSE v END AS va FROM (
     SELECT *, greatest(1, round_even(n * CAST(0.7 AS DOUBLE), 0)) AS t, greatest(1, round_even(n * CAST(0.15 AS DOUBLE), 0)) AS v FROM placed))""",
@@ -56,7 +56,7 @@ PARTS |= {
   CASE WHEN k > 1 THEN (1 - k / CAST(any_value(n_blocks) AS DOUBLE)) * k / (k - 1) * sum((s - err * m) * (s - err * m)) / (CAST(any_value(m_all) AS DOUBLE) * any_value(m_all)) END AS v
   FROM totals JOIN (SELECT cell, count(*) AS n_blocks FROM blocks GROUP BY cell) USING (cell) GROUP BY cell, seed, pred, pop, k""",
     "kept": "SELECT cell, node_id, count(*) AS n_kept FROM left2 WHERE role = 'test' GROUP BY ALL",
-    "included": """SELECT nodes.*, n_block, coalesce(n_kept, 0) AS n_kept, coalesce(n_kept, 0) / CAST(4 AS DOUBLE) AS p, coalesce(n_kept, 0) / CAST(nullif(n_block, 0) AS DOUBLE) AS p_given, abs(rssi + 110) AS e
+    "included": """SELECT nodes.*, n_block, coalesce(n_kept, 0) AS n_kept, coalesce(n_kept, 0) / CAST(60 AS DOUBLE) AS p, coalesce(n_kept, 0) / CAST(nullif(n_block, 0) AS DOUBLE) AS p_given, abs(rssi + 110) AS e
   FROM nodes JOIN (SELECT cell, block_id, count(*) FILTER (WHERE role = 'test') AS n_block FROM roles GROUP BY ALL) USING (cell, block_id) LEFT JOIN kept USING (cell, node_id)""",
     "constant_draws": "SELECT cell, seed, count(*) AS n, avg(abs(rssi + 110)) AS mae FROM left2 WHERE role = 'test' GROUP BY ALL",
     "edges": """SELECT p.node_id AS src, q.node_id AS dst FROM (SELECT node_id, node_id % side + dx AS c, node_id // side + dy AS r FROM lattice, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) p
@@ -167,7 +167,12 @@ BODIES = {
         FROM (SELECT CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, k / 10::DOUBLE AS q, s FROM (VALUES (10, 2), (5, 2), (10, 1)) t(g, b), range(11) r(k), range(256) z(s)) GROUP BY g, b, q""",
         "q law enumerated",
     ),
-    "inclusion_law": rounded("SELECT cell, n_blocks, CAST(m AS INTEGER) AS m, coalesce(list_product(list_transform(range(0, m), lambda j: (19 - j) / (131 - j))), 1) AS low, coalesce(list_product(list_transform(range(0, m), lambda j: (39 - j) / (131 - j))), 1) AS high FROM (SELECT cell, count(*) AS n_blocks FROM blocks GROUP BY cell), range(5) t(m)", "low high", 9),
+    "inclusion_law": rounded(
+        """SELECT cell, n_blocks, CAST(m AS INTEGER) AS m, coalesce(list_product(list_transform(range(0, m), lambda j: (k_test - 1 - j) / CAST(n_blocks - 1 - j AS DOUBLE))), 1) AS low,
+          coalesce(list_product(list_transform(range(0, m), lambda j: (n_blocks - 1 - k_train - j) / CAST(n_blocks - 1 - j AS DOUBLE))), 1) AS high
+        FROM (SELECT cell, count(*) AS n_blocks, count(*) FILTER (WHERE role = 'train') AS k_train, count(*) FILTER (WHERE role = 'test') AS k_test FROM roles WHERE seed = 1 GROUP BY cell), range(5) t(m)""",
+        "low high", 9,
+    ),
     "block_roles": "SELECT * FROM roles",
     "kfold_roles": "SELECT * FROM folds",
     "nearest_antenna": rounded("SELECT node_id, site_id, dist_m FROM nearest", "dist_m"),
