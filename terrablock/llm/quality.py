@@ -1,8 +1,11 @@
 """Operator 10: quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; the unlabelled text is every document. A logistic model on shape
-features minimises the non-negative unbiased risk (prior * R_p+ + max(0, R_u- - prior * R_p-)) by Newton steps, whose
-sums run over all documents as Spark jobs; only sums of fixed length reach the driver.
+Trusted positives are labelled rows of quality 1; the unlabelled text is every document. Labels of quality 0 are not
+used. The class prior is estimated from positives and unlabelled text alone: a first model fitted on one half of the
+positives scores the other half and all documents, and the prior is the least ratio of the two shares above a score,
+with a margin for their errors. A logistic model on shape features then minimises the non-negative unbiased risk
+(prior * R_p+ + max(0, R_u- - prior * R_p-)) by Newton steps, whose sums run over all documents as Spark jobs; only sums
+of fixed length reach the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ from .common import Words, arrow_rows, distinct_per_doc, fold_of, materialise, s
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
-STEPS, RIDGE = 12, 1e-3
-#: The prior is taken a little low: one above the truth makes the unbiased risk negative.
-PRIOR_SLACK = 0.985
+MOST_STEPS, RIDGE, SETTLED = 30, 1e-3, 1e-3
+#: Prior under which the model that only ranks is fitted, bins of its scores, and the chance that the margins fail.
+FIRST_PRIOR, BINS, RISK = 0.5, 2000, 0.1
 
 PUNCT = [b for b in range(33, 127) if not chr(b).isalnum()]
 KIND = np.zeros(256, np.int64)  # 0: control; then punctuation one by one, digits, upper, lower, blank, newline, beyond ASCII
@@ -121,20 +124,57 @@ def fit(rows: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarr
     mean = 2 * g[1:] / n[0]  # at w = 0 every sigmoid is 1/2, its slope 1/4
     scale = np.sqrt(np.maximum(4 * np.diag(h)[1:] / n[0] - mean**2, 0))
     scale[scale < 1e-6] = 1
-    w = np.zeros(d)
+    w, best = np.zeros(d), (np.inf, np.zeros(d))
     ridge = np.full(d, RIDGE)
     ridge[0] = 1e-6
-    for _ in range(STEPS):
+    for _ in range(MOST_STEPS):
         n, gu, gp, xp, h = risk_sums(rows, mean, scale, w)
         negative = n[2] / n[0] - prior * n[3] / n[1]  # R_u- less its positive part
+        risk = prior * (n[3] - xp @ w) / n[1] + max(negative, 0.0) + (ridge * w) @ w / 2
+        if risk < best[0]:
+            best = (risk, w)
         if negative < 0:  # the clipped part is to rise again, as in non-negative PU learning
             w = w + 0.5 * np.linalg.solve(h / n[0] + np.diag(ridge + 1e-3), gu / n[0] - prior * gp / n[1])
             continue
         step = np.linalg.solve(h / n[0] + np.diag(ridge), gu / n[0] - prior * xp / n[1] + ridge * w)
         w = w - step * min(1.0, 4 / np.abs(step).max())
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < SETTLED:
             break
-    return mean, scale, w
+    return mean, scale, best[1]
+
+
+def estimated_prior(rows: DataFrame) -> float:
+    """The share of positives among all rows, from positives and unlabelled rows alone. rows: doc_id, f, positive.
+
+    Above any score, positives that the ranking model hasn't seen have at least the share of all rows there, less what
+    negatives add: prior <= U(t) / P(t). The ratio is taken where it plus the margin of its error is least.
+    """
+    first = (F.xxhash64("doc_id") % 2 == 0) & F.col("positive")
+    model = Model(*fit(rows.select("f", first.alias("positive")), FIRST_PRIOR))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * BINS)
+        for batch in batches:
+            z = np.minimum((model.score(matrix(batch.column(0), N_FEATURES)) * BINS).astype(np.int64), BINS - 1)
+            other = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            total[:BINS] += np.bincount(z, minlength=BINS)
+            total[BINS:] += np.bincount(z[other], minlength=BINS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+    t = summed(rows.select("f", (F.col("positive") & ~first).alias("other")).mapInArrow(part, "v array<double>"))
+    return least_ratio(t[:BINS], t[BINS:]) if len(t) else 0.0
+
+
+def least_ratio(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The prior from counts of both by rising score; 1 without positives to tell."""
+    n_u, n_p = unlabelled.sum(), positive.sum()
+    if not n_p:
+        return 1.0
+    u, p = np.cumsum(unlabelled[::-1]) / n_u, np.cumsum(positive[::-1]) / n_p
+    margin = np.sqrt(np.log(4 / RISK) / (2 * n_u)) + np.sqrt(np.log(4 / RISK) / (2 * n_p))
+    some = p > 0
+    at = np.argmin((u[some] + margin) / p[some])
+    return float(min(u[some][at] / p[some][at], 1.0))
 
 
 class Model:
@@ -151,18 +191,18 @@ class Model:
 def fit_model(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model learnt from docs and the labels outside the held-out fold, and the table of features (doc_id, f, positive)."""
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where(fold_of(FOLDS) != HELD_OUT)
-    share = truth.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     positives = truth.where("quality = 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("positive"))
     rows = materialise(featured(docs).join(small_side(positives), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "f", F.coalesce("positive", F.lit(False)).alias("positive")))
-    return Model(*fit(rows, PRIOR_SLACK * (share or 0.0))), rows
+    return Model(*fit(rows, estimated_prior(rows))), rows
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
     Nulls: a null text is empty, a null doc_id has no label and isn't held out; labels of null id or null quality are
-    none, and of several labels of one document the largest holds. Without positives every score is 0.5. Extra columns
-    are ignored: only the text is scored.
+    none, and of several labels of one document the largest holds. Without positives every score is 0.5. Empty texts
+    have features of their own and are scored like others; repeated rows are scored each, ties score alike; an empty
+    table gives no rows. Extra columns are ignored: only the text, all of it, is scored.
     """
     model, rows = fit_model(docs, labels)
 
@@ -175,7 +215,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the model accepts, with all their columns. Without positives to learn from, every row stays."""
+    """The rows of docs that the model accepts, with all their columns, each on its own. Without positives to learn from, every row stays."""
     model, _ = fit_model(docs, labels)
     cut = CUT if model.weights.any() else 0.0
 
