@@ -44,7 +44,8 @@ IS_LEET[[ord(x) for x in LEET]] = True
 SIGN, WILD, SHORTEN, CLOSE, KEEP = -0.5, -1.0, -0.3, -0.2, -0.2
 KEPT = 128  # bytes of a disguised word or span whose answer is kept
 GAP = re.compile(rb"[^A-Za-z0-9@$!|+(<*\x80-\xff]+")  # what neither is a letter nor stands for one
-SPACED = re.compile(rb"(?<![^\s])(?:[A-Za-z0-9@$!][ ._*-]{1,2}){3,}[A-Za-z0-9@$!](?![^\s.,;:!?])")
+SPACED = re.compile(rb"(?<![^\s\x00])(?:[A-Za-z0-9@$!][\s._*-]+){3,}[A-Za-z0-9@$!](?![^\s\x00.,;:!?])")
+EDGE = b"\0"  # parts the texts of a block: no span reads over it
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
@@ -52,9 +53,13 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N_SYMBOLS**3)
-        for _, raw, _ in text_blocks(batches):
+        for _, raw, offsets in text_blocks(batches):
             s = SYMBOL[raw]
-            total += np.bincount((s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:], minlength=N_SYMBOLS**3) if len(s) > 2 else 0
+            if len(s) > 2:
+                inside = np.ones(len(s), bool)  # a trigram that runs into the next text doesn't count
+                inside[offsets[1:][offsets[1:] > 0] - 1] = False
+                whole = inside[:-2] & inside[1:-1]
+                total += np.bincount(((s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:])[whole], minlength=N_SYMBOLS**3)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
 
     found = summed(docs.select("text").mapInArrow(part, "v array<double>"))
@@ -148,8 +153,10 @@ class Restorer:
             same[:-2] = (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:]) & LETTER[raw[:-2]] & (raw[:-2] < 128)
         stretched = np.append(0, np.cumsum(same))
         n_same = stretched[np.maximum(last - 1, words.start)] - stretched[words.start]
-        some = (n_signs > 0) & (n_letters >= 2)
-        odd = (some & (n_signs <= n_letters + 1)) | (n_same > 0)
+        digits = np.append(0, np.cumsum((raw >= 48) & (raw <= 57)))
+        n_digits = digits[last + 1] - digits[words.start]
+        some = (n_signs > 0) & ((n_letters > 0) | (n_signs > n_digits)) & (last - words.start >= 2)  # not plain numbers
+        odd = (some & (n_signs <= 2 * n_letters + 1)) | (n_same > 0)
         found, owner = [], []
         whole = raw.tobytes()
 
@@ -165,9 +172,9 @@ class Restorer:
                 continue
             for part in GAP.split(token):  # too many signs in all, but not in each part
                 code = np.frombuffer(part, np.uint8)
-                if len(part) < len(token) and 0 < IS_LEET[code].sum() <= LETTER[code].sum() + 1 and LETTER[code].sum() >= 2:
+                if len(part) > 2 and IS_LEET[code].any() and (LETTER[code].any() or not part.isdigit()):
                     restore(part, int(words.doc[k]))
-        parted = b"\n".join(whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))  # no span reaches into the next text
+        parted = EDGE.join(whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))  # no span reaches into the next text
         first = offsets[:-1] + np.arange(len(offsets) - 1)
         for m in SPACED.finditer(parted):
             restore(m.group(), int(np.searchsorted(first, m.start(), "right") - 1))
@@ -252,8 +259,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words (lexicon words, each once) for each row of docs.
 
     Nulls: a null text is empty, a null doc_id has no label and isn't held out; labels of null id or null toxic are
-    none, and of several labels of one document the largest holds. A text without lexicon words, or any text if no label
-    is toxic, scores BASE_SCORE. Repeated rows are scored each; only the text is scored.
+    none, and of several labels of one document the largest holds. A text without lexicon words, an empty one, or any
+    text if no label is toxic, scores BASE_SCORE, so ties are common. Repeated rows are scored each; only the text, all
+    of it, is scored; an empty table gives no rows. A block, or a longer text alone, is held with some tens of bytes a byte.
     """
     truth = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(fold_of(FOLDS) != HELD_OUT)
     truth = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).select(F.col("doc_id").alias("_id"), "toxic")
