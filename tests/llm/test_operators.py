@@ -109,6 +109,93 @@ def test_viterbi_restores_disguised_words():
     assert [viterbi(readings(x), model) for x in ("st0p1d".replace("0", "u"), "1d10t", "s.t.u.p.i.d", "stuuuupid")] == ["stupid", "idiot", "stupid", "stupid"]
 
 
+def character_model():
+    counts = np.zeros((28, 28, 28))
+    for w in ["stupid", "idiot", "people", "little"] * 50:
+        s = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            counts[a, b, c] += 1
+    return log_model(counts)
+
+
+def restored(texts):
+    raw = [t.encode() for t in texts]
+    found, owner = Restorer(character_model()).block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(t) for t in raw]))
+    return [[w for w, k in zip(found, owner, strict=True) if k == d] for d in range(len(texts))]
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    """Against every path through the lattice, on words with several readings."""
+    model = character_model()
+    for token in ("$7up1d", "1d!07", "l177l3", "p30p13", "s-t-u-p", "iddi0t", "p*o", "$7!p!d"):
+        best = (-np.inf, "")
+        paths = [("", 0.0)]
+        for options in readings(token):
+            paths = [(text + x, cost + c) for text, cost in paths for x, c in options]
+        for text, cost in paths:
+            s = [0, 0, *(0 if c == " " else ord(c) - 96 for c in text), 0]
+            best = max(best, (cost + sum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:], strict=False)), text))
+        got = viterbi(readings(token), model)
+        s = [0, 0, *(0 if c == " " else ord(c) - 96 for c in got), 0]
+        cost = max(c for t, c in paths if t == got)
+        assert cost + sum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:], strict=False)) == pytest.approx(best[0])
+
+
+def test_every_disguise_is_decoded():
+    got = restored(["$7up!d", "s   t   u   p   i   d", "s\nt\nu\np\ni\nd", "5 7 u p 1 d", "2023 1,000 12:30 !!", "$$%%&& 1d107"])
+    assert all(b"stupid" in x for x in got[:4]) and got[4] == [] and b"idiot" in got[5]
+
+
+def test_character_counts_do_not_depend_on_blocks(spark, monkeypatch):
+    from terrablock.llm import toxicity
+
+    texts = ["ab", "cde", "", "fghij k", None, "é!x"] * 5
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = np.zeros((28, 28, 28))
+    for t in texts:
+        s = [int(toxicity.SYMBOL[b]) for b in (t or "").encode()]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            want[a, b, c] += 1
+    assert (toxicity.char_counts(docs) == want).all()
+
+
+def test_prior_from_positives_and_unlabelled():
+    """Scores of a mixture with a known share: positives high, negatives low, some of both between."""
+    from terrablock.llm.quality import BINS, least_ratio
+
+    rng = np.random.default_rng(8)
+    for share in (0.2, 0.5, 0.86):
+        score = lambda n, good: np.bincount((rng.beta(*((6, 2) if good else (2, 6)), n) * BINS).astype(int), minlength=BINS)
+        n = 40_000
+        unlabelled = score(int(n * share), True) + score(n - int(n * share), False)
+        assert least_ratio(unlabelled, score(2000, True)) == pytest.approx(share, abs=0.05)
+    assert least_ratio(np.ones(BINS), np.zeros(BINS)) == 1.0
+
+
+def test_fit_is_the_least_risk(spark):
+    """The Spark fit against the same risk in NumPy, over random features: no better model near it, and no slope left."""
+    from terrablock.llm import quality
+
+    rng = np.random.default_rng(9)
+    n, d, prior = 8000, quality.N_FEATURES, 0.5
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    positive = (x[:, 0] + rng.normal(size=n) > 0) & (rng.random(n) < 0.5)
+    rows = spark.createDataFrame([(v.tobytes(), bool(p)) for v, p in zip(x, positive, strict=True)], "f binary, positive boolean").repartition(3)
+    mean, scale, w = quality.fit(rows, prior)
+    z = np.hstack([np.ones((n, 1)), (x - mean) / scale])
+    ridge = np.full(d + 1, quality.RIDGE)
+    ridge[0] = 1e-6
+
+    def risk(w):
+        soft, p = np.logaddexp(0, z @ w), positive
+        return prior * np.logaddexp(0, -(z[p] @ w)).mean() + max(soft.mean() - prior * soft[p].mean(), 0) + (ridge * w) @ w / 2
+
+    slope = (1 / (1 + np.exp(-(z @ w)))) @ z / n - prior * z[positive].mean(axis=0) + ridge * w
+    assert np.allclose(mean, x.mean(axis=0), atol=1e-5) and np.allclose(scale, x.std(axis=0), rtol=1e-3)
+    assert np.abs(slope).max() < 1e-3
+    assert risk(w) <= min(risk(w + step * rng.normal(size=d + 1)) for step in (1e-3, 1e-2, 1e-1) for _ in range(50)) + 1e-6
+
+
 def test_restored_words_do_not_depend_on_neighbours_or_length():
     counts = np.zeros((28, 28, 28))
     for w in ["stupid", "idiot", "people", "little"] * 50:
