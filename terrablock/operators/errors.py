@@ -70,6 +70,16 @@ def draw_medians(nodes: DataFrame, roles: DataFrame, values: dict[str, Column],
     return medians.groupBy("cell", "seed").agg(*(F.max(F.when(F.col("name") == name, (F.col("low") + F.col("high")) / 2)).alias(name) for name in values))
 
 
+def draw_median(nodes: DataFrame, roles: DataFrame, value: Column, name: str, role: str = "train") -> DataFrame:
+    """cell, seed, name: the exact median of one value over the nodes of a role, in every draw."""
+    return draw_medians(nodes, roles, {name: value}, role)
+
+
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson's correlation, null where one side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def error_measures(rows: DataFrame, keys: list[str], error: Column) -> DataFrame:
     """keys, n, mae, rmse, bias, p90 of the absolute error (between order statistics), over rows with an error."""
     e = rows.select(*keys, error.alias("e")).where("e IS NOT NULL")
@@ -173,7 +183,7 @@ def central_window(rows: DataFrame, most: int) -> DataFrame:
         middle = half if middle is None else middle.join(half, "cell")
     placed = saved(rows.join(saved(middle), "cell").withColumn("_d", F.greatest(F.abs(F.col("x_km") - F.col("m_x_km")), F.abs(F.col("y_km") - F.col("m_y_km")))))
     edge = order_statistics(placed, ["cell"], F.col("_d"), {"edge": F.lit(most)}).select("cell", "edge")
-    return placed.join(edge, "cell").where("edge IS NULL OR _d < edge").select(*rows.columns)
+    return placed.join(edge, "cell", "left").where("edge IS NULL OR _d < edge").select(*rows.columns)
 
 
 def bias_summary(draws: DataFrame, domain: DataFrame, keys: list[str]) -> DataFrame:

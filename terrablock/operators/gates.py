@@ -81,3 +81,11 @@ def data_gates(nodes: DataFrame, roles: DataFrame) -> DataFrame:
     limits = {"double_ids": (0, 0), "odd_sentinels": (0, 0), "mean": (-1, 1), "sd": (0.1, 2), "missing": (0, 0), "permuted_effect": (0.5, 2)}
     each = F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("value"), F.col(g).between(*limits[g]).alias("ok")) for g in limits))
     return rows.select("cell", F.inline(each))
+
+
+def record_diff(left: DataFrame, right: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """path, left, right of the leaves (path, value) that only one record has, or that differ: numbers by more than the tolerance, others at all."""
+    a, b = left.select("path", F.col("value").alias("left"), F.lit(True).alias("_a")), right.select("path", F.col("value").alias("right"), F.lit(True).alias("_b"))
+    near = F.abs(F.col("left").try_cast("double") - F.col("right").try_cast("double")) <= tolerance
+    same = F.col("left").eqNullSafe(F.col("right")) | F.coalesce(near, F.lit(False))
+    return a.join(b, "path", "full_outer").where(F.col("_a").isNull() | F.col("_b").isNull() | ~same).select("path", "left", "right")

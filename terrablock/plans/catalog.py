@@ -405,7 +405,7 @@ def t_intervals(spark, sf_dir):
     """err ± t sqrt(v) of each draw, t by k - 1 degrees of freedom; the table of quantiles has a row for each k up to the number of blocks."""
     s = Study(spark, sf_dir)
     most = s.blocks.groupBy("cell").count().agg(F.max("count")).first()[0] or 2
-    t = spark.createDataFrame([(k, t_quantile(0.975, k - 1)) for k in range(2, most + 2)], "k long, t double")
+    t = spark.createDataFrame([(k, round(t_quantile(0.975, k - 1), 6)) for k in range(2, most + 2)], "k long, t double")
     v = _variances(s).where("v IS NOT NULL").join(t, "k")
     return rounded(v.select("cell", "seed", "pred", "pop", "k", "t", (F.col("err") - F.col("t") * F.sqrt("v")).alias("low"), (F.col("err") + F.col("t") * F.sqrt("v")).alias("high")), 5)
 

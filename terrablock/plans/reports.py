@@ -128,7 +128,7 @@ def border_blocks(spark, sf_dir):
 
 @query
 def central_window(spark, sf_dir):
-    """The square window of each cell with at most a quarter of its nodes (half of 15,000 / 4 cells here)."""
+    """The largest square window of each cell with at most 1,000 nodes."""
     return errors.central_window(src.lattice(spark, sf_dir).select("cell", "node_id", "x_km", "y_km"), 1000).select("cell", "node_id")
 
 
@@ -207,7 +207,7 @@ def ratio_bound(spark, sf_dir):
     """The ratio term -cov(err, M) / mean(M) of each cell and population, its bound sd sd / mean, and the correlation."""
     d = level_draws(Study(spark, sf_dir)).where("mae IS NOT NULL")
     n = F.col("n").cast("double")
-    sums = d.groupBy("cell", "pop").agg(F.count("*").alias("n_draws"), (-F.covar_pop("mae", n) / F.avg(n)).alias("ratio_term"), (F.stddev_pop("mae") * F.stddev_pop(n) / F.avg(n)).alias("bound"), F.corr("mae", n).alias("r"))
+    sums = d.groupBy("cell", "pop").agg(F.count("*").alias("n_draws"), (-F.covar_pop("mae", n) / F.avg(n)).alias("ratio_term"), (F.stddev_pop("mae") * F.stddev_pop(n) / F.avg(n)).alias("bound"), errors.safe_corr("mae", "n").alias("r"))
     return rounded(sums.withColumn("holds", F.abs("ratio_term") <= F.col("bound") + 1e-9))
 
 
@@ -268,7 +268,7 @@ def retention_correlation(spark, sf_dir):
     share = QUERIES["retention"](spark, sf_dir).where("role = 'test'").select("seed", "cell", "share")
     share = saved(share)
     pairs = share.withColumnRenamed("cell", "a").withColumnRenamed("share", "x").join(share.withColumnRenamed("cell", "b").withColumnRenamed("share", "y"), "seed").where("a < b")
-    return rounded(pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")), 5)
+    return rounded(pairs.groupBy("a", "b").agg(F.count("*").alias("n"), errors.safe_corr("x", "y").alias("r")), 5)
 
 
 @query

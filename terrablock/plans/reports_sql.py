@@ -242,6 +242,10 @@ BODIES = {
         SELECT cell, seed, role, count(*) AS n, count(*) FILTER (WHERE NOT (cell = 'Q2' AND seed = 2 AND node_id % 2 = 0) AND NOT (cell = 'Q3' AND role = 'val')) AS n_other FROM left2 WHERE seed <= 2 GROUP BY ALL)""",
     "merged_cells": "SELECT cell, node_id, row_number() OVER (ORDER BY cell, node_id) - 1 AS merged FROM lattice",
 }
+# Published quantiles of Student's t at 0.975 by degrees of freedom, from 1.
+T_975 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.13145)
+_T = ", ".join(f"({k + 2}, {t}{D})" for k, t in enumerate(T_975))
+BODIES["t_intervals"] = rounded(f"SELECT cell, seed, pred, pop, k, t, err - t * sqrt(v) AS low, err + t * sqrt(v) AS high FROM variances JOIN (VALUES {_T}) q(k, t) USING (k) WHERE v IS NOT NULL", "t low high", 5)
 PARTS |= {
     "wide": "SELECT cell, CAST(count(*) - count(DISTINCT node_id) AS DOUBLE) AS double_ids, CAST(count(*) FILTER (WHERE NOT valid AND (pl <> 300 OR rssi <> -110)) AS DOUBLE) AS odd_sentinels, avg(elevation) AS mean, stddev_samp(elevation) AS sd, CAST(count(*) FILTER (WHERE rssi IS NULL OR isnan(rssi) OR pl IS NULL OR isnan(pl)) AS DOUBLE) AS missing FROM nodes GROUP BY cell",
     "targets": "SELECT cell, block_id, CAST('0x' || substr(md5('target|' || node_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS t FROM nodes",

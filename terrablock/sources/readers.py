@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 REGISTRY = "site_id string, lat string, lon string, height_m string, freq_mhz string, power_w string, operator string"
 
@@ -24,6 +25,43 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def _leaves(value: Column, kind: DataType, path: Column) -> Column:
+    """Array of (path, value) of everything below a value, by its type: fields by name, items by number."""
+    if isinstance(kind, StructType):
+        parts = [_leaves(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
+        return F.concat(*parts) if parts else F.array().cast("array<struct<path:string,value:string>>")
+    if isinstance(kind, ArrayType):
+        items = F.transform(value, lambda x, i: _leaves(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(items), F.array().cast("array<struct<path:string,value:string>>"))
+    return F.array(F.struct(path.alias("path"), value.cast("string").alias("value")))
+
+
+def flattened(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path, value: a row for every leaf of nested rows, whatever their schema; missing leaves are null."""
+    fields = [f for f in rows.schema.fields if f.name not in keys]
+    return rows.select(*keys, F.inline(F.concat(*(_leaves(F.col(f.name), f.dataType, F.lit(f.name)) for f in fields))))
+
+
+def record_leaves(spark: SparkSession, path: str) -> DataFrame:
+    """file, path, value of nested JSON records."""
+    return flattened(records(spark, path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)), ["file"])
+
+
+def write_record(rows: DataFrame, path: str, provenance: dict[str, str], inputs: DataFrame | None = None) -> None:
+    """One nested JSON record of a summary (some dozens of rows) with its provenance and the digests of its inputs (of digests)."""
+    whole = rows.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("rows"), *(F.first(F.lit(v)).alias(k) for k, v in provenance.items()))
+    if inputs is not None:
+        whole = whole.crossJoin(inputs.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("inputs")))
+    whole.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A published CSV table, numbers with thousands' commas read as numbers."""
+    raw = spark.read.csv(path, header=True)
+    wanted = spark.createDataFrame([], schema).dtypes
+    return raw.select(*(F.regexp_replace(c, ",", "").cast(t).alias(c) if t in ("double", "long", "int", "bigint") else F.col(c).cast(t) for c, t in wanted))
+
+
 def manifest(spark: SparkSession, path: str, group: str | None = None) -> DataFrame:
     """JSON lines, of one group if given."""
     rows = spark.read.json(path)

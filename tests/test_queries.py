@@ -2,27 +2,25 @@
 
 import json
 import math
-import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from terrablock.functions import propagation as prop
+from terrablock.functions.quantiles import t_quantile
+from terrablock.functions.storage import saved
+from terrablock.operators import errors, gates, graph, proximity, resample
+from terrablock.plans import catalog, reports
 from terrablock.plans.catalog import QUERIES
 from terrablock.plans.oracle import SQL
+from terrablock.plans.reports_sql import T_975
 from terrablock.sources import readers
 from terrablock.streaming import block_sums
 
 SF = "/root/testdata/sf0.001"
-#: Queries that draw splits take over ten seconds each on one machine; all of them run with FULL_TESTS=1.
-SPLITS = {n for n, f in QUERIES.items() if "Study" in f.__code__.co_names}
-SOME = {"drift_constant", "estimands"}
-
-
-def chosen(names):
-    return sorted(names if os.environ.get("FULL_TESTS") else set(names) - (SPLITS - SOME))
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +31,32 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_study():
+    """The queries build their nodes, roles and retained nodes once for all tests of this module, and save what they share."""
+    made = {}
+
+    class Shared(catalog.Study):
+        def once(self, name):
+            if name not in self.__dict__.setdefault("kept", {}):
+                self.kept[name] = saved(getattr(super(), name)())
+            return self.kept[name]
+
+    for name in ("near", "left", "fitted", "per_draw", "sums"):
+        setattr(Shared, name, lambda self, name=name: self.once(name))
+
+    def study(spark, sf_dir, b=catalog.B, draws=None):
+        key = (sf_dir, b, tuple(draws or ()))
+        if key not in made:
+            made[key] = Shared(spark, sf_dir, b, draws)
+        return made[key]
+
+    whole = catalog.Study
+    catalog.Study = reports.Study = study
+    yield
+    catalog.Study = reports.Study = whole
+
+
 def table(frame: pd.DataFrame) -> list[tuple]:
     def plain(x):
         return None if x is None or x != x else round(float(x), 6) + 0.0 if isinstance(x, (int, float)) else str(x)
@@ -40,17 +64,98 @@ def table(frame: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(x.item() if hasattr(x, "item") else x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", chosen(SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     assert table(QUERIES[name](spark, SF).toPandas()) == table(duck.execute(SQL[name]).fetchdf())
 
 
-@pytest.mark.parametrize("name", ["wild_bootstrap"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_repeats(spark, name):
     first, again = (table(QUERIES[name](spark, SF).toPandas()) for _ in range(2))
     assert first and first == again
 
 
+def test_t_quantiles():
+    assert [round(t_quantile(0.975, k + 1), 6) for k in range(len(T_975))] == list(T_975)
+
+
+def test_bootstraps(spark):
+    """Against what the resampled numbers must be: normal intervals of many rows, no spread of equal ones, the exact jackknife."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(10, 2, 400)
+    rows = spark.createDataFrame([("A", float(v), float(2 * v), i) for i, v in enumerate(x)] + [("B", 3.0, 1.5, i) for i in range(20)], "cell string, x double, y double, i int")
+    m = {r.cell: r for r in resample.mean_intervals(rows, ["cell"], "x").collect()}
+    se = x.std(ddof=1) / 20
+    assert m["A"].low == pytest.approx(x.mean() - 1.96 * se, abs=0.25 * se) and m["A"].bca_high == pytest.approx(x.mean() + 1.96 * se, abs=0.3 * se)
+    assert m["B"].low == m["B"].high == m["B"].mean == 3
+    r = {r.cell: r for r in resample.ratio_of_sums(rows, ["cell"], "x", "y").collect()}
+    assert r["A"].ratio == pytest.approx(0.5) and r["A"].se == pytest.approx(0, abs=1e-9) and r["B"].ratio == 2
+    sd = {r.cell: r for r in resample.ratio_bootstrap(rows, ["cell"], "y", "x").collect()}
+    assert sd["A"].ratio == pytest.approx(2) and sd["A"].low == pytest.approx(2) and "B" not in sd
+    sums = spark.createDataFrame([("A", 1, "p", "all", k, float(s), m) for k, (s, m) in enumerate([(10.0, 5), (12.0, 4), (30.0, 9), (4.0, 3), (18.0, 7)])], "cell string, seed long, pred string, pop string, block_id long, s double, m long")
+    wild = resample.wild_bootstrap(sums).first()
+    resid = np.array([10.0, 12, 30, 4, 18]) - 74 / 28 * np.array([5, 4, 9, 3, 7])
+    assert wild.err == pytest.approx(74 / 28) and wild.v == pytest.approx((resid**2).sum() / 28**2, rel=0.15) and wild.low < wild.err < wild.high
+    near = resample.coincidence(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", range(2), (0.01, 1.0)).toPandas()
+    assert near.groupby("width").rate.mean()[0.01] == pytest.approx(0.1, abs=0.01) and near.groupby("width").rate.mean()[1.0] == pytest.approx(0.001, abs=0.0005)
+
+
+def test_quantiles_by_histogram(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(0, 3, 501), 1)
+    rows = spark.createDataFrame([("A", float(v)) for v in x] + [("B", 4.0), ("C", None)], "k string, v double")
+    at = 0.9 * (F.col("total") - 1)
+    got = {r.k: r for r in errors.order_statistics(rows, ["k"], F.col("v"), {"low": F.floor(at), "high": F.ceil(at), "first": F.lit(0)}).collect()}
+    s = np.sort(x)
+    assert (got["A"].low, got["A"].high, got["A"].first, got["A"].total) == (s[450], s[450], s[0], 501) and got["B"].low == got["B"].high == 4 and "C" not in got
+    assert errors.error_measures(rows, ["k"], F.col("v")).where("k = 'A'").first().p90 == pytest.approx(np.percentile(np.abs(x), 90))
+
+
+def test_nearest_distance(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.uniform(0, 50, (60, 2)), np.concatenate([rng.uniform(0, 5, (200, 2)), [[49.0, 1.0]]])
+    rows, others = (spark.createDataFrame([("A", i, float(x), float(y)) for i, (x, y) in enumerate(p)], "cell string, node_id long, x_km double, y_km double") for p in (a, b))
+    got = {r.node_id: r.d_km for r in proximity.nearest_distance(rows, others, ["cell"]).collect()}
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert all(got[i] == pytest.approx(want[i]) for i in range(60))
+    assert [r.d_km for r in proximity.nearest_distance(rows.limit(1), others.where("cell = 'B'"), ["cell"]).collect()] == [None]
+
+
+def test_ids_repeat_between_cells(spark):
+    """node_id is a place inside a cell: equal ids of two cells must not meet."""
+    rows = spark.createDataFrame([(c, i, float(x), 0.0) for c, shift in (("A", 0), ("B", 40)) for i, x in enumerate((shift, shift + 1))], "cell string, node_id long, x_km double, y_km double")
+    sites = spark.createDataFrame([(k, 10.0 * k, 0.0, 900.0) for k in range(6)], "site_id long, sx double, sy double, freq double")
+    direct, binned = (proximity.nearest_site(rows, sites, most=most).select("cell", "node_id", "site_id", "dist_m").collect() for most in (100, 1))
+    assert sorted(direct) == sorted(binned) and {(r.cell, r.site_id) for r in direct} == {("A", 0), ("B", 4)}
+    assert {(r.cell, r.node_id, r.site_id) for r in graph.best_antenna(rows, sites, 30.0, -F.col("dist_m")).collect()} == {("A", 0, 0), ("A", 1, 0), ("B", 0, 4), ("B", 1, 4)}
+
+
+def test_nested_records(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1, 2.5), ("B", 2, 3.5)], "cell string, n int, mean double")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x")
+    for name, shift in (("one", 0.0), ("two", 1e-12), ("three", 1.0)):
+        readers.write_record(rows.withColumn("mean", F.col("mean") + shift), str(tmp_path / name), {"command": "run"}, readers.digests(spark, str(tmp_path / "in")))
+    leaves = {k: readers.record_leaves(spark, str(tmp_path / k)).select("path", "value") for k in ("one", "two", "three")}
+    assert {r.path: r.value for r in leaves["one"].collect()}["rows[1].mean"] == "3.5" and leaves["one"].where("path LIKE 'inputs[0].sha256'").count() == 1
+    assert gates.record_diff(leaves["one"], leaves["two"], 1e-9).count() == 0 and {r.path for r in gates.record_diff(leaves["one"], leaves["three"], 1e-9).collect()} == {"rows[0].mean", "rows[1].mean"}
+
+
+def test_published_table(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 12345, 1234.5678)], "cell string, n int, v double")
+    readers.write_table(rows, str(tmp_path / "t"))
+    again = readers.read_table(spark, str(tmp_path / "t"), "cell string, n int, v double")
+    assert gates.table_diff(rows, again, ["cell"], "v", 1e-3).count() == 0 and gates.table_diff(rows, again, ["cell"], "v", 1e-9).count() == 1
+
+
+def test_windowed_errors(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", "A", 1.0), ("2024-01-01 00:50:00", "A", 3.0), ("2024-01-01 01:10:00", "A", 5.0)], "t string, cell string, e double").withColumn("t", F.col("t").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = block_sums.windowed_errors(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "t", ["cell"], "e")
+    stream.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.n, r["mean"]) for r in spark.table("windowed").collect()) == [(1, 5.0), (2, 2.0)]
+
+
 def test_propagation_values(spark):
     d, f = F.lit(1000.0), F.lit(900.0)
     row = spark.range(1).select(prop.fspl(d, f).alias("fspl"), prop.hata_urban(d, f, F.lit(30.0), F.lit(1.5)).alias("hata"), prop.knife_edge(F.lit(0.0)).alias("edge"), prop.watts_to_dbm(F.lit(1.0)).alias("w")).first()
