@@ -1,9 +1,11 @@
 """Operator 5: benchmark decontamination through a distributed positional inverted index.
 
 `build_index` stores, for each block of training documents, the sorted positions (postings) of every test term and a
-directory of its documents. `phrase_matches` intersects, inside each block, the offset-adjusted postings of a phrase's
-terms from the corpus-wide rarest term on; `proximity_matches` finds terms near each other. No list of a term is ever
-whole in one task: postings are cut by block, so a term of every document costs each task its block's share.
+directory of its documents. The test side is a table too: its windows are exploded by Spark, their terms joined with the
+index's counts, and each window goes to the blocks that hold its corpus-wide rarest term. There `phrase_matches`
+intersects the offset-adjusted postings of its terms from that term on; `proximity_matches` finds terms near each other.
+No list of a term is ever whole in one task: postings are cut by block, so a term of every document costs each task its
+block's share.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import NO_ID, Words, arrow_rows, doc_key, materialise, span_hash, t
 WINDOW = 13
 #: Positions left free between two documents of a block, so that no phrase runs over.
 GAP = WINDOW
-#: A slice of test items is sent to all tasks; more words than this make more slices.
-SLICE_WORDS = 2_000_000
+#: Up to so many distinct test terms are sent to all tasks, to leave other terms out of the index; with more it holds them all.
+MOST_TERMS = 1_000_000
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # the contract's words, after lower-casing A-Z
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[0x30:0x3A] = SEPARATOR[0x61:0x7B] = SEPARATOR[0x80:] = SEPARATOR[0x41:0x5B] = False
@@ -79,6 +81,9 @@ def document_rows(index: DataFrame) -> DataFrame:
     return index.where("n < 0").select("block", "data").mapInPandas(rows, "block long, doc int, doc_id long, n_words long")
 
 
+NO_MATCH = pd.DataFrame({"block": np.zeros(0, np.int64), "doc": np.zeros(0, np.int32), "item": np.zeros(0, object), "start": np.zeros(0, np.int32), "length": np.zeros(0, np.int32)})
+
+
 class Postings:
     """The postings of one block: binary search in (term, position) pairs sorted together."""
 
@@ -108,46 +113,70 @@ class Postings:
         return np.searchsorted(self.firsts, position, "right") - 1
 
 
-def phrase_matches(index: DataFrame, phrases: list[tuple[str, np.ndarray]]) -> DataFrame:
+PHRASES = pa.schema([("item", pa.string()), ("terms", pa.list_(pa.int64()))])
+
+
+def phrases_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """A saved table of phrase (number), item, terms: the distinct runs of size words of each item; one run if it has fewer; none without words."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in text_blocks(batches):
+            words = Words(raw, offsets, SEPARATOR, lower=True)
+            n = np.diff(words.first)
+            runs = np.where(n > 0, np.maximum(1, n - size + 1), 0)
+            doc = np.repeat(np.arange(len(n)), runs)
+            start = words.first[doc] + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+            term = words.hash.view(np.int64)
+            yield arrow_rows(PHRASES, batch.column(0).take(pa.array(doc)), [term[a : a + min(size, n[d])] for a, d in zip(start, doc, strict=True)])
+
+    runs = items.select("item", "text").mapInArrow(windows, "item string, terms array<long>").distinct()
+    return materialise(runs.select(F.monotonically_increasing_id().alias("phrase"), "item", "terms"))
+
+
+def possible_phrases(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """item, length, shifts, terms of the phrases that the corpus can hold, terms from the corpus-wide rarest on."""
+    counts = index.where("n > 0").groupBy("term").agg(F.sum("n").alias("n"))
+    each = phrases.select("phrase", "item", F.size("terms").alias("length"), F.posexplode("terms").alias("at", "term"))
+    found = each.join(counts, "term").groupBy("phrase", "item", "length").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("by"))
+    return found.where(F.size("by") == F.col("length")).select("item", "length", F.transform("by", lambda x: x["at"]).alias("shifts"), F.transform("by", lambda x: x["term"]).alias("terms"))
+
+
+def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """block, doc, item, start (word of the document), length of every exact occurrence of a phrase of at most GAP terms.
 
-    phrases: (item, term hashes); they go to all tasks, so the caller cuts long lists into slices.
+    phrases: of phrases_of. A phrase meets only the blocks that have its rarest term.
     """
-    spark = index.sparkSession
-    wanted = spark.createDataFrame([(int(t),) for t in np.unique(np.concatenate([p for _, p in phrases] or [np.zeros(0, np.int64)]))], "term long")
-    frequency = {r.term: r.n for r in index.where("n > 0").join(F.broadcast(wanted), "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each test term
-    ordered = [sorted(range(len(p)), key=lambda j, p=p: frequency.get(int(p[j]), 0)) for _, p in phrases]  # rarest first
-    possible = [i for i, (_, p) in enumerate(phrases) if all(int(t) in frequency for t in p)]
-    most = max((len(p) for _, p in phrases), default=0)
-    terms = np.zeros((len(possible), most), np.int64)
-    shift = np.zeros((len(possible), most), np.int64)
-    length = np.zeros(len(possible), np.int64)
-    for k, i in enumerate(possible):
-        p = phrases[i][1]
-        o = ordered[i] + [ordered[i][0]] * (most - len(p))  # a shorter phrase asks for its rarest term again
-        terms[k], shift[k], length[k] = p[o], o, len(p)
-    sent = spark.sparkContext.broadcast((terms, shift, length, np.array([phrases[i][0] for i in possible], object)))
-
-    def intersect(frame: pd.DataFrame) -> pd.DataFrame:
-        terms, shift, length, items = sent.value
-        block = Postings(frame)
-        number = block.number(terms) if len(terms) else np.zeros((0, 1), np.int64)
+    ordered = materialise(possible_phrases(index, phrases))
+    lead = ordered.select("*", F.col("terms")[0].alias("lead"))
+    asked = index.where("n > 0").select(F.col("block").alias("in_block"), F.col("term").alias("lead")).join(lead, "lead").select("in_block", "item", "length", "shifts", "terms")
+
+    def intersect(lists: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(lists) or not len(wanted):
+            return NO_MATCH
+        block = Postings(lists)
+        length = wanted.length.to_numpy(np.int64)
+        most = int(length.max())
+        pad = np.arange(most)[None] < length[:, None]  # a shorter phrase asks for its rarest term again
+        terms, shift = (np.zeros((len(wanted), most), np.int64) for _ in range(2))
+        for out, column in ((terms, wanted.terms), (shift, wanted.shifts)):
+            out[pad] = np.concatenate(column.tolist())
+            out[:] = np.where(pad, out, out[:, :1])
+        number = block.number(terms)
         here = np.flatnonzero((number >= 0).all(axis=1))
-        n = block.count[number[here, 0]] if len(here) else np.zeros(0, np.int64)
+        n = block.count[number[here, 0]]
         which = np.repeat(here, n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = block.position[block.begin[number[which, 0]] + inner] - shift[which, 0] if len(which) else np.zeros(0, np.int64)
-        for j in range(1, number.shape[1]):  # each further list keeps the starts it has too
+        for j in range(1, most):  # each further list keeps the starts it has too
             if not len(which):
                 break
             ok = block.has(number[which, j], start + shift[which, j])
             which, start = which[ok], start[ok]
         doc = block.document(start)
-        return pd.DataFrame({"block": np.full(len(which), frame.block.iloc[0]), "doc": doc.astype(np.int32), "item": items[which], "start": (start - block.firsts[doc]).astype(np.int32) if len(which) else np.zeros(0, np.int32), "length": length[which].astype(np.int32)})
+        first = block.firsts[doc] if len(which) else np.zeros(0, np.int64)
+        return pd.DataFrame({"block": np.full(len(which), lists.block.iloc[0]), "doc": doc.astype(np.int32), "item": wanted["item"].to_numpy()[which], "start": (start - first).astype(np.int32), "length": length[which].astype(np.int32)})
 
-    if not phrases:
-        return spark.createDataFrame([], MATCH)
-    return index.groupBy("block").applyInPandas(intersect, MATCH)
+    return index.groupBy("block").cogroup(asked.groupBy("in_block")).applyInPandas(intersect, MATCH)
 
 
 def proximity_matches(index: DataFrame, queries: list[tuple[str, np.ndarray]], slop: int) -> DataFrame:
@@ -170,38 +199,23 @@ def proximity_matches(index: DataFrame, queries: list[tuple[str, np.ndarray]], s
                     ok &= (hit <= at + slop) & (block.document(hit) == doc)
                     at, doc = at[ok], doc[ok]
                 found.append(pd.DataFrame({"block": frame.block.iloc[0], "doc": doc.astype(np.int32), "item": item, "start": (at - block.firsts[doc]).astype(np.int32), "length": np.full(len(at), len(terms), np.int32)}))
-        return pd.concat(found) if found else pd.DataFrame({"block": [], "doc": [], "item": [], "start": [], "length": []})
+        return pd.concat(found) if found else NO_MATCH
 
     return index.groupBy("block").applyInPandas(near, MATCH)
 
 
-def windows(item: str, terms: np.ndarray) -> list[tuple[str, np.ndarray]]:
-    """The item's runs of WINDOW terms; one run if it has fewer; none without terms."""
-    return [(item, terms[i : i + WINDOW]) for i in range(max(1, len(terms) - WINDOW + 1))] if len(terms) else []
-
-
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
 
     Nulls: a null text has no words, a null doc_id is returned as null, a null item_id counts as the text 'null'.
-    Repeated rows are judged each; repeated items count once. An empty benchmark contaminates nothing.
-    Test items pass through the driver in slices of SLICE_WORDS words: the training side never does.
+    Repeated rows are judged each; repeated items count once; other columns are ignored. An empty benchmark contaminates
+    nothing, an empty table gives no rows. Neither side passes through the driver, but for the distinct test terms if
+    there are at most MOST_TERMS of them.
     """
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    slices: list[list[tuple[str, np.ndarray]]] = [[]]
-    terms, held = [np.zeros(0, np.int64)], 0
-    for row in items.toLocalIterator():
-        own = term_hashes(row.text)
-        terms.append(np.unique(own))
-        held += len(own)
-        if held > SLICE_WORDS:
-            slices, held = [*slices, []], len(own)
-        slices[-1] += windows(row.item, own)
-    index = build_index(docs, np.concatenate(terms))
-    found = None
-    for part in slices:
-        own = phrase_matches(index, part)
-        found = own if found is None else found.unionByName(own)
+    phrases = phrases_of(bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text"))
+    terms = phrases.select(F.explode("terms").alias("term")).distinct().limit(MOST_TERMS + 1).toPandas().term.to_numpy(np.int64)
+    index = build_index(docs, terms if len(terms) <= MOST_TERMS else None)
+    found = phrase_matches(index, phrases)
     covered = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + length - 1)"))))
     hits = found.groupBy("block", "doc").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     every = document_rows(index).join(hits, ["block", "doc"], "left")
