@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import terrablock.llm.decontaminate as decontaminate_module
 from terrablock.llm import common, embeddings, ngram_join, queries, secrets, suffix_array, suffix_tree
 from terrablock.llm.common import table
 from terrablock.llm.decontaminate import build_index, decontaminate, proximity_matches, term_hashes
@@ -281,7 +282,10 @@ def test_near_vectors_in_cells(spark, monkeypatch, whole, tile):
     assert (out.component_id.sort_index() == root).all()
 
 
-def test_decontaminate(spark, odd, none):
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_decontaminate(spark, odd, none, monkeypatch, most):
+    """most: with few terms allowed the index holds all terms."""
+    monkeypatch.setattr(decontaminate_module, "MOST_TERMS", most)
     items = [("b1", PASSAGE), ("b2", "Two Words"), ("b3", ""), ("b4", None), (None, "one"), ("b1", PASSAGE)]
     bench = spark.createDataFrame(items, "item_id string, text string")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
