@@ -10,6 +10,7 @@ entries per block.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -145,3 +146,103 @@ def positions_of(batch: pa.RecordBatch, name: str = "pos") -> tuple[np.ndarray,
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), flat.astype(np.int64)
 
+
+
+# ---------------------------------------------------------------- stretches of windows with one anchor
+
+#: Bytes of stretches solved together in one task.
+TEXT = 1 << 20
+STRETCH = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+STRETCH_SQL = "h long, ctx binary, id long, key long, start int, windows int"
+CUT = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("up_h", pa.int64()), ("up_cid", pa.int64()), ("at", pa.int32())])
+CUT_SQL = "h long, ctx binary, id long, start int, windows int, up_h long, up_cid long, at int"
+LATE = pa.schema([("h", pa.int64()), ("cid", pa.int64()), ("off", pa.list_(pa.int32()))])
+
+
+@dataclass(frozen=True)
+class Stretches:
+    """How an operator cuts and solves stretches: lengths of anchors, most distinct stretches of one anchor that are solved
+    together, the functions for Arrow batches that cut texts and stretches, the function that finds the later windows of
+    some contexts (numbers and offsets), and whether a place in the same document counts as earlier."""
+
+    anchors: tuple[int, ...]
+    group: int
+    cut: Callable
+    recut: Callable
+    later: Callable
+    by_place: bool
+
+
+def sorted_groups(later: Callable) -> Callable:
+    """For rows (h, cid, ctx, id, start) sorted by h: the later windows of whole groups of h, about TEXT bytes at a time."""
+
+    def solve(frame: pd.DataFrame) -> pa.RecordBatch:
+        frame = frame[frame.groupby("h")["cid"].transform("size") > 1].reset_index(drop=True)  # one stretch repeats nothing of itself
+        if not len(frame):
+            return arrow_rows(LATE, [], [], [])
+        who, offset = later(frame.ctx.tolist(), frame.id.to_numpy(), frame.start.to_numpy().astype(np.int64))
+        by = np.lexsort((offset, who))
+        who, offset = who[by], offset[by].astype(np.int32)
+        lead = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+        return arrow_rows(LATE, frame.h.to_numpy()[who[lead]], frame.cid.to_numpy()[who[lead]], [x for x in np.split(offset, lead[1:])] if len(lead) else [])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            frame = batch.to_pandas()
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            while len(held) > 1:
+                total = held.ctx.str.len().cumsum().to_numpy()
+                if total[-1] < TEXT:
+                    break
+                h = held.h.to_numpy()
+                ends = np.flatnonzero(h[1:] != h[:-1]) + 1  # whole groups end here
+                if not len(ends):
+                    break
+                k = min(int(np.searchsorted(total[ends - 1], TEXT)), len(ends) - 1)
+                yield solve(held.iloc[: ends[k]])
+                held = held.iloc[ends[k] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield solve(held)
+
+    return groups
+
+
+def first_places(found: DataFrame) -> DataFrame:
+    """A saved table of the distinct stretches: h, cid, ctx, n (how many), id and start of the first of them."""
+    first = found.groupBy("h", "cid", "ctx").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("n"))
+    return materialise(first.select("h", "cid", "ctx", "n", F.col("f.id").alias("id"), F.col("f.start").alias("start")))
+
+
+def late_ranges(found: DataFrame, first: DataFrame, late: DataFrame, by_place: bool) -> DataFrame:
+    """found with r, ranges (a, b exclusive) of its windows that also start earlier: all of a stretch that has an equal before it."""
+    known = first.select("h", "cid", "n", F.col("id").alias("f_id"), F.col("start").alias("f_start")).join(late, ["h", "cid"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b")))
+    part = F.transform("off", lambda x: F.struct(x.alias("a"), (x + 1).alias("b")))
+    lead = (F.col("id") == F.col("f_id")) & ((F.col("start") == F.col("f_start")) if by_place else F.lit(True))
+    return join_by_key(found, materialise(known), ["h", "cid"]).withColumn("r", F.when(lead, part).otherwise(whole)).where("r IS NOT NULL").drop("off")
+
+
+def late_windows(first: DataFrame, kind: Stretches, level: int = 0) -> DataFrame:
+    """h, cid, off: the offsets of the windows of each distinct stretch that also start earlier in another of its anchor."""
+    per = materialise(first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+    few = first.join(small_side(per.where(F.col("m") <= kind.group).select("h"), 1_000_000), "h")
+    late = few.select("h", "cid", "ctx", "id", "start").repartition("h").sortWithinPartitions("h").mapInArrow(sorted_groups(kind.later), "h long, cid long, off array<int>")
+    many = per.where(F.col("m") > kind.group).select("h")
+    if level + 1 == len(kind.anchors) or many.isEmpty():  # windows with an anchor of their whole length are equal
+        return late
+    crowded = first.join(small_side(many), "h", "left_semi").select("h", "cid", "ctx", "id", "start")
+    parts = materialise(crowded.mapInArrow(kind.recut(kind.anchors[level + 1]), CUT_SQL).withColumn("cid", F.xxhash64("ctx")))
+    firsts = first_places(parts)
+    placed = late_ranges(parts.drop("ctx"), firsts, late_windows(firsts, kind, level + 1), kind.by_place)
+    offsets = F.flatten(F.transform("r", lambda x: F.sequence(x["a"] + F.col("at"), x["b"] - 1 + F.col("at"))))
+    moved = placed.select(F.col("up_h").alias("h"), F.col("up_cid").alias("cid"), offsets.alias("off"))
+    return late.unionByName(moved.groupBy("h", "cid").agg(F.flatten(F.collect_list("off")).alias("off")))
+
+
+def repeated_stretches(held: DataFrame, kind: Stretches) -> DataFrame:
+    """key, r: ranges of window starts (a, b exclusive) that also start earlier. held: id, key, text, pos."""
+    every = materialise(held.mapInArrow(kind.cut, STRETCH_SQL).withColumn("cid", F.xxhash64("ctx")))
+    first = first_places(every)
+    placed = late_ranges(every.drop("ctx"), first, late_windows(first, kind), kind.by_place)
+    return placed.select("key", F.transform("r", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("r"))

@@ -13,21 +13,18 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE, SpanHash, arrow_rows, join_by_key, materialise, minima, small_side, span_hash, table, text_blocks
-from .repeats import buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, with_positions
+from .common import PIECE, SpanHash, arrow_rows, minima, span_hash, table, text_blocks
+from .repeats import CUT, STRETCH, Stretches, buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, repeated_stretches, with_positions
 
 WINDOW = 100
 #: Lengths of anchors. The stretches of an anchor with over GROUP distinct ones are cut by the next length; windows that
 #: share an anchor of WINDOW bytes are equal, so the last length leaves one distinct stretch.
 ANCHORS = (24, 60, 88, WINDOW)
 GROUP = 2_000
-#: Bytes set together for one suffix array.
-TEXT = 1 << 20
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
 
 
@@ -74,7 +71,6 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc, at - offsets[doc], w.hash(at)
 
 
-STRETCH = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +83,7 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, h = w.runs(wanted[w.anchor])
         own = w.owner(a)
         ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[own] for i in (0, 1))
-        yield arrow_rows(STRETCH, h.view(np.int64), [raw[i:j].tobytes() for i, j in zip(a, b, strict=True)], ids, keys, (a - offsets[own]).astype(np.int32))
-
-
-CUT = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("id", pa.int64()), ("start", pa.int32()), ("up_h", pa.int64()), ("up_cid", pa.int64()), ("at", pa.int32())])
+        yield arrow_rows(STRETCH, h.view(np.int64), [raw[i:j].tobytes() for i, j in zip(a, b, strict=True)], ids, keys, (a - offsets[own]).astype(np.int32), (b - a - WINDOW + 1).astype(np.int32))
 
 
 def recut(length: int) -> Callable:
@@ -103,7 +96,7 @@ def recut(length: int) -> Callable:
             own = w.owner(a)
             at = (a - offsets[own]).astype(np.int32)
             up_h, up_cid, ids, start = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[own] for c in ("h", "cid", "id", "start"))
-            yield arrow_rows(CUT, h.view(np.int64), [raw[i:j].tobytes() for i, j in zip(a, b, strict=True)], ids, start + at, up_h, up_cid, at)
+            yield arrow_rows(CUT, h.view(np.int64), [raw[i:j].tobytes() for i, j in zip(a, b, strict=True)], ids, start + at, (b - a - WINDOW + 1).astype(np.int32), up_h, up_cid, at)
 
     return cut
 
@@ -180,85 +173,6 @@ def later_windows(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) ->
     return who[by][late], offset[by][late]
 
 
-LATE = pa.schema([("h", pa.int64()), ("cid", pa.int64()), ("off", pa.list_(pa.int32()))])
-
-
-def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, cid, ctx, id, start) sorted by h: suffix arrays over whole groups of h, about TEXT bytes at a time."""
-
-    def solve(frame: pd.DataFrame) -> pa.RecordBatch:
-        frame = frame[frame.groupby("h")["cid"].transform("size") > 1].reset_index(drop=True)  # one stretch repeats nothing of itself
-        if not len(frame):
-            return arrow_rows(LATE, [], [], [])
-        who, offset = later_windows(frame.ctx.tolist(), frame.id.to_numpy(), frame.start.to_numpy().astype(np.int64))
-        by = np.lexsort((offset, who))
-        who, offset = who[by], offset[by].astype(np.int32)
-        lead = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
-        return arrow_rows(LATE, frame.h.to_numpy()[who[lead]], frame.cid.to_numpy()[who[lead]], [x for x in np.split(offset, lead[1:])] if len(lead) else [])
-
-    held = None
-    for batch in batches:
-        frame = batch.to_pandas()
-        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        while len(held) > 1:
-            total = held.ctx.str.len().cumsum().to_numpy()
-            if total[-1] < TEXT:
-                break
-            h = held.h.to_numpy()
-            ends = np.flatnonzero(h[1:] != h[:-1]) + 1  # whole groups end here
-            k = np.searchsorted(total[ends - 1], TEXT) if len(ends) else 0
-            if k >= len(ends):
-                if not len(ends):
-                    break
-                k = len(ends) - 1
-            yield solve(held.iloc[: ends[k]])
-            held = held.iloc[ends[k] :].reset_index(drop=True)
-    if held is not None and len(held):
-        yield solve(held)
-
-
-def first_places(found: DataFrame) -> DataFrame:
-    """A saved table of the distinct stretches: h, cid, ctx, n (how many), id and start of the first of them."""
-    first = found.groupBy("h", "cid", "ctx").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("n"))
-    return materialise(first.select("h", "cid", "ctx", "n", F.col("f.id").alias("id"), F.col("f.start").alias("start")))
-
-
-def late_ranges(found: DataFrame, first: DataFrame, late: DataFrame) -> DataFrame:
-    """found with r, ranges (a, b exclusive) of its windows that also start earlier: all of a stretch that has an equal before it."""
-    known = first.select("h", "cid", "n", F.col("id").alias("f_id"), F.col("start").alias("f_start")).join(late, ["h", "cid"], "left")
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - WINDOW + 1).alias("b")))
-    part = F.transform("off", lambda x: F.struct(x.alias("a"), (x + 1).alias("b")))
-    lead = (F.col("id") == F.col("f_id")) & (F.col("start") == F.col("f_start"))
-    return join_by_key(found, materialise(known), ["h", "cid"]).withColumn("r", F.when(lead, part).otherwise(whole)).where("r IS NOT NULL").drop("off")
-
-
-def late_windows(first: DataFrame, level: int = 0) -> DataFrame:
-    """h, cid, off: the offsets of the windows of each distinct stretch that also start earlier in another of its anchor."""
-    per = materialise(first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
-    few = first.join(small_side(per.where(F.col("m") <= GROUP).select("h"), 1_000_000), "h")
-    late = few.select("h", "cid", "ctx", "id", "start").repartition("h").sortWithinPartitions("h").mapInArrow(sorted_groups, "h long, cid long, off array<int>")
-    many = per.where(F.col("m") > GROUP).select("h")
-    if many.isEmpty():
-        return late
-    crowded = first.join(small_side(many), "h", "left_semi").select("h", "cid", "ctx", "id", "start")
-    cut = crowded.mapInArrow(recut(ANCHORS[level + 1]), "h long, ctx binary, id long, start int, up_h long, up_cid long, at int")
-    parts = materialise(cut.withColumn("cid", F.xxhash64("ctx")).withColumn("size", F.octet_length("ctx")))
-    firsts = first_places(parts)
-    placed = late_ranges(parts.drop("ctx"), firsts, late_windows(firsts, level + 1))
-    offsets = F.flatten(F.transform("r", lambda x: F.sequence(x["a"] + F.col("at"), x["b"] - 1 + F.col("at"))))
-    moved = placed.select(F.col("up_h").alias("h"), F.col("up_cid").alias("cid"), offsets.alias("off"))
-    return late.unionByName(moved.groupBy("h", "cid").agg(F.flatten(F.collect_list("off")).alias("off")))
-
-
-def repeated_stretches(held: DataFrame) -> DataFrame:
-    """key, r: ranges of window starts (a, b exclusive) that also start earlier. held: id, key, text, pos."""
-    found = held.mapInArrow(stretches, "h long, ctx binary, id long, key long, start int")
-    every = materialise(found.withColumn("cid", F.xxhash64("ctx")).withColumn("size", F.octet_length("ctx")))
-    first = first_places(every)
-    placed = late_ranges(every.drop("ctx"), first, late_windows(first))
-    return placed.select("key", F.transform("r", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("r"))
-
-
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
@@ -271,7 +185,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     meta, texts = distinct_texts(rows)
     held = with_positions(texts, repeated_anchors(texts, anchors, buckets_for(meta), across=False))
-    marks = repeated_stretches(held).groupBy("key").agg(F.flatten(F.collect_list("r")).alias("r"))
+    kind = Stretches(ANCHORS, GROUP, stretches, recut, later_windows, by_place=True)
+    marks = repeated_stretches(held, kind).groupBy("key").agg(F.flatten(F.collect_list("r")).alias("r"))
     marked = held.select("key", "text").join(marks, "key").select("key", "text", F.col("r.a").alias("pos"), F.col("r.b").alias("till"))
     schema = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("sha", pa.string())])
 

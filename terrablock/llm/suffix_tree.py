@@ -1,152 +1,198 @@
 """Operator 7: substring dedup over words with prefix-partitioned suffix trees.
 
-Only suffixes that start at a window whose anchor repeats in another text take part. Their prefixes are counted, and a
-prefix with too many suffixes is lengthened (2, 6, 13 words), so that groups fit in memory; groups are dealt to tasks.
-In each group the suffixes' path labels (hashes of their first 2, 6 and 13 words) are sorted into a tree; its internal
-nodes of depth 13 are the repeats, and each knows the smallest document that has it.
+Windows of 13 words are taken by their anchor, the content-chosen word string in them with the smallest hash: windows in a
+row with one anchor make a stretch, and only stretches whose anchor repeats in another text take part. So suffixes are
+dealt by a prefix that each of them has at its anchor, and the prefix has a variable length: where very many distinct
+stretches share one of 5 words, these are cut anew by prefixes of 9, 12 and 13, until a group fits into a task. In each
+group a suffix tree is built over the window suffixes of the stretches, its edges spans of their words; its topmost nodes
+13 words deep or more are the repeats, and each knows the smallest document below it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_rows, minima, small_side, table, text_blocks
-from .repeats import buckets_for, by_key, distinct_texts, keyed, positions_of, real_id, repeated_anchors, with_positions
+from .common import IS_SPACE, Words, arrow_rows, minima, small_side, table, text_blocks
+from .repeats import CUT, STRETCH, Stretches, buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, repeated_stretches, with_positions
 
 WINDOW = 13
-ANCHOR = 5
-#: Prefix lengths in words, and how many suffixes a prefix may have before it is lengthened.
-DEPTHS = (2, 6, WINDOW)
-GROUP = 20_000
+#: Lengths of prefixes in words, and how many distinct stretches a prefix may have before it is lengthened.
+ANCHORS = (5, 9, 12, WINDOW)
+GROUP = 2_000
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
 
 
-def windows_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each window and its anchor, as word numbers of the block."""
-    short, _ = words.grams(ANCHOR)
-    at = minima(short, WINDOW - ANCHOR + 1)
-    start = np.flatnonzero(words.doc[: len(at)] == words.doc[WINDOW - 1 : WINDOW - 1 + len(at)]) if len(at) else np.zeros(0, np.int64)
-    return start, at[start]
+class Windows:
+    """The windows of a block as word numbers: start and anchor of each."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int):
+        self.words = Words(raw, offsets)
+        self.short, _ = self.words.grams(length)
+        at = minima(self.short, WINDOW - length + 1)
+        doc = self.words.doc
+        self.start = np.flatnonzero(doc[: len(at)] == doc[WINDOW - 1 : WINDOW - 1 + len(at)]) if len(at) else np.zeros(0, np.int64)
+        self.anchor = at[self.start]
+
+    def place(self, word: np.ndarray) -> np.ndarray:
+        """Numbers of words inside their documents."""
+        return word - self.words.first[self.words.doc[word]]
+
+    def runs(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, number of windows, anchor's hash) of the stretches: runs of kept windows with one anchor."""
+        start, anchor = self.start[keep], self.anchor[keep]
+        if not len(start):
+            return start, start, np.zeros(0, np.uint64)
+        first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
+        return start[first], np.diff(np.append(first, len(start))), self.short[anchor[first]]
+
+    def texts(self, first: np.ndarray, windows: np.ndarray) -> list[bytes]:
+        """The words of each stretch with one blank between them, whatever stands there in the text."""
+        w = self.words
+        size = w.end - w.start + 1
+        to = np.cumsum(size) - size
+        whole = np.append(w.raw, np.uint8(32))[np.repeat(w.start - to, size) + np.arange(size.sum())]
+        whole[to + size - 1] = 32
+        line = whole.tobytes()
+        last = first + windows - 1 + WINDOW - 1
+        return [line[a:b] for a, b in zip(to[first], to[last] + size[last] - 1, strict=True)]
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = Words(raw, offsets)
-    short, _ = words.grams(ANCHOR)
-    at = np.unique(windows_of(words)[1])
-    return words.doc[at], at - words.first[words.doc[at]], short[at] if len(at) else np.zeros(0, np.uint64)
+    w = Windows(raw, offsets, ANCHORS[0])
+    at = np.unique(w.anchor)
+    return w.words.doc[at], w.place(at), w.short[at] if len(at) else np.zeros(0, np.uint64)
 
 
-class Suffixes:
-    """The suffixes of a block that take part: document number, word position and path labels of each."""
-
-    def __init__(self, batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray):
-        words = Words(raw, offsets)
-        start, anchor = windows_of(words)
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of windows whose anchor is among the row's positions."""
+    for batch, raw, offsets in text_blocks(batches):
+        w = Windows(raw, offsets, ANCHORS[0])
         doc, pos = positions_of(batch)
-        wanted = np.zeros(len(words.hash) + 1, bool)
-        wanted[np.minimum(words.first[doc] + pos, len(words.hash))] = True
-        start = start[wanted[anchor]]
-        self.doc, self.pos = words.doc[start], start - words.first[words.doc[start]]
-        self.path = [words.grams(k)[0][start] if len(start) else np.zeros(0, np.uint64) for k in DEPTHS]
-
-
-def deal(path: list[np.ndarray], heavy: list[np.ndarray]) -> np.ndarray:
-    """The label of each suffix's prefix: the shortest whose count is within bounds. heavy: sorted labels to lengthen, by depth."""
-    group = path[0].copy()
-    long = np.isin(path[0], heavy[0])
-    for k in range(1, len(path)):
-        group[long] = path[k][long]
-        if k < len(heavy):
-            long &= np.isin(path[k], heavy[k])
-    return group
-
-
-def heavy_prefixes(held: DataFrame) -> list[np.ndarray]:
-    """Labels of the prefixes with over GROUP suffixes, for each depth but the last. Their number is bounded by suffixes / GROUP."""
-    heavy: list[np.ndarray] = []
-    for depth in range(len(DEPTHS) - 1):
-
-        def count(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
-            for batch, raw, offsets in text_blocks(batches):
-                s = Suffixes(batch, raw, offsets)
-                label = s.path[depth]
-                if depth:
-                    label = label[np.isin(s.path[depth - 1], heavy[depth - 1])]
-                value, n = np.unique(label, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["label", "n"])
-
-        counts = held.mapInArrow(count, "label long, n long").groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP)
-        heavy.append(np.sort(np.array([r.label for r in counts.select("label").collect()], np.int64).view(np.uint64)))
-        if not len(heavy[-1]):
-            break
-    return heavy
-
-
-ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
-
-
-def tree_nodes(path: list[np.ndarray], doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the leaves in the tree, and for each (in that order) the smallest document below its deepest node."""
-    order = np.lexsort((doc_id, *path[::-1]))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([p[order][1:] != p[order][:-1] for p in path])
-    start = np.flatnonzero(new)
-    return order, np.repeat(doc_id[order][start], np.diff(np.append(start, len(order))))
-
-
-def repeated_windows(held: DataFrame, n_buckets: int) -> DataFrame:
-    """key, positions of the windows that also start in a text of a smaller id. held: id, key, text, pos."""
-    heavy = heavy_prefixes(held)
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, offsets in text_blocks(batches, block=8 << 20):
-            s = Suffixes(batch, raw, offsets)
-            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[s.doc] for i in (0, 1))
-            # inside the block the tree is built first: leaves above the node's smallest document are known, only those of that document go on
-            order, low = tree_nodes(s.path, ids)
-            known = ids[order] > low
-            sent = order[~known]
-            group = deal([p[sent] for p in s.path], heavy)
-            bucket = (group % np.uint64(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[by], bucket[by]
-            cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            columns = [*(p[sent] for p in s.path), ids[sent], keys[sent], s.pos[sent].astype(np.int32)]
-            yield arrow_rows(ROWS, some, np.diff(cut)[some], [b"".join(c[cut[b] : cut[b + 1]].tobytes() for c in columns) for b in some])
-            done = order[known]
-            where = (keys[done].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
-            by = np.argsort(where, kind="stable")
-            done, where = done[by], where[by]
-            cut = np.searchsorted(where, np.arange(n_buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            yield arrow_rows(ROWS, some, -np.diff(cut)[some], [keys[done[cut[b] : cut[b + 1]]].tobytes() + s.pos[done[cut[b] : cut[b + 1]]].astype(np.int32).tobytes() for b in some])
-
-    def tree(frame: pd.DataFrame) -> pd.DataFrame:
-        width = len(DEPTHS) + 2
-        parts = [[np.zeros(0, t)] for t in [np.uint64] * len(DEPTHS) + [np.int64, np.int64, np.int32]]
-        key, pos = [], []
-        for n, data in zip(frame.n, frame.data, strict=True):
-            if n < 0:  # known in their block
-                key.append(np.frombuffer(data, np.int64, -n))
-                pos.append(np.frombuffer(data, np.int32, -n, -8 * n))
-                continue
-            for i, part in enumerate(parts):
-                part.append(np.frombuffer(data, part[0].dtype, n, 8 * n * min(i, width)))
-        *path, ids, keys, at = (np.concatenate(x) for x in parts)
-        order, low = tree_nodes(path, ids)
-        again = order[ids[order] > low]
-        return by_key(np.concatenate([keys[again], *key]), np.concatenate([at[again], *pos]))
-
-    sent = held.mapInArrow(suffixes, "bucket int, n int, data binary")
-    return sent.groupBy("bucket").applyInPandas(tree, "key long, pos array<int>")
+        wanted = np.zeros(len(w.words.hash) + 1, bool)
+        wanted[np.minimum(w.words.first[doc] + pos, len(w.words.hash))] = True
+        first, n, h = w.runs(wanted[w.anchor])
+        own = w.words.doc[first]
+        ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[own] for i in (0, 1))
+        yield arrow_rows(STRETCH, h.view(np.int64), w.texts(first, n), ids, keys, w.place(first).astype(np.int32), n.astype(np.int32))
+
+
+def recut(length: int) -> Callable:
+    """Stretches (h, cid, ctx, id, start) cut by prefixes of this length; at: the word where the part starts in the whole."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in text_blocks(batches, "ctx"):
+            w = Windows(raw, offsets, length)
+            first, n, h = w.runs(np.ones(len(w.start), bool))
+            own, at = w.words.doc[first], w.place(first).astype(np.int32)
+            up_h, up_cid, ids, start = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[own] for c in ("h", "cid", "id", "start"))
+            yield arrow_rows(CUT, h.view(np.int64), w.texts(first, n), ids, start + at, n.astype(np.int32), up_h, up_cid, at)
+
+    return cut
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A suffix tree over some suffixes of some contexts of words. Leaves stand in order: context and first word of each.
+
+    Internal nodes: depth in words, the leaves below (first, last exclusive) and the edge above: context, first word and
+    number of words. Of the root neither depth nor edge is more than 0.
+    """
+
+    who: np.ndarray
+    at: np.ndarray
+    depth: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    edge: np.ndarray
+
+
+def suffix_tree(words: Words) -> Tree:
+    """The tree of the suffixes with WINDOW words or more, each up to its context's end.
+
+    Sorted suffixes and the words that neighbours share give the nodes: a node opens where the shared length rises and
+    closes where it falls. Equal words have equal hashes, and that their bytes agree too is checked between neighbours.
+    """
+    n = np.diff(words.first)
+    runs = np.maximum(n - WINDOW + 1, 0)
+    who = np.repeat(np.arange(len(n)), runs)
+    at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    symbol = np.append(np.unique(words.hash, return_inverse=True)[1] + 1, 0)  # 0 ends a suffix
+    most = int(n.max(initial=0))
+    steps = np.arange(most)
+    place = words.first[who][:, None] + at[:, None] + steps
+    table_ = symbol[np.where(at[:, None] + steps < n[who][:, None], place, len(symbol) - 1)]
+    order = np.lexsort((who, *table_.T[::-1]))
+    who, at, table_ = who[order], at[order], table_[order]
+    differ = table_[1:] != table_[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    shared = np.minimum(shared, np.minimum(n[who[1:]] - at[1:], n[who[:-1]] - at[:-1]))
+    line = words.raw.tobytes()
+    begin = words.first[who] + at
+    for k in np.flatnonzero(shared >= WINDOW):  # the bytes of the words that the two share
+        a, b, s = begin[k], begin[k + 1], int(shared[k]) - 1
+        if line[words.start[a] : words.end[a + s]] != line[words.start[b] : words.end[b + s]]:
+            shared[k] = 0
+    nodes: list[tuple[int, int, int, int]] = []  # depth, first leaf, last leaf, depth of the parent
+    open_: list[tuple[int, int]] = [(0, 0)]
+    for k, s in enumerate(np.append(shared, 0).tolist() if len(who) else []):
+        left = k
+        while open_[-1][0] > s:
+            depth, left = open_.pop()
+            nodes.append((depth, left, k + 1, max(s, open_[-1][0])))
+        if open_[-1][0] < s:
+            open_.append((s, left))
+    nodes.append((0, 0, len(who), 0))
+    depth, first, last, above = (np.array(x, np.int64) for x in zip(*nodes, strict=True))
+    lead = np.minimum(first, max(len(who) - 1, 0))
+    edge = np.stack([who[lead], at[lead] + above, depth - above], axis=1) if len(who) else np.zeros((1, 3), np.int64)
+    return Tree(who, at, depth, first, last, edge)
+
+
+def deep_nodes(tree: Tree) -> np.ndarray:
+    """The numbers of the topmost nodes WINDOW words deep or more: their leaves are those that share a window."""
+    return np.flatnonzero((tree.depth >= WINDOW) & (tree.depth - tree.edge[:, 2] < WINDOW))
+
+
+def maximal_repeats(contexts: list[bytes]) -> list[tuple[bytes, int]]:
+    """(words, places) of the strings of WINDOW words or more that stand at several places and can be lengthened on neither
+    side without losing one of them, inside the contexts: nodes whose leaves have several words, or none, before them."""
+    words = whole_words(contexts)
+    tree = suffix_tree(words)
+    lines = [x.split() for x in contexts]
+    found = []
+    for k in np.flatnonzero(tree.depth >= WINDOW):
+        below = range(tree.first[k], tree.last[k])
+        before = {lines[tree.who[i]][tree.at[i] - 1] if tree.at[i] else (tree.who[i],) for i in below}
+        if len(before) > 1:
+            i = tree.first[k]
+            found.append((b" ".join(lines[tree.who[i]][tree.at[i] : tree.at[i] + tree.depth[k]]), len(below)))
+    return found
+
+
+def whole_words(contexts: list[bytes]) -> Words:
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    return Words(raw, np.append(0, np.cumsum([len(x) for x in contexts])), IS_SPACE)
+
+
+def later_windows(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the context, offset in words) of the windows that also start in a context of a smaller document."""
+    tree = suffix_tree(whole_words(contexts))
+    deep = deep_nodes(tree)
+    if not len(deep):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = tree.last[deep] - tree.first[deep]
+    leaf = np.repeat(tree.first[deep], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    doc = ids[tree.who[leaf]]
+    low = np.repeat(np.minimum.reduceat(doc, np.cumsum(size) - size), size)
+    late = leaf[doc > low]
+    return tree.who[late], tree.at[late]
 
 
 def dedup_words(docs: DataFrame) -> DataFrame:
@@ -154,25 +200,26 @@ def dedup_words(docs: DataFrame) -> DataFrame:
 
     Each word covered by a window of WINDOW words that also starts in a document of a smaller doc_id goes; windows are
     judged on the input. Nulls: a null text has no words; a null doc_id orders after every other and is returned as null.
-    Repeated rows (or different texts of one doc_id) do not remove each other's words. Texts under WINDOW words keep all.
+    Repeated rows (or different texts of one doc_id) do not remove each other's words. Texts under WINDOW words keep all;
+    an empty table gives no rows; other columns are ignored. A block, or a longer text alone, is held with some ten bytes
+    for each of its bytes.
     """
     rows = keyed(docs)
     meta, texts = distinct_texts(rows)
-    n_buckets = buckets_for(meta)
-    held = with_positions(texts, repeated_anchors(texts, anchors, n_buckets, across=True))
-    marks = repeated_windows(held, n_buckets).groupBy("key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-    marked = held.select("key", "text").join(marks, "key")
+    held = with_positions(texts, repeated_anchors(texts, anchors, buckets_for(meta), across=True))
+    kind = Stretches(ANCHORS, GROUP, stretches, recut, later_windows, by_place=False)
+    marks = repeated_stretches(held, kind).groupBy("key").agg(F.flatten(F.collect_list("r")).alias("r"))
+    marked = held.select("key", "text").join(marks, "key").select("key", "text", F.col("r.a").alias("pos"), F.col("r.b").alias("till"))
     cut_schema = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("sha", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch, raw, offsets in text_blocks(batches):
             words = Words(raw, offsets)
             doc, pos = positions_of(batch)
+            _, till = positions_of(batch, "till")
             edge = np.zeros(len(words.hash) + WINDOW + 1, np.int64)
             np.add.at(edge, words.first[doc] + pos, 1)
-            np.add.at(edge, words.first[doc] + pos + WINDOW, -1)
+            np.add.at(edge, words.first[doc] + till - 1 + WINDOW, -1)
             gone = np.cumsum(edge)[: len(words.hash)] > 0
             whole = raw.tobytes()
             removed, sha = [], []
@@ -185,8 +232,6 @@ def dedup_words(docs: DataFrame) -> DataFrame:
     plain_schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch, raw, offsets in text_blocks(batches):
             words = Words(raw, offsets)
             whole = raw.tobytes()
