@@ -385,24 +385,72 @@ def test_pipeline_links_five_words_at_four_fifths(spark):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
-def test_dedup_words(odd, none):
+def removed_words(texts):
+    """Rows of dedup_words by brute force."""
     first, want = {}, []
-    for i, t in TEXTS:
+    for i, t in texts:
         w = words(t)
         for k in range(len(w) - 12):
             g = tuple(w[k : k + 13])
             first[g] = min(first.get(g, float("inf")), order(i))
-    for i, t in TEXTS:
+    for i, t in texts:
         w, gone = words(t), set()
         for k in range(len(w) - 12):
             if first[tuple(w[k : k + 13])] < order(i):
                 gone |= set(range(k, k + 13))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    assert got(dedup_words(odd), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+WORD_COLUMNS = ("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def test_dedup_words(odd, none):
+    assert got(dedup_words(odd), *WORD_COLUMNS) == removed_words(TEXTS)
     assert dedup_words(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [0, 3])
+def test_dedup_words_with_crowded_prefixes(spark, monkeypatch, group):
+    """Many stretches of one prefix: passages between texts that differ, cut by longer and longer prefixes."""
+    monkeypatch.setattr(suffix_tree, "GROUP", group)
+    rng = np.random.default_rng(3)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 300, n))
+    passage = own(40).split()
+    texts = [(k // 2, own(5 + k % 3) + "\n" + "  ".join(passage[k % 2 : 40 - k % 5]) + " " + own(20)) for k in range(40)]
+    texts += [(100 + k, " ".join(f"row {j} of one table with the same words in each of its rows" for j in range(k, k + 6))) for k in range(6)]
+    assert got(dedup_words(rows_of(spark, texts)), *WORD_COLUMNS) == removed_words(texts)
+
+
+def test_suffix_tree_has_the_nodes_of_brute_force():
+    """Every branching string of the suffixes is a node once, with its leaves and an edge that spells its last words."""
+    rng = np.random.default_rng(7)
+    base = [f"a{x}" for x in rng.integers(0, 4, 40)]
+    contexts = [" ".join(x).encode() for x in (base[:30], base[5:35], ["b", *base[10:28], "c"], base[:12], base[:13], base[10:28])]
+    lines = [x.decode().split() for x in contexts]
+    suffixes = [(i, k, tuple(line[k:])) for i, line in enumerate(lines) for k in range(len(line) - 12)]
+    want = {}
+    for _, _, s in suffixes:
+        for _, _, t in suffixes:
+            n = next((j for j in range(min(len(s), len(t))) if s[j] != t[j]), min(len(s), len(t)))
+            if n and s is not t:
+                want[s[:n]] = sorted((i, k) for i, k, u in suffixes if u[:n] == s[:n])
+    tree = suffix_tree.suffix_tree(suffix_tree.whole_words(contexts))
+    found = {}
+    for d, a, b, (i, k, n) in zip(tree.depth, tree.first, tree.last, tree.edge, strict=True):
+        if d:
+            word = tuple(lines[tree.who[a]][tree.at[a] : tree.at[a] + d])
+            assert word not in found and tuple(lines[i][k : k + n]) == word[d - n :] and n > 0
+            found[word] = sorted(zip(tree.who[a:b].tolist(), tree.at[a:b].tolist(), strict=True))
+    assert found == want
+    repeats = dict(suffix_tree.maximal_repeats(contexts))
+    for word, places in want.items():
+        if len(word) >= 13:
+            before = {lines[i][k - 1] if k else (i,) for i, k in places}
+            assert (" ".join(word).encode() in repeats) == (len(before) > 1)
+
+
 def removed_bytes(texts):
     """Rows of dedup_bytes by brute force; different texts of one id count as one document's, compared by position."""
     first, want = {}, []
