@@ -368,6 +368,21 @@ def test_ngram_join_of_short_texts(spark):
     assert {r.doc_id: r.component_id for r in linked_components(rows_of(spark, texts)).collect()} == want
 
 
+def test_ngram_join_in_chunks(spark, monkeypatch):
+    """A crowded hub in chunks of few sets: chains of near copies, some of which the hub itself doesn't link with."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
+    rng = np.random.default_rng(11)
+    own = [f"c{x}" for x in range(120)]
+    texts = []
+    for k in range(70):
+        texts.append((k, " ".join(own)))
+        for j in rng.choice(120, 9 if k % 23 == 22 else 1, replace=False):  # now and then too many changes at once
+            own[int(j)] = f"new{k}x{j}"
+    want = linked(texts)
+    assert 1 < len(set(want.values())) < 70
+    assert {r.doc_id: r.component_id for r in linked_components(rows_of(spark, texts)).collect()} == want
+
+
 def test_pipeline_links_five_words_at_four_fifths(spark):
     rng = np.random.default_rng(6)
     texts = [(k, " ".join(f"s{k // 2}x{i}" for i in range(n + k % 2))) for k, n in ((k, 3 + k // 2) for k in range(80))]
