@@ -13,8 +13,8 @@ from terrablock.functions.storage import saved
 
 #: Sites that every node may be held against directly; more of them are found through bins.
 MOST_SITES = 2_000
-#: Patches along a buffer: most pairs of patches are decided whole, without their nodes.
-FINE = 8
+#: Most patches along a buffer, and nodes that a patch should hold: most pairs of patches are decided whole, without their nodes.
+FINE, PATCH_NODES = 8, 16
 
 
 def bins_around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -64,19 +64,26 @@ def nearest_site(nodes: DataFrame, sites: DataFrame, most: int = MOST_SITES, sta
         rest, reach = saved(rest.select("cell", "node_id", "x_km", "y_km").join(hit, ["cell", "node_id"], "left_anti")), reach * 2
 
 
+def patches_along(nodes: DataFrame, g: float, b: float) -> int:
+    """How many patches to lay along the buffer, from the mean density of nodes in the blocks that have any."""
+    per = nodes.groupBy("cell", "block_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
+    return max(1, min(FINE, round(b / math.sqrt(max(per.k, 1) * g * g * PATCH_NODES / max(per.n or 0, 1)))))
+
+
 def near_blocks(nodes: DataFrame, g: float, b: float, max_gy: int) -> DataFrame:
     """cell, node_id, block_id, near_block: the other blocks of the cell that have a node closer than b. No draw takes part.
 
-    Nodes are gathered into patches (FINE along b) with their bounds. Two patches decide by their bounds alone whether all
+    Nodes are gathered into patches (up to FINE along b) with their bounds. Two patches decide by their bounds alone whether all
     their nodes are near or none is; only nodes of patches that are neither meet one by one. Bins inside the own block are
     left out, so inner nodes take no part.
     """
-    fx, fy = F.floor(F.col("x_km") * FINE / b), F.floor(F.col("y_km") * FINE / b)
+    fine = patches_along(nodes, g, b)
+    fx, fy = F.floor(F.col("x_km") * fine / b), F.floor(F.col("y_km") * fine / b)
     rows = nodes.select("cell", "node_id", "block_id", "x_km", "y_km", fx.alias("fx"), fy.alias("fy"))
     patch = ["cell", "block_id", "fx", "fy"]
     patches = rows.groupBy(*patch).agg(F.min("x_km").alias("x0"), F.max("x_km").alias("x1"), F.min("y_km").alias("y0"), F.max("y_km").alias("y1"))
     gx, gy = F.floor(F.col("block_id") / (max_gy + 1)), F.col("block_id") % (max_gy + 1)
-    own = F.floor(F.col("fx") / FINE), F.floor(F.col("fy") / FINE)
+    own = F.floor(F.col("fx") / fine), F.floor(F.col("fy") / fine)
     shift = F.array(F.lit(-1), F.lit(0), F.lit(1))
     left = patches.withColumn("kx", F.explode(F.transform(shift, lambda d: own[0] + d))).withColumn("ky", F.explode(F.transform(shift, lambda d: own[1] + d)))
     inside = (F.col("kx") * b >= gx * g) & ((F.col("kx") + 1) * b <= (gx + 1) * g) & (F.col("ky") * b >= gy * g) & ((F.col("ky") + 1) * b <= (gy + 1) * g)

@@ -336,6 +336,28 @@ def key_difference(spark, sf_dir):
     return left.withColumn("side", F.lit("plan")).unionByName(right.withColumn("side", F.lit("status")))
 
 
+@query
+def trained_level(spark, sf_dir):
+    """Error on valid test nodes, without a buffer, of the level that is the median of each draw's valid training nodes."""
+    s = Study(spark, sf_dir, 0.0)
+    level = saved(errors.draw_medians(s.nodes, s.roles, {"level": F.when(F.col("valid"), F.col("rssi"))}))
+    test = s.nodes.where("valid").select("cell", "block_id", "rssi").join(s.roles.where("role = 'test'"), ["cell", "block_id"]).join(level, ["cell", "seed"])
+    per = test.groupBy("cell", "seed").agg(F.avg(F.abs(F.col("rssi") - F.col("level"))).alias("mae"))
+    return rounded(per.groupBy("cell").agg(F.count("*").alias("n_draws"), F.avg("mae").alias("mean"), F.stddev_samp("mae").alias("sd")))
+
+
+@query
+def draw_seed_ratio(spark, sf_dir):
+    """SD of the valid test error over five draws against that over three trainings (their noise), by cell."""
+    s = Study(spark, sf_dir, draws=list(range(1, 6)))
+    trained = F.explode(F.array(*(F.struct(F.lit(k).alias("training"), (F.abs(F.pmod(F.col("node_id") * (7919 + k), F.lit(101)) - 50) / (5.0 + k % 3)).alias("e")) for k in (42, 43, 44))))
+    rows = s.left().where("role = 'test' AND valid").select("cell", "seed", trained.alias("t")).groupBy("cell", "seed", "t.training").agg(F.avg("t.e").alias("mae"))
+    rows = saved(rows)
+    by_draw = rows.groupBy("cell", "training").agg(F.stddev_samp("mae").alias("sd")).groupBy("cell").agg(F.avg("sd").alias("sd_draws"))
+    by_seed = rows.groupBy("cell", "seed").agg(F.stddev_samp("mae").alias("sd")).groupBy("cell").agg(F.count("*").alias("n_draws"), F.avg("sd").alias("sd_trainings"))
+    return rounded(by_draw.join(by_seed, "cell").withColumn("ratio", F.try_divide("sd_draws", "sd_trainings")))
+
+
 # ---------------------------------------------------------------- columns, channels, labels
 
 

@@ -185,6 +185,16 @@ BODIES = {
         LEFT JOIN (SELECT cell, count(*) FILTER (WHERE abs(other - constant) <= 0.117{D}) AS n_parity FROM ({_TWO.format('fspl_b')}) WHERE seed <= 5 AND pop = 'sentinel' GROUP BY cell) USING (cell)""",
         "middle sd over_floor",
     ),
+    "trained_level": rounded(
+        """SELECT cell, count(*) AS n_draws, avg(mae) AS mean, stddev_samp(mae) AS sd FROM (SELECT cell, seed, avg(abs(rssi - level)) AS mae FROM nodes JOIN roles USING (cell, block_id)
+        JOIN (SELECT cell, seed, median(rssi) AS level FROM nodes JOIN roles USING (cell, block_id) WHERE role = 'train' AND valid GROUP BY ALL) USING (cell, seed) WHERE role = 'test' AND valid GROUP BY ALL) GROUP BY cell""",
+        "mean sd",
+    ),
+    "draw_seed_ratio": rounded(
+        """SELECT cell, sd_draws, n_draws, sd_trainings, sd_draws / nullif(sd_trainings, 0) AS ratio FROM (SELECT cell, avg(sd) AS sd_draws FROM (SELECT cell, training, stddev_samp(mae) AS sd FROM trained GROUP BY ALL) GROUP BY cell)
+        JOIN (SELECT cell, count(*) AS n_draws, avg(sd) AS sd_trainings FROM (SELECT cell, seed, stddev_samp(mae) AS sd FROM trained GROUP BY ALL) GROUP BY cell) USING (cell)""",
+        "sd_draws sd_trainings ratio",
+    ),
     "plan_status": """SELECT *, CASE WHEN n_done = n_plan THEN 'COMPLETE' ELSE 'PARTIAL' END AS label FROM (SELECT cell, pred, count(*) AS n_plan, count(*) FILTER (WHERE rc = 0) AS n_done, count(*) FILTER (WHERE rc <> 0) AS n_failed, count(*) FILTER (WHERE rc IS NULL) AS n_open,
         count(*) FILTER (WHERE rc = 0 AND abs(mae - again) <= 1e-9 * greatest(1, abs(again))) AS n_agree
       FROM plan LEFT JOIN status USING (cell, pred, seed) LEFT JOIN (SELECT cell, pred, seed, mae FROM per_draw WHERE pop = 'all') USING (cell, pred, seed) LEFT JOIN (SELECT cell, pred, seed, sum(s) / sum(m) AS again FROM sums WHERE pop = 'all' GROUP BY ALL) USING (cell, pred, seed) GROUP BY cell, pred)""",
@@ -247,6 +257,7 @@ T_975 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624,
 _T = ", ".join(f"({k + 2}, {t}{D})" for k, t in enumerate(T_975))
 BODIES["t_intervals"] = rounded(f"SELECT cell, seed, pred, pop, k, t, err - t * sqrt(v) AS low, err + t * sqrt(v) AS high FROM variances JOIN (VALUES {_T}) q(k, t) USING (k) WHERE v IS NOT NULL", "t low high", 5)
 PARTS |= {
+    "trained": "SELECT cell, seed, training, avg(abs((node_id * (7919 + training)) % 101 - 50) / CAST(5 + training % 3 AS DOUBLE)) AS mae FROM left2, (VALUES (42), (43), (44)) t(training) WHERE role = 'test' AND valid AND seed <= 5 GROUP BY ALL",
     "wide": "SELECT cell, CAST(count(*) - count(DISTINCT node_id) AS DOUBLE) AS double_ids, CAST(count(*) FILTER (WHERE NOT valid AND (pl <> 300 OR rssi <> -110)) AS DOUBLE) AS odd_sentinels, avg(elevation) AS mean, stddev_samp(elevation) AS sd, CAST(count(*) FILTER (WHERE rssi IS NULL OR isnan(rssi) OR pl IS NULL OR isnan(pl)) AS DOUBLE) AS missing FROM nodes GROUP BY cell",
     "targets": "SELECT cell, block_id, CAST('0x' || substr(md5('target|' || node_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS t FROM nodes",
     "effect": """SELECT cell, var_samp(mae) / avg((1 - n / n_u) * s2 / n) AS permuted_effect FROM (SELECT cell, seed, avg(t) AS mae, count(*) AS n FROM targets JOIN roles USING (cell, block_id) WHERE role = 'test' GROUP BY ALL)
