@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, arrow_rows, doc_key, materialise, span_hash, table, text_blocks
+from .common import NO_ID, Words, arrow_rows, doc_key, materialise, small_side, span_hash, table, text_blocks
 
 WINDOW = 13
 #: Positions left free between two documents of a block, so that no phrase runs over.
@@ -135,9 +135,9 @@ def phrases_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def possible_phrases(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """item, length, shifts, terms of the phrases that the corpus can hold, terms from the corpus-wide rarest on."""
-    counts = index.where("n > 0").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = materialise(index.where("n > 0").groupBy("term").agg(F.sum("n").alias("n")))
     each = phrases.select("phrase", "item", F.size("terms").alias("length"), F.posexplode("terms").alias("at", "term"))
-    found = each.join(counts, "term").groupBy("phrase", "item", "length").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("by"))
+    found = each.join(small_side(counts), "term").groupBy("phrase", "item", "length").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("by"))
     return found.where(F.size("by") == F.col("length")).select("item", "length", F.transform("by", lambda x: x["at"]).alias("shifts"), F.transform("by", lambda x: x["term"]).alias("terms"))
 
 
