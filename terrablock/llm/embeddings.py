@@ -1,8 +1,9 @@
 """Operator 4: embedding near-dedup with randomised-rotation binary codes.
 
-Each vector is rotated at random and stored as the signs of its coordinates with a factor, its cosine with them. That
-and the product of another vector with the signs bound the cosine of the two from above (angles obey the triangle
-inequality). Pairs whose bound stays under the threshold are dropped; all others are computed exactly in doubles.
+Each vector is rotated at random and stored as the signs of its coordinates with a correction factor, its cosine with
+them. The product of another vector with the signs, divided by the factor, estimates the cosine of the two without bias;
+the factor also gives the bounds of that estimate. Pairs whose bounds lie under the threshold are dropped; all others are
+computed exactly in doubles. At the confidence that the operator takes, 1, the bounds hold for certain, so no link is lost.
 Large labels are cut into cells by their nearest pivot, and a vector visits each other cell that may hold a link of it.
 """
 
@@ -27,6 +28,8 @@ WHOLE = 8192
 #: Allowance of the bounds for rounding.
 SLACK = 1e-3
 TILE = 1024
+#: Standard deviations of the estimate's error that its bounds hold; None: the bounds hold for certain.
+EPSILON = None
 
 
 def rotation(d: int) -> np.ndarray:
@@ -41,6 +44,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def estimates(y: np.ndarray, signs: np.ndarray, factor: np.ndarray, epsilon: float | None = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """(estimate, greatest cosine) of each rotated unit vector behind signs (+1, -1; rows) with each of y (rows): (rows of signs, rows of y).
+
+    With x = the vector, s = its signs over the root of d, f = x.s and c = y.s: s = f x + sqrt(1 - f^2) u, u a direction at
+    right angles to x that the random rotation makes even in all such directions. So c / f = x.y + sqrt(1 - f^2) / f (u.y)
+    estimates x.y without bias; u.y has the deviation sqrt(1 - (x.y)^2) / sqrt(d - 1), and is never over sqrt(1 - (x.y)^2).
+    The greatest cosine is that which puts c within epsilon deviations, or, for certain, the one that u along y would take.
+    """
+    d = y.shape[1]
+    c = np.clip((signs @ y.T) / np.float32(math.sqrt(d)), -1, 1)
+    f = np.minimum(factor, 1).astype(np.float32)[:, None]
+    share = np.float32(1 if epsilon is None else min(1, epsilon / math.sqrt(max(d - 1, 1))))
+    side = np.sqrt(1 - f**2) * share  # c = f t + side sqrt(1 - t^2) solved for the larger t
+    long = np.sqrt(f**2 + side**2)
+    c /= long
+    np.clip(c, -1, 1, out=c)
+    return c * long / np.maximum(f, np.float32(1e-6)), c * (f / long) + np.sqrt(1 - c**2) * (side / long)
+
+
 def cells_of(x: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
     """The cells of each unit vector: first its home, the nearest pivot's, then the later ones that it visits.
 
@@ -59,8 +81,8 @@ def cells_of(x: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def encoded(vectors: DataFrame, pivots: dict[tuple[int, int], np.ndarray]) -> DataFrame:
-    """The index: id, label, d, n (copies), vector (of length 1, bytes of doubles), signs (packed), factor, cells. pivots: by label and d."""
+def encoded(vectors: DataFrame, pivots: dict[tuple[str, int], np.ndarray]) -> DataFrame:
+    """The index: id (the number of a row), label, d, n (copies), vector (of length 1, bytes of doubles), signs (packed), factor, cells. pivots: by label and d."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -71,10 +93,10 @@ def encoded(vectors: DataFrame, pivots: dict[tuple[int, int], np.ndarray]) -> Da
                 out["vector"] = [v.tobytes() for v in x]
                 out["signs"] = [s.tobytes() for s in np.packbits(y > 0, axis=1)]
                 out["factor"] = np.abs(y).sum(axis=1) / math.sqrt(d)
-                out["cells"] = pd.Series(cells_of(x, pivots.get((int(label), int(d)), x[:0])), index=own.index, dtype=object)
+                out["cells"] = pd.Series(cells_of(x, pivots.get((label, int(d)), x[:0])), index=own.index, dtype=object)
                 yield out
 
-    return vectors.mapInPandas(encode, "id long, label int, d int, n long, vector binary, signs binary, factor double, cells array<long>")
+    return vectors.mapInPandas(encode, "id long, label string, d int, n long, vector binary, signs binary, factor double, cells array<long>")
 
 
 def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
@@ -89,9 +111,7 @@ def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
 
     x, y = (np.frombuffer(b"".join(side.vector), np.float64).reshape(len(side), d) for side in (left, right))
     signs = np.unpackbits(np.frombuffer(b"".join(left.signs), np.uint8).reshape(len(left), -1), axis=1)[:, :d].astype(np.float32) * 2 - 1
-    factor = np.minimum(left.factor.to_numpy(), 1).astype(np.float32)[:, None]
-    cosine = np.clip((signs @ (y @ rotation(d).T).T.astype(np.float32)) / np.float32(math.sqrt(d)), -1, 1)
-    i, j = np.nonzero(cosine * factor + np.sqrt((1 - cosine**2) * (1 - factor**2)) >= LEAST_COSINE - SLACK)
+    i, j = np.nonzero(estimates((y @ rotation(d).T).astype(np.float32), signs, left.factor.to_numpy())[1] >= LEAST_COSINE - SLACK)
     if same:
         i, j = i[i < j], j[i < j]
     if len(i) > len(x) * len(y) // 64:  # so many are computed faster by whole rows
@@ -121,24 +141,25 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of embeddings.
 
     Only vectors of one label and one length are compared. Nulls: a null label, a null or zero vector, or one that holds
-    null or non-finite numbers links with nothing; a null vec_id orders after every other and is returned as null.
-    Equal vectors of a label (repeated rows too) are combined first and link with each other; other columns are ignored;
-    an empty table gives no rows. Every pair at the threshold
+    null or non-finite numbers links with nothing. Every row is a vector of its own, whether its vec_id is null or stands
+    on others too: the row's number is the node of the links, vec_id only names the component, by the smallest one of its
+    rows (null last). Equal vectors of a label (repeated rows too) are combined first and link with each other; other
+    columns are ignored; an empty table gives no rows. Every pair at the threshold
     is found: a label has a pivot for each WHOLE distinct vectors, and a pair of two cells meets in the later one. A cell
     of any size is cut into tiles, so none is capped. Where the pivots part nothing, all tiles meet.
     """
     good = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
-    rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("label").cast("int").alias("label"), "embedding").withColumn("good", good)
-    rows = rows.withColumn("same", F.when(F.col("good"), F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.array_join(F.transform("embedding", lambda v: v.cast("string")), ",")), 256)))
+    rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("label").cast("string").alias("label"), "embedding").withColumn("good", good)
+    rows = rows.withColumn("same", F.when(F.col("good"), F.sha2(F.concat(F.array_join(F.transform("embedding", lambda v: v.cast("string")), ","), F.lit(":"), "label"), 256)))
     named = materialise(rows.select("id", "label", "good", "same", F.when(F.col("good"), F.col("embedding")).alias("embedding"), F.monotonically_increasing_id().alias("row")))
-    first = materialise(named.where("good").groupBy("same").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value(F.size("embedding")).alias("d")))
+    first = materialise(named.where("good").groupBy("same").agg(F.min("id").alias("first_id"), F.min("row").alias("first_row"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value(F.size("embedding")).alias("d")))
     sizes = first.groupBy("label", "d").agg(F.count("*").alias("m")).select(F.col("label").alias("_label"), F.col("d").alias("_d"), "m", F.ceil(F.col("m") / WHOLE).alias("cells"))
     owned = named.where("good").select("id", "row", "same")
-    one = join_by_key(owned, first, ["same"]).where("id = first_id").groupBy("same").agg(F.min("row").alias("row"), F.any_value("id").alias("id"), F.any_value("label").alias("label"), F.any_value("d").alias("d"), F.any_value("n").alias("n"))
-    distinct = named.select("row", "embedding").join(one, "row").drop("row")
+    one = first.select(F.col("first_row").alias("id"), "same", "label", "d", "n")
+    distinct = named.select(F.col("row").alias("id"), "embedding").join(one, "id")
     large = [(F.col("label") == F.col("_label")) & (F.col("d") == F.col("_d"))]
     chosen = distinct.join(small_side(sizes.where("cells > 1")), large).where(F.pmod(F.xxhash64("same"), "m") < F.col("cells")).select("label", "d", "same", "embedding").collect()
-    pivots: dict[tuple[int, int], list] = {}  # one for WHOLE vectors
+    pivots: dict[tuple[str, int], list] = {}  # one for WHOLE vectors
     for r in sorted(chosen, key=lambda r: r.same):
         pivots.setdefault((r.label, r.d), []).append(r.embedding)
     units = {k: unit(np.array(v, np.float64)) for k, v in pivots.items()}
@@ -157,10 +178,13 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     found = materialise(tiles.groupBy(*cell, "p", "q").applyInPandas(tile_links, "a long, b long, links long"))
     counts = found.groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b"))
-    known = first.select("same", "first_id", "n").join(counts, F.col("first_id") == F.col("_a"), "left").join(roots, F.col("first_id") == F.col("node"), "left")
-    linked = join_by_key(owned, materialise(known.select("same", "first_id", "n", "links", "root")), ["same"])
-    out = linked.select("id", "first_id", "n", "links", "root").unionByName(named.where("NOT good").select("id"), allowMissingColumns=True)
-    component = F.coalesce("root", "first_id", "id")
+    joined = first.select("same", "first_id", "first_row", "n").join(counts, F.col("first_row") == F.col("_a"), "left").join(roots, F.col("first_row") == F.col("node"), "left")
+    known = materialise(joined.select("same", "first_id", F.col("n").alias("copies"), "links", F.coalesce("root", "first_row").alias("root")))
+    lowest = materialise(known.groupBy("root").agg(F.min("first_id").alias("lowest"), F.count("*").alias("n")))
+    sets = materialise(join_by_key(known, lowest, ["root"]).select("same", F.col("copies").alias("n"), "links", "lowest"))
+    linked = join_by_key(owned, sets, ["same"])
+    out = linked.select("id", "n", "links", "lowest").unionByName(named.where("NOT good").select("id"), allowMissingColumns=True)
+    component = F.coalesce("lowest", "id")
     links = F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("vec_id"), links.cast("long").alias("n_links"), F.nullif(component, F.lit(NO_ID)).alias("component_id"), (F.col("id") == component).alias("kept"))
 
@@ -170,12 +194,13 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH RECURSIVE good AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WITH RECURSIVE base AS MATERIALIZED (SELECT vec_id AS real_id, row_number() OVER () AS vec_id, label, embedding FROM embeddings),
+good AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM base
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
 links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
-reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
-roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+reach(a, b) AS (SELECT vec_id, vec_id FROM base UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a, min(q.real_id) AS component_id FROM reach JOIN base q ON q.vec_id = b GROUP BY a),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
-FROM embeddings JOIN roots ON roots.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+SELECT real_id AS vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(real_id = component_id, component_id IS NULL) AS kept
+FROM base JOIN roots ON roots.a = vec_id LEFT JOIN counts ON counts.a = vec_id
 """

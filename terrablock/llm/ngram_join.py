@@ -11,6 +11,7 @@ then walked against all chunks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,6 +104,16 @@ def set_digests(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "key", "text").mapInArrow(digest, "id long, key long, size long, s1 long, s2 long, n_bytes long")
 
 
+def digests_by_key(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(keyed rows, their saved digests) under the first seed that gives no two different (id, set) one key of 64 bits."""
+    for seed in itertools.count():
+        rows = keyed(docs, seed)
+        meta = materialise(set_digests(rows, size))
+        what = F.struct("id", "size", "s1", "s2")
+        if meta.groupBy("key").agg(F.min(what).alias("a"), F.max(what).alias("b")).where("a <> b").isEmpty():
+            return rows, meta
+
+
 def frequent_members(texts: DataFrame, n_docs: int, words: int) -> np.ndarray:
     """Hashes of the members of over 1 in RARE sets, rarest first. Counts of a stretch of COUNT_OVER bytes start at 4."""
 
@@ -336,18 +347,19 @@ def group_links(rows: DataFrame, link: Link) -> DataFrame:
 def linked_components(docs: DataFrame, link: Link = TRIPLES) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
-    Nulls and empties: a null or empty text, or one of white space, has no set and is linked with nothing; a null doc_id
-    orders after every other and is returned as null. Rows of one doc_id count as one document of the links. Equal sets
-    are combined first, so copies and repeated rows cost one set; component_id is the smallest doc_id reachable.
+    Every row is a document of its own: rows of one doc_id, or of none, link only by what they hold. Nulls and empties: a
+    null or empty text, or one of white space, has no set and is linked with nothing; a null doc_id orders after every
+    other and is returned as null. Equal sets are combined first, so copies and repeated rows cost one set; component_id
+    is the smallest doc_id among the rows reachable. The sets are the nodes of the links, each named by the key of one
+    of its rows.
     """
-    rows = keyed(docs)
-    meta = materialise(set_digests(rows, link.size))
+    rows, meta = digests_by_key(docs, link.size)
     name = ["size", "s1", "s2"]
-    first = materialise(meta.where("size > 0").groupBy(*name).agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
+    first = materialise(meta.where("size > 0").groupBy(*name).agg(F.min("id").alias("first_id"), F.min("key").alias("node"), F.count("*").alias("n")))
     whole = join_by_key(meta.where("size > 0"), first, name).drop("n").unionByName(meta.where("size = 0"), allowMissingColumns=True)
     meta = materialise(whole.withColumnRenamed("size", "n"))
-    copies = meta.where("n = 0 OR id > first_id").select(F.col("key").alias("copy")).distinct()
-    texts = rows.join(small_side(copies), F.col("key") == F.col("copy"), "left_anti")
+    copies = meta.where("n = 0 OR key <> node").select(F.col("key").alias("copy")).distinct()
+    texts = rows.join(small_side(copies), F.col("key") == F.col("copy"), "left_anti").select(F.col("key").alias("id"), "text")
     order = Order(frequent_members(texts, meta.count(), link.size))
     members = materialise(naming_members(shared_heads(texts, order, buckets_for(meta), link), link))
     hubs = members.groupBy("member").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("member", "hub")
@@ -367,8 +379,12 @@ def linked_components(docs: DataFrame, link: Link = TRIPLES) -> DataFrame:
     against = grouped.join(turns, "hub").select("hub", "id", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asked"))
     more = group_links(asking.unionByName(against).join(lists.select("id", "members"), "id"), link)
     roots = components(found.select("a", "b").unionByName(more.select("a", "b")))
-    joined = meta.join(roots, F.col("first_id") == F.col("node"), "left")
-    return joined.select(real_id(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real_id(F.coalesce("root", "first_id", "id")).alias("component_id"))
+    known = materialise(first.select("node", "first_id", F.col("n").alias("rows")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    lowest = materialise(known.groupBy("root").agg(F.min("first_id").alias("component"), F.count("*").alias("n")))
+    sets = materialise(join_by_key(known, lowest, ["root"]).select("node", F.col("rows").alias("n"), "component"))
+    joined = join_by_key(meta.where("n > 0").withColumnRenamed("n", "size"), sets, ["node"]).select("id", "size", "component")
+    alone = meta.where("n = 0").select("id", F.col("n").alias("size"), F.col("id").alias("component"))
+    return joined.unionByName(alone).select(real_id(F.col("id")).alias("doc_id"), F.col("size").alias("n_shingles"), real_id(F.col("component")).alias("component_id"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,12 +392,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH RECURSIVE base AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE base AS MATERIALIZED (SELECT doc_id AS real_id, row_number() OVER () AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 grams AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM base WHERE len(w) > 0)),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 190 * k >= 90 * (p.n + q.n)),
 reach(a, b) AS (SELECT doc_id, doc_id FROM base UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
-FROM base LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+SELECT real_id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM base LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(q.real_id) AS component_id FROM reach JOIN base q ON q.doc_id = b GROUP BY a) USING (doc_id)
 """

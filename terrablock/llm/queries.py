@@ -9,7 +9,7 @@ from .ngram_join import OP6_SQL, op6_ngram_join
 from .quality import op10_quality
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import OP1_SQL, op1_shards
-from .suffix_array import op9_bytes
+from .suffix_array import OP9_SQL, op9_bytes
 from .suffix_tree import OP7_SQL, op7_substrings
 from .toxicity import op3_toxicity
 
@@ -33,4 +33,5 @@ SQL = {
     "op6_ngram_join": OP6_SQL,
     "op7_substrings": OP7_SQL,
     "op8_mix": OP8_SQL,
+    "op9_bytes": OP9_SQL,
 }

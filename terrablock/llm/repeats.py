@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, arrow_rows, doc_key, join_by_key, materialise, small_side, text_blocks
@@ -25,10 +25,15 @@ COMBINE, BUCKET = 16 << 20, 32 << 20
 LEAST_BUCKETS = 256
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """id (null: NO_ID), text (null: empty), n_bytes, key: a hash of both that names the row's text."""
+def keyed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """id (null: NO_ID), text (null: empty), n_bytes, key: a hash of both and the seed. id and key name the text of a row;
+    repeated rows share them."""
     rows = docs.select(doc_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("key", F.xxhash64("id", "text"))
+    return rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("key", F.xxhash64("id", "text", F.lit(seed)))
+
+
+def same_text(id_col: str, key_col: str) -> Column:
+    return (F.col("id") == F.col(id_col)) & (F.col("key") == F.col(key_col))
 
 
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,8 +43,8 @@ def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = materialise(sums)
     first = materialise(named.groupBy("sig").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
     meta = materialise(join_by_key(named, first, ["sig"]).select("id", "key", "n_bytes", "sig", "first_id"))
-    copies = meta.where("id > first_id").select(F.col("key").alias("copy")).distinct()
-    return meta, rows.join(small_side(copies), F.col("key") == F.col("copy"), "left_anti")
+    copies = meta.where("id > first_id").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    return meta, rows.join(small_side(copies), same_text("_id", "_key"), "left_anti")
 
 
 def buckets_for(rows: DataFrame) -> int:
@@ -130,10 +135,16 @@ def repeated_anchors(texts: DataFrame, anchors: Callable, n_buckets: int, across
 
 
 def with_positions(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """id, key, text, pos of the texts that have positions in found: only these texts are shuffled and kept."""
+    """id, key, text, pos of the texts that have positions in found, one row for all repeated rows of a text: only these texts are shuffled and kept."""
     lists = materialise(found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("pos")))
     some = small_side(lists.select("key"), 1_000_000)
-    return materialise(texts.join(some, "key", "left_semi").select("id", "key", "text").join(lists, "key").select("id", "key", "text", "pos"))
+    held = materialise(texts.join(some, "key", "left_semi").select("id", "key", "text").join(lists, "key").select("id", "key", "text", "pos"))
+    both = ["id", "key"]
+    again = materialise(held.groupBy(*both).agg(F.count("*").alias("n")).where("n > 1").select(*both))
+    if again.isEmpty():
+        return held
+    again = small_side(again)
+    return materialise(held.join(again, both, "left_anti").unionByName(held.join(again, both, "left_semi").dropDuplicates(both)))
 
 
 def real_id(column):
@@ -241,8 +252,8 @@ def late_windows(first: DataFrame, kind: Stretches, level: int = 0) -> DataFrame
 
 
 def repeated_stretches(held: DataFrame, kind: Stretches) -> DataFrame:
-    """key, r: ranges of window starts (a, b exclusive) that also start earlier. held: id, key, text, pos."""
+    """id, key, r: ranges of window starts (a, b exclusive) that also start earlier. held: id, key, text, pos."""
     every = materialise(held.mapInArrow(kind.cut, STRETCH_SQL).withColumn("cid", F.xxhash64("ctx")))
     first = first_places(every)
     placed = late_ranges(every.drop("ctx"), first, late_windows(first, kind), kind.by_place)
-    return placed.select("key", F.transform("r", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("r"))
+    return placed.select("id", "key", F.transform("r", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("r"))

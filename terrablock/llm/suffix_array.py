@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PIECE, SpanHash, arrow_rows, minima, span_hash, table, text_blocks
-from .repeats import CUT, STRETCH, Stretches, buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, repeated_stretches, with_positions
+from .repeats import CUT, STRETCH, Stretches, buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, repeated_stretches, same_text, with_positions
 
 WINDOW = 100
 #: Lengths of anchors. The stretches of an anchor with over GROUP distinct ones are cut by the next length; windows that
@@ -71,8 +71,6 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc, at - offsets[doc], w.hash(at)
 
 
-
-
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of windows whose anchor is among the row's positions."""
     for batch, raw, offsets in text_blocks(batches):
@@ -178,17 +176,17 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
     Each byte covered by a string of WINDOW bytes that also starts earlier (in a smaller doc_id, or before in the same
     document) goes; strings are judged on the input and never cross documents. Nulls: a null text has no bytes; a null
-    doc_id orders after every other and is returned as null. Repeated rows do not remove each other's bytes; different
-    texts of one doc_id are compared by position. Texts under WINDOW bytes keep all; an empty table gives no rows; other
+    doc_id orders after every other and is returned as null. Repeated rows do not remove each other's bytes and each come
+    out once, with the same result; different texts of one doc_id are compared by position. Texts under WINDOW bytes keep all; an empty table gives no rows; other
     columns are ignored. A long text is hashed piece by piece; about ten bytes for each of its bytes are held beside it.
     """
     rows = keyed(docs)
     meta, texts = distinct_texts(rows)
     held = with_positions(texts, repeated_anchors(texts, anchors, buckets_for(meta), across=False))
     kind = Stretches(ANCHORS, GROUP, stretches, recut, later_windows, by_place=True)
-    marks = repeated_stretches(held, kind).groupBy("key").agg(F.flatten(F.collect_list("r")).alias("r"))
-    marked = held.select("key", "text").join(marks, "key").select("key", "text", F.col("r.a").alias("pos"), F.col("r.b").alias("till"))
-    schema = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("sha", pa.string())])
+    marks = repeated_stretches(held, kind).groupBy("id", "key").agg(F.flatten(F.collect_list("r")).alias("r"))
+    marked = held.select("id", "key", "text").join(marks, ["id", "key"]).select("id", "key", "text", F.col("r.a").alias("pos"), F.col("r.b").alias("till"))
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("sha", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_blocks(batches):
@@ -204,10 +202,10 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                 removed.append(int(own.sum()))
                 spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
                 sha.append(hashlib.sha256(text[~own].tobytes()).hexdigest())
-            yield arrow_rows(schema, batch.column(0), removed, spans, sha)
+            yield arrow_rows(schema, batch.column(0), batch.column(1), removed, spans, sha)
 
-    results = marked.mapInArrow(cut, "key long, removed long, spans long, sha string").withColumnRenamed("key", "_key")
-    joined = meta.join(results, F.col("key") == F.col("_key"), "left")
+    results = marked.mapInArrow(cut, "id long, key long, removed long, spans long, sha string").withColumnsRenamed({"id": "_id", "key": "_key"})
+    joined = meta.join(results, same_text("_id", "_key"), "left")
     copy = (F.col("id") > F.col("first_id")) & (F.col("n_bytes") >= WINDOW)  # an earlier document has the same text
     zero = F.lit(0).cast("long")
     return joined.select(
@@ -221,3 +219,19 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
 def op9_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+#: In hexadecimal, two digits a byte: a string of 100 bytes is 200 digits that start at an odd place.
+OP9_SQL = """
+WITH base AS (SELECT row_number() OVER () AS rn, coalesce(doc_id, 9223372036854775807) AS id, doc_id, lower(hex(encode(coalesce(text, '')))) AS x, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+wins AS (SELECT rn, id, i, md5(x[2 * i - 1:2 * i + 198]) AS g FROM (SELECT rn, id, x, unnest(range(1, n - 98)) AS i FROM base)),
+low AS (SELECT g, min(struct_pack(id := id, i := i)) AS m FROM wins GROUP BY g),
+late AS (SELECT rn, i FROM wins JOIN low USING (g) WHERE m < struct_pack(id := id, i := i)),
+edge AS (SELECT rn, i, i - coalesce(lag(i) OVER (PARTITION BY rn ORDER BY i), -100) > 100 AS opens FROM late),
+runs AS (SELECT rn, min(i) AS a, max(i) + 100 AS b FROM (SELECT rn, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY rn ORDER BY i) AS r FROM edge) GROUP BY rn, r),
+cut AS (SELECT rn, sum(b - a) AS removed, count(*) AS spans, list(struct_pack(a := a, b := b) ORDER BY a) AS l FROM runs GROUP BY rn),
+keep AS (SELECT rn, list_zip(list_concat([1], list_transform(l, lambda s: s.b)), list_concat(list_transform(l, lambda s: s.a), [n + 1])) AS k FROM cut JOIN base USING (rn))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN k IS NULL THEN sha256(unhex(x)) ELSE sha256(unhex(array_to_string(list_transform(k, lambda s: x[2 * s[1] - 1:2 * s[2] - 2]), ''))) END AS kept_sha256
+FROM base LEFT JOIN cut USING (rn) LEFT JOIN keep USING (rn)
+"""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, Words, arrow_rows, minima, small_side, table, text_blocks
-from .repeats import CUT, STRETCH, Stretches, buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, repeated_stretches, with_positions
+from .repeats import CUT, STRETCH, Stretches, buckets_for, distinct_texts, keyed, positions_of, real_id, repeated_anchors, repeated_stretches, same_text, with_positions
 
 WINDOW = 13
 #: Lengths of prefixes in words, and how many distinct stretches a prefix may have before it is lengthened.
@@ -200,7 +200,7 @@ def dedup_words(docs: DataFrame) -> DataFrame:
 
     Each word covered by a window of WINDOW words that also starts in a document of a smaller doc_id goes; windows are
     judged on the input. Nulls: a null text has no words; a null doc_id orders after every other and is returned as null.
-    Repeated rows (or different texts of one doc_id) do not remove each other's words. Texts under WINDOW words keep all;
+    Repeated rows (or different texts of one doc_id) do not remove each other's words; each comes out once, with the same result. Texts under WINDOW words keep all;
     an empty table gives no rows; other columns are ignored. A block, or a longer text alone, is held with some ten bytes
     for each of its bytes.
     """
@@ -208,9 +208,9 @@ def dedup_words(docs: DataFrame) -> DataFrame:
     meta, texts = distinct_texts(rows)
     held = with_positions(texts, repeated_anchors(texts, anchors, buckets_for(meta), across=True))
     kind = Stretches(ANCHORS, GROUP, stretches, recut, later_windows, by_place=False)
-    marks = repeated_stretches(held, kind).groupBy("key").agg(F.flatten(F.collect_list("r")).alias("r"))
-    marked = held.select("key", "text").join(marks, "key").select("key", "text", F.col("r.a").alias("pos"), F.col("r.b").alias("till"))
-    cut_schema = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("sha", pa.string())])
+    marks = repeated_stretches(held, kind).groupBy("id", "key").agg(F.flatten(F.collect_list("r")).alias("r"))
+    marked = held.select("id", "key", "text").join(marks, ["id", "key"]).select("id", "key", "text", F.col("r.a").alias("pos"), F.col("r.b").alias("till"))
+    cut_schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("removed", pa.int64()), ("sha", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in text_blocks(batches):
@@ -227,7 +227,7 @@ def dedup_words(docs: DataFrame) -> DataFrame:
                 own = range(words.first[d], words.first[d + 1])
                 removed.append(int(gone[words.first[d] : words.first[d + 1]].sum()))
                 sha.append(hashlib.sha256(b" ".join(whole[words.start[i] : words.end[i]] for i in own if not gone[i])).hexdigest())
-            yield arrow_rows(cut_schema, batch.column(0), removed, sha)
+            yield arrow_rows(cut_schema, batch.column(0), batch.column(1), removed, sha)
 
     plain_schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
 
@@ -239,9 +239,9 @@ def dedup_words(docs: DataFrame) -> DataFrame:
             yield arrow_rows(plain_schema, batch.column(0), batch.column(1), np.diff(words.first), sha)
 
     counts = rows.select("id", "key", "text").mapInArrow(plain, "id long, key long, n_words long, sha string")
-    results = marked.mapInArrow(cut, "key long, removed long, sha string").withColumnRenamed("sha", "cut_sha").withColumnRenamed("key", "_key")
-    firsts = meta.where("id > first_id").select(F.col("key").alias("_copy")).distinct()
-    joined = counts.join(small_side(firsts), F.col("key") == F.col("_copy"), "left").join(results, F.col("key") == F.col("_key"), "left")
+    results = marked.mapInArrow(cut, "id long, key long, removed long, sha string").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "removed", F.col("sha").alias("cut_sha"))
+    firsts = meta.where("id > first_id").select(F.col("id").alias("_copy_id"), F.col("key").alias("_copy")).distinct()
+    joined = counts.join(small_side(firsts), same_text("_copy_id", "_copy"), "left").join(results, same_text("_id", "_key"), "left")
     copy = F.col("_copy").isNotNull() & (F.col("n_words") >= WINDOW)  # an earlier document has the same text
     return joined.select(
         real_id(F.col("id")).alias("doc_id"),
