@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +176,10 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.hash = span_hash(self.raw, self.start, self.end)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hash(self.raw, self.start, self.end)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether these lie in one document."""
@@ -267,5 +271,12 @@ def summed(partials: DataFrame) -> np.ndarray:
     return out
 
 
+def tree_summed(partials: DataFrame, length: int) -> np.ndarray:
+    """Element-wise sum of the column v (bytes of length float64), a partial sum from each task, merged in a tree of tasks."""
+    context = partials.sparkSession.sparkContext
+    vectors = partials.rdd.map(lambda r: np.frombuffer(r.v, np.float64))
+    return context.parallelize([np.zeros(length)], 1).union(vectors).treeReduce(np.add)
+
+
 def fold_of(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n

@@ -7,6 +7,7 @@ from .embeddings import OP4_SQL, op4_near_vectors
 from .mixing import OP8_SQL, op8_mix
 from .ngram_join import OP6_SQL, op6_ngram_join
 from .quality import op10_quality
+from .resampling import OP13_SQL, op13_resample
 from .secrets import OP2_SQL, op2_secrets
 from .sharding import OP1_SQL, op1_shards
 from .suffix_array import OP9_SQL, op9_bytes
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_bytes": op9_bytes,
     "op10_quality": op10_quality,
+    "op13_resample": op13_resample,
 }
 SQL = {
     "op1_shards": OP1_SQL,
@@ -34,4 +36,5 @@ SQL = {
     "op7_substrings": OP7_SQL,
     "op8_mix": OP8_SQL,
     "op9_bytes": OP9_SQL,
+    "op13_resample": OP13_SQL,
 }

@@ -70,7 +70,7 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-def _nibbles() -> list[int]:
+def nibbles() -> list[int]:
     """Remainders of the 16 half bytes under CRC-32's polynomial."""
     out = []
     for v in range(16):
@@ -88,7 +88,7 @@ sums AS (
   SELECT doc_id, key, CAST(len(hx) // 2 + 1 AS BIGINT) AS size,
          xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(hx)), lambda i:
              CAST(strpos('0123456789ABCDEF', list_extract(digits, i + 2 - 2 * (i % 2))) - 1 AS BIGINT))),
-             lambda c, x: xor(CAST(list_extract({_nibbles()}, (xor(c, x) & 15) + 1) AS BIGINT), c >> 4)), CAST(4294967295 AS BIGINT)) AS text_crc32
+             lambda c, x: xor(CAST(list_extract({nibbles()}, (xor(c, x) & 15) + 1) AS BIGINT), c >> 4)), CAST(4294967295 AS BIGINT)) AS text_crc32
   FROM raw),
 draws AS (
   SELECT key, max_by(s, substr(md5(concat(key, ':', s)), 1, 13)) FILTER (WHERE s < 16) AS shard, max_by(s, substr(md5(concat(key, ':', s)), 1, 13)) AS grown
