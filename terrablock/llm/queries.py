@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_align
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .embeddings import OP4_SQL, op4_near_vectors
 from .mixing import OP8_SQL, op8_mix
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_bytes": op9_bytes,
     "op10_quality": op10_quality,
+    "op12_align": op12_align,
     "op13_resample": op13_resample,
 }
 SQL = {
