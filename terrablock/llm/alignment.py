@@ -135,49 +135,41 @@ def linked_blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(blocks, BLOCK_SQL))
 
 
-def dense_sums(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the A ids in use, a matrix of counts: the stripe's B ids by those)."""
+def dense_sums(frame: pd.DataFrame, stripe: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, count, whether b has no higher one) of the pairs of a stripe's parts, from a matrix of its B ids by the A ids in use."""
+    a, b, n = (np.concatenate([np.asarray(x, np.int64) for x in frame[c]]) for c in ("a", "b", "n"))
     used, column = np.unique(a, return_inverse=True)
-    counts = np.zeros((STRIPE, len(used)), np.int64)
-    np.add.at(counts, (b % STRIPE, column), n)
-    return used, counts
-
-
-def gathered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.concatenate([np.asarray(x, np.int64) for x in frame[c]]) for c in ("a", "b", "n"))
-
-
-def add_parts(frame: pd.DataFrame) -> pd.DataFrame:
-    used, counts = dense_sums(*gathered(frame))
-    row, column = np.nonzero(counts)
-    stripe = int(frame.stripe.iloc[0])
-    return pd.DataFrame({"stripe": [stripe], "part": frame.part.iloc[:1], "a": [used[column]], "b": [stripe * STRIPE + row], "n": [counts[row, column]]})
-
-
-def best_of(frame: pd.DataFrame) -> pd.DataFrame:
-    """a, b, total, best (whether none of b's pairs has more) of the stripe's pairs."""
-    used, counts = dense_sums(*gathered(frame))
+    counts = np.zeros((stripe, len(used)), np.int64)
+    np.add.at(counts, (b % stripe, column), n)
     row, column = np.nonzero(counts)
     total = counts[row, column]
-    return pd.DataFrame({"a": used[column].astype(np.int32), "b": (int(frame.stripe.iloc[0]) * STRIPE + row).astype(np.int32), "total": total, "best": total == counts.max(axis=1)[row]})
+    return used[column], int(frame.stripe.iloc[0]) * stripe + row, total, total == counts.max(axis=1)[row]
 
 
-def pair_counts(blocks: DataFrame) -> DataFrame:
+def pair_counts(blocks: DataFrame, stripe: int, fan: int) -> DataFrame:
     """A saved table of a, b, total, best: each pair's number of links in the corpus, and whether b has no more with any other."""
 
+    def add_parts(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, n, _ = dense_sums(frame, stripe)
+        return pd.DataFrame({"stripe": frame.stripe.iloc[:1], "part": frame.part.iloc[:1], "a": [a], "b": [b], "n": [n]})
+
+    def best_of(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, n, best = dense_sums(frame, stripe)
+        return pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "total": n, "best": best})
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b, n = (np.array(x, np.int64) for x in lists)  # pairs stand in order of b
-                stripes, first = np.unique(b // STRIPE, return_index=True)
+                stripes, first = np.unique(b // stripe, return_index=True)
                 cut = [np.split(x, first[1:]) if len(first) else [] for x in (a, b, n)]
                 yield arrow_rows(STRIPED, stripes, np.full(len(stripes), block), *cut)
 
-    parts = -(-blocks.count() // FAN)
+    parts = -(-blocks.count() // fan)
     rows = blocks.select("block", "a", "b", "n").mapInArrow(deal, STRIPED_SQL).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(max(parts, 1))).cast("int")).drop("block")
-    while parts > 1:  # no task adds up more than about FAN parts of a stripe
+    while parts > 1:  # no task adds up more than about fan parts of a stripe
         rows = rows.groupBy("stripe", "part").applyInPandas(add_parts, "stripe int, part int, a array<int>, b array<int>, n array<long>")
-        parts = -(-parts // FAN)
+        parts = -(-parts // fan)
         rows = rows.withColumn("part", F.pmod("part", F.lit(parts)).cast("int"))
     return materialise(rows.groupBy("stripe").applyInPandas(best_of, "a int, b int, total long, best boolean"))
 
@@ -197,18 +189,18 @@ def score_block(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([row["doc_id"].values, pa.array(values["n_a"]), pa.array(values["n_b"]), pa.array(values["n_groups"]), pa.array(np.bincount(owner, minlength=len(values["n_groups"]))), *map(pa.array, per), row["sha"].values], schema=DOCUMENT)
 
 
-def aligned(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE) -> DataFrame:
+def aligned(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, stripe: int = STRIPE, fan: int = FAN) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row of docs.
 
     a: the path of a byte-level vocabulary (JSON), b: of a piece model. A null or empty text, or one that either tokenizer
     doesn't spell byte by byte (with the blank before it), has no tokens: zeros and ''. Ties: every pair that has its B
     id's highest count is a best one. Repeated rows are each encoded and counted; a null doc_id is returned as null; an
     empty table gives no rows; other columns are ignored. Links are at most as many as tokens; a block keeps 4 bytes for
-    each, and no matrix has over STRIPE rows and as many columns as side A has ids.
+    each, and no matrix has over stripe rows and as many columns as side A has ids.
     """
     blocks = linked_blocks(docs, a, b)
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("place", "p")).select("block", "place", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    known = pairs.join(pair_counts(blocks), ["b", "a"])
+    known = pairs.join(pair_counts(blocks, stripe, fan), ["b", "a"])
     back = known.groupBy("block").agg(F.collect_list(F.struct("place", "total", "best")).alias("k")).select("block", "k.place", "k.total", "k.best")
     joined = blocks.drop("a", "b", "n").join(back, "block", "left")
     return joined.groupBy("block").applyInArrow(score_block, DOCUMENT_SQL)

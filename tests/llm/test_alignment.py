@@ -55,12 +55,10 @@ def brute(texts):
 def test_aligned(spark, monkeypatch, stripe, fan, size):
     """The second case: one text a block, and matrices added two at a time."""
     monkeypatch.setattr(alignment, "BLOCK_BYTES", size)
-    monkeypatch.setattr(alignment, "STRIPE", stripe)
-    monkeypatch.setattr(alignment, "FAN", fan)
     texts = TEXTS + [(300 + k, t) for k, t in enumerate(ODD)] + [(300, ODD[0]), (None, ODD[-1])]
     want = brute(texts)
     assert sum(r[1] == 0 for r in want) == 5  # two nulls, an empty text and the two that hold the mark of blanks itself
-    assert got(aligned(rows_of(spark, texts)), *COLUMNS) == want
+    assert got(aligned(rows_of(spark, texts), stripe=stripe, fan=fan), *COLUMNS) == want
 
 
 def test_query_and_nothing(spark):
