@@ -5,6 +5,7 @@ from __future__ import annotations
 from .alignment import op12_align
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .embeddings import OP4_SQL, op4_near_vectors
+from .lm_scoring import op11_lm_score
 from .mixing import OP8_SQL, op8_mix
 from .ngram_join import OP6_SQL, op6_ngram_join
 from .quality import op10_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_bytes": op9_bytes,
     "op10_quality": op10_quality,
+    "op11_lm_score": op11_lm_score,
     "op12_align": op12_align,
     "op13_resample": op13_resample,
 }
