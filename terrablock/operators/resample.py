@@ -1,116 +1,145 @@
-"""Resampling: wild cluster bootstrap, bootstrap of a ratio, intervals. One small group of block or draw rows a task."""
+"""Resampling by a counter: every random number is a hash of (seed, replicate, draw), so replicates are rows of a join, their
+sums are one aggregation, and any engine that has the hash gives the same numbers.
 
-from __future__ import annotations
+The rows resampled are a campaign's draws, or the blocks of a draw: some hundreds for each key. Replicates are dealt over
+the tasks; what a task holds doesn't grow with the nodes.
+"""
 
-import zlib
-from statistics import NormalDist
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REPEATS = 999
-
-
-def _generator(frame: pd.DataFrame, keys: list[str], seed: int) -> np.random.Generator:
-    """A generator that depends on the group's keys alone, so reruns and lost executors give the same numbers."""
-    return np.random.default_rng([seed, zlib.crc32("|".join(str(frame[k].iloc[0]) for k in keys).encode())])
-
-
-def wild_bootstrap(sums: DataFrame, seed: int = 20260929, repeats: int = REPEATS) -> DataFrame:
-    """cell, seed, pred, pop, err, v, low, high: Rademacher weights on the residuals of a draw's blocks (some dozens)."""
-    keys = ["cell", "seed", "pred", "pop"]
-
-    def boot(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block_id")
-        s, m = frame.s.to_numpy(float), frame.m.to_numpy(float)
-        err = s.sum() / m.sum()
-        draws = err + _generator(frame, keys, seed).choice([-1.0, 1.0], (repeats, len(s))) @ (s - err * m) / m.sum()
-        low, high = np.percentile(draws, [2.5, 97.5])
-        return pd.DataFrame([[*frame[keys].iloc[0], err, draws.var(ddof=1), low, high]], columns=[*keys, "err", "v", "low", "high"])
+from terrablock.functions.quantiles import normal_cdf, normal_quantile, sorted_quantile
+from terrablock.functions.storage import saved
+from terrablock.operators.errors import order_statistics
 
-    return sums.groupBy(*keys).applyInPandas(boot, "cell string, seed long, pred string, pop string, err double, v double, low double, high double")
+REPLICATES, WILD_REPLICATES = 4_000, 999
+#: Signs taken from one hash of 32 hexadecimal digits.
+SIGNS = 32
+#: Digits to which a replicate is compared with the estimate.
+TIE_DIGITS = 9
 
 
-def ratio_bootstrap(draws: DataFrame, keys: list[str], top: str, base: str, seed: int = 20260930, repeats: int = REPEATS) -> DataFrame:
-    """keys, ratio, low, high: SD(top)/SD(base) over paired draws, resampled in pairs. A group has as many rows as draws."""
+def uniform_word(*parts, at: int = 0) -> Column:
+    """A whole number below 2^32 from eight digits of md5 of the parts, joined by bars."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))), 1 + 8 * at, 8), 16, 10).cast("long")
 
-    def boot(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=[top, base]).sort_values([top, base])
-        x, y = frame[top].to_numpy(float), frame[base].to_numpy(float)
-        if len(x) < 2 or y.std() == 0:
-            return pd.DataFrame(columns=[*keys, "ratio", "low", "high"])
-        at = _generator(frame, keys, seed).integers(0, len(x), (repeats, len(x)))
-        below = y[at].std(axis=1, ddof=1)
-        r = np.divide(x[at].std(axis=1, ddof=1), below, out=np.full(repeats, np.nan), where=below > 0)
-        low, high = np.nanpercentile(r, [2.5, 97.5])
-        return pd.DataFrame([[*frame[keys].iloc[0], x.std(ddof=1) / y.std(ddof=1), low, high]], columns=[*keys, "ratio", "low", "high"])
 
-    return draws.groupBy(*keys).applyInPandas(boot, ", ".join(f"{k} string" for k in keys) + ", ratio double, low double, high double")
+def replicates(rows: DataFrame, n: int) -> DataFrame:
+    """Each row with every replicate from 0, dealt by replicates. rows: a small saved table."""
+    return rows.sparkSession.range(n).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(rows))
 
 
-def _resampled(n: int, generator: np.random.Generator, repeats: int) -> np.ndarray:
-    """Multinomial weights of n draws, a row for each repeat."""
-    return generator.multinomial(n, np.full(n, 1 / n), size=repeats).astype(float)
-
-
-def ratio_of_sums(rows: DataFrame, keys: list[str], top: str, base: str, seed: int = 20260931, repeats: int = REPEATS) -> DataFrame:
-    """keys, n, ratio, se of sum(top) / sum(base) over draws, by multinomial weights. A group has as many rows as draws."""
-
-    def boot(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([top, base])
-        x, y = frame[top].to_numpy(float), frame[base].to_numpy(float)
-        w = _resampled(len(x), _generator(frame, keys, seed), repeats)
-        below = w @ y
-        r = np.divide(w @ x, below, out=np.zeros(repeats), where=below > 0)  # a resample without base counts 0
-        return pd.DataFrame([[*frame[keys].iloc[0], len(x), x.sum() / y.sum() if y.sum() else np.nan, r.std(ddof=1)]], columns=[*keys, "n", "ratio", "se"])
-
-    return rows.groupBy(*keys).applyInPandas(boot, ", ".join(f"{k} string" for k in keys) + ", n long, ratio double, se double")
+def resampled_sums(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], seed: int, n: int = REPLICATES) -> DataFrame:
+    """keys, replicate and the sums of values over as many draws as the key has, taken with replacement.
 
+    A key's rows are numbered in the given order; slot k of a replicate takes row floor(u m), with m the key's rows and
+    u = uniform_word(seed, replicate, keys, k) / 2^32. A row for each key and draw: bounded by the campaign.
+    """
+    own = Window.partitionBy(*keys)
+    place = (F.row_number().over(own.orderBy(*order)) - 1).alias("_i")
+    numbered = saved(rows.select(*keys, *(v.cast("double").alias(k) for k, v in values.items()), place, F.count("*").over(own).alias("_m")))
+    word = uniform_word(seed, F.col("replicate"), *map(F.col, keys), F.col("_i"))
+    slots = replicates(numbered.select(*keys, "_i", "_m"), n).select(*keys, "replicate", F.shiftright(word * F.col("_m"), 32).cast("int").alias("_i"))
+    return slots.join(F.broadcast(numbered.drop("_m")), [*keys, "_i"]).groupBy(*keys, "replicate").agg(*(F.sum(k).alias(k) for k in values))
 
-def bca(x: np.ndarray, means: np.ndarray, level: float = 0.95) -> tuple[float, float]:
-    """The bias-corrected accelerated interval of a mean from its resampled means."""
-    normal = NormalDist()
-    z0 = normal.inv_cdf(min(max((means < x.mean()).mean(), 1e-6), 1 - 1e-6))
-    left = (x.sum() - x) / (len(x) - 1)
-    d = left.mean() - left
-    spread = (d**2).sum() ** 1.5
-    a = (d**3).sum() / (6 * spread) if spread > 0 else 0.0
-    ends = []
-    for q in ((1 - level) / 2, (1 + level) / 2):
-        z = z0 + normal.inv_cdf(q)
-        ends.append(float(np.quantile(means, normal.cdf(z0 + z / (1 - a * z)))))
-    return ends[0], ends[1]
 
+def wild_bootstrap(sums: DataFrame, t_table: DataFrame, seed: int = 20260929, n: int = WILD_REPLICATES) -> DataFrame:
+    """cell, seed, pred, pop, k, err, v, low, high (percentile), t_low, t_high: Rademacher signs on the residuals of a draw's blocks.
 
-def mean_intervals(rows: DataFrame, keys: list[str], value: str, seed: int = 20260932, repeats: int = REPEATS) -> DataFrame:
-    """keys, n, mean, low, high (percentile) and bca_low, bca_high of the mean over draws."""
+    sums: cell, seed, pred, pop, block_id, s, m; t_table: k, t. A block's sign is the same for all predictors and
+    populations of a draw, whose residuals stand beside one another, so a replicate costs a row for each block. A single
+    block has no interval.
+    """
+    draw, whole = ["cell", "seed"], ["cell", "seed", "pred", "pop"]
+    own = Window.partitionBy(*whole)
+    err = (F.sum("s").over(own) / F.sum("m").over(own)).alias("err")
+    parts = saved(sums.select(*whole, "block_id", "s", "m", err, F.sum("m").over(own).alias("m_all")))
+    kinds = [tuple(r) for r in parts.select("pred", "pop").distinct().orderBy("pred", "pop").collect()]  # predictors x populations
+    flat = lambda p, q: F.sum(F.when((F.col("pred") == p) & (F.col("pop") == q), (F.col("s") - F.col("err") * F.col("m")) / F.col("m_all")))
+    wide = saved(parts.groupBy(*draw, "block_id").agg(*(flat(p, q).alias(f"d{i}") for i, (p, q) in enumerate(kinds))))
+    words = replicates(wide, -(-n // SIGNS)).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("replicate", *draw, "block_id")))))
+    signs = words.select(*draw, *(f"d{i}" for i in range(len(kinds))), "replicate", F.posexplode(F.split("_h", "")).alias("_at", "_c")).where((F.col("_at") < SIGNS) & (F.col("replicate") * SIGNS + F.col("_at") < n))
+    sign = F.when(F.col("_c") >= "8", 1.0).otherwise(-1.0)
+    moved = signs.groupBy(*draw, "replicate", "_at").agg(*(F.sum(sign * F.col(f"d{i}")).alias(f"d{i}") for i in range(len(kinds))))
+    long = F.inline(F.array(*(F.struct(F.lit(p).alias("pred"), F.lit(q).alias("pop"), F.col(f"d{i}").alias("d")) for i, (p, q) in enumerate(kinds))))
+    spread = moved.select(*draw, long).where("d IS NOT NULL").groupBy(*whole).agg(F.var_samp("d").alias("v"), F.array_sort(F.collect_list("d")).alias("d"))
+    at = parts.groupBy(*whole, "err").agg(F.count("*").alias("k")).join(spread, whole).join(t_table, "k", "left")
+    half = F.col("t") * F.sqrt("v")
+    edge = lambda p: F.when(F.col("k") > 1, F.col("err") + sorted_quantile(F.col("d"), F.lit(p)))
+    return at.select(*whole, "k", "err", F.when(F.col("k") > 1, F.col("v")).alias("v"), edge(0.025).alias("low"), edge(0.975).alias("high"), (F.col("err") - half).alias("t_low"), (F.col("err") + half).alias("t_high"))
+
+
+def with_interval(boots: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, se, low, high of the replicates' values (nulls left out)."""
+    per = boots.select(*keys, value.alias("v")).where("v IS NOT NULL").groupBy(*keys).agg(F.stddev_samp("v").alias("se"), F.array_sort(F.collect_list("v")).alias("_v"))
+    return per.select(*keys, "se", *(sorted_quantile(F.col("_v"), F.lit(p)).alias(name) for p, name in ((0.025, "low"), (0.975, "high"))))
+
+
+def ratio_bootstrap(draws: DataFrame, keys: list[str], order: list[str], top: str, base: str, seed: int = 20260930, n: int = REPLICATES) -> DataFrame:
+    """keys, n, ratio, se, low, high: SD(top)/SD(base) over paired draws, resampled in pairs; keys whose base doesn't vary are left out."""
+    some = draws.where(F.col(top).isNotNull() & F.col(base).isNotNull())
+    whole = some.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.stddev_samp(top), F.stddev_samp(base)).alias("ratio"), F.avg(top).alias("_x0"), F.avg(base).alias("_y0")).where("n > 1 AND ratio IS NOT NULL")
+    centred = some.join(whole.select(*keys, "_x0", "_y0"), keys).withColumns({"_x": F.col(top) - F.col("_x0"), "_y": F.col(base) - F.col("_y0")})
+    x, y = F.col("_x"), F.col("_y")
+    sums = resampled_sums(centred, keys, order, {"m": F.lit(1), "x": x, "xx": x * x, "y": y, "yy": y * y}, seed, n)
+    square = lambda a: F.greatest(F.round(F.col(a + a) - F.col(a) * F.col(a) / F.col("m"), TIE_DIGITS), F.lit(0.0))
+    return whole.drop("_x0", "_y0").join(with_interval(sums, keys, F.sqrt(F.try_divide(square("x"), square("y")))), keys)
+
+
+def rmse_ratio(draws: DataFrame, keys: list[str], order: list[str], top: str, base: str, centre: str, seed: int = 20260933, n: int = REPLICATES) -> DataFrame:
+    """keys, n, ratio, se, low, high: root mean square error of top against that of base, both about centre, over paired draws."""
+    some = draws.where(F.col(top).isNotNull() & F.col(base).isNotNull()).withColumns({"_x": (F.col(top) - F.col(centre)) ** 2, "_y": (F.col(base) - F.col(centre)) ** 2})
+    whole = some.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.try_divide(F.sum("_x"), F.sum("_y"))).alias("ratio"))
+    sums = resampled_sums(some, keys, order, {"x": F.col("_x"), "y": F.col("_y")}, seed, n)
+    return whole.join(with_interval(sums, keys, F.sqrt(F.try_divide(F.col("x"), F.col("y")))), keys)
+
+
+def ratio_of_sums(rows: DataFrame, keys: list[str], order: list[str], top: str, base: str, seed: int = 20260931, n: int = REPLICATES) -> DataFrame:
+    """keys, n, ratio, se of sum(top) / sum(base) over draws; a replicate without base counts 0."""
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.sum(top), F.sum(base)).alias("ratio"))
+    sums = resampled_sums(rows, keys, order, {"x": F.col(top), "y": F.col(base)}, seed, n)
+    per = sums.groupBy(*keys).agg(F.stddev_samp(F.coalesce(F.try_divide("x", "y"), F.lit(0.0))).alias("se"))
+    return whole.join(per, keys)
+
+
+def mean_intervals(rows: DataFrame, keys: list[str], order: list[str], value: str, seed: int = 20260932, n: int = REPLICATES) -> DataFrame:
+    """keys, n, mean, low, high (percentile) and bca_low, bca_high (bias-corrected, accelerated) of the mean over draws.
+
+    The bias is the normal quantile of the share of replicates below the mean, ties by half; the acceleration comes from
+    the jackknife, whose deviations are those of the values over n - 1.
+    """
+    rows = rows.select(*keys, *order, value)
+    first = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    d = (F.col(value) - F.col("mean")) / (F.col("n") - 1)
+    cube = rows.join(first, keys).groupBy(*keys, "n", "mean").agg(F.sum(d * d).alias("_d2"), F.sum(d * d * d).alias("_d3"))
+    boots = resampled_sums(rows, keys, order, {"x": F.col(value)}, seed, n).join(first, keys).select(*keys, "mean", (F.col("x") / F.col("n")).alias("b"))
+    apart = F.round(F.col("b") - F.col("mean"), TIE_DIGITS)
+    per = boots.groupBy(*keys).agg(F.array_sort(F.collect_list("b")).alias("_b"), F.avg(F.when(apart < 0, 1.0).when(apart == 0, 0.5).otherwise(0.0)).alias("_p"))
+    both = cube.join(per, keys).withColumn("_z", normal_quantile(F.least(F.greatest(F.col("_p"), F.lit(1e-9)), F.lit(1 - 1e-9)))).withColumn("_a", F.coalesce(F.try_divide(F.col("_d3"), 6 * F.pow("_d2", F.lit(1.5))), F.lit(0.0)))
 
-    def boot(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(frame[value].to_numpy(float))
-        means = _resampled(len(x), _generator(frame, keys, seed), repeats) @ x / len(x)
-        ends = bca(x, means) if len(x) > 1 else (x[0], x[0])
-        return pd.DataFrame([[*frame[keys].iloc[0], len(x), x.mean(), *np.percentile(means, [2.5, 97.5]), *ends]], columns=[*keys, "n", "mean", "low", "high", "bca_low", "bca_high"])
+    def end(p: float) -> Column:
+        z = F.col("_z") + normal_quantile(F.lit(p))
+        return sorted_quantile(F.col("_b"), normal_cdf(F.col("_z") + z / (1 - F.col("_a") * z)))
 
-    return rows.groupBy(*keys).applyInPandas(boot, ", ".join(f"{k} string" for k in keys) + ", n long, mean double, low double, high double, bca_low double, bca_high double")
+    return both.select(*keys, "n", "mean", *(sorted_quantile(F.col("_b"), F.lit(p)).alias(c) for p, c in ((0.025, "low"), (0.975, "high"))), *(F.when(F.col("n") > 1, end(p)).otherwise(F.col("mean")).alias(c) for p, c in ((0.025, "bca_low"), (0.975, "bca_high"))))
 
 
-def coincidence(rows: DataFrame, value: str, seeds, widths, tolerance: float = 0.001) -> DataFrame:
-    """seed, width, n, rate: how often value and a level drawn evenly within width of it agree to the tolerance.
+def simulated_medians(numbers: DataFrame, n: int, cases: DataFrame, share: float, level: float, power: float, spread: float, loss) -> DataFrame:
+    """case, total, median of a population drawn anew for each case: as many values as there are numbers (column i, 0 to n - 1).
 
-    Each (seed, width) has a generator of its own; the values (one for each cell and draw) go to each as one array.
+    The first share of them are sentinels: level + loss(d), d even between the case's d_min and d_max; the others are
+    normal about power. cases: case, seed, d_min, d_max, a bounded set. Each value is a hash of (seed, case, i); medians
+    come from a histogram, so no task holds a case's values.
     """
-    spark = rows.sparkSession
-    values = rows.agg(F.array_sort(F.collect_list(value)).alias("values"))  # a number for each cell and draw
-    cases = spark.createDataFrame([(int(s), float(w)) for s in seeds for w in widths], "seed long, width double").crossJoin(F.broadcast(values))
-
-    def draw(frames):
-        for frame in frames:
-            out = []
-            for s, w, x in zip(frame.seed, frame.width, frame["values"], strict=True):
-                near = np.random.default_rng([s, int(w * 1000)]).uniform(-w, w, (1000, len(x)))
-                out.append((s, w, near.size, float((np.abs(near) <= tolerance).mean()) if near.size else 0.0))
-            yield pd.DataFrame(out, columns=["seed", "width", "n", "rate"])
-
-    return cases.mapInPandas(draw, "seed long, width double, n long, rate double")
+    both = numbers.crossJoin(F.broadcast(cases))
+    digits = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in ("seed", "case", "i"))))
+    word = lambda k: F.conv(F.substring("_h", 1 + 8 * k, 8), 16, 10).cast("double")
+    u, v = (word(0) + 0.5) / 2.0**32, word(1) / 2.0**32
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(v * (2 * 3.141592653589793))
+    d = F.col("d_min") + (F.col("d_max") - F.col("d_min")) * u
+    value = F.when(F.col("i") < F.lit(round(share * n)), level + loss(d)).otherwise(power + spread * normal)
+    rows = both.withColumn("_h", digits).select("case", value.alias("w"))
+    found = order_statistics(rows, ["case"], F.col("w"), {"low": F.floor((F.col("total") - 1) / 2), "high": F.floor(F.col("total") / 2)})
+    return found.select("case", "total", ((F.col("low") + F.col("high")) / 2).alias("median"))

@@ -12,7 +12,7 @@ from terrablock.functions import geometry as geo
 from terrablock.functions import propagation as prop
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
-from terrablock.operators import cells, design, errors, gates, graph, partition, proximity, resample
+from terrablock.operators import cells, design, errors, gates, graph, partition, proximity
 from terrablock.sources import nodes as src
 
 G, B, MAX_GY = src.BLOCK_KM, 2.0, int(src.HEIGHT_KM // src.BLOCK_KM)
@@ -488,17 +488,6 @@ def pooled_moments(spark, sf_dir):
     return rounded(design.pooled(per, []))
 
 
-@query
-def wild_bootstrap(spark, sf_dir):
-    return rounded(resample.wild_bootstrap(Study(spark, sf_dir).sums().where("s IS NOT NULL")))
-
-
-@query
-def ratio_bootstrap(spark, sf_dir):
-    per = Study(spark, sf_dir).per_draw().where("pop = 'all'").groupBy("cell", "seed").pivot("pred", ["constant", "fspl_a"]).agg(F.max("mae"))
-    return rounded(resample.ratio_bootstrap(per, ["cell"], "constant", "fspl_a"))
-
-
 # ---------------------------------------------------------------- gates
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrablock.functions import geometry as geo
 from terrablock.functions import propagation as prop
 from terrablock.functions.storage import saved
-from terrablock.operators import design, errors, gates, graph, partition, proximity, resample, retained
+from terrablock.operators import design, errors, gates, graph, partition, proximity, retained
 from terrablock.plans.catalog import B, DRAWS, FOLDS, G, MAX_GY, QUERIES, Study, _side, query, rounded, seeds
 from terrablock.sources import nodes as src
 
@@ -271,20 +271,6 @@ def retention_correlation(spark, sf_dir):
     return rounded(pairs.groupBy("a", "b").agg(F.count("*").alias("n"), errors.safe_corr("x", "y").alias("r")), 5)
 
 
-@query
-def class_bootstrap(spark, sf_dir):
-    """Bootstrap error, over draws, of the test retention of each cell."""
-    share = QUERIES["retention"](spark, sf_dir).where("role = 'test'").select("cell", "seed", F.col("n_after").cast("double").alias("x"), F.col("n_before").cast("double").alias("y"))
-    return rounded(resample.ratio_of_sums(share, ["cell"], "x", "y"))
-
-
-@query
-def mean_interval(spark, sf_dir):
-    """Percentile and bias-corrected accelerated intervals of the mean error over draws, by cell."""
-    per = level_draws(Study(spark, sf_dir)).where("pop = 'all' AND mae IS NOT NULL")
-    return rounded(resample.mean_intervals(per, ["cell"], "mae"))
-
-
 @query
 def campaign_table(spark, sf_dir):
     """Two predictors over the first five draws: median, SD, how far over a floor of 0.132 dB, sentinel parity and wins."""
@@ -569,10 +555,3 @@ def merged_cells(spark, sf_dir):
     sizes = n.groupBy("cell").agg(F.count("*").alias("n"))
     offset = sizes.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row for each cell
     return graph.dense_numbers(n, ["cell"], "node_id", "number").join(offset, "cell").select("cell", "node_id", (F.col("number") + F.col("offset")).alias("merged"))
-
-
-@query
-def coincidence_rate(spark, sf_dir):
-    """How often a free-space level of a random offset comes within 0.001 dB of the fixed level's error: 40 seeds, five widths."""
-    per = level_draws(Study(spark, sf_dir)).where("pop = 'all' AND mae IS NOT NULL").select("mae")
-    return rounded(resample.coincidence(per, "mae", range(40), (0.1, 0.5, 1.0, 2.0, 5.0)))
