@@ -6,8 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrablock.functions.storage import saved
-from terrablock.operators.proximity import closer_than
+from terrablock.operators import classes
 
 TRAIN, VAL = 0.70, 0.15
 
@@ -68,20 +67,13 @@ def fold_roles(blocks: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return shuffled(blocks, seeds).select("cell", "seed", "block_id", F.least(F.floor(F.col("place") / size), F.lit(k - 1)).cast("int").alias("fold"))
 
 
-def around(near: DataFrame) -> DataFrame:
-    """cell, node_id, block_id, near: the set of blocks (eight at most) near each node that has any. near: of near_blocks."""
-    return near.groupBy("cell", "node_id", "block_id").agg(F.collect_set("near_block").alias("near"))
-
-
-def fold_trimmed(near: DataFrame, folds: DataFrame) -> DataFrame:
+def fold_trimmed(nodes: DataFrame, near: DataFrame, folds: DataFrame) -> DataFrame:
     """cell, seed, node_id of the nodes that lie closer than the buffer to a block of another fold. near: of near_blocks.
 
-    Each draw's folds are one map for each cell, so a draw copies only nodes near another block, and shuffles none.
+    A draw decides classes of nodes; only what it trims is given node by node.
     """
-    maps = folds.groupBy("cell", "seed").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "fold"))).alias("folds"))
-    each = around(near).join(maps, "cell")
-    own = F.element_at("folds", F.col("block_id"))
-    return each.where(F.exists("near", lambda x: F.element_at("folds", x) != own)).select("cell", "seed", "node_id")
+    own = classes.classed(nodes.select("cell", "node_id", "block_id"), near)
+    return classes.fold_classes(own, folds).join(own, classes.KEY).select("cell", "seed", "node_id")
 
 
 def held_out(nodes: DataFrame, roles: DataFrame) -> DataFrame:
@@ -90,30 +82,5 @@ def held_out(nodes: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def retained(nodes: DataFrame, roles: DataFrame, near: DataFrame, b: float) -> DataFrame:
-    """The held-out nodes of each draw that the buffer leaves: val nodes not closer than b to a training node, then test
-    nodes not closer than b to a training node or to a val node that is left.
-
-    What lies near a training block is known from near, which no draw changes: each node carries the set of its near
-    blocks, and each cell and draw the lists of training, val and test blocks, so a draw decides a node where it stands,
-    without a shuffle. Only test nodes that are left near a val block, and val nodes that are left near a test block,
-    meet one by one.
-    """
-    placed = saved(nodes.join(around(near).drop("block_id"), ["cell", "node_id"], "left"))
-    own = roles.where("role <> 'train'")
-    of = lambda r: F.collect_list(F.when(F.col("role") == r, F.col("block_id"))).alias(f"_{r}")
-    lists = roles.groupBy("cell", "seed").agg(of("train"), of("val"), of("test"))
-    meets = lambda c: F.coalesce(F.arrays_overlap("near", c), F.lit(False))
-    held = placed.join(own, ["cell", "block_id"]).join(lists, ["cell", "seed"]).where(~meets("_train"))
-    marked = held.withColumn("open", F.when(F.col("role") == "test", meets("_val")).otherwise(meets("_test"))).drop("near", "_train", "_val", "_test")
-    meeting = saved(marked.where("open").select("cell", "seed", "node_id", "role", "x_km", "y_km"))
-    gone = closer_than(meeting.where("role = 'test'").drop("role"), meeting.where("role = 'val'").drop("role"), ["cell", "seed"], b)
-    tried = marked.where("open AND role = 'test'").join(gone, ["cell", "seed", "node_id"], "left_anti")
-    return marked.where("NOT open OR role <> 'test'").unionByName(tried).select(*nodes.columns, "seed", "role")
-
-
-def retention(nodes: DataFrame, roles: DataFrame, left: DataFrame) -> DataFrame:
-    """cell, seed, role, n_before, n_after, share of the held-out roles."""
-    before = blocks(nodes).join(roles.where("role <> 'train'"), ["cell", "block_id"]).groupBy("cell", "seed", "role").agg(F.sum("n_nodes").alias("n_before"))
-    after = left.groupBy("cell", "seed", "role").agg(F.count("*").alias("n_after"))
-    n_after = F.coalesce("n_after", F.lit(0).cast("long"))
-    return before.join(after, ["cell", "seed", "role"], "left").select("cell", "seed", "role", "n_before", n_after.alias("n_after"), F.try_divide(n_after, F.col("n_before")).alias("share"))
+    """The held-out nodes of each draw that the buffer leaves (see classes.Split), with seed and role."""
+    return classes.Split(nodes, roles, near, b).left()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,11 +13,13 @@ from terrablock.functions import geometry as geo
 from terrablock.functions import propagation as prop
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
-from terrablock.operators import cells, design, errors, gates, graph, partition, proximity
+from terrablock.operators import cells, classes, design, errors, gates, graph, partition, proximity
 from terrablock.sources import nodes as src
 
 G, B, MAX_GY = src.BLOCK_KM, 2.0, int(src.HEIGHT_KM // src.BLOCK_KM)
-DRAWS, FOLDS = 60, 5
+DRAWS, FOLDS = 60, 6
+#: Draws of the queries that only count retained nodes.
+MANY_DRAWS, SOME_DRAWS = 200, 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LEVELS = (-130.0, -120.0, -110.0, -100.0)
 
@@ -30,24 +33,30 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def seeds(spark: SparkSession) -> DataFrame:
-    return spark.range(1, DRAWS + 1).withColumnRenamed("id", "seed")
+def seeds(spark: SparkSession, n: int = DRAWS) -> DataFrame:
+    return spark.range(1, n + 1).withColumnRenamed("id", "seed")
 
 
 class Study:
     """The parts that many queries share; each is saved where it is used more than once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, b: float = B, draws: list[int] | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, b: float = B, draws: list[int] | int = DRAWS):
+        """draws: the first so many, or a list of them."""
         self.spark, self.b = spark, b
         self.nodes = saved(src.nodes(spark, sf_dir))
         self.blocks = saved(partition.blocks(self.nodes))
-        self.roles = saved(partition.block_roles(self.blocks, seeds(spark) if draws is None else seeds(spark).where(F.col("seed").isin(draws))))
+        wanted = seeds(spark, draws) if isinstance(draws, int) else seeds(spark).where(F.col("seed").isin(draws))
+        self.roles = saved(partition.block_roles(self.blocks, wanted))
 
     def near(self) -> DataFrame:
         return proximity.near_blocks(self.nodes, G, self.b, MAX_GY)
 
+    @cached_property
+    def split(self) -> classes.Split:
+        return classes.Split(self.nodes, self.roles, self.near() if self.b > 0 else None, self.b)
+
     def left(self) -> DataFrame:
-        return partition.retained(self.nodes, self.roles, saved(self.near()), self.b) if self.b > 0 else partition.held_out(self.nodes, self.roles)
+        return self.split.left() if self.b > 0 else partition.held_out(self.nodes, self.roles)
 
     def fitted(self) -> DataFrame:
         """cell, seed, constant (median level of the training nodes), off_a and off_b (median of level + FSPL, all and valid)."""
@@ -211,7 +220,7 @@ def near_blocks(spark, sf_dir):
 def kfold_trim(spark, sf_dir):
     n = saved(src.nodes(spark, sf_dir))
     folds = saved(partition.fold_roles(partition.blocks(n), seeds(spark), FOLDS))
-    return partition.fold_trimmed(proximity.near_blocks(n, G, B, MAX_GY), folds)
+    return partition.fold_trimmed(n, proximity.near_blocks(n, G, B, MAX_GY), folds)
 
 
 @query
@@ -221,15 +230,14 @@ def buffer_trim(spark, sf_dir):
 
 @query
 def retention(spark, sf_dir):
-    s = Study(spark, sf_dir)
-    return rounded(partition.retention(s.nodes, s.roles, s.left()))
+    return rounded(Study(spark, sf_dir, draws=MANY_DRAWS).split.retention())
 
 
 @query
 def effective_blocks(spark, sf_dir):
     """By draw: test blocks, those emptied, and those left with under a tenth of their nodes."""
     s = Study(spark, sf_dir)
-    kept = s.left().where("role = 'test'").groupBy("cell", "seed", "block_id").agg(F.count("*").alias("n"))
+    kept = s.split.tally({"n": F.lit(1).cast("long")}, ("cell", "seed", "block_id"))
     every = s.roles.where("role = 'test'").join(s.blocks, ["cell", "block_id"]).join(kept, ["cell", "seed", "block_id"], "left").withColumn("share", F.coalesce("n", F.lit(0)) / F.col("n_nodes"))
     return every.groupBy("cell", "seed").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("share") == 0).alias("n_empty"), F.count_if((F.col("share") > 0) & (F.col("share") < 0.1)).alias("n_thin"))
 
@@ -415,43 +423,42 @@ def jackknife_variance(spark, sf_dir):
     return rounded(design.jackknife_variance(Study(spark, sf_dir).sums()), 4)
 
 
-def _included(s: Study) -> DataFrame:
-    return design.inclusion(s.nodes, s.roles, s.left())
-
-
 @query
 def inclusion_freq(spark, sf_dir):
-    return rounded(_included(Study(spark, sf_dir)).select("cell", "node_id", "n_block", "n_kept", "p", "p_given"))
+    return rounded(Study(spark, sf_dir, draws=MANY_DRAWS).split.inclusion().select("cell", "node_id", "n_block", "n_kept", "p", "p_given"))
 
 
 @query
 def inclusion_profile(spark, sf_dir):
     """Mean inclusion given the block is in test, by distance to the border in steps of 0.25 km."""
     d = F.floor(geo.border_distance(F.col("x_km"), F.col("y_km"), G) / 0.25).cast("long")
-    rows = _included(Study(spark, sf_dir)).where("p_given IS NOT NULL")
+    rows = Study(spark, sf_dir, draws=MANY_DRAWS).split.inclusion().where("p_given IS NOT NULL")
     return rounded(rows.groupBy("cell", d.alias("bin")).agg(F.count("*").alias("n"), F.avg("p_given").alias("p_given")))
 
 
 @query
 def hajek(spark, sf_dir):
-    rows = _included(Study(spark, sf_dir)).withColumn("e", F.abs(F.col("rssi") - F.lit(prop.SENTINEL_RSSI)))
+    rows = Study(spark, sf_dir, draws=SOME_DRAWS).split.inclusion().withColumn("e", F.abs(F.col("rssi") - F.lit(prop.SENTINEL_RSSI)))
     return rounded(design.hajek(rows, ["cell", "valid"], "e"))
 
 
 @query
 def estimands(spark, sf_dir):
-    s = Study(spark, sf_dir)
-    s_left = saved(s.left())
+    s = Study(spark, sf_dir, draws=SOME_DRAWS)
     e = F.abs(F.col("rssi") - F.lit(prop.SENTINEL_RSSI))
-    per = s_left.where("role = 'test'").groupBy("cell", "seed").agg(F.count("*").alias("n"), F.avg(e).alias("mae"))
-    return rounded(design.estimands(per, design.inclusion(s.nodes, s.roles, s_left).withColumn("e", e), "e"), 5)
+    return rounded(design.estimands(_level_draws(s, e), s.split.inclusion().withColumn("e", e), "e"), 5)
+
+
+def _level_draws(s: Study, e: Column) -> DataFrame:
+    """cell, seed, n, mae of an error that no draw changes."""
+    return s.split.tally({"n": F.lit(1).cast("long"), "s": e}).select("cell", "seed", "n", (F.col("s") / F.col("n")).alias("mae"))
 
 
 @query
 def design_effect(spark, sf_dir):
     s = Study(spark, sf_dir)
     e = F.abs(F.col("rssi") - F.lit(prop.SENTINEL_RSSI))
-    per = s.left().where("role = 'test'").groupBy("cell", "seed").agg(F.count("*").alias("n"), F.avg(e).alias("mae"))
+    per = _level_draws(s, e)
     domain = s.nodes.groupBy("cell").agg(F.count("*").alias("n_u"), F.var_samp(e).alias("s2"))
     return rounded(design.design_effect(per, domain), 4)
 

@@ -24,7 +24,7 @@ PARTS = {
     "roles": """SELECT cell, seed, block_id, CASE WHEN place < tr THEN 'train' WHEN place < tr + va THEN 'val' ELSE 'test' END AS role FROM (
   SELECT cell, seed, block_id, place, CASE WHEN t + v >= n THEN greatest(1, n - 2) ELSE t END AS tr, CASE WHEN t + v >= n THEN 1 ELSE v END AS va FROM (
     SELECT *, greatest(1, round_even(n * CAST(0.7 AS DOUBLE), 0)) AS t, greatest(1, round_even(n * CAST(0.15 AS DOUBLE), 0)) AS v FROM placed))""",
-    "folds": "SELECT cell, seed, block_id, CAST(least(place // greatest(1, n // 5), 4) AS INTEGER) AS fold FROM placed",
+    "folds": "SELECT cell, seed, block_id, CAST(least(place // greatest(1, n // 6), 5) AS INTEGER) AS fold FROM placed",
     "held": "SELECT nodes.*, seed, role FROM nodes JOIN roles USING (cell, block_id) WHERE role <> 'train'",
     "pairs": """SELECT p.cell, p.node_id, p.block_id, q.node_id AS o_node, q.block_id AS o_block FROM lattice p JOIN (
   SELECT cell, node_id, block_id, x_km, y_km, floor(x_km / 2) + dx AS kx, floor(y_km / 2) + dy AS ky FROM lattice, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) q
@@ -67,8 +67,8 @@ PARTS |= {
 }
 
 
-def build(body: str) -> str:
-    """body with the CTEs it needs, and those that they need, before it."""
+def build(body: str, draws: int = 60) -> str:
+    """body with the CTEs it needs, and those that they need, before it; draws: how many the roles have."""
     needed: set[str] = set()
     queue = [body]
     while queue:
@@ -77,7 +77,8 @@ def build(body: str) -> str:
             needed.add(name)
             queue.append(PARTS[name])
     ctes = [f"{name} AS MATERIALIZED ({sql})" for name, sql in PARTS.items() if name in needed]
-    return f"WITH {', '.join(ctes)}\n{body}" if ctes else body
+    sql = f"WITH {', '.join(ctes)}\n{body}" if ctes else body
+    return sql.replace("range(1, 61)", f"range(1, {draws + 1})").replace("CAST(60 AS DOUBLE)", f"CAST({draws} AS DOUBLE)")
 
 
 def rounded(body: str, columns: str, digits: int = 6) -> str:
@@ -240,4 +241,6 @@ BODIES = {
     "verdict_counts": "SELECT count(sd) AS n, count(*) FILTER (WHERE sd >= 0.1) AS n_over, CASE WHEN count(*) FILTER (WHERE sd >= 0.1) >= 2 THEN 'reinforces' ELSE 'delimits' END AS verdict FROM drift WHERE pop = 'valid' AND pred = 'constant'",
     "seed_order": "SELECT seed, cells, cells = max(cells) FILTER (WHERE seed = 1) OVER () AS as_first FROM (SELECT seed, string_agg(cell, ',' ORDER BY v DESC, cell) AS cells FROM (SELECT seed, cell, avg(CAST(valid AS DOUBLE)) AS v FROM held WHERE role = 'test' GROUP BY ALL) GROUP BY seed)",
 }
-SQL = {name: build(body) for name, body in BODIES.items()}
+#: Draws of the queries that take more than 60.
+DRAWS_OF = {"retention": 200, "retention_correlation": 200, "class_bootstrap": 200, "inclusion_freq": 200, "inclusion_profile": 200, "hajek": 100, "estimands": 100}
+SQL = {name: build(body, DRAWS_OF.get(name, 60)) for name, body in BODIES.items()}

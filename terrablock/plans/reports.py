@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrablock.functions import geometry as geo
 from terrablock.functions import propagation as prop
 from terrablock.functions.storage import saved
-from terrablock.operators import design, errors, gates, graph, partition, proximity, retained
+from terrablock.operators import classes, design, errors, gates, graph, partition, proximity, retained
 from terrablock.plans.catalog import B, DRAWS, FOLDS, G, MAX_GY, QUERIES, Study, _side, query, rounded, seeds
 from terrablock.sources import nodes as src
 
@@ -24,8 +24,10 @@ def level_error():
 
 def level_draws(s: Study) -> DataFrame:
     """cell, seed, pop, n, mae of the fixed level on the retained test nodes."""
-    kept = s.left().where("role = 'test'")
-    return errors.population_mae(kept, ["cell", "seed"], {"level": F.col("rssi") - F.lit(prop.SENTINEL_RSSI)}).where("pop <> 'sentinel'").drop("pred")
+    one, e = F.lit(1).cast("long"), level_error()
+    sums = s.split.tally({"n_all": one, "s_all": e, "n_valid": F.when(F.col("valid"), one).otherwise(0), "s_valid": F.when(F.col("valid"), e)})
+    long = F.array(*(F.struct(F.lit(p).alias("pop"), F.col(f"n_{p}").alias("n"), F.try_divide(f"s_{p}", f"n_{p}").alias("mae")) for p in ("valid", "all")))
+    return sums.select("cell", "seed", F.inline(long))
 
 
 # ---------------------------------------------------------------- distances, classes of nodes, folds
@@ -58,10 +60,8 @@ def distance_gate(spark, sf_dir):
 def neighbour_class_profile(spark, sf_dir):
     """Mean inclusion given the block is in test by the number m of blocks near the node, with the closed bounds for the cell's own counts."""
     s = Study(spark, sf_dir)
-    near = saved(s.near())
-    kept = partition.retained(s.nodes, s.roles, near, s.b)
-    m = near.groupBy("cell", "node_id").agg(F.count("*").alias("m"))
-    rows = design.inclusion(s.nodes, s.roles, kept).where("p_given IS NOT NULL").join(m, ["cell", "node_id"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    m = s.split.nodes.select("cell", "node_id", F.size(classes.near_set()).cast("long").alias("m"))
+    rows = s.split.inclusion().where("p_given IS NOT NULL").join(m, ["cell", "node_id"])
     per = rows.groupBy("cell", "m").agg(F.count("*").alias("n"), F.avg("p_given").alias("p_given")).join(design.role_counts(s.roles), "cell")
     low = geo.falling_ratio(F.col("k_test") - 1, F.col("n_blocks") - 1, F.col("m"))
     high = geo.falling_ratio(F.col("n_blocks") - 1 - F.col("k_train"), F.col("n_blocks") - 1, F.col("m"))
@@ -101,8 +101,9 @@ def kfold_joint(spark, sf_dir):
     """Error of all folds together, over the nodes that the trim between folds leaves, and without the trim, which no draw changes."""
     n = saved(src.nodes(spark, sf_dir).select("cell", "node_id", "block_id", "x_km", "y_km", level_error().alias("e")))
     folds = saved(partition.fold_roles(partition_blocks(n), seeds(spark), FOLDS))
-    gone = partition.fold_trimmed(saved(proximity.near_blocks(n, G, B, MAX_GY)), folds).join(n.select("cell", "node_id", "e"), ["cell", "node_id"])
-    lost = gone.groupBy("cell", "seed").agg(F.sum("e").alias("s_lost"), F.count("*").alias("m_lost"))
+    own = classes.classed(n, proximity.near_blocks(n, G, B, MAX_GY))
+    sums = own.groupBy(*classes.KEY).agg(F.sum("e").alias("s"), F.count("*").alias("m"))
+    lost = classes.fold_classes(own, folds).join(sums, classes.KEY).groupBy("cell", "seed").agg(F.sum("s").alias("s_lost"), F.sum("m").alias("m_lost"))
     whole = n.groupBy("cell").agg(F.sum("e").alias("s"), F.count("*").alias("n"))
     rows = folds.select("cell", "seed").distinct().join(whole, "cell").join(lost, ["cell", "seed"], "left").fillna(0, ["s_lost", "m_lost"])
     scored = F.col("n") - F.col("m_lost")
@@ -121,7 +122,7 @@ def border_blocks(spark, sf_dir):
     placed = s.blocks.select("cell", "block_id", "n_nodes", gx.alias("gx"), gy.alias("gy"))
     box = placed.groupBy("cell").agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1"))
     edge = placed.join(box, "cell").withColumn("border", (F.col("gx") == F.col("x0")) | (F.col("gx") == F.col("x1")) | (F.col("gy") == F.col("y0")) | (F.col("gy") == F.col("y1")))
-    kept = s.left().where("role = 'test'").groupBy("cell", "seed", "block_id").agg(F.count("*").alias("k"))
+    kept = s.split.tally({"k": F.lit(1).cast("long")}, ("cell", "seed", "block_id"))
     every = s.roles.where("role = 'test'").join(edge, ["cell", "block_id"]).join(kept, ["cell", "seed", "block_id"], "left").withColumn("share", F.coalesce("k", F.lit(0)) / F.col("n_nodes"))
     return rounded(every.groupBy("cell", "border").agg(F.count("*").alias("n"), F.count_if(F.col("share") == 0).alias("n_empty"), F.count_if((F.col("share") > 0) & (F.col("share") < 0.1)).alias("n_thin"), F.avg("share").alias("share")))
 
@@ -187,14 +188,23 @@ def variance_readings(spark, sf_dir):
     return rounded(found[0].unionByName(found[1]), 4)
 
 
+def weighted_draws(s: Study, included: DataFrame) -> DataFrame:
+    """cell, seed, w, t of the retained test nodes: sums of 1/p and of the fixed level's error over p.
+
+    p is a number of the class but for open nodes, so classes are summed once and open nodes come one by one. included:
+    inclusion() where p > 0.
+    """
+    w = included.select("cell", "node_id", (1 / F.col("p")).alias("_w"))
+    own = s.split.nodes.join(w, ["cell", "node_id"], "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
+    return s.split.tally({"w": F.col("_w"), "t": F.col("_w") * level_error()}, nodes=saved(own))
+
+
 @query
 def weighted_estimands(spark, sf_dir):
     """Each draw's Horvitz-Thompson weights 1/p: their mean sum against the cell's size, and the mean weighted error."""
     s = Study(spark, sf_dir)
-    left = saved(s.left())
-    p = design.inclusion(s.nodes, s.roles, left).where("p > 0").select("cell", "node_id", "p")
-    rows = left.where("role = 'test'").join(p, ["cell", "node_id"]).select("cell", "seed", (1 / F.col("p")).alias("w"), level_error().alias("e"))
-    per = rows.groupBy("cell", "seed").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("e")).alias("t"))
+    p = saved(s.split.inclusion().where("p > 0"))
+    per = weighted_draws(s, p)
     draws = s.roles.groupBy("cell").agg(F.count_distinct("seed").alias("n_draws"))
     reach = p.groupBy("cell").agg(F.count("*").alias("n_reached"))
     size = s.nodes.groupBy("cell").agg(F.count("*").alias("n"))
@@ -533,7 +543,7 @@ def reconstruction(spark, sf_dir):
     """Test sizes declared by block counts against those rebuilt from nodes, with relative error and the tolerances it meets."""
     s = Study(spark, sf_dir)
     declared = s.blocks.join(s.roles.where("role = 'test'"), ["cell", "block_id"]).groupBy("cell", "seed").agg(F.sum("n_nodes").alias("declared"))
-    rebuilt = s.left().where("role = 'test'").groupBy("cell", "seed").agg(F.count("*").alias("rebuilt"))
+    rebuilt = s.split.tally({"rebuilt": F.lit(1).cast("long")})
     error = F.abs(F.coalesce("rebuilt", F.lit(0)) - F.col("declared")) / F.col("declared")
     return rounded(declared.join(rebuilt, ["cell", "seed"], "left").select("cell", "seed", "declared", F.coalesce("rebuilt", F.lit(0).cast("long")).alias("rebuilt"), error.alias("error"), (error <= 1e-3).alias("close"), (error <= 1e-4).alias("exact")))
 

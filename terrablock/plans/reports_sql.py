@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrablock.plans.oracle import _RUR, _SUB, _URBAN, LOG_D, LOG_F, PARTS, PI, SQL, _cost, build, rounded
+from terrablock.plans.oracle import _RUR, _SUB, _URBAN, DRAWS_OF, LOG_D, LOG_F, PARTS, PI, SQL, _cost, build, rounded
 
 D = "::DOUBLE"
 PARTS |= {
@@ -263,4 +263,4 @@ PARTS |= {
     "effect": """SELECT cell, var_samp(mae) / avg((1 - n / n_u) * s2 / n) AS permuted_effect FROM (SELECT cell, seed, avg(t) AS mae, count(*) AS n FROM targets JOIN roles USING (cell, block_id) WHERE role = 'test' GROUP BY ALL)
   JOIN (SELECT cell, var_samp(t) AS s2, CAST(count(*) AS DOUBLE) AS n_u FROM targets GROUP BY cell) USING (cell) GROUP BY cell""",
 }
-SQL |= {name: build(body) for name, body in BODIES.items()}
+SQL |= {name: build(body, DRAWS_OF.get(name, 60)) for name, body in BODIES.items()}

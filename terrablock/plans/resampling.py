@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from terrablock.functions import propagation as prop
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
-from terrablock.operators import design, errors, resample
+from terrablock.operators import errors, resample
 from terrablock.plans.catalog import QUERIES, Study, free_space, query, rounded
-from terrablock.plans.reports import level_draws, level_error
+from terrablock.plans.reports import level_draws, level_error, weighted_draws
 from terrablock.sources import nodes as src
 
 #: The coincidence experiment: seeds, distance intervals (km), share of sentinels, power and spread of the others, tolerance in dB.
@@ -42,10 +42,9 @@ def ratio_bootstrap(spark, sf_dir):
 def rmse_ratio(spark, sf_dir):
     """Error of two estimates of the level's mean error, about its true value: the draw's weighted by 1/p, and its plain mean."""
     s = Study(spark, sf_dir)
-    left = saved(s.left())
-    p = design.inclusion(s.nodes, s.roles, left).where("p > 0").select("cell", "node_id", "p")
-    rows = left.where("role = 'test'").join(p, ["cell", "node_id"]).select("cell", "seed", (1 / F.col("p")).alias("w"), level_error().alias("e"))
-    per = rows.groupBy("cell", "seed").agg((F.sum(F.col("w") * F.col("e")) / F.sum("w")).alias("weighted"), F.avg("e").alias("plain"))
+    weighted = weighted_draws(s, saved(s.split.inclusion().where("p > 0"))).select("cell", "seed", F.try_divide("t", "w").alias("weighted"))
+    plain = level_draws(s).where("pop = 'all'").select("cell", "seed", F.col("mae").alias("plain"))
+    per = weighted.join(plain, ["cell", "seed"])
     true = s.nodes.groupBy("cell").agg(F.avg(level_error()).alias("theta"))
     return rounded(resample.rmse_ratio(saved(per.join(true, "cell")), ["cell"], ["seed"], "weighted", "plain", "theta"), 5)
 

@@ -6,7 +6,7 @@ import math
 
 from terrablock.functions.quantiles import CDF_B, CDF_P, PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL
 from terrablock.operators.resample import REPLICATES, TIE_DIGITS, WILD_REPLICATES
-from terrablock.plans.oracle import SQL, build, rounded
+from terrablock.plans.oracle import DRAWS_OF, SQL, build, rounded
 from terrablock.plans.reports_sql import _T, D
 from terrablock.plans.resampling import INTERVALS, POWER, SEEDS, SHARE, SPREAD, TOLERANCE
 
@@ -116,4 +116,4 @@ BODIES = {
         "median edge",
     ),
 }
-SQL |= {name: build(body) for name, body in BODIES.items()}
+SQL |= {name: build(body, DRAWS_OF.get(name, 60)) for name, body in BODIES.items()}

@@ -10,13 +10,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrablock.functions import propagation as prop
+from terrablock.functions import quantiles
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
 from terrablock.operators import errors, gates, graph, proximity, resample
-from terrablock.plans import catalog, reports
+from terrablock.plans import catalog, reports, resampling
 from terrablock.plans.catalog import QUERIES
 from terrablock.plans.oracle import SQL
 from terrablock.plans.reports_sql import T_975
+from terrablock.plans.resampling_sql import BODIES as _RESAMPLING_SQL  # noqa: F401  (adds to SQL)
 from terrablock.sources import readers
 from terrablock.streaming import block_sums
 
@@ -45,16 +47,16 @@ def shared_study():
     for name in ("near", "left", "fitted", "per_draw", "sums"):
         setattr(Shared, name, lambda self, name=name: self.once(name))
 
-    def study(spark, sf_dir, b=catalog.B, draws=None):
-        key = (sf_dir, b, tuple(draws or ()))
+    def study(spark, sf_dir, b=catalog.B, draws=catalog.DRAWS):
+        key = (sf_dir, b, draws if isinstance(draws, int) else tuple(draws))
         if key not in made:
             made[key] = Shared(spark, sf_dir, b, draws)
         return made[key]
 
     whole = catalog.Study
-    catalog.Study = reports.Study = study
+    catalog.Study = reports.Study = resampling.Study = study
     yield
-    catalog.Study = reports.Study = whole
+    catalog.Study = reports.Study = resampling.Study = whole
 
 
 def table(frame: pd.DataFrame) -> list[tuple]:
@@ -83,21 +85,58 @@ def test_bootstraps(spark):
     """Against what the resampled numbers must be: normal intervals of many rows, no spread of equal ones, the exact jackknife."""
     rng = np.random.default_rng(1)
     x = rng.normal(10, 2, 400)
-    rows = spark.createDataFrame([("A", float(v), float(2 * v), i) for i, v in enumerate(x)] + [("B", 3.0, 1.5, i) for i in range(20)], "cell string, x double, y double, i int")
-    m = {r.cell: r for r in resample.mean_intervals(rows, ["cell"], "x").collect()}
+    rows = spark.createDataFrame([("A", float(v), float(2 * v), i) for i, v in enumerate(x)] + [("B", 3.0, 1.5, i) for i in range(20)] + [("C", 5.0, 2.0, 0)], "cell string, x double, y double, i int")
+    m = {r.cell: r for r in resample.mean_intervals(rows, ["cell"], ["i"], "x").collect()}
     se = x.std(ddof=1) / 20
-    assert m["A"].low == pytest.approx(x.mean() - 1.96 * se, abs=0.25 * se) and m["A"].bca_high == pytest.approx(x.mean() + 1.96 * se, abs=0.3 * se)
-    assert m["B"].low == m["B"].high == m["B"].mean == 3
-    r = {r.cell: r for r in resample.ratio_of_sums(rows, ["cell"], "x", "y").collect()}
+    assert m["A"].low == pytest.approx(x.mean() - 1.96 * se, abs=0.1 * se) and m["A"].bca_high == pytest.approx(x.mean() + 1.96 * se, abs=0.15 * se)
+    assert m["B"].low == m["B"].high == m["B"].mean == 3 and m["C"].bca_low == m["C"].mean == 5
+    r = {r.cell: r for r in resample.ratio_of_sums(rows, ["cell"], ["i"], "x", "y").collect()}
     assert r["A"].ratio == pytest.approx(0.5) and r["A"].se == pytest.approx(0, abs=1e-9) and r["B"].ratio == 2
-    sd = {r.cell: r for r in resample.ratio_bootstrap(rows, ["cell"], "y", "x").collect()}
+    sd = {r.cell: r for r in resample.ratio_bootstrap(rows, ["cell"], ["i"], "y", "x").collect()}
     assert sd["A"].ratio == pytest.approx(2) and sd["A"].low == pytest.approx(2) and "B" not in sd
-    sums = spark.createDataFrame([("A", 1, "p", "all", k, float(s), m) for k, (s, m) in enumerate([(10.0, 5), (12.0, 4), (30.0, 9), (4.0, 3), (18.0, 7)])], "cell string, seed long, pred string, pop string, block_id long, s double, m long")
-    wild = resample.wild_bootstrap(sums).first()
+    rmse = resample.rmse_ratio(rows.withColumn("mu", F.lit(10.0)).withColumn("z", (F.col("x") - 10) * 3 + 10), ["cell"], ["i"], "z", "x", "mu").where("cell = 'A'").first()
+    assert rmse.ratio == pytest.approx(3) and rmse.low == pytest.approx(3) and rmse.high == pytest.approx(3)
+    sums = spark.createDataFrame([("A", 1, "p", "all", k, float(s), m) for k, (s, m) in enumerate([(10.0, 5), (12.0, 4), (30.0, 9), (4.0, 3), (18.0, 7)])] + [("A", 2, "p", "all", 1, 6.0, 3)], "cell string, seed long, pred string, pop string, block_id long, s double, m long")
+    t = spark.createDataFrame([(5, 2.776445)], "k long, t double")
+    wild = {r.seed: r for r in resample.wild_bootstrap(sums, t).collect()}
     resid = np.array([10.0, 12, 30, 4, 18]) - 74 / 28 * np.array([5, 4, 9, 3, 7])
-    assert wild.err == pytest.approx(74 / 28) and wild.v == pytest.approx((resid**2).sum() / 28**2, rel=0.15) and wild.low < wild.err < wild.high
-    near = resample.coincidence(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", range(2), (0.01, 1.0)).toPandas()
-    assert near.groupby("width").rate.mean()[0.01] == pytest.approx(0.1, abs=0.01) and near.groupby("width").rate.mean()[1.0] == pytest.approx(0.001, abs=0.0005)
+    assert wild[1].err == pytest.approx(74 / 28) and wild[1].v == pytest.approx((resid**2).sum() / 28**2, rel=0.1) and wild[1].low < wild[1].err < wild[1].high and wild[1].t_high == pytest.approx(wild[1].err + 2.776445 * wild[1].v ** 0.5)
+    assert wild[2].err == 2 and wild[2].v is None and wild[2].low is None
+
+
+def test_resampled_sums_are_multinomial(spark):
+    """A replicate takes as many draws as there are, each equally often on average, and the same on every run."""
+    rows = saved(spark.createDataFrame([("A", k, 1.0 if k == 3 else 0.0) for k in range(8)], "cell string, i int, x double"))
+    boots = resample.resampled_sums(rows, ["cell"], ["i"], {"m": F.lit(1), "x": F.col("x")}, 5).toPandas()
+    assert len(boots) == resample.REPLICATES and (boots.m == 8).all()
+    assert boots.x.mean() == pytest.approx(1, abs=0.05) and boots.x.var() == pytest.approx(7 / 8, abs=0.1)
+    again = resample.resampled_sums(rows, ["cell"], ["i"], {"m": F.lit(1), "x": F.col("x")}, 5).toPandas()
+    assert boots.sort_values("replicate").x.tolist() == again.sort_values("replicate").x.tolist()
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    p = [1e-9, 0.001, 0.02, 0.025, 0.3, 0.5, 0.77, 0.975, 0.99, 1 - 1e-6]
+    rows = spark.createDataFrame([(v,) for v in p], "p double").select("p", quantiles.normal_quantile(F.col("p")).alias("z")).withColumn("back", quantiles.normal_cdf(F.col("z"))).collect()
+    assert all(r.z == pytest.approx(NormalDist().inv_cdf(r.p), abs=1e-7) and r.back == pytest.approx(r.p, abs=1e-7) for r in rows)
+    cut = spark.createDataFrame([([1.0, 2.0, 4.0, 8.0],)], "v array<double>").select(*(quantiles.sorted_quantile(F.col("v"), F.lit(q)).alias(f"q{i}") for i, q in enumerate((0.0, 0.5, 0.9, 1.0)))).first()
+    assert [round(x, 9) for x in cut] == [1.0, 3.0, 6.8, 8.0]
+
+
+def test_simulated_medians(spark):
+    """Against the population drawn in NumPy from the same hashes."""
+    import hashlib
+
+    cases = spark.createDataFrame([(0, 7, 1.0, 140.0), (1, 8, 5.0, 20.0)], "case int, seed int, d_min double, d_max double")
+    got = {r.case: r for r in resample.simulated_medians(spark.range(501).withColumnRenamed("id", "i"), 501, cases, 0.8, -110.0, 43.0, 10.0, lambda d: 20 * F.log10(d)).collect()}
+    for case, seed, a, b in ((0, 7, 1.0, 140.0), (1, 8, 5.0, 20.0)):
+        w = []
+        for i in range(501):
+            h = hashlib.md5(f"{seed}|{case}|{i}".encode()).hexdigest()
+            u, v = (int(h[:8], 16) + 0.5) / 2**32, int(h[8:16], 16) / 2**32
+            w.append(-110 + 20 * math.log10(a + (b - a) * u) if i < 401 else 43 + 10 * math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v))
+        assert got[case].total == 501 and got[case].median == pytest.approx(np.median(w))
 
 
 def test_quantiles_by_histogram(spark):
