@@ -112,7 +112,7 @@ def mean_intervals(rows: DataFrame, keys: list[str], order: list[str], value: st
     """
     rows = rows.select(*keys, *order, value)
     first = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    d = (F.col(value) - F.col("mean")) / (F.col("n") - 1)
+    d = (F.col(value) - F.col("mean")) / F.greatest(F.col("n") - 1, F.lit(1))
     cube = rows.join(first, keys).groupBy(*keys, "n", "mean").agg(F.sum(d * d).alias("_d2"), F.sum(d * d * d).alias("_d3"))
     boots = resampled_sums(rows, keys, order, {"x": F.col(value)}, seed, n).join(first, keys).select(*keys, "mean", (F.col("x") / F.col("n")).alias("b"))
     apart = F.round(F.col("b") - F.col("mean"), TIE_DIGITS)

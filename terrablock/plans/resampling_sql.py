@@ -79,7 +79,7 @@ def _quantile_at(sql: str) -> str:
 _MEAN = f"""SELECT cell, n, mean, low, high, {_end(0.025)} AS bca_low, {_end(0.975)} AS bca_high FROM (SELECT *, {_Z} AS z0 FROM (
   SELECT cell, n, mean, coalesce(d3 / nullif(6 * d2 ** 1.5::DOUBLE, 0), 0) AS a, list_sort(list(x / n)) AS b, quantile_cont(x / n, 0.025) AS low, quantile_cont(x / n, 0.975) AS high,
     avg(CASE WHEN round(x / n - mean, {TIE_DIGITS}) < 0 THEN 1 WHEN round(x / n - mean, {TIE_DIGITS}) = 0 THEN 0.5::DOUBLE ELSE 0 END) AS p
-  FROM {resampled("all_draws", {"x": "mae"}, 20260932)} JOIN (SELECT cell, n, mean, sum(d * d) AS d2, sum(d * d * d) AS d3 FROM (SELECT cell, count(*) OVER w AS n, avg(mae) OVER w AS mean, (mae - avg(mae) OVER w) / (count(*) OVER w - 1) AS d FROM all_draws WINDOW w AS (PARTITION BY cell)) GROUP BY cell, n, mean) USING (cell) GROUP BY cell, n, mean, d2, d3))"""
+  FROM {resampled("all_draws", {"x": "mae"}, 20260932)} JOIN (SELECT cell, n, mean, sum(d * d) AS d2, sum(d * d * d) AS d3 FROM (SELECT cell, count(*) OVER w AS n, avg(mae) OVER w AS mean, (mae - avg(mae) OVER w) / greatest(count(*) OVER w - 1, 1) AS d FROM all_draws WINDOW w AS (PARTITION BY cell)) GROUP BY cell, n, mean) USING (cell) GROUP BY cell, n, mean, d2, d3))"""
 
 _CASES = " UNION ALL ".join(f"SELECT {k} AS k, {a}{D} AS d_min, {b}{D} AS d_max" for k, (a, b) in enumerate(INTERVALS))
 _LOSS = "20 * log10(greatest({d}, 0.001::DOUBLE)) + 20 * log10(900::DOUBLE) + 32.44::DOUBLE"
