@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,11 +38,46 @@ def seeds(spark: SparkSession, n: int = DRAWS) -> DataFrame:
     return spark.range(1, n + 1).withColumnRenamed("id", "seed")
 
 
+_shared: list[dict] = []  # the studies of the open sharing() blocks, innermost last
+
+
+def kept(method: Callable) -> Callable:
+    """Inside sharing() a study saves the method's table and gives it again."""
+
+    @wraps(method)
+    def once(self) -> DataFrame:
+        if not _shared:
+            return method(self)
+        tables = self.__dict__.setdefault("tables", {})
+        if method.__name__ not in tables:
+            tables[method.__name__] = saved(method(self))
+        return tables[method.__name__]
+
+    return once
+
+
+@contextmanager
+def sharing() -> Iterator[None]:
+    """Queries built inside it that ask for the same study share one."""
+    _shared.append({})
+    try:
+        yield
+    finally:
+        _shared.pop()
+
+
 class Study:
     """The parts that many queries share; each is saved where it is used more than once."""
 
+    def __new__(cls, spark: SparkSession, sf_dir: str, b: float = B, draws: list[int] | int = DRAWS):
+        if not _shared:
+            return super().__new__(cls)
+        return _shared[-1].setdefault((sf_dir, b, draws if isinstance(draws, int) else tuple(draws)), super().__new__(cls))
+
     def __init__(self, spark: SparkSession, sf_dir: str, b: float = B, draws: list[int] | int = DRAWS):
         """draws: the first so many, or a list of them."""
+        if "spark" in self.__dict__:
+            return
         self.spark, self.b = spark, b
         self.nodes = saved(src.nodes(spark, sf_dir))
         self.blocks = saved(partition.blocks(self.nodes))
@@ -58,6 +94,7 @@ class Study:
     def left(self) -> DataFrame:
         return self.split.left() if self.b > 0 else partition.held_out(self.nodes, self.roles)
 
+    @kept
     def fitted(self) -> DataFrame:
         """cell, seed, constant (median level of the training nodes), off_a and off_b (median of level + FSPL, all and valid)."""
         level = F.col("rssi") + free_space()
@@ -69,9 +106,11 @@ class Study:
         test = self.left().where("role = 'test'").join(fit, ["cell", "seed"], "left")
         return test.withColumns({"e_constant": F.col("rssi") - F.col("constant"), "e_fspl_a": F.col("rssi") - (F.col("off_a") - free_space()), "e_fspl_b": F.col("rssi") - (F.col("off_b") - free_space())})
 
+    @kept
     def per_draw(self) -> DataFrame:
         return errors.population_mae(self.scored(), ["cell", "seed"], error_columns())
 
+    @kept
     def sums(self) -> DataFrame:
         return errors.block_sums(self.scored(), ["cell", "seed"], error_columns())
 

@@ -14,7 +14,8 @@ from terrablock.functions import quantiles
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
 from terrablock.operators import errors, gates, graph, proximity, resample
-from terrablock.plans import catalog, reports, resampling
+from terrablock.plans import catalog, criteria, reports, resampling
+from terrablock.plans.criteria_sql import _BODIES  # noqa: F401  (adds to SQL)
 from terrablock.plans.catalog import QUERIES
 from terrablock.plans.oracle import SQL
 from terrablock.plans.reports_sql import T_975
@@ -124,6 +125,32 @@ def test_normal_quantiles(spark):
     assert [round(x, 9) for x in cut] == [1.0, 3.0, 6.8, 8.0]
 
 
+def test_criteria(spark):
+    """Bounds with and without their own value, quotas, order of branches, missing units."""
+    from terrablock.operators.criteria import Clause, Rule, verdicts
+
+    values = {"a": [1.0, 2.0, 3.0, 4.0], "b": [0.5, None], "c": [7.0]}
+    rows = spark.createDataFrame([(s, f"u{k}", v) for s, vs in values.items() for k, v in enumerate(vs)], "statistic string, unit string, value double")
+    planned = spark.createDataFrame([("a", 4), ("b", 2), ("c", 1), ("d", 3)], "statistic string, n_planned long")
+    rules = (
+        Rule("half", "NO", (("YES", (Clause("a", 3.0, None, 0.5),)),)),
+        Rule("strict", "NO", (("YES", (Clause("a", 3.0, None, 0.5, above=True),)),)),
+        Rule("both", "NO", (("YES", (Clause("a", 1.0, 4.0), Clause("c", None, 7.0))),)),
+        Rule("below", "NO", (("YES", (Clause("a", 1.0, 4.0, below=True),)),)),
+        Rule("second", "NO", (("FIRST", (Clause("c", 8.0),)), ("SECOND", (Clause("c", 7.0),)), ("THIRD", (Clause("c", 6.0),)))),
+        Rule("any", "NO", (("YES", (Clause("a", 4.0, None, 0.0),)),)),
+        Rule("none", "NO", (("YES", (Clause("a", 5.0, None, 0.0),)),)),
+        Rule("gap", "NO", (("YES", (Clause("b", 0.0, None, 0.5),)),)),
+        Rule("absent", "NO", (("YES", (Clause("d", 0.0),)),)),
+    )
+    got = {r.rule: (r.verdict, r.branch, r.partial) for r in verdicts(rows, planned, rules).collect()}
+    assert got == {
+        "half": ("YES", 0, False), "strict": ("NO", -1, False), "both": ("YES", 0, False), "below": ("NO", -1, False), "second": ("SECOND", 1, False),
+        "any": ("YES", 0, False), "none": ("NO", -1, False), "gap": ("PARTIAL", 0, True), "absent": ("PARTIAL", -1, True),
+    }
+    assert len(criteria.RULES) == 22 and {c.statistic for r in criteria.RULES for _, b in r.branches for c in b} <= {s.name for s in criteria.STATISTICS}
+
+
 def test_simulated_medians(spark):
     """Against the population drawn in NumPy from the same hashes."""
     import hashlib
