@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrablock.functions import geometry as geo
 from terrablock.functions import propagation as prop
 from terrablock.functions.storage import saved
-from terrablock.operators import classes, design, errors, gates, graph, partition, proximity, retained
+from terrablock.operators import classes, design, errors, gates, graph, partition, proximity, ranks, retained
 from terrablock.plans.catalog import B, DRAWS, FOLDS, G, MAX_GY, QUERIES, Study, _side, query, rounded, seeds
 from terrablock.sources import nodes as src
 
@@ -127,6 +127,13 @@ def border_blocks(spark, sf_dir):
     return rounded(every.groupBy("cell", "border").agg(F.count("*").alias("n"), F.count_if(F.col("share") == 0).alias("n_empty"), F.count_if((F.col("share") > 0) & (F.col("share") < 0.1)).alias("n_thin"), F.avg("share").alias("share")))
 
 
+@query
+def spearman_tied(spark, sf_dir):
+    """Rank correlation of level and elevation over a cell's nodes, in steps of 0.1 dB and 0.01: by mean ranks of ties, and by their order."""
+    n = src.nodes(spark, sf_dir).select("cell", "node_id", F.floor(F.col("rssi") * 10).alias("x"), F.floor(F.col("elevation") * 100).alias("y"))
+    return rounded(ranks.spearman_tied(n, ["cell"], "x", "y", "node_id"))
+
+
 @query
 def central_window(spark, sf_dir):
     """The largest square window of each cell with at most 1,000 nodes."""

@@ -250,6 +250,12 @@ BODIES = {
     "reconstruction": rounded("SELECT *, error <= 1e-3 AS close, error <= 1e-4 AS exact FROM (SELECT cell, seed, count(*) AS declared, count(l.node_id) AS rebuilt, abs(count(l.node_id) - count(*)) / CAST(count(*) AS DOUBLE) AS error FROM held h LEFT JOIN left2 l USING (cell, seed, node_id) WHERE h.role = 'test' GROUP BY ALL)", "error"),
     "digest_chain": """SELECT cell, seed, role, CASE WHEN n_other = 0 THEN 'missing' WHEN n_other = n THEN 'equal' ELSE 'different' END AS state FROM (
         SELECT cell, seed, role, count(*) AS n, count(*) FILTER (WHERE NOT (cell = 'Q2' AND seed = 2 AND node_id % 2 = 0) AND NOT (cell = 'Q3' AND role = 'val')) AS n_other FROM left2 WHERE seed <= 2 GROUP BY ALL)""",
+    "spearman_tied": rounded(
+        """SELECT cell, count(*) AS n, corr(rx, ry) AS rho, corr(ox, oy) AS rho_broken FROM (SELECT cell,
+        rank() OVER (PARTITION BY cell ORDER BY x) + (count(*) OVER (PARTITION BY cell, x) - 1) / 2::DOUBLE AS rx, rank() OVER (PARTITION BY cell ORDER BY y) + (count(*) OVER (PARTITION BY cell, y) - 1) / 2::DOUBLE AS ry,
+        row_number() OVER (PARTITION BY cell ORDER BY x, node_id) AS ox, row_number() OVER (PARTITION BY cell ORDER BY y, node_id) AS oy FROM (SELECT cell, node_id, floor(rssi * 10) AS x, floor(elevation * 100) AS y FROM nodes)) GROUP BY cell""",
+        "rho rho_broken",
+    ),
     "merged_cells": "SELECT cell, node_id, row_number() OVER (ORDER BY cell, node_id) - 1 AS merged FROM lattice",
 }
 # Published quantiles of Student's t at 0.975 by degrees of freedom, from 1.

@@ -13,7 +13,7 @@ from terrablock.functions import propagation as prop
 from terrablock.functions import quantiles
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
-from terrablock.operators import errors, gates, graph, proximity, resample
+from terrablock.operators import errors, gates, graph, proximity, ranks, resample
 from terrablock.plans import catalog, criteria, reports, resampling
 from terrablock.plans.criteria_sql import _BODIES  # noqa: F401  (adds to SQL)
 from terrablock.plans.catalog import QUERIES
@@ -125,6 +125,24 @@ def test_normal_quantiles(spark):
     assert [round(x, 9) for x in cut] == [1.0, 3.0, 6.8, 8.0]
 
 
+def test_tied_ranks(spark):
+    """Against ranks by hand: ties, one value for most rows, nulls, negative numbers, keys of one row."""
+    rng = np.random.default_rng(4)
+    data = [("A", i, int(v), int(w)) for i, (v, w) in enumerate(zip(rng.integers(-3, 3, 400), np.where(rng.random(400) < 0.6, 7, rng.integers(0, 50, 400)), strict=True))] + [("B", 0, 1, 1), ("C", 1, 2, None), ("C", 2, 5, 1), ("C", 3, 5, 4)]
+    rows = spark.createDataFrame(data, "k string, i int, x int, y int").repartition(5)
+    got = {(r.k, r.i): r for r in ranks.ranked(rows, ["k"], "y", "i").collect()}
+    assert len(got) == len(data) and (got["C", 1].o_y, got["C", 1].r_y) == (1, 1.0)
+    frame = pd.DataFrame(data, columns=["k", "i", "x", "y"])
+    for k, own in frame.dropna().groupby("k"):
+        if k != "C":
+            want = own.sort_values(["y", "i"]).assign(o=range(1, len(own) + 1))
+            want["r"] = want.groupby("y").o.transform("mean")
+            assert all((got[k, r.i].o_y, got[k, r.i].r_y) == (r.o, r.r) for r in want.itertuples())
+    rho = {r.k: r for r in ranks.spearman_tied(rows, ["k"], "x", "y", "i").collect()}
+    a = frame[frame.k == "A"]
+    assert rho["A"].rho == pytest.approx(a.x.rank().corr(a.y.rank())) and rho["A"].n == 400 and rho["B"].rho is None and rho["C"].n == 2
+
+
 def test_criteria(spark):
     """Bounds with and without their own value, quotas, order of branches, missing units."""
     from terrablock.operators.criteria import Clause, Rule, verdicts
