@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrablock.functions.quantiles import f_quantile
+
 DRAW = ["cell", "seed", "pred", "pop"]
 
 
@@ -119,6 +121,20 @@ def one_way(rows: DataFrame, keys: list[str], factor: str, value: str) -> DataFr
     return out.withColumn("icc", F.try_divide(F.col("s2_between"), F.col("s2_between") + F.col("ms_within")))
 
 
+def component_intervals(layout: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, d1, d2, f, f_low, f_high (quantiles), theta, theta_low, theta_high, icc_low, icc_high. layout: rows of one_way.
+
+    theta is the ratio of the components between and within; F is (1 + n0 theta) times Fisher's F of d1 = groups - 1 and
+    d2 = n - groups, so its 95 % bounds are (F / quantile - 1) / n0, cut off at 0. Without a spread within, or with a
+    single group or none left over, there is no interval.
+    """
+    some = layout.where("groups > 1 AND n > groups AND ms_within > 0").withColumns({"d1": F.col("groups") - 1, "d2": F.col("n") - F.col("groups"), "f": F.col("ms_between") / F.col("ms_within")})
+    some = some.withColumns({"f_low": f_quantile(0.025, F.col("d1"), F.col("d2")), "f_high": f_quantile(0.975, F.col("d1"), F.col("d2"))})
+    theta = lambda q: F.greatest(F.lit(0.0), (F.col("f") / q - 1) / F.col("n0"))
+    out = some.select(*keys, "d1", "d2", "f", "f_low", "f_high", theta(F.lit(1.0)).alias("theta"), theta(F.col("f_high")).alias("theta_low"), theta(F.col("f_low")).alias("theta_high"))
+    return out.withColumns({f"icc_{e}": F.col(f"theta_{e}") / (1 + F.col(f"theta_{e}")) for e in ("low", "high")})
+
+
 def cochran_c(rows: DataFrame, factor: str, value: str) -> DataFrame:
     return rows.groupBy(factor).agg(F.var_samp(value).alias("v")).agg(F.try_divide(F.max("v"), F.sum("v")).alias("c"))
 

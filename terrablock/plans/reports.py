@@ -127,6 +127,13 @@ def border_blocks(spark, sf_dir):
     return rounded(every.groupBy("cell", "border").agg(F.count("*").alias("n"), F.count_if(F.col("share") == 0).alias("n_empty"), F.count_if((F.col("share") > 0) & (F.col("share") < 0.1)).alias("n_thin"), F.avg("share").alias("share")))
 
 
+@query
+def anova_intervals(spark, sf_dir):
+    """The ratio of a cell's components between and within blocks, and the intraclass correlation, with their 95 % bounds by F."""
+    layout = design.one_way(src.nodes(spark, sf_dir).where("valid"), ["cell"], "block_id", "rssi")
+    return rounded(design.component_intervals(saved(layout), ["cell"]), 5)
+
+
 @query
 def spearman_tied(spark, sf_dir):
     """Rank correlation of level and elevation over a cell's nodes, in steps of 0.1 dB and 0.01: by mean ranks of ties, and by their order."""

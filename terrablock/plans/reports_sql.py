@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from terrablock.functions.quantiles import HALVINGS, TERMS
 from terrablock.plans.oracle import _RUR, _SUB, _URBAN, DRAWS_OF, LOG_D, LOG_F, PARTS, PI, SQL, _cost, build, rounded
 
 D = "::DOUBLE"
@@ -23,6 +24,21 @@ PARTS |= {
 _FALL = "coalesce(list_product(list_transform(range(0, m), lambda j: greatest((({top}) - j) / CAST(({base}) - j AS DOUBLE), 0))), 1)"
 
 
+def _series(x: str, a: str, b: str) -> str:
+    terms = f"list_sum(list_transform(range({TERMS}), lambda k: exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + lgamma({a} + 1) + k * ln({x}))))"
+    return f"exp({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})) * {terms}"
+
+
+def _share(x: str) -> str:
+    """The regularised incomplete beta function of columns a and b."""
+    return f"(CASE WHEN {x} <= 0.5 THEN {_series(x, 'a', 'b')} ELSE 1 - {_series(f'(1 - {x})', 'b', 'a')} END)"
+
+
+_LAYOUT = """SELECT cell, n, groups, ssb / (groups - 1) AS ms_between, ssw / (n - groups) AS ms_within, (n - k2 / n) / (groups - 1) AS n0 FROM (
+  SELECT cell, CAST(sum(k) AS BIGINT) AS n, count(*) AS groups, sum(k * (m - g) * (m - g)) AS ssb, sum(k * v) AS ssw, CAST(sum(k * k) AS DOUBLE) AS k2
+  FROM (SELECT *, sum(k * m) OVER (PARTITION BY cell) / sum(k) OVER (PARTITION BY cell) AS g FROM (SELECT cell, block_id, count(*) AS k, avg(rssi) AS m, var_pop(rssi) AS v FROM nodes WHERE valid GROUP BY ALL)) GROUP BY cell)"""
+
+
 def falling(top: str, base: str) -> str:
     return _FALL.format(top=top, base=base)
 
@@ -250,6 +266,16 @@ BODIES = {
     "reconstruction": rounded("SELECT *, error <= 1e-3 AS close, error <= 1e-4 AS exact FROM (SELECT cell, seed, count(*) AS declared, count(l.node_id) AS rebuilt, abs(count(l.node_id) - count(*)) / CAST(count(*) AS DOUBLE) AS error FROM held h LEFT JOIN left2 l USING (cell, seed, node_id) WHERE h.role = 'test' GROUP BY ALL)", "error"),
     "digest_chain": """SELECT cell, seed, role, CASE WHEN n_other = 0 THEN 'missing' WHEN n_other = n THEN 'equal' ELSE 'different' END AS state FROM (
         SELECT cell, seed, role, count(*) AS n, count(*) FILTER (WHERE NOT (cell = 'Q2' AND seed = 2 AND node_id % 2 = 0) AND NOT (cell = 'Q3' AND role = 'val')) AS n_other FROM left2 WHERE seed <= 2 GROUP BY ALL)""",
+    "anova_intervals": rounded(
+        f"""SELECT cell, d1, d2, f, f_low, f_high, theta, theta_low, theta_high, theta_low / (1 + theta_low) AS icc_low, theta_high / (1 + theta_high) AS icc_high FROM (
+        SELECT cell, d1, d2, f, f_low, f_high, greatest(0, (f - 1) / n0) AS theta, greatest(0, (f / f_high - 1) / n0) AS theta_low, greatest(0, (f / f_low - 1) / n0) AS theta_high FROM (
+        WITH RECURSIVE layout AS MATERIALIZED (SELECT *, groups - 1 AS d1, n - groups AS d2, ms_between / ms_within AS f FROM ({_LAYOUT}) WHERE groups > 1 AND n > groups AND ms_within > 0),
+        halved AS (SELECT cell, p, d1 / 2::DOUBLE AS a, d2 / 2::DOUBLE AS b, 0::DOUBLE AS low, 1::DOUBLE AS high, 0 AS i FROM layout, (VALUES (0.025::DOUBLE), (0.975::DOUBLE)) q(p)
+          UNION ALL SELECT cell, p, a, b, CASE WHEN below THEN (low + high) / 2 ELSE low END, CASE WHEN below THEN high ELSE (low + high) / 2 END, i + 1 FROM (SELECT *, {_share("((low + high) / 2)")} < p AS below FROM halved WHERE i < {HALVINGS})),
+        found AS (SELECT cell, p, (low + high) / 2 AS x FROM halved WHERE i = {HALVINGS})
+        SELECT layout.*, lo.x * d2 / (d1 * (1 - lo.x)) AS f_low, hi.x * d2 / (d1 * (1 - hi.x)) AS f_high FROM layout JOIN found lo ON lo.cell = layout.cell AND lo.p < 0.5 JOIN found hi ON hi.cell = layout.cell AND hi.p > 0.5))""",
+        "f f_low f_high theta theta_low theta_high icc_low icc_high", 5,
+    ),
     "spearman_tied": rounded(
         """SELECT cell, count(*) AS n, corr(rx, ry) AS rho, corr(ox, oy) AS rho_broken FROM (SELECT cell,
         rank() OVER (PARTITION BY cell ORDER BY x) + (count(*) OVER (PARTITION BY cell, x) - 1) / 2::DOUBLE AS rx, rank() OVER (PARTITION BY cell ORDER BY y) + (count(*) OVER (PARTITION BY cell, y) - 1) / 2::DOUBLE AS ry,

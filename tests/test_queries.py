@@ -13,7 +13,7 @@ from terrablock.functions import propagation as prop
 from terrablock.functions import quantiles
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
-from terrablock.operators import errors, gates, graph, proximity, ranks, resample
+from terrablock.operators import design, errors, gates, graph, proximity, ranks, resample
 from terrablock.plans import catalog, criteria, reports, resampling
 from terrablock.plans.criteria_sql import _BODIES  # noqa: F401  (adds to SQL)
 from terrablock.plans.catalog import QUERIES
@@ -125,6 +125,29 @@ def test_normal_quantiles(spark):
     assert [round(x, 9) for x in cut] == [1.0, 3.0, 6.8, 8.0]
 
 
+# Published quantiles of F at 0.975 for (d1, d2), to four decimals.
+F_975 = {(1, 10): 6.9367, (2, 5): 8.4336, (5, 20): 3.2891, (10, 10): 3.7168, (20, 60): 1.9445, (3, 120): 3.2269, (30, 5): 6.2269}
+
+
+def test_f_quantiles(spark):
+    rows = spark.createDataFrame(list(F_975), "d1 int, d2 int").select("*", quantiles.f_quantile(0.975, F.col("d1"), F.col("d2")).alias("high"), quantiles.f_quantile(0.025, F.col("d2"), F.col("d1")).alias("low")).collect()
+    for r in rows:
+        assert r.high == pytest.approx(F_975[r.d1, r.d2], abs=6e-5) and r.low == pytest.approx(1 / r.high, rel=1e-9)
+    big = spark.createDataFrame([(32, 3_000_000)], "d1 int, d2 int").select(quantiles.f_quantile(0.975, F.col("d1"), F.col("d2")).alias("f")).first().f
+    assert big == pytest.approx(49.480438 / 32, rel=1e-4)  # chi-square of 32 over 32
+    share = spark.range(1).select(quantiles.beta_share(F.lit(0.3), F.lit(2.0), F.lit(3.0)).alias("s"), quantiles.beta_share(F.lit(0.9), F.lit(2.0), F.lit(3.0)).alias("t"), quantiles.log_gamma(F.lit(0.5)).alias("g")).first()
+    assert share.s == pytest.approx(0.3483) and share.t == pytest.approx(0.9963) and share.g == pytest.approx(math.lgamma(0.5), rel=1e-12)
+
+
+def test_component_intervals(spark):
+    rng = np.random.default_rng(6)
+    rows = [("A", g, float(v)) for g in range(12) for v in rng.normal(rng.normal(0, 2), 1, 9)] + [("B", 0, 1.0), ("B", 0, 2.0), ("C", 0, 1.0), ("C", 1, 1.0), ("C", 1, 1.0)]
+    layout = design.one_way(spark.createDataFrame(rows, "cell string, g int, v double"), ["cell"], "g", "v")
+    out = {r.cell: r for r in design.component_intervals(layout, ["cell"]).collect()}
+    assert set(out) == {"A"} and (out["A"].d1, out["A"].d2) == (11, 96)
+    assert out["A"].theta_low < out["A"].theta < out["A"].theta_high and out["A"].theta_low == pytest.approx((out["A"].f / out["A"].f_high - 1) / 9) and 0 < out["A"].icc_low < out["A"].icc_high < 1
+
+
 def test_tied_ranks(spark):
     """Against ranks by hand: ties, one value for most rows, nulls, negative numbers, keys of one row."""
     rng = np.random.default_rng(4)
