@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrablock.functions.geometry import border_distance
+from terrablock.functions.geometry import border_distance, haversine_m
 from terrablock.functions.sizes import is_small
 from terrablock.functions.storage import saved
 
@@ -64,6 +64,46 @@ def nearest_site(nodes: DataFrame, sites: DataFrame, most: int = MOST_SITES, sta
         rest, reach = saved(rest.select("cell", "node_id", "x_km", "y_km").join(hit, ["cell", "node_id"], "left_anti")), reach * 2
 
 
+def on_sphere(df: DataFrame, lon: str, lat: str, names: tuple[str, str, str]) -> DataFrame:
+    """df with the place on the unit sphere: no seam at the date line and no narrow bins at the poles."""
+    a, b = F.radians(F.col(lon)), F.radians(F.col(lat))
+    return df.withColumns(dict(zip(names, (F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)), strict=True)))
+
+
+def nearest_on_sphere(nodes: DataFrame, sites: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
+    """keys, site_id, dist_m of each node (keys, lon, lat in degrees; keys tell nodes apart): the nearest site (site_id,
+    slon, slat) by great circle, in metres rounded to digits, the smaller site_id of ties; null where there is no site.
+
+    Places are put into cubes about as wide as the sites lie apart; a node sees the sites of its cube and of the 26 around,
+    and is done if the nearest lies within a cube's width. The others look again in cubes twice as wide, until a cube holds
+    the sphere. Only sites are copied to cubes.
+    """
+    earth, slack = 6_371_000.0, 10.0**-digits
+    rest = saved(on_sphere(nodes.select(*keys, "lon", "lat"), "lon", "lat", ("x", "y", "z")))
+    far = saved(on_sphere(sites.select("site_id", "slon", "slat"), "slon", "slat", ("sx", "sy", "sz")))
+    box = far.agg(F.count("*"), *(f(c) for c in ("sx", "sy", "sz") for f in (F.min, F.max))).first()
+    if not box[0]:
+        return nodes.select(*keys, F.lit(None).cast("long").alias("site_id"), F.lit(None).cast("double").alias("dist_m"))
+    reach = max(max(box[i + 1] - box[i] for i in (1, 3, 5)) / math.sqrt(box[0]), 1e-6)
+    dist = F.round(haversine_m(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"), earth), digits)
+    found = None
+    while True:
+        cube = lambda c: F.floor(F.col(c) / reach)  # noqa: B023, E731
+        around = far
+        for k, c in (("kx", "sx"), ("ky", "sy"), ("kz", "sz")):
+            around = around.withColumn(k, F.explode(F.array(cube(c) - 1, cube(c), cube(c) + 1)))
+        pairs = rest.withColumns({k: cube(c) for k, c in (("kx", "x"), ("ky", "y"), ("kz", "z"))}).join(around, ["kx", "ky", "kz"])
+        best = pairs.groupBy(*keys).agg(F.min(F.struct(dist.alias("d"), "site_id")).alias("b")).select(*keys, F.col("b.site_id").alias("site_id"), F.col("b.d").alias("dist_m"))
+        sure = 2 * earth * math.asin(min(reach / 2, 1)) - slack  # the great circle of a chord as long as a cube is wide
+        last = reach >= 2
+        hit = saved(best if last else best.where(F.col("dist_m") < sure))
+        found = hit if found is None else found.unionByName(hit)
+        rest = saved(rest.join(hit, keys, "left_anti"))
+        if last or rest.isEmpty():
+            return nodes.select(*keys).join(found, keys, "left")
+        reach *= 2
+
+
 def patches_along(nodes: DataFrame, g: float, b: float) -> int:
     """How many patches to lay along the buffer, from the mean density of nodes in the blocks that have any."""
     per = nodes.groupBy("cell", "block_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()

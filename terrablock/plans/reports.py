@@ -426,13 +426,11 @@ def baseline_predictions(spark, sf_dir):
 
 @query
 def haversine_distance(spark, sf_dir):
-    """Great-circle distance of each node to the antenna that is nearest by it, of the 25."""
+    """Great-circle distance of each node to the antenna that is nearest by it."""
     lon, lat = lambda x: -49.5 + x / 111, lambda y: -22.5 + y / 111
     sites = src.antennas(spark, sf_dir).select("site_id", lon(F.col("sx")).alias("slon"), lat(F.col("sy")).alias("slat"))
-    every = sites.agg(F.collect_list(F.struct("site_id", "slon", "slat")).alias("sites"))  # 25 antennas
-    n = src.lattice(spark, sf_dir).select("node_id", lon(F.col("x_km")).alias("lon"), lat(F.col("y_km")).alias("lat")).crossJoin(F.broadcast(every))
-    best = F.array_min(F.transform("sites", lambda s: F.struct(F.round(geo.haversine_m(F.col("lon"), F.col("lat"), s["slon"], s["slat"]), 3).alias("d"), s["site_id"].alias("s"))))
-    return n.withColumn("b", best).select("node_id", F.col("b.s").alias("site_id"), F.col("b.d").alias("dist_m"))
+    n = src.lattice(spark, sf_dir).select("node_id", lon(F.col("x_km")).alias("lon"), lat(F.col("y_km")).alias("lat"))
+    return proximity.nearest_on_sphere(n, sites, ["node_id"])
 
 
 @query

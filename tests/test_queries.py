@@ -142,7 +142,7 @@ def test_f_quantiles(spark):
 def test_component_intervals(spark):
     rng = np.random.default_rng(6)
     rows = [("A", g, float(v)) for g in range(12) for v in rng.normal(rng.normal(0, 2), 1, 9)] + [("B", 0, 1.0), ("B", 0, 2.0), ("C", 0, 1.0), ("C", 1, 1.0), ("C", 1, 1.0)]
-    layout = design.one_way(spark.createDataFrame(rows, "cell string, g int, v double"), ["cell"], "g", "v")
+    layout = design.one_way(spark.createDataFrame(rows, "cell string, block int, v double"), ["cell"], "block", "v")
     out = {r.cell: r for r in design.component_intervals(layout, ["cell"]).collect()}
     assert set(out) == {"A"} and (out["A"].d1, out["A"].d2) == (11, 96)
     assert out["A"].theta_low < out["A"].theta < out["A"].theta_high and out["A"].theta_low == pytest.approx((out["A"].f / out["A"].f_high - 1) / 9) and 0 < out["A"].icc_low < out["A"].icc_high < 1
@@ -228,6 +228,24 @@ def test_nearest_distance(spark):
     assert [r.d_km for r in proximity.nearest_distance(rows.limit(1), others.where("cell = 'B'"), ["cell"]).collect()] == [None]
 
 
+@pytest.mark.parametrize("spread", [0.3, 25.0, 180.0])
+def test_nearest_on_the_sphere(spark, spread):
+    """Against all pairs: about the date line, at the poles, sites close together and on the other side, ties, equal places."""
+    rng = np.random.default_rng(8)
+    lon = np.append(rng.uniform(180 - spread, 180 + spread, 120) % 360 - 180, [0.0, 90.0, 179.99, -179.99, 10.0])
+    lat = np.append(rng.uniform(-90, 90, 60) if spread > 100 else rng.uniform(88, 90, 60), rng.uniform(-2, 2, 60))
+    lat = np.append(lat, [90.0, -90.0, 0.0, 0.0, 50.0])
+    slon, slat = rng.permutation(lon)[:40] + rng.normal(0, 0.2, 40), np.clip(rng.permutation(lat)[:40] + rng.normal(0, 0.2, 40), -90, 90)
+    slon, slat = np.append(slon, [slon[0], 0.0, 0.0]), np.append(slat, [slat[0], 89.9, 89.9])
+    nodes = spark.createDataFrame([("A", i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat, strict=True))], "cell string, node_id long, lon double, lat double")
+    sites = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(slon, slat, strict=True))], "site_id long, slon double, slat double")
+    got = {r.node_id: r for r in proximity.nearest_on_sphere(nodes, sites, ["cell", "node_id"]).collect()}
+    a, b, c, d = np.radians(lon)[:, None], np.radians(lat)[:, None], np.radians(slon), np.radians(slat)
+    m = np.round(2 * 6_371_000 * np.arcsin(np.sqrt(np.minimum(1, np.sin((d - b) / 2) ** 2 + np.cos(b) * np.cos(d) * np.sin((c - a) / 2) ** 2))), 3)
+    assert len(got) == len(lon) and all(got[i].dist_m == pytest.approx(m[i].min(), abs=0.002) and m[i][got[i].site_id] <= m[i].min() + 0.002 for i in range(len(lon)))
+    assert {r.site_id for r in proximity.nearest_on_sphere(nodes, sites.limit(0), ["cell", "node_id"]).collect()} == {None}
+
+
 def test_ids_repeat_between_cells(spark):
     """node_id is a place inside a cell: equal ids of two cells must not meet."""
     rows = spark.createDataFrame([(c, i, float(x), 0.0) for c, shift in (("A", 0), ("B", 40)) for i, x in enumerate((shift, shift + 1))], "cell string, node_id long, x_km double, y_km double")
