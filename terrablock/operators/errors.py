@@ -157,6 +157,36 @@ def diagnostics(rows: DataFrame, truth: str, pred: str) -> DataFrame:
     return wide.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in wide.columns))))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """keys and the quantiles of value at the shares, by name, between their order statistics; all from one histogram."""
+    at = {name: q * (F.col("total") - 1) for name, q in shares.items()}
+    ranks = {f"{name}_{e}": f(x) for name, x in at.items() for e, f in (("low", F.floor), ("high", F.ceil))}
+    edges = order_statistics(rows, keys, value, ranks)
+    return edges.select(*keys, *((F.col(f"{n}_low") + (x - F.floor(x)) * (F.col(f"{n}_high") - F.col(f"{n}_low"))).alias(n) for n, x in at.items()))
+
+
+def prediction_shape(rows: DataFrame, truth: str, pred: str, loss: Column, free: Column) -> DataFrame:
+    """(metric, value): spread, percentiles and fidelity of a prediction, its physical consistency, the coverage at levels,
+    90th percentiles of the error by distance ring, and correlations of the error with distance and terrain.
+
+    loss: the predicted path loss, free: that of free space. The spread and correlations take one pass, the percentiles of
+    predictions and those of rings one histogram each.
+    """
+    e = F.abs(F.col(pred) - F.col(truth))
+    percent = lambda level: 100 * F.avg((F.col(pred) > level).cast("double"))
+    wide = rows.agg(
+        F.stddev_samp(pred).alias("std_pred"), F.stddev_samp(truth).alias("std_truth"), F.try_divide(F.stddev_samp(pred), F.stddev_samp(truth)).alias("fidelity"),
+        F.avg((loss >= free).cast("double")).alias("fspl_compliance"), F.avg(F.col(pred).between(-140, -30).cast("double")).alias("range_ok"), F.corr(F.col(pred), -F.col("dist_m")).alias("distance_gradient"),
+        *(percent(-x).alias(f"coverage_at_{x}dbm") for x in (85, 95, 105)), (percent(-85) - percent(-95)).alias("coverage_spread"),
+        *(F.corr(F.col(c), e).alias(f"corr_{c}_error") for c in ("dist_m", "elevation", "slope", "ndvi")),
+    )
+    pairs = lambda df, names: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names))))
+    shares = {f"pred_p{q}": q / 100 for q in (10, 25, 75, 90)}
+    ring = F.when(F.col("dist_m") < 5000, "near").when(F.col("dist_m") < 15000, "middle").otherwise("far")
+    rings = quantiles(rows.select(ring.alias("ring"), e.alias("e")), ["ring"], F.col("e"), {"p90": 0.9}).select(F.concat(F.lit("p90_"), "ring").alias("metric"), F.col("p90").alias("value"))
+    return pairs(wide, wide.columns).unionByName(pairs(quantiles(rows, [], F.col(pred), shares), shares)).unionByName(rings)
+
+
 def short_pearson(x: str, y: str) -> Column:
     """Correlation of population covariance over sample deviations: corr (n-1)/n within ±1, 0 below five rows."""
     n = F.count("*")

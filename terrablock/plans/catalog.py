@@ -377,7 +377,9 @@ def prediction_contrast(spark, sf_dir):
 
 @query
 def diagnostics(spark, sf_dir):
-    return rounded(errors.diagnostics(src.nodes(spark, sf_dir), "rssi", "pred_b"))
+    n = saved(src.nodes(spark, sf_dir).select("rssi", "pred_b", "valid", "covered", "ndvi", "slope", "elevation", "dist_m"))
+    shape = errors.prediction_shape(n, "rssi", "pred_b", src.POWER_DBM + src.GAIN_DBI - F.col("pred_b"), free_space())
+    return rounded(errors.diagnostics(n, "rssi", "pred_b").unionByName(shape))
 
 
 @query

@@ -128,7 +128,13 @@ def _filtered(shape: str, part: str) -> str:
     return f"sqrt(avg((pred_b - rssi) * (pred_b - rssi)) {f})" if shape == "rmse" else f"{_SHAPES[shape]} {f}"
 
 
-_DIAGNOSTICS = " UNION ALL ".join([*(_metric(f"{s}_{p}", _filtered(s, c)) for s in _SHAPES for p, c in _METRIC_PARTS.items()), _metric("pearson", "corr(rssi, pred_b)"), _metric("coverage_accuracy", "avg(CAST(covered = (pred_b > -85) AS DOUBLE))")])
+_DIAGNOSTICS = " UNION ALL ".join([*(_metric(f"{s}_{p}", _filtered(s, c)) for s in _SHAPES for p, c in _METRIC_PARTS.items()), _metric("pearson", "corr(rssi, pred_b)"), _metric("coverage_accuracy", "avg(CAST(covered = (pred_b > -85) AS DOUBLE))"),
+    _metric("std_pred", "stddev_samp(pred_b)"), _metric("std_truth", "stddev_samp(rssi)"), _metric("fidelity", "stddev_samp(pred_b) / nullif(stddev_samp(rssi), 0)"),
+    _metric("fspl_compliance", "avg(CAST(55 - pred_b >= fs AS DOUBLE))"), _metric("range_ok", "avg(CAST(pred_b BETWEEN -140 AND -30 AS DOUBLE))"), _metric("distance_gradient", "corr(pred_b, -dist_m)"),
+    *(_metric(f"coverage_at_{x}dbm", f"100 * avg(CAST(pred_b > -{x} AS DOUBLE))") for x in (85, 95, 105)), _metric("coverage_spread", "100 * avg(CAST(pred_b > -85 AS DOUBLE)) - 100 * avg(CAST(pred_b > -95 AS DOUBLE))"),
+    *(_metric(f"corr_{c}_error", f"corr({c}, abs(pred_b - rssi))") for c in ("dist_m", "elevation", "slope", "ndvi")), *(_metric(f"pred_p{q}", f"quantile_cont(pred_b, {q / 100})") for q in (10, 25, 75, 90)),
+    "SELECT 'p90_' || CASE WHEN dist_m < 5000 THEN 'near' WHEN dist_m < 15000 THEN 'middle' ELSE 'far' END AS metric, quantile_cont(abs(pred_b - rssi), 0.9) AS value FROM nodes GROUP BY 1",
+])
 _BITS = [f"((s >> {i}) & 1)" for i in range(8)]
 _DISCS = " + ".join(f"{_BITS[4 + i]} * (1 - {_BITS[a]}) * (1 - {_BITS[b]})" for i, (a, b) in enumerate(((0, 2), (1, 2), (0, 3), (1, 3))))
 _CHANCE = " * ".join(f"(CASE WHEN {x} = 1 THEN 1 - q ELSE q END)" for x in _BITS)

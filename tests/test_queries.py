@@ -218,6 +218,20 @@ def test_quantiles_by_histogram(spark):
     assert errors.error_measures(rows, ["k"], F.col("v")).where("k = 'A'").first().p90 == pytest.approx(np.percentile(np.abs(x), 90))
 
 
+def test_prediction_shape(spark):
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"rssi": rng.normal(-90, 8, 700), "dist_m": rng.uniform(0, 30000, 700), "elevation": rng.normal(size=700), "slope": rng.random(700), "ndvi": rng.random(700)})
+    frame["p"] = frame.rssi + rng.normal(1, 3, 700)
+    got = {r.metric: r.value for r in errors.prediction_shape(spark.createDataFrame(frame), "rssi", "p", 55 - F.col("p"), F.lit(120.0)).collect()}
+    e = (frame.p - frame.rssi).abs()
+    for q in (10, 25, 75, 90):
+        assert got[f"pred_p{q}"] == pytest.approx(np.percentile(frame.p, q))
+    for ring, low, high in (("near", 0, 5000), ("middle", 5000, 15000), ("far", 15000, 1e9)):
+        assert got[f"p90_{ring}"] == pytest.approx(np.percentile(e[(frame.dist_m >= low) & (frame.dist_m < high)], 90))
+    assert got["fidelity"] == pytest.approx(frame.p.std() / frame.rssi.std()) and got["corr_slope_error"] == pytest.approx(frame.slope.corr(e)) and got["distance_gradient"] == pytest.approx(frame.p.corr(-frame.dist_m))
+    assert got["coverage_spread"] == pytest.approx(100 * ((frame.p > -85).mean() - (frame.p > -95).mean())) and got["fspl_compliance"] == pytest.approx((55 - frame.p >= 120).mean()) and len(got) == 21
+
+
 def test_nearest_distance(spark):
     rng = np.random.default_rng(3)
     a, b = rng.uniform(0, 50, (60, 2)), np.concatenate([rng.uniform(0, 5, (200, 2)), [[49.0, 1.0]]])
