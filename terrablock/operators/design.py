@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrablock.functions.quantiles import f_quantile
+from terrablock.functions.quantiles import f_quantile, log_gamma
 
 DRAW = ["cell", "seed", "pred", "pop"]
 
@@ -186,8 +186,15 @@ def product_variance(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFr
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(X <= k) of n trials of chance p in (0, 1), by the recurrence of the terms from P(X = 0) on."""
-    step = lambda acc, i: F.struct((acc["term"] * (n - i + 1) / i * p / (1 - p)).alias("term"), (acc["total"] + acc["term"] * (n - i + 1) / i * p / (1 - p)).alias("total"))
-    none = F.pow(1 - p, n)
-    start = F.struct(none.alias("term"), none.alias("total"))
-    return F.when(k < 1, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), start, step)["total"])
+    """P(X <= k) of n trials of chance p in (0, 1), however many: the term of k, or of k + 1, in logarithms, times a sum of
+    falling ratios away from the mean; above the mean the upper tail is taken from 1."""
+    log_term = lambda i: log_gamma(n + F.lit(1.0)) - log_gamma(i + F.lit(1.0)) - log_gamma(n - i + F.lit(1.0)) + i * F.log(p) + (n - i) * F.log(1 - p)
+
+    def away(start: Column, steps: Column, ratio) -> Column:
+        step = lambda acc, j: F.struct((acc["r"] * ratio(j)).alias("r"), (acc["s"] + acc["r"] * ratio(j)).alias("s"))
+        sums = F.aggregate(F.sequence(F.lit(1), F.greatest(steps.cast("int"), F.lit(1))), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s")), step, lambda acc: acc["s"])
+        return F.exp(log_term(start)) * F.when(steps < 1, 1.0).otherwise(sums)
+
+    down = away(k, k, lambda j: (k - j + 1) / (n - k + j) * (1 - p) / p)
+    up = away(k + 1, n - k - 1, lambda j: (n - k - j) / (k + 1 + j) * p / (1 - p))
+    return F.when(k < 0, 0.0).when(k >= n, 1.0).when(k <= n * p, down).otherwise(1 - up)

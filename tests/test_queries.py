@@ -139,6 +139,13 @@ def test_f_quantiles(spark):
     assert share.s == pytest.approx(0.3483) and share.t == pytest.approx(0.9963) and share.g == pytest.approx(math.lgamma(0.5), rel=1e-12)
 
 
+def test_binomial_tail(spark):
+    exact = lambda n, k, p: math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+    cases = [(10, 0, 0.5), (10, 3, 0.3), (10, 9, 0.3), (10, 10, 0.3), (60, 41, 0.5), (5000, 2400, 0.5), (5000, 2600, 0.5), (4000, 1, 0.001)]
+    rows = spark.createDataFrame(cases, "n long, k long, p double").select("n", "k", "p", design.binomial_tail(F.col("n"), F.col("k"), F.col("p")).alias("t")).collect()
+    assert all(r.t == pytest.approx(exact(r.n, r.k, r.p), rel=1e-8) for r in rows)
+
+
 def test_component_intervals(spark):
     rng = np.random.default_rng(6)
     rows = [("A", g, float(v)) for g in range(12) for v in rng.normal(rng.normal(0, 2), 1, 9)] + [("B", 0, 1.0), ("B", 0, 2.0), ("C", 0, 1.0), ("C", 1, 1.0), ("C", 1, 1.0)]
