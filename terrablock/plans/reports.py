@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrablock.functions import canonical
 from terrablock.functions import geometry as geo
 from terrablock.functions import propagation as prop
 from terrablock.functions.storage import saved
@@ -570,6 +571,30 @@ def digest_chain(spark, sf_dir):
     return gates.digest_chain(own, other, ["cell", "seed", "role"])
 
 
+def cell_records(spark, sf_dir, b: float = B) -> DataFrame:
+    """A nested record of each cell: counts, extents and its blocks in order of their numbers."""
+    n = saved(src.nodes(spark, sf_dir).select("cell", "block_id", "valid", "x_km", "y_km"))
+    blocks = n.groupBy("cell", "block_id").agg(F.count("*").alias("n_nodes"), F.count_if("valid").alias("n_valid"))
+    listed = blocks.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("block_id", "n_nodes", "n_valid"))).alias("blocks"))  # a cell's blocks
+    box = n.groupBy("cell").agg(F.struct(F.min("x_km").alias("x0"), F.max("x_km").alias("x1"), F.min("y_km").alias("y0"), F.max("y_km").alias("y1")).alias("extent"), F.count("*").alias("n"))
+    return box.join(listed, "cell").select("cell", "n", "extent", "blocks", F.lit(b).alias("buffer"), F.lit("run of /home/someone/work").alias("note"))
+
+
+@query
+def record_digests(spark, sf_dir):
+    """Canonical text of each cell's record, its length and digest; home folders in free text are masked."""
+    rows = canonical.canonical_rows(cell_records(spark, sf_dir), masks={r"/home/[^/ ]+": "/home/<user>"}, digits=6)
+    return rows.select("cell", F.length("text").alias("length"), "digest")
+
+
+@query
+def record_difference(spark, sf_dir):
+    """Leaves in which the records of the cells differ from those of the valid blocks alone, with another buffer."""
+    left = cell_records(spark, sf_dir).drop("note")
+    right = left.withColumn("blocks", F.filter("blocks", lambda x: x["n_valid"] > 0)).withColumn("buffer", F.lit(0.0))
+    return canonical.leaf_diff(left, right, ["cell"])
+
+
 @query
 def merged_cells(spark, sf_dir):
     """The cells as one table with dense node numbers: each cell's own from 0, and an offset by the cells before it."""

@@ -282,6 +282,12 @@ BODIES = {
         row_number() OVER (PARTITION BY cell ORDER BY x, node_id) AS ox, row_number() OVER (PARTITION BY cell ORDER BY y, node_id) AS oy FROM (SELECT cell, node_id, floor(rssi * 10) AS x, floor(elevation * 100) AS y FROM nodes)) GROUP BY cell""",
         "rho rho_broken",
     ),
+    "record_digests": """SELECT cell, length(text) AS length, sha256(text) AS digest FROM (SELECT cell, '{"blocks":[' || string_agg('{"block_id":' || block_id || ',"n_nodes":' || n_nodes || ',"n_valid":' || n_valid || '}', ',' ORDER BY block_id) || '],"buffer":2.000000e+00,"cell":"' || cell || '","extent":{"x0":' || format('{:.6e}', x0) || ',"x1":' || format('{:.6e}', x1) || ',"y0":' || format('{:.6e}', y0) || ',"y1":' || format('{:.6e}', y1) || '},"n":' || n || ',"note":"run of /home/<user>/work"}' AS text
+        FROM blocks JOIN (SELECT cell, count(*) AS n, min(x_km) AS x0, max(x_km) AS x1, min(y_km) AS y0, max(y_km) AS y1 FROM nodes GROUP BY cell) USING (cell) GROUP BY cell, n, x0, x1, y0, y1)""",
+    "record_difference": """SELECT * FROM (WITH a AS (SELECT cell, unnest(['block_id', 'n_nodes', 'n_valid']) AS f, row_number() OVER (PARTITION BY cell ORDER BY block_id) - 1 AS i, unnest([block_id, n_nodes, n_valid]) AS v, n_valid FROM blocks),
+        b AS (SELECT cell, unnest(['block_id', 'n_nodes', 'n_valid']) AS f, row_number() OVER (PARTITION BY cell ORDER BY block_id) - 1 AS i, unnest([block_id, n_nodes, n_valid]) AS v FROM blocks WHERE n_valid > 0)
+        SELECT cell, 'blocks[' || i || '].' || f AS path, CAST(a.v AS VARCHAR) AS "left", CAST(b.v AS VARCHAR) AS "right" FROM a FULL JOIN b USING (cell, i, f) WHERE a.v IS DISTINCT FROM b.v
+        UNION ALL SELECT DISTINCT cell, 'buffer', '2.000000000e+00', '0.000000000e+00' FROM blocks)""",
     "merged_cells": "SELECT cell, node_id, row_number() OVER (ORDER BY cell, node_id) - 1 AS merged FROM lattice",
 }
 # Published quantiles of Student's t at 0.975 by degrees of freedom, from 1.

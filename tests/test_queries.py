@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrablock.functions import propagation as prop
-from terrablock.functions import quantiles
+from terrablock.functions import canonical, quantiles
 from terrablock.functions.quantiles import t_quantile
 from terrablock.functions.storage import saved
 from terrablock.operators import design, errors, gates, graph, proximity, ranks, resample
@@ -146,6 +146,21 @@ def test_binomial_tail(spark):
     assert all(r.t == pytest.approx(exact(r.n, r.k, r.p), rel=1e-8) for r in rows)
 
 
+def test_canonical_records(spark):
+    """One digest for any order of fields and map entries; masks, dropped fields, odd numbers, quotes, nulls; differing leaves."""
+    one = spark.sql("""SELECT 1 AS id, named_struct('b', 2.5D, 'a', array(named_struct('y', 1, 'x', 'q"\\\\ /home/me/z'), null)) AS s, map('k', 1.0D, 'j', double('nan')) AS m, -0.0D AS z, true AS t, cast(null AS int) AS n""")
+    two = spark.sql("""SELECT true AS t, 0.0D AS z, map('j', double('nan'), 'k', 1.0D) AS m, cast(null AS int) AS n, named_struct('a', array(named_struct('x', 'q"\\\\ /home/you/z', 'y', 1), null), 'b', 2.5D) AS s, 1 AS id""")
+    mask = {"masks": {r"/home/[^/ ]+": "/home/$user"}}
+    a, b = (canonical.canonical_rows(x, **mask).first() for x in (one, two))
+    assert a.text == b.text and a.digest == b.digest
+    assert a.text == '{"id":1,"m":{"j":nan,"k":1.000000000e+00},"n":null,"s":{"a":[{"x":"q\\"\\\\\\\\ /home/$user/z","y":1},null],"b":2.500000000e+00},"t":true,"z":0.000000000e+00}'.replace("\\\\\\\\", "\\\\")
+    assert canonical.canonical_rows(one).first().digest != canonical.canonical_rows(two).first().digest
+    less = [canonical.canonical_rows(x, drop=frozenset({"s.a.x", "m"})).first().digest for x in (one, two)]
+    assert less[0] == less[1]
+    diff = {r.path: (r.left, r.right) for r in canonical.leaf_diff(one, two.withColumn("z", F.lit(1.0)).drop("t"), ["id"]).collect()}
+    assert set(diff) == {"s.a[0].x", "z", "t"} and diff["z"] == ("0.000000000e+00", "1.000000000e+00") and diff["t"] == ("true", None)
+
+
 def test_component_intervals(spark):
     rng = np.random.default_rng(6)
     rows = [("A", g, float(v)) for g in range(12) for v in rng.normal(rng.normal(0, 2), 1, 9)] + [("B", 0, 1.0), ("B", 0, 2.0), ("C", 0, 1.0), ("C", 1, 1.0), ("C", 1, 1.0)]
