@@ -38,7 +38,7 @@ def found_spans(docs: DataFrame, repo: str, owner: str) -> tuple[DataFrame, Data
     a value, bare tokens (rank REUSE) too. Running sums of gaps and sizes give the places, one row for each match."""
     text = F.coalesce(F.col("text"), F.lit(""))
     every = F.concat(pieces(text, 0, ASSIGN, 1, LEAST_VALUE), pieces(text, 1, ACCESS, 0), pieces(text, 2, HEX, 0), pieces(text, REUSE, TOKEN_ONCE, 0, LEAST_VALUE))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  (a null is no empty name)
     rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", name(repo).alias("repo"), name(owner).alias("owner"), every.alias("pieces")))
     each = rows.where(F.size("pieces") > 0).select("row", "repo", "owner", F.posexplode("pieces").alias("at", "p"))
     upto = Window.partitionBy("row", "p.rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,7 +115,7 @@ def _sql_spans(kind: str, rank: int, pattern: str, group: int, least: int) -> st
 OP2_SQL = f"""
 WITH base AS (SELECT row_number() OVER () AS rn, doc_id, source, coalesce(text, '') AS t FROM documents),
 found AS MATERIALIZED ({" UNION ALL ".join(_sql_spans(*x) for x in (("assign", 0, ASSIGN, 1, LEAST_VALUE), ("access", 1, ACCESS, 0, 16), ("hex", 2, HEX, 0, 32), ("reuse", 3, TOKEN, 0, LEAST_VALUE)))}),
-owners AS MATERIALIZED (SELECT value, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS n_repos, count(DISTINCT coalesce(source, '')) AS n_owners FROM found JOIN base USING (rn) WHERE rank < 3 GROUP BY value),
+owners AS MATERIALIZED (SELECT value, count(DISTINCT coalesce('=' || CAST(doc_id AS VARCHAR), '')) AS n_repos, count(DISTINCT coalesce('=' || source, '')) AS n_owners FROM found JOIN base USING (rn) WHERE rank < 3 GROUP BY value),
 spans AS MATERIALIZED (SELECT f.*, n_repos, n_owners, n_owners >= {COPIED_OWNERS} OR n_repos >= {COPIED_REPOS} AS copied FROM found f JOIN owners USING (value)
   WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM found g WHERE g.rn = f.rn AND g.rank < 3 AND g.s < f.e AND g.e > f.s)),
 lists AS (SELECT rn, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex, count(*) FILTER (WHERE rank = 3) AS n_reuse,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrablock.llm import embeddings, ngram_join, queries, repeats
 from terrablock.llm.embeddings import near_vectors
 from terrablock.llm.ngram_join import linked_components
+from terrablock.llm.secrets import scan_secrets
 from terrablock.llm.suffix_array import dedup_bytes
 from terrablock.llm.suffix_tree import dedup_words
 
@@ -89,6 +90,12 @@ def test_sql_sees_repeated_and_null_ids(spark, tmp_path):
         assert got(queries.QUERIES[name](spark, str(tmp_path)), *columns) == want, name
 
 
+def test_a_null_owner_is_none_of_the_named(spark):
+    docs = spark.createDataFrame([(1, "token=copiedvalue9", None), (2, "token=copiedvalue9", ""), (3, "token=copiedvalue9", "x"), (4, "token=otherval99", None), (5, "token=otherval99", None)], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in scan_secrets(docs).collect()}
+    assert [(out[i].most_owners, out[i].n_copied) for i in (1, 2, 3)] == [(3, 1)] * 3 and (out[4].most_owners, out[4].n_copied) == (1, 0)
+
+
 def test_estimates_have_no_bias_and_bounds_hold():
     """Over many random rotations the mean estimate is the cosine; no cosine is over the certain bound; few over the one of two deviations."""
     rng = np.random.default_rng(1)
