@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrablock.functions import canonical
 from terrablock.functions import geometry as geo
 from terrablock.functions import propagation as prop
-from terrablock.functions.storage import saved
+from terrablock.functions.storage import saved, shared_folder
 from terrablock.operators import classes, design, errors, gates, graph, partition, proximity, ranks, retained
 from terrablock.plans.catalog import B, DRAWS, FOLDS, G, MAX_GY, QUERIES, Study, _side, query, rounded, seeds
 from terrablock.sources import nodes as src
+from terrablock.sources import runner
 
 #: The draw that stands for the reference split where one is looked at alone.
 ONE = 1
@@ -595,6 +598,17 @@ def record_difference(spark, sf_dir):
     return canonical.leaf_diff(left, right, ["cell"])
 
 
+@query
+def run_status(spark, sf_dir):
+    """The blocks of each cell, computed by a batch that stops after one cell and goes on: status with digests, by cell."""
+    n = saved(src.nodes(spark, sf_dir).select("cell", "block_id", "valid"))
+    planned = n.select("cell").distinct()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    compute = lambda cells: partition.blocks(n.join(F.broadcast(cells), "cell", "left_semi"))  # noqa: E731  (at most a batch of cells)
+    runner.run_cells(spark, planned.orderBy("cell").limit(1), compute, path)
+    return runner.run_cells(spark, planned, compute, path, batch=2)
+
+
 @query
 def merged_cells(spark, sf_dir):
     """The cells as one table with dense node numbers: each cell's own from 0, and an offset by the cells before it."""

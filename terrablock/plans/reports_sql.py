@@ -288,6 +288,7 @@ BODIES = {
         b AS (SELECT cell, unnest(['block_id', 'n_nodes', 'n_valid']) AS f, row_number() OVER (PARTITION BY cell ORDER BY block_id) - 1 AS i, unnest([block_id, n_nodes, n_valid]) AS v FROM blocks WHERE n_valid > 0)
         SELECT cell, 'blocks[' || i || '].' || f AS path, CAST(a.v AS VARCHAR) AS "left", CAST(b.v AS VARCHAR) AS "right" FROM a FULL JOIN b USING (cell, i, f) WHERE a.v IS DISTINCT FROM b.v
         UNION ALL SELECT DISTINCT cell, 'buffer', '2.000000000e+00', '0.000000000e+00' FROM blocks)""",
+    "run_status": """SELECT cell, count(*) AS n, CAST(sum(CAST('0x' || substr(md5('{"block_id":' || block_id || ',"cell":"' || cell || '","n_nodes":' || n_nodes || ',"n_valid":' || n_valid || '}'), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM blocks GROUP BY cell""",
     "merged_cells": "SELECT cell, node_id, row_number() OVER (ORDER BY cell, node_id) - 1 AS merged FROM lattice",
 }
 # Published quantiles of Student's t at 0.975 by degrees of freedom, from 1.

@@ -20,7 +20,7 @@ from terrablock.plans.catalog import QUERIES
 from terrablock.plans.oracle import SQL
 from terrablock.plans.reports_sql import T_975
 from terrablock.plans.resampling_sql import BODIES as _RESAMPLING_SQL  # noqa: F401  (adds to SQL)
-from terrablock.sources import readers
+from terrablock.sources import readers, runner
 from terrablock.streaming import block_sums
 
 SF = "/root/testdata/sf0.001"
@@ -161,6 +161,32 @@ def test_canonical_records(spark):
     assert set(diff) == {"s.a[0].x", "z", "t"} and diff["z"] == ("0.000000000e+00", "1.000000000e+00") and diff["t"] == ("true", None)
 
 
+def test_a_killed_batch_goes_on(spark, tmp_path):
+    """Killed in the second batch: what was published stays, the cell in hand is computed again, nothing is computed twice."""
+    planned = spark.createDataFrame([(c,) for c in "ABCDE"], "cell string")
+    rows = spark.createDataFrame([(c, i, float(i)) for c in "ABCD" for i in range(3)], "cell string, i int, v double")
+    asked, path = [], str(tmp_path / "run")
+
+    def compute(cells, dies=()):
+        names = [r.cell for r in cells.collect()]
+        asked.append(names)
+        if set(names) & set(dies):
+            raise RuntimeError("killed")
+        return rows.join(cells, "cell", "left_semi")
+
+    with pytest.raises(RuntimeError):
+        runner.run_cells(spark, planned, lambda c: compute(c, "C"), path, batch=2)
+    assert {r.cell for r in runner.finished(spark, path).collect()} == {"A", "B"} and runner.completeness(planned, runner.finished(spark, path)).first().label == "PARTIAL"
+    assert {r.cell: r.state for r in runner.audit(spark, planned, path, rows.schema).collect()} == {"A": "finished", "B": "finished", "C": "open", "D": "open", "E": "open"}
+    readers.write_cells(rows.where("cell = 'C' AND i = 0"), f"{path}/data")  # half a cell without a status: as killed between the two tables
+    status = {r.cell: r for r in runner.run_cells(spark, planned, compute, path, batch=2).collect()}
+    assert asked == [["A", "B"], ["C", "D"], ["C", "D"], ["E"]] and {c: r.n for c, r in status.items()} == {"A": 3, "B": 3, "C": 3, "D": 3, "E": 0}
+    assert runner.completeness(planned, runner.finished(spark, path)).first().asDict() == {"n_planned": 5, "n_finished": 5, "n_rows": 12, "label": "COMPLETE"}
+    readers.write_cells(rows.where("cell = 'B'").withColumn("v", F.col("v") + 1), f"{path}/data")
+    assert {r.cell for r in runner.audit(spark, planned, path, rows.schema).where("state = 'changed'").collect()} == {"B"}
+    assert runner.run_cells(spark, planned, compute, path).count() == 5 and len(asked) == 4
+
+
 def test_component_intervals(spark):
     rng = np.random.default_rng(6)
     rows = [("A", g, float(v)) for g in range(12) for v in rng.normal(rng.normal(0, 2), 1, 9)] + [("B", 0, 1.0), ("B", 0, 2.0), ("C", 0, 1.0), ("C", 1, 1.0), ("C", 1, 1.0)]
