@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrablock.operators.proximity import closer_than
+from terrablock.functions.storage import saved
+from terrablock.operators.proximity import binned, bins_around, square
 
 
 def boxes(nodes: DataFrame) -> DataFrame:
@@ -28,16 +29,30 @@ def coincident(nodes: DataFrame, digits: int) -> DataFrame:
     return places.agg(F.count("*").alias("n_places"), F.count_if("shared").alias("n_shared"))
 
 
-def cross_violations(nodes: DataFrame, roles: DataFrame, b: float) -> DataFrame:
-    """seed, n_violations: test nodes of any cell that lie closer than b to a training node of another cell.
+def foreign_blocks(nodes: DataFrame, b: float) -> DataFrame:
+    """cell, block_id, foreign (a set of (cell, block) of other cells), n: how many nodes have nodes of just those blocks closer than b.
 
-    Only nodes within b of another cell's box can take part; they are sought with a join on the boxes first.
+    Only nodes within b of another cell's box can take part; they are sought with a join on the boxes first. No draw takes part.
     """
     limits = boxes(nodes).select(F.col("cell").alias("o_cell"), "x0", "x1", "y0", "y1")
     near = (F.col("x_km") > F.col("x0") - b) & (F.col("x_km") < F.col("x1") + b) & (F.col("y_km") > F.col("y0") - b) & (F.col("y_km") < F.col("y1") + b)
-    edge = nodes.select("cell", "node_id", "block_id", "x_km", "y_km").join(F.broadcast(limits), (F.col("cell") != F.col("o_cell")) & near, "inner")  # a row for each cell
-    some = edge.join(roles, ["cell", "block_id"])
-    test = some.where("role = 'test'").select("seed", "node_id", F.col("o_cell").alias("target"), F.col("cell").alias("home"), "x_km", "y_km")
-    train = some.where("role = 'train'").select("seed", F.col("cell").alias("target"), F.col("o_cell").alias("home"), "x_km", "y_km")
-    hits = closer_than(test, train, ["seed", "target", "home"], b).select("seed", "home", "node_id").distinct().groupBy("seed").agg(F.count("*").alias("n"))
-    return roles.select("seed").distinct().join(hits, "seed", "left").select("seed", F.coalesce("n", F.lit(0).cast("long")).alias("n_violations"))
+    edge = nodes.select("cell", "node_id", "block_id", "x_km", "y_km").join(F.broadcast(limits), (F.col("cell") != F.col("o_cell")) & near).drop("x0", "x1", "y0", "y1")  # a row for each cell
+    edge = saved(edge)
+    others = edge.select(F.col("cell").alias("o_cell"), F.col("o_cell").alias("cell"), F.col("block_id").alias("o_block"), F.col("x_km").alias("ox"), F.col("y_km").alias("oy"))
+    pairs = binned(edge, "x_km", "y_km", b).join(bins_around(others, "ox", "oy", b), ["cell", "o_cell", "kx", "ky"])
+    close = pairs.where(square(F.col("x_km") - F.col("ox"), F.col("y_km") - F.col("oy")) < b * b).select("cell", "node_id", "block_id", F.struct("o_cell", "o_block").alias("o")).distinct()
+    sets = close.groupBy("cell", "node_id", "block_id").agg(F.array_sort(F.collect_set("o")).alias("foreign"))
+    return sets.groupBy("cell", "block_id", "foreign").agg(F.count("*").alias("n"))
+
+
+def cross_violations(nodes: DataFrame, roles: DataFrame, b: float) -> DataFrame:
+    """seed, n_violations: test nodes of any cell that lie closer than b to a training node of another cell.
+
+    A draw decides sets of foreign blocks, whatever the nodes that have them.
+    """
+    sets = saved(foreign_blocks(nodes, b).withColumn("set", F.monotonically_increasing_id()))
+    tested = sets.join(roles.where("role = 'test'").drop("role"), ["cell", "block_id"]).select("set", "n", "seed", F.explode("foreign").alias("o"))
+    train = roles.where("role = 'train'").select("seed", F.col("cell").alias("_cell"), F.col("block_id").alias("_block"))
+    hit = tested.join(train.withColumnRenamed("seed", "_seed"), (F.col("seed") == F.col("_seed")) & (F.col("o.o_cell") == F.col("_cell")) & (F.col("o.o_block") == F.col("_block")))
+    hits = hit.select("seed", "set", "n").distinct().groupBy("seed").agg(F.sum("n").alias("k"))
+    return roles.select("seed").distinct().join(hits, "seed", "left").select("seed", F.coalesce("k", F.lit(0).cast("long")).alias("n_violations"))

@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as there are cores, where a small input would give fewer; a large one is left as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def grid(spark: SparkSession, lon_min: float, lon_max: float, lat_min: float, lat_max: float, side: int) -> DataFrame:
     """node_id, row, col, lon, lat of a side x side grid, row by row from the northern edge."""
     step = max(side - 1, 1)
@@ -37,7 +43,7 @@ def antennas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as nodes on a square lattice, by cell (quadrant), block, and with terrain features."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
     side = math.ceil(math.sqrt(max(orders.count(), 1)))
     step, i = max(side - 1, 1), F.col("o_orderkey")
     x, y = (i % side).cast("double") * WIDTH_KM / step, F.floor(i / side).cast("double") * HEIGHT_KM / step
