@@ -523,7 +523,7 @@ def test_mixing(odd, none):
 def plain(frame):
     def one(x):
         x = x.item() if hasattr(x, "item") else x
-        return None if x is None or x != x else float(f"{x:.9g}") if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+        return None if x is None or x is pd.NA or x != x else float(f"{x:.9g}") if isinstance(x, (int, float)) and not isinstance(x, bool) else x
 
     return sorted((tuple(map(one, r)) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
