@@ -1,7 +1,8 @@
 """Held-out nodes by class. What the buffer does to a node in a draw depends on its block and the set of other blocks that
 come closer than the buffer, and on nothing else, unless the node lies near a val or test block and near no training
-block. So nodes are counted and summed by (cell, block, near set) once, a draw decides classes, and only the nodes of
-open classes are touched one by one. Classes are as many as a city's blocks have neighbourhoods, however many its nodes.
+block. So nodes are counted and summed by (cell, block, near set) once and a draw decides classes. What it leaves open
+depends on which classes have a node near: these sets too are found once, and a draw decides them. Classes are as many as
+a city's blocks have neighbourhoods, however many its nodes.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrablock.functions.storage import saved
-from terrablock.operators.proximity import closer_than
+from terrablock.operators.proximity import near_groups, patches_along
 
 KEY = ["cell", "block_id", "near_key"]
+#: Side of a block in km, for the density from which patches are laid.
+BLOCK = 10.0
 
 
 def around(near: DataFrame) -> DataFrame:
@@ -64,13 +67,24 @@ class Split:
 
     @cached_property
     def survivors(self) -> DataFrame:
-        """cell, seed, node_id of the test nodes of open classes that no val node drops."""
+        """cell, seed, node_id of the test nodes of open classes that no val node drops.
+
+        A draw keeps val classes whole, so a node of an open test class is dropped by the classes near it. Sets of near
+        classes are found once, whatever the draws; a draw decides sets, and only nodes of sets that stay are given.
+        """
         if self.b <= 0:
             return self.decided.where("open").select("cell", "seed", F.lit(0).cast("long").alias("node_id"))
-        meeting = saved(self.decided.where("open").join(self.nodes.select(*KEY, "node_id", "x_km", "y_km"), KEY).select("cell", "seed", "node_id", "role", "x_km", "y_km"))
-        test = meeting.where("role = 'test'").drop("role")
-        gone = closer_than(test, meeting.where("role = 'val'").drop("role"), ["cell", "seed"], self.b)
-        return saved(test.join(gone, ["cell", "seed", "node_id"], "left_anti").select("cell", "seed", "node_id"))
+        open_ = self.decided.where("open").select(*KEY, "seed", "role")
+        kinds = saved(open_.select(*KEY).distinct().withColumn("kind", F.monotonically_increasing_id()))
+        edge = saved(self.nodes.select(*KEY, "node_id", "x_km", "y_km").join(kinds, KEY))
+        near = near_groups(edge, "kind", self.b, patches_along(self.nodes, BLOCK, self.b))
+        sets = near.groupBy("cell", "node_id").agg(F.array_sort(F.collect_set("near")).alias("near"))
+        placed = saved(edge.select("cell", "node_id", "kind").join(sets, ["cell", "node_id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>"))))
+        told = open_.join(kinds, KEY)
+        val = told.where("role = 'val'").groupBy("cell", "seed").agg(F.collect_list("kind").alias("_val"))
+        tried = placed.select("kind", "near").distinct().join(told.where("role = 'test'").select("cell", "seed", "kind"), "kind").join(val, ["cell", "seed"], "left")
+        stay = tried.where(~F.coalesce(F.arrays_overlap("near", "_val"), F.lit(False))).select("kind", "near", "seed")
+        return saved(placed.join(stay, ["kind", "near"]).select("cell", "seed", "node_id"))
 
     def whole(self, role: str | None = None) -> DataFrame:
         """The classes that a draw keeps whole: KEY, seed, role."""

@@ -110,6 +110,32 @@ def patches_along(nodes: DataFrame, g: float, b: float) -> int:
     return max(1, min(FINE, round(b / math.sqrt(max(per.k, 1) * g * g * PATCH_NODES / max(per.n or 0, 1)))))
 
 
+def near_groups(nodes: DataFrame, group: str, b: float, fine: int) -> DataFrame:
+    """cell, node_id, near: the groups (a number that nodes of one block share) of other blocks that have a node closer than b.
+
+    By patches, as near_blocks, but between all nodes given: those that have another block near them.
+    """
+    fx, fy = F.floor(F.col("x_km") * fine / b), F.floor(F.col("y_km") * fine / b)
+    rows = nodes.select("cell", "node_id", "block_id", F.col(group).alias("group"), "x_km", "y_km", fx.alias("fx"), fy.alias("fy"))
+    patch = ["cell", "group", "fx", "fy"]
+    patches = saved(rows.groupBy(*patch, "block_id").agg(F.min("x_km").alias("x0"), F.max("x_km").alias("x1"), F.min("y_km").alias("y0"), F.max("y_km").alias("y1")))
+    own = F.floor(F.col("fx") / fine), F.floor(F.col("fy") / fine)
+    left = patches
+    for k, x in (("kx", own[0]), ("ky", own[1])):
+        left = left.withColumn(k, F.explode(F.array(x - 1, x, x + 1)))
+    right = patches.select("cell", own[0].alias("kx"), own[1].alias("ky"), *(F.col(c).alias(f"o_{c}") for c in ("block_id", "group", "fx", "fy", "x0", "x1", "y0", "y1")))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(f"o_{c}1"), F.col(f"o_{c}0") - F.col(f"{c}1"))
+    far = lambda c: F.greatest(F.col(f"{c}1") - F.col(f"o_{c}0"), F.col(f"o_{c}1") - F.col(f"{c}0"))
+    pairs = left.join(right, ["cell", "kx", "ky"]).where((F.col("block_id") != F.col("o_block_id")) & (square(gap("x"), gap("y")) < b * b))
+    pairs = saved(pairs.select(*patch, F.col("o_group").alias("near"), "o_fx", "o_fy", (square(far("x"), far("y")) < b * b).alias("sure")))
+    sure = pairs.where("sure").select(*patch, "near").distinct()
+    open_ = pairs.where("NOT sure").drop("sure").join(sure, [*patch, "near"], "left_anti")
+    whole = rows.join(sure, patch).select("cell", "node_id", "near")
+    others = rows.select("cell", F.col("group").alias("near"), F.col("fx").alias("o_fx"), F.col("fy").alias("o_fy"), F.col("x_km").alias("ox"), F.col("y_km").alias("oy"))
+    tested = rows.join(open_, patch).join(others, ["cell", "near", "o_fx", "o_fy"]).where(square(F.col("x_km") - F.col("ox"), F.col("y_km") - F.col("oy")) < b * b)
+    return whole.unionByName(tested.select("cell", "node_id", "near").distinct())
+
+
 def near_blocks(nodes: DataFrame, g: float, b: float, max_gy: int) -> DataFrame:
     """cell, node_id, block_id, near_block: the other blocks of the cell that have a node closer than b. No draw takes part.
 
