@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrablock.functions.storage import saved
-from terrablock.operators.proximity import closer_than, nearest_distance
+from terrablock.operators.proximity import closer_than, tile_others, tile_rows
+from terrablock.operators.tiles import least_distance
 
 
 def partition_gate(left: DataFrame, nodes: DataFrame, roles: DataFrame, b: float) -> DataFrame:
@@ -42,10 +43,12 @@ def verdict(rows: DataFrame, value: str, threshold: float, least: int) -> DataFr
 
 def distance_gate(parts: dict[str, DataFrame], b: float) -> DataFrame:
     """cell, pair, n_shared, least_km, ok of each two parts (cell, node_id, x_km, y_km): no shared node, none closer than b."""
-    found, names = None, list(parts)
+    found, names, key = None, list(parts), ["cell"]
+    near, far = ({k: saved(f(p, key)) for k, p in parts.items()} for f in (tile_rows, tile_others))
     for i, one in enumerate(names):
         for other in names[i + 1 :]:
-            d = nearest_distance(parts[other], parts[one], ["cell"]).groupBy("cell").agg(F.min("d_km").alias("least_km"))
+            least = least_distance(near[other], far[one], key).select("cell", F.sqrt("d2").alias("least_km"))
+            d = near[other].select("cell").distinct().join(least, "cell", "left")
             shared = parts[one].select("cell", "node_id").intersect(parts[other].select("cell", "node_id")).groupBy("cell").agg(F.count("*").alias("n_shared"))
             n_shared = F.coalesce("n_shared", F.lit(0).cast("long"))
             rows = d.join(shared, "cell", "left").select("cell", F.lit(f"{one}-{other}").alias("pair"), n_shared.alias("n_shared"), "least_km", ((n_shared == 0) & (F.coalesce("least_km", F.lit(b)) >= b)).alias("ok"))
