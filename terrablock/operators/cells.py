@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrablock.functions.storage import saved
-from terrablock.operators.proximity import binned, bins_around, square
+from terrablock.operators import tiles
 
 
 def boxes(nodes: DataFrame) -> DataFrame:
@@ -36,13 +36,16 @@ def foreign_blocks(nodes: DataFrame, b: float) -> DataFrame:
     """
     limits = boxes(nodes).select(F.col("cell").alias("o_cell"), "x0", "x1", "y0", "y1")
     near = (F.col("x_km") > F.col("x0") - b) & (F.col("x_km") < F.col("x1") + b) & (F.col("y_km") > F.col("y0") - b) & (F.col("y_km") < F.col("y1") + b)
-    edge = nodes.select("cell", "node_id", "block_id", "x_km", "y_km").join(F.broadcast(limits), (F.col("cell") != F.col("o_cell")) & near).drop("x0", "x1", "y0", "y1")  # a row for each cell
-    edge = saved(edge)
-    others = edge.select(F.col("cell").alias("o_cell"), F.col("o_cell").alias("cell"), F.col("block_id").alias("o_block"), F.col("x_km").alias("ox"), F.col("y_km").alias("oy"))
-    pairs = binned(edge, "x_km", "y_km", b).join(bins_around(others, "ox", "oy", b), ["cell", "o_cell", "kx", "ky"])
-    close = pairs.where(square(F.col("x_km") - F.col("ox"), F.col("y_km") - F.col("oy")) < b * b).select("cell", "node_id", "block_id", F.struct("o_cell", "o_block").alias("o")).distinct()
-    sets = close.groupBy("cell", "node_id", "block_id").agg(F.array_sort(F.collect_set("o")).alias("foreign"))
-    return sets.groupBy("cell", "block_id", "foreign").agg(F.count("*").alias("n"))
+    kinds = saved(nodes.select("cell", "block_id").distinct().withColumn("target", F.monotonically_increasing_id()))  # a row for each block
+    edge = nodes.join(F.broadcast(limits), (F.col("cell") != F.col("o_cell")) & near, "left_semi").join(kinds, ["cell", "block_id"])  # a row for each cell
+    rows = saved(edge.select("node_id", "block_id", "target", F.col("cell").alias("own"), F.col("x_km").alias("x"), F.col("y_km").alias("y")))
+    others = rows.select("target", F.col("node_id").alias("o_id"), F.col("own").alias("o_own"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    close = tiles.nearest_targets(rows.drop("target"), others, [], b)
+    sets = close.groupBy("own", "node_id", "block_id").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    sets = saved(sets.groupBy(F.col("own").alias("cell"), "block_id", "targets").agg(F.count("*").alias("n")).withColumn("set", F.monotonically_increasing_id()))
+    named = kinds.select("target", F.struct(F.col("cell").alias("o_cell"), F.col("block_id").alias("o_block")).alias("o"))
+    foreign = sets.select("set", F.explode("targets").alias("target")).join(named, "target").groupBy("set").agg(F.array_sort(F.collect_set("o")).alias("foreign"))
+    return sets.join(foreign, "set").select("cell", "block_id", "foreign", "n")
 
 
 def cross_violations(nodes: DataFrame, roles: DataFrame, b: float) -> DataFrame:
