@@ -28,9 +28,12 @@ STRIPE, FAN = 64, 64
 #: Bytes of text whose links are kept in one row (a longer text comes alone).
 BLOCK_BYTES = 8 << 20
 
+#: A block's row groups are cut by size after every row, however few rows there are, so that a reader never holds a whole file.
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
+
 LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-BLOCK = pa.schema([("block", pa.int64()), ("doc_id", LONGS), ("n_a", LONGS), ("n_b", LONGS), ("n_groups", LONGS), ("sha", pa.list_(pa.string())), ("a", INTS), ("b", INTS), ("n", LONGS), ("link", pa.binary())])
-BLOCK_SQL = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, sha array<string>, a array<int>, b array<int>, n array<long>, link binary"
+PIECE = pa.schema([("block", pa.int64()), ("piece", pa.int32()), ("doc_id", LONGS), ("n_a", LONGS), ("n_b", LONGS), ("n_groups", LONGS), ("sha", pa.list_(pa.string())), ("link", pa.binary()), ("a", INTS), ("b", INTS), ("n", LONGS)])
+PIECE_SQL = "block long, piece int, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, sha array<string>, link binary, a array<int>, b array<int>, n array<long>"
 STRIPED = pa.schema([("stripe", pa.int32()), ("block", pa.int64()), ("a", INTS), ("b", INTS), ("n", LONGS)])
 STRIPED_SQL = "stripe int, block long, a array<int>, b array<int>, n array<long>"
 DOCUMENT = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups_sha256", pa.string())])
@@ -110,37 +113,49 @@ class Aligner:
 
 
 def linked_blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """A saved row for each block of texts: its documents' figures, its distinct pairs with counts, and the pair of each link."""
+    """A saved row for each piece of a block of texts: its documents' figures and the pair of each link, as its place among
+    the block's distinct pairs; the block's first piece has these pairs with their counts.
+
+    Links are told apart piece by piece, and only a piece's distinct pairs wait for the others of its block.
+    """
     files = docs.sparkSession.sparkContext.broadcast((contents(a), contents(b)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*files.value)
         name, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def out() -> pa.RecordBatch:
-            doc_id, n_a, n_b, groups, sha, x, y = zip(*held, strict=True)
-            pair, link, n = np.unique(np.concatenate(y) * aligner.a.n + np.concatenate(x), return_inverse=True, return_counts=True)
-            one = [pa.array([v], t) for v, t in zip((name, *(np.concatenate(z) for z in (n_a, n_b, groups)), [s for z in sha for s in z], pair % aligner.a.n, pair // aligner.a.n, n, link.astype(np.uint32).tobytes()), [BLOCK.types[0], *BLOCK.types[2:]], strict=True)]
-            return pa.RecordBatch.from_arrays([one[0], pa.array([[i for z in doc_id for i in z]], LONGS), *one[1:]], schema=BLOCK)
+        def out() -> Iterator[pa.RecordBatch]:
+            pair, place = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([x[1] for x in held]), len(pair)).astype(np.int64)
+            known, at = [pair % aligner.a.n, pair // aligner.a.n, n], 0
+            for k, (own, _, link, *figures) in enumerate(held):
+                links = place[at : at + len(own)].astype(np.uint32)[link].tobytes()
+                at += len(own)
+                yield arrow_rows(PIECE, [name], [k], *([x] for x in figures), [links], *([x] if k == 0 else [None] for x in known))
 
         for batch, raw, offsets in text_blocks(batches):
-            held.append((batch.column(0).to_pylist(), *aligner.block(raw, offsets)))
+            n_a, n_b, groups, sha, x, y = aligner.block(raw, offsets)
+            pair, link, n = np.unique(y * aligner.a.n + x, return_inverse=True, return_counts=True)
+            held.append((pair, n, link.astype(np.uint32), batch.column(0).to_pylist(), n_a, n_b, groups, sha))
             size += len(raw)
             if size >= BLOCK_BYTES:
-                yield out()
+                yield from out()
                 name, held, size = name + 1, [], 0
         if held:
-            yield out()
+            yield from out()
 
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(blocks, BLOCK_SQL))
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(blocks, PIECE_SQL), ROW_GROUPS)
 
 
 def dense_sums(frame: pd.DataFrame, stripe: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, count, whether b has no higher one) of the pairs of a stripe's parts, from a matrix of its B ids by the A ids in use."""
-    a, b, n = (np.concatenate([np.asarray(x, np.int64) for x in frame[c]]) for c in ("a", "b", "n"))
-    used, column = np.unique(a, return_inverse=True)
+    """(a, b, count, whether b has no higher one) of the pairs of a stripe's parts, added one by one into a matrix of its B ids by the A ids in use."""
+    seen = np.zeros(1 + max((x.max() for x in frame.a if len(x)), default=0), bool)
+    for a in frame.a:
+        seen[a] = True
+    used, column = np.flatnonzero(seen), np.cumsum(seen) - 1
     counts = np.zeros((stripe, len(used)), np.int64)
-    np.add.at(counts, (b % stripe, column), n)
+    for a, b, n in zip(frame.a, frame.b, frame.n, strict=True):
+        np.add.at(counts, (b % stripe, column[a]), n)
     row, column = np.nonzero(counts)
     total = counts[row, column]
     return used[column], int(frame.stripe.iloc[0]) * stripe + row, total, total == counts.max(axis=1)[row]
@@ -159,8 +174,8 @@ def pair_counts(blocks: DataFrame, stripe: int, fan: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b, n = (np.array(x, np.int64) for x in lists)  # pairs stand in order of b
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                a, b, n = (c[i].values.to_numpy() for c in batch.columns[1:])  # pairs stand in order of b
                 stripes, first = np.unique(b // stripe, return_index=True)
                 cut = [np.split(x, first[1:]) if len(first) else [] for x in (a, b, n)]
                 yield arrow_rows(STRIPED, stripes, np.full(len(stripes), block), *cut)
@@ -174,19 +189,18 @@ def pair_counts(blocks: DataFrame, stripe: int, fan: int) -> DataFrame:
     return materialise(rows.groupBy("stripe").applyInPandas(best_of, "a int, b int, total long, best boolean"))
 
 
-def score_block(rows: pa.Table) -> pa.Table:
+def score_block(pieces: pa.Table, known: pa.Table) -> pa.Table:
     """The documents of one block: each link takes its pair's total, and whether it is its B id's best."""
-    row = {c: rows.column(c)[0] for c in rows.column_names}
-    values = {c: row[c].values.to_numpy(zero_copy_only=False) if row[c].is_valid else np.zeros(0, np.int64) for c in ("n_a", "n_b", "n_groups", "place", "total", "best")}
-    order = np.argsort(values["place"])
-    link = np.frombuffer(row["link"].as_py(), np.uint32)
-    owner = np.repeat(np.arange(len(values["n_groups"])), values["n_groups"])
-    per = []
-    for c in ("best", "total"):
-        running = np.append(0, np.cumsum(values[c].astype(np.int64)[order][link]))
-        cut = np.append(0, np.cumsum(values["n_groups"]))
-        per.append(running[cut[1:]] - running[cut[:-1]])
-    return pa.Table.from_arrays([row["doc_id"].values, pa.array(values["n_a"]), pa.array(values["n_b"]), pa.array(values["n_groups"]), pa.array(np.bincount(owner, minlength=len(values["n_groups"]))), *map(pa.array, per), row["sha"].values], schema=DOCUMENT)
+    order = np.argsort(known.column("place").to_numpy())
+    best, total = (known.column(c).to_numpy().astype(np.int64)[order] for c in ("best", "total"))
+    found = [DOCUMENT.empty_table()]
+    for i in range(pieces.num_rows):
+        doc_id, n_a, n_b, n_groups, sha = (pieces.column(c)[i].values for c in ("doc_id", "n_a", "n_b", "n_groups", "sha"))
+        link = np.frombuffer(pieces.column("link")[i].as_buffer(), np.uint32)
+        cut = np.append(0, np.cumsum(n_groups.to_numpy()))
+        per = [(running := np.append(0, np.cumsum(values[link])))[cut[1:]] - running[cut[:-1]] for values in (best, total)]
+        found.append(pa.Table.from_arrays([doc_id, n_a, n_b, n_groups, n_groups, *map(pa.array, per), sha], schema=DOCUMENT))
+    return pa.concat_tables(found)
 
 
 def aligned(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, stripe: int = STRIPE, fan: int = FAN) -> DataFrame:
@@ -198,12 +212,11 @@ def aligned(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, stripe: int
     empty table gives no rows; other columns are ignored. Links are at most as many as tokens; a block keeps 4 bytes for
     each, and no matrix has over stripe rows and as many columns as side A has ids.
     """
-    blocks = linked_blocks(docs, a, b)
+    pieces = linked_blocks(docs, a, b)
+    blocks = pieces.where("piece = 0").select("block", "a", "b", "n")
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("place", "p")).select("block", "place", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    known = pairs.join(pair_counts(blocks, stripe, fan), ["b", "a"])
-    back = known.groupBy("block").agg(F.collect_list(F.struct("place", "total", "best")).alias("k")).select("block", "k.place", "k.total", "k.best")
-    joined = blocks.drop("a", "b", "n").join(back, "block", "left")
-    return joined.groupBy("block").applyInArrow(score_block, DOCUMENT_SQL)
+    known = pairs.join(pair_counts(blocks, stripe, fan), ["b", "a"]).select(F.col("block").alias("of"), "place", "total", "best")
+    return pieces.drop("a", "b", "n").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(score_block, DOCUMENT_SQL)
 
 
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:

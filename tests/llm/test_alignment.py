@@ -3,13 +3,16 @@
 import hashlib
 import itertools
 from collections import Counter
+from functools import partial
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from terrablock.llm import alignment
 from terrablock.llm.alignment import Aligner, aligned
-from terrablock.llm.common import table
+from terrablock.llm.common import table, text_blocks
 from terrablock.llm.subwords import BYTE_BPE, PIECE_BPE, byte_letters, contents
 
 from .test_operators import SF, TEXTS, got, rows_of
@@ -75,3 +78,24 @@ def test_texts_that_are_not_spelt_have_no_tokens():
     offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
     n_a, n_b, groups, sha, a, b = aligner.block(np.frombuffer(raw, np.uint8), offsets)
     assert n_a.tolist() == [2, 0, 2] and n_b[1] == groups[1] == 0 and sha[1] == "" and len(a) == len(b) == groups.sum()
+
+
+def test_blocks_of_many_pieces(spark, monkeypatch):
+    """A block's links are told apart piece by piece: a text or two each."""
+    monkeypatch.setattr(alignment, "text_blocks", partial(text_blocks, block=60))
+    texts = TEXTS + [(300 + k, t) for k, t in enumerate(ODD)]
+    docs = rows_of(spark, texts).coalesce(1)
+    per = alignment.linked_blocks(docs, BYTE_BPE, PIECE_BPE).groupBy("block").agg(F.count("*").alias("n"), F.count_if(F.col("a").isNotNull()).alias("k")).collect()
+    assert len(per) == 1 and per[0].n > 10 and per[0].k == 1
+    assert got(aligned(docs), *COLUMNS) == brute(texts)
+
+
+def test_rows_stay_small(spark, monkeypatch):
+    """A block of 4 MB of text is saved in rows of 1 MB and in several row groups, so that neither Java nor Python holds it as one value."""
+    words = "some words of plain text that repeat and differ by a number"
+    monkeypatch.setattr(alignment, "ROW_GROUPS", alignment.ROW_GROUPS | {"parquet.block.size": 1 << 20})
+    docs = rows_of(spark, [(i, " ".join(f"{words} {i * 37 + j}" for j in range(1500))) for i in range(45)]).coalesce(1)
+    pieces = alignment.linked_blocks(docs, BYTE_BPE, PIECE_BPE)
+    size = [r.n for r in pieces.select("block", F.length("link").alias("n")).collect()]
+    assert pieces.select("block").distinct().count() == 1 and len(size) >= 4 and max(size) < 2 << 20
+    assert sum(pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in pieces.inputFiles()) > 1
