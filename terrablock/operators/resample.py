@@ -134,6 +134,8 @@ def mean_intervals(rows: DataFrame, keys: list[str], order: list[str], value: st
 
 #: Steps of the hash's range at which the loss is looked at, and how many standard errors of its share the median may lie off.
 STEPS, ERRORS = 4_096, 6.0
+#: Numbers whose values a task makes at a time.
+GATHERED = 40_000
 TALLY = pa.schema([("case", pa.int32()), ("below", pa.int64()), ("total", pa.int64()), ("word", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))])
 
 
@@ -151,15 +153,12 @@ def simulated_medians(numbers: DataFrame, n: int, cases: DataFrame, share: float
     first = round(share * n)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = batch.column(0).to_numpy()
-            if not len(i):
-                continue
-            hashes, sentinel, out = Numbers(i), i < first, []
+        for i in gathered(batches):
+            sentinel, other, out = Numbers(i[i < first]), Numbers(i[i >= first]), []
             for case, seed, low_word, high_word, low, high in edges:
-                a, b = hashes.hashed(f"{seed}|{case}|".encode())
-                word = a[sentinel]
-                w = power + spread * np.sqrt(-2 * np.log((a[~sentinel] + 0.5) / 2.0**32)) * np.cos(b[~sentinel] / 2.0**32 * (2 * 3.141592653589793))
+                prefix = f"{seed}|{case}|".encode()
+                word, (a, b) = sentinel.hashed(prefix, second=False)[0], other.hashed(prefix)
+                w = power + spread * np.sqrt(-2 * np.log((a + 0.5) / 2.0**32)) * np.cos(b / 2.0**32 * (2 * 3.141592653589793))
                 below = np.count_nonzero(word < low_word) + np.count_nonzero(w < low)
                 out.append((case, below, len(i), word[(word >= low_word) & (word <= high_word)], w[(w >= low) & (w <= high)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TALLY.types, strict=True)], schema=TALLY)
@@ -177,6 +176,19 @@ def simulated_medians(numbers: DataFrame, n: int, cases: DataFrame, share: float
     return sure if rest.isEmpty() else sure.unionByName(ordered_medians(numbers, n, rest, share, level, power, spread, loss))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int = GATHERED) -> Iterator[np.ndarray]:
+    """The first column of the batches, in arrays of at least so many numbers but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy())
+        n += len(held[-1])
+        if n >= least:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def median_edges(cases: DataFrame, n: int, value: Column, share: float, power: float, spread: float) -> list[tuple]:
     """case, seed, low_word, high_word, low, high of each case: sentinels of hashes below low_word are at most low, those above
     high_word at least high, and the median lies between low and high but for one case in a billion. value: a sentinel's, of

@@ -6,16 +6,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrablock.functions import md5
 from terrablock.functions.md5 import Numbers
 from terrablock.operators import resample
 
 
-def test_md5():
+@pytest.mark.parametrize("chunk", [md5.CHUNK, 1])
+def test_md5(monkeypatch, chunk):
+    monkeypatch.setattr(md5, "CHUNK", chunk)
     numbers = np.array([0, 5, 10, 99, 100, 12345, 9999999, -7, 2**63 - 1, -(2**63)], np.int64)
     for prefix in (b"", b"1|2|", b"199|999|", b"-12345678901|-2147483648|"):
         texts = [hashlib.md5(prefix + str(x).encode()).hexdigest() for x in numbers]
         first, second = Numbers(numbers).hashed(prefix)
         assert first.tolist() == [int(t[:8], 16) for t in texts] and second.tolist() == [int(t[8:16], 16) for t in texts]
+        assert (Numbers(numbers).hashed(prefix, second=False)[0] == first).all()
     with pytest.raises(ValueError):
         Numbers(numbers).hashed(b"x" * 40)
 
